@@ -142,7 +142,7 @@ def basket_statistics(basket_df: DataFrame) -> DataFrame:
             F.round(F.sum(F.col("k") * F.col("n")) / F.sum("n"), 2).alias("avg_items"),
             F.min("k").alias("min_items"),
             F.max("k").alias("max_items"),
-            F.round(F.percentile("k", F.lit(0.5), "n"), 2).alias("median_items"),
+            F.round(F.percentile("k", 0.5, F.col("n")), 2).alias("median_items"),
         )
         .filter("total_transactions > 0")
         .select("total_transactions", items.alias("unique_items"), "avg_items", "min_items",
@@ -171,7 +171,7 @@ def basket_checksum(lines: DataFrame) -> DataFrame:
 
 def sample_baskets(basket_df: DataFrame, n: int = 10, seed: int | None = None) -> DataFrame:
     """``n`` random baskets with their size; with a seed the same ones every time."""
-    order = F.rand() if seed is None else F.xxhash64("InvoiceNo", F.lit(seed))
+    order = F.rand() if seed is None else F.md5(F.concat("InvoiceNo", F.lit(f"/{seed}")))
     return (
         basket_df.withColumn("NumberOfItems", F.size("items"))
         .orderBy(order, "InvoiceNo").limit(n)
