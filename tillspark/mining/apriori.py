@@ -41,7 +41,7 @@ def frequent_items(baskets: DataFrame, least: int) -> DataFrame:
 
 
 def _frequent(parts: Iterator[DataFrame], least: int) -> DataFrame | None:
-    """The itemsets of one level that meet the threshold, kept in the checkpoint folder."""
+    """The itemsets of one level that meet the threshold, stored in the scratch folder."""
     kept = [materialize(part.filter(F.col("freq") >= least)) for part in parts]
     return reduce(DataFrame.unionByName, kept) if kept else None
 

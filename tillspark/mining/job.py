@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from tillspark.mining.fpgrowth import fpgrowth_itemsets
 from tillspark.mining.rules import association_rules
 from tillspark.mining.son import son_itemsets
 from tillspark.mining.threshold import min_count
-from tillspark.runtime import materialize
+from tillspark.runtime import drop_materialized, materialize, materialize_counted
 from tillspark.schemas import ITEMSET, RULE, MiningSettings
 
 
@@ -38,14 +37,13 @@ def prepared(baskets: DataFrame) -> DataFrame:
 def mine(baskets: DataFrame, settings: MiningSettings | None = None, **changes) -> Mined:
     """Frequent itemsets and rules of ``baskets`` (a DataFrame with an ``items`` array).
 
-    Baskets stay cached on the executors while a run lasts, and a lost block is rebuilt from its
-    source; the itemsets found are written to the checkpoint folder. The driver sees only counts
-    and the lists of itemsets that one counting pass looks for.
+    The baskets are written once to the shared scratch folder for the passes of a run and deleted
+    at its end; the itemsets found stay there. The driver sees only counts and the lists of
+    itemsets that one counting pass looks for.
     """
     settings = settings or MiningSettings(**changes)
-    items = prepared(baskets).persist(StorageLevel.MEMORY_AND_DISK)
+    items, n = materialize_counted(prepared(baskets))
     try:
-        n = items.count()
         least = min_count(settings.min_support, n)
         spark = baskets.sparkSession
         if n == 0:
@@ -61,7 +59,7 @@ def mine(baskets: DataFrame, settings: MiningSettings | None = None, **changes)
             found.select("items", "freq", (F.col("freq") / F.lit(n)).alias("support"))
         )
     finally:
-        items.unpersist()
+        drop_materialized(items)
     rules = association_rules(
         itemsets, n, settings.min_confidence, settings.max_consequent, settings.min_lift
     )

@@ -64,12 +64,14 @@ def all_recommendations(
     ``dedupe`` keeps the best row per pair; without it a pair has one row per rule.
     """
     from_rules = rule_recommendations(rules)
+    from_sets = itemset_recommendations(itemsets, complete)
+    if dedupe:
+        # A rule has a confidence above 0, so it always beats the itemset row of its pair.
+        return best_per_pair(from_rules.unionByName(from_sets))
     covered = from_rules.select("product", "rec_product").distinct()
-    from_sets = itemset_recommendations(itemsets, complete).join(
-        covered, ["product", "rec_product"], "left_anti"
+    return from_rules.unionByName(
+        from_sets.join(covered, ["product", "rec_product"], "left_anti")
     )
-    recs = from_rules.unionByName(from_sets)
-    return best_per_pair(recs) if dedupe else recs
 
 
 def best_per_pair(recs: DataFrame, keys: tuple[str, ...] = ("product", "rec_product")) -> DataFrame:
@@ -135,23 +137,38 @@ def recommendations_with_text(stored: DataFrame, text: str) -> DataFrame:
 
 # ---- carts --------------------------------------------------------------------------------
 
-def cart_scores(carts: DataFrame, recs: DataFrame) -> DataFrame:
-    """Every product recommended by a product of the cart but not in it, with its summed weight.
+# Scores are added up as whole numbers of this unit, so they do not depend on the order of additions.
+SCORE_UNITS = 1e9
+
 
-    Weights are added up per pair of products before they meet the carts, as exact decimals, so
-    that scores do not depend on the order of additions.
+def join_outside_cart(carts: DataFrame, pairs: DataFrame, value: str, marker) -> DataFrame:
+    """(cart_id, rec_product, value) for every pair whose product is in the cart, items in it marked.
+
+    Every target also points to itself with the ``marker`` value. A cart item then meets its own
+    marker in the same join, and one grouping tells which targets are in the cart, without a second
+    scan of the carts.
     """
-    pairs = recs.groupBy("product", "rec_product").agg(
-        F.sum(weight(F.col("lift"), F.col("support")).cast("decimal(28,12)")).alias("w")
+    marks = pairs.select("rec_product").distinct().select(
+        F.col("rec_product").alias("product"), "rec_product", F.lit(marker).alias(value)
     )
     inside = carts.select("cart_id", "product").distinct()
-    scored = (
-        salted_join(inside, pairs, ["product"], ["cart_id"])
-        .groupBy("cart_id", "rec_product").agg(F.sum("w").alias("w"))
-    )
+    return salted_join(
+        inside, pairs.select("product", "rec_product", value).unionByName(marks), ["product"], ["cart_id"]
+    ).select("cart_id", "rec_product", value)
+
+
+def cart_scores(carts: DataFrame, recs: DataFrame) -> DataFrame:
+    """Every product recommended by a product of the cart but not in it, with its summed weight.
+
+    Weights are added up per pair of products before they meet the carts.
+    """
+    units = F.round(weight(F.col("lift"), F.col("support")) * SCORE_UNITS).cast("long")
+    pairs = recs.groupBy("product", "rec_product").agg(F.sum(units).alias("units"))
     return (
-        scored.join(inside.withColumnRenamed("product", "rec_product"), ["cart_id", "rec_product"], "left_anti")
-        .select("cart_id", F.col("rec_product").alias("product"), "w")
+        join_outside_cart(carts, pairs, "units", None)
+        .groupBy(F.col("cart_id"), F.col("rec_product").alias("product"))
+        .agg(F.sum("units").alias("units"), F.bool_or(F.col("units").isNull()).alias("inside"))
+        .filter("NOT inside").drop("inside")
     )
 
 
@@ -159,9 +176,9 @@ def cross_sell(carts: DataFrame, recs: DataFrame, n: int = 5) -> DataFrame:
     """The ``n`` best products to add to each cart."""
     return (
         cart_scores(carts, recs)
-        .withColumn("rank", rank_within(["cart_id"], [F.desc("w"), "product"]))
+        .withColumn("rank", rank_within(["cart_id"], [F.desc("units"), "product"]))
         .filter(F.col("rank") <= n)
-        .select("cart_id", "product", F.round(F.col("w").cast("double"), 4).alias("score"), "rank")
+        .select("cart_id", "product", F.round(F.col("units") / SCORE_UNITS, 4).alias("score"), "rank")
     )
 
 

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillspark.operators.recommend import rank_within, ranked
-from tillspark.runtime import salted_join, with_rank
+from tillspark.operators.recommend import join_outside_cart, rank_within, ranked
+from tillspark.runtime import materialize, salted_join, with_rank
 
 
 def stored_recommendations(
@@ -89,13 +89,14 @@ def cart_suggestions(
         .groupBy("product", "rec_product").agg(F.max("lift").alias("lift"))
     )
     targets = (
-        salted_join(inside, best, ["product"], ["cart_id"])
-        .groupBy("cart_id", "rec_product").agg(F.max("lift").alias("lift"))
-        .join(inside.withColumnRenamed("product", "rec_product"), ["cart_id", "rec_product"], "left_anti")
-        .withColumn("rank", rank_within(["cart_id"], [F.desc("lift"), "rec_product"]))
+        join_outside_cart(carts, best, "lift", float("inf"))
+        .groupBy(F.col("cart_id"), F.col("rec_product").alias("product")).agg(F.max("lift").alias("lift"))
+        .filter(F.col("lift") < float("inf"))
+        .withColumn("rank", rank_within(["cart_id"], [F.desc("lift"), "product"]))
         .filter(F.col("rank") <= n)
-        .select("cart_id", F.col("rec_product").alias("product"), "rank", F.lit("rule").alias("source"))
+        .select("cart_id", "product", "rank", F.lit("rule").alias("source"))
     )
+    targets = materialize(targets)
     return targets.unionByName(_top_up(inside, targets, products, n))
 
 

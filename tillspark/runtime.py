@@ -1,11 +1,11 @@
-"""Helpers that keep jobs safe at scale: reliable checkpoints, salted joins, distributed ranks."""
+"""Helpers that keep jobs safe at scale: stored intermediate tables, salted joins, distributed ranks."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -32,13 +32,27 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder and cut its lineage.
+    """Compute ``df`` once into a table in the shared folder and go on from there.
 
-    The copy survives the loss of any executor, so later steps re-read it instead of
-    re-running what made it.
+    The table survives the loss of any executor, so later steps re-read it instead of re-running
+    what made it. Its size is known, so joins with it are planned by size.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialize_counted(df)[0]
+
+
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """The same, with the number of rows as seen by the write."""
+    folder, seen = scratch_folder(df.sparkSession), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), seen.get["rows"]
+
+
+def drop_materialized(df: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def salted_join(

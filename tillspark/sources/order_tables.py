@@ -24,35 +24,44 @@ def retail_lines(
 
     ``country=False`` leaves Country NULL and saves the two joins that find it.
     """
-    lines = (
-        table(spark, sf_dir, "lineitem")
-        .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    )
-    if country:
-        lines = (
-            lines.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-            .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        )
-    columns = {
-        "InvoiceNo": """concat(CASE WHEN l_returnflag = 'R' AND l_linenumber % 2 = 0
-            THEN 'C' ELSE '' END, CAST(l_orderkey AS STRING))""",
-        "StockCode": """CASE WHEN l_partkey % 61 = 7 THEN 'POST' WHEN l_partkey % 67 = 9 THEN NULL
-            ELSE concat('SKU', CAST(l_partkey AS STRING)) END""",
-        "Description": f"""CASE WHEN l_partkey % 97 = 5 THEN NULL
-            WHEN l_partkey % 89 = 3 THEN concat({item}, '?')
-            WHEN l_partkey % 83 = 2 THEN '  ' ELSE {item} END""",
-        "Quantity": """CASE WHEN l_orderkey % 53 = 4 THEN NULL
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_partkey",
+        F.expr("""concat(CASE WHEN l_returnflag = 'R' AND l_linenumber % 2 = 0
+            THEN 'C' ELSE '' END, CAST(l_orderkey AS STRING))""").alias("InvoiceNo"),
+        F.expr("""CASE WHEN l_orderkey % 53 = 4 THEN NULL
             ELSE concat(CASE WHEN l_linestatus = 'F' AND l_returnflag = 'R' AND l_linenumber % 3 = 0
-            THEN '-' ELSE '' END, CAST(CAST(l_quantity AS INT) AS STRING)) END""",
-        "InvoiceDate": "date_format(o_orderdate, 'M/d/yyyy H:mm')",
-        "UnitPrice": """CAST(CASE WHEN l_partkey % 71 = 6 THEN 0 WHEN l_partkey % 73 = 8
-            THEN -p_retailprice WHEN l_partkey % 79 = 1 THEN NULL
-            ELSE p_retailprice END AS DECIMAL(28, 4))""",
-        "CustomerID": "CASE WHEN o_custkey % 20 = 0 THEN NULL ELSE CAST(o_custkey AS STRING) END",
-        "Country": "n_name" if country else "CAST(NULL AS STRING)",
-    }
-    return lines.select([F.expr(columns[c]).alias(c) for c in RETAIL_COLUMNS])
+            THEN '-' ELSE '' END, CAST(CAST(l_quantity AS INT) AS STRING)) END""").alias("Quantity"),
+    )
+    # What follows from the part or the order alone is worked out once per part or order; cleaning
+    # rules on these columns then filter below the joins.
+    parts = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("l_partkey"),
+        F.expr("""CASE WHEN p_partkey % 61 = 7 THEN 'POST' WHEN p_partkey % 67 = 9 THEN NULL
+            ELSE concat('SKU', CAST(p_partkey AS STRING)) END""").alias("StockCode"),
+        F.expr(f"""CASE WHEN p_partkey % 97 = 5 THEN NULL
+            WHEN p_partkey % 89 = 3 THEN concat({item}, '?')
+            WHEN p_partkey % 83 = 2 THEN '  ' ELSE {item} END""").alias("Description"),
+        F.expr("""CAST(CASE WHEN p_partkey % 71 = 6 THEN 0 WHEN p_partkey % 73 = 8
+            THEN -p_retailprice WHEN p_partkey % 79 = 1 THEN NULL
+            ELSE p_retailprice END AS DECIMAL(28, 4))""").alias("UnitPrice"),
+    )
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"),
+        "o_custkey",
+        F.date_format("o_orderdate", "M/d/yyyy H:mm").alias("InvoiceDate"),
+        F.expr("CASE WHEN o_custkey % 20 = 0 THEN NULL ELSE CAST(o_custkey AS STRING) END")
+        .alias("CustomerID"),
+    )
+    joined = lines.join(orders, "l_orderkey").join(parts, "l_partkey")
+    if not country:
+        return joined.withColumn("Country", F.lit(None).cast("string")).select(*RETAIL_COLUMNS)
+    homes = (
+        table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+        .join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"),
+                                                    F.col("n_name").alias("Country")), "c_nationkey")
+    )
+    return joined.join(homes, "o_custkey").select(*RETAIL_COLUMNS)
 
 
 def open_carts(spark: SparkSession, sf_dir: str, item: str = "p_type") -> DataFrame:

@@ -11,6 +11,7 @@ from tillspark.operators import catalog as C
 from tillspark.operators import recommend as R
 from tillspark.operators import serve as V
 from tillspark.operators import validate as Q
+from tillspark.operators.baskets import baskets
 from tillspark.plans.evaluate import hit_rate, split_baskets
 from tillspark.plans.mining_run import run_mining
 from tillspark.runtime import materialize, scratch_folder
@@ -199,12 +200,13 @@ def _(spark, d):
 
 
 @query("cross_sell", f"""{REC_SQL}, {S.carts('p_brand')},
-w AS (SELECT product, rec_product, sum(CAST(CASE WHEN lift <> 0 THEN lift ELSE support END AS DECIMAL(28, 12))) AS w
+w AS (SELECT product, rec_product,
+  sum(CAST(round(CASE WHEN lift <> 0 THEN lift ELSE support END * 1e9::DOUBLE) AS BIGINT)) AS w
   FROM recs GROUP BY 1, 2),
 scored AS (SELECT cart_id, rec_product AS product, sum(w) AS w FROM carts JOIN w USING (product)
   WHERE NOT EXISTS (SELECT 1 FROM carts c WHERE c.cart_id = carts.cart_id AND c.product = rec_product)
   GROUP BY 1, 2)
-SELECT cart_id, product, round(CAST(w AS DOUBLE), 4) AS score, rank FROM (SELECT *,
+SELECT cart_id, product, round(CAST(w AS DOUBLE) / 1e9::DOUBLE, 4) AS score, rank FROM (SELECT *,
   row_number() OVER (PARTITION BY cart_id ORDER BY w DESC, product) AS rank FROM scored) WHERE rank <= 5""")
 def _(spark, d):
     return R.cross_sell(open_carts(spark, d, "p_brand"), recs(spark, d)).withColumn(
@@ -248,12 +250,16 @@ stored AS ({S.stored('recs', 'fpgrowth')} UNION ALL {S.stored('recs2', 'apriori'
 
 
 def catalog_and_stored(spark, sf_dir):
-    catalog = materialize(C.product_catalog(cleaned(spark, sf_dir, WIDE[0]), digits=None))
-    stored = V.stored_recommendations(recs(spark, sf_dir), catalog, "fpgrowth").unionByName(
-        V.stored_recommendations(
-            recs(spark, sf_dir, algorithm="apriori", confidence=APRIORI_CONFIDENCE), catalog, "apriori"
+    lines = materialize(cleaned(spark, sf_dir, WIDE[0]).select("InvoiceNo", "StockCode", "Description", "UnitPrice"))
+    catalog = materialize(C.product_catalog(lines, digits=None))
+    carts = materialize(baskets(lines))
+    stored = None
+    for algorithm, confidence in (("fpgrowth", WIDE[2]), ("apriori", APRIORI_CONFIDENCE)):
+        found = mine(carts, MiningSettings(WIDE[1], confidence, algorithm))
+        part = V.stored_recommendations(
+            R.all_recommendations(found.itemsets, found.rules), catalog, algorithm
         )
-    )
+        stored = part if stored is None else stored.unionByName(part)
     return catalog, materialize(stored)
 
 
@@ -357,14 +363,16 @@ def _no_violations(check: str, source: str) -> str:
 
 @query("validate_itemsets", f"{itemset_sql()} {_no_violations('itemset_recount', 'itemsets')}")
 def _(spark, d):
-    found = mined(spark, d)
-    return Q.check_itemsets(mining_baskets(spark, d), found.itemsets, found.n_baskets)
+    carts = materialize(mining_baskets(spark, d, LARGE[0]))
+    found = mine(carts, MiningSettings(*LARGE[1:]))
+    return Q.check_itemsets(carts, found.itemsets, found.n_baskets)
 
 
 @query("validate_rules", f"{rule_sql(WIDE)} {_no_violations('rule_recompute', 'rules')}")
 def _(spark, d):
-    found = mined(spark, d, WIDE)
-    return Q.check_rules(mining_baskets(spark, d, WIDE[0]), found.rules, found.n_baskets)
+    carts = materialize(mining_baskets(spark, d, WIDE[0]))
+    found = mine(carts, MiningSettings(*WIDE[1:]))
+    return Q.check_rules(carts, found.rules, found.n_baskets)
 
 
 @query("threshold_violations", f"""{rule_sql()} {_no_violations('rule_min_support', 'rules')}
@@ -434,7 +442,7 @@ held AS (SELECT InvoiceNo AS cart_id, items, list_sort(list_transform(items,
   lambda i: {{'h': md5(i || InvoiceNo || '/7'), 'i': i}}))[1].i AS held FROM test),
 carts AS (SELECT cart_id, held, unnest(list_filter(items, lambda i: i <> held)) AS product FROM held),
 scored AS (SELECT cart_id, rec_product AS product,
-  sum(CAST(CASE WHEN lift <> 0 THEN lift ELSE support END AS DECIMAL(28, 12))) AS w
+  sum(CAST(round(CASE WHEN lift <> 0 THEN lift ELSE support END * 1e9::DOUBLE) AS BIGINT)) AS w
   FROM carts JOIN recs USING (product)
   WHERE NOT EXISTS (SELECT 1 FROM carts c WHERE c.cart_id = carts.cart_id AND c.product = rec_product) GROUP BY 1, 2),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cart_id ORDER BY w DESC, product) AS rank FROM scored) WHERE rank <= 5)
