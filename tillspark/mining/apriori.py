@@ -8,9 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillspark.mining.counting import SLOTS_PER_PASS, count_pairs, count_prefixed
+from tillspark.mining.counting import (
+    SLOTS_PER_PASS, by_prefix, count_prefixed, locally_frequent_pairs,
+)
 from tillspark.operators.profile import item_counts
-from tillspark.runtime import materialize
+from tillspark.runtime import materialize, materialize_counted
 
 
 def candidates(level: DataFrame) -> DataFrame:
@@ -40,21 +42,27 @@ def frequent_items(baskets: DataFrame, least: int) -> DataFrame:
     return item_counts(baskets).filter(F.col("freq") >= least)
 
 
-def _frequent(parts: Iterator[DataFrame], least: int) -> DataFrame | None:
-    """The itemsets of one level that meet the threshold, stored in the scratch folder."""
-    kept = [materialize(part.filter(F.col("freq") >= least)) for part in parts]
+def _stored(parts: Iterator[DataFrame]) -> DataFrame | None:
+    """The parts of one level, each computed once; None when all are empty."""
+    kept = [df for df, rows in map(materialize_counted, parts) if rows]
     return reduce(DataFrame.unionByName, kept) if kept else None
 
 
-def apriori_itemsets(baskets: DataFrame, least: int, slots: int = SLOTS_PER_PASS) -> DataFrame:
-    """(items, freq) of all itemsets in at least ``least`` baskets."""
+def apriori_itemsets(
+    baskets: DataFrame, least: int, ratio: tuple[int, int], slots: int = SLOTS_PER_PASS
+) -> DataFrame:
+    """(items, freq) of all itemsets in at least ``least`` baskets, ``ratio`` of all."""
     singles = materialize(
         frequent_items(baskets, least).select(F.array("item").alias("items"), "freq")
     )
     names = sorted(r[0][0] for r in singles.select("items").collect())
     levels = [singles]
-    level = _frequent(count_pairs(baskets, names, slots), least)
-    while level is not None and not level.isEmpty():
+    wanted = _stored(locally_frequent_pairs(baskets, names, ratio, slots))
+    wanted = None if wanted is None else by_prefix(wanted)
+    while wanted is not None:
+        level = _stored(count_prefixed(baskets, wanted, least, slots))
+        if level is None:
+            break
         levels.append(level)
-        level = _frequent(count_prefixed(baskets, candidates(level), slots), least)
+        wanted = candidates(level)
     return reduce(DataFrame.unionByName, levels)

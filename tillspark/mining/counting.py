@@ -5,12 +5,14 @@ of baskets is turned into flat arrays of (basket row, item number); an itemset p
 to the rows holding it, and one histogram then counts all its extensions. A task sends one partial
 count per itemset, whatever the sizes of its baskets, and Spark adds them up. A basket with very
 many items therefore costs time in the histograms but no extra rows.
+
+Pairs have far more candidates than results, so they are narrowed first: a task reports the pairs
+that meet the support ratio among its own baskets (a pair frequent overall does so in at least one
+task), and only those are counted in all tasks.
 """
 
 from __future__ import annotations
 
-from itertools import islice
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -58,83 +60,136 @@ def narrow(rows: np.ndarray, ids: np.ndarray, item: int):
     return rows[keep], ids[keep]
 
 
-def partial_counts(column, vocabulary: pa.Array, wanted: list) -> list[np.ndarray]:
+def join_parts(parts: list):
+    shifts = np.cumsum([0] + [n for n, _, _ in parts])
+    rows = np.concatenate([r + s for (_, r, _), s in zip(parts, shifts)])
+    return int(shifts[-1]), rows, np.concatenate([i for _, _, i in parts])
+
+
+def groups_of_batches(batches, vocabulary: pa.Array, entries: int = 1_000_000):
+    """Batches joined until they hold about ``entries`` items, to spread the cost of each prefix."""
+    parts, held = [], 0
+    for batch in batches:
+        parts.append(flatten(batch.column(0), vocabulary))
+        held += len(parts[-1][1])
+        if held >= entries:
+            yield join_parts(parts)
+            parts, held = [], 0
+    if parts:
+        yield join_parts(parts)
+
+
+def partial_counts(n_rows: int, rows: np.ndarray, ids: np.ndarray, n_items: int, wanted: list):
     """For each (prefix, extensions) in prefix order, the baskets holding prefix plus extension."""
-    n_rows, rows, ids = flatten(column, vocabulary)
-    n_items = len(vocabulary)
     batch = Batch(n_rows, rows, ids, n_items)
     path: list[tuple[tuple, tuple]] = [((), (rows, ids))]
-    counts = []
     for prefix, extensions in wanted:
         while path[-1][0] != prefix[:len(path[-1][0])]:
             path.pop()
         for item in prefix[len(path[-1][0]):]:
             done, (r, i) = path[-1]
             path.append((done + (item,), narrow(r, i, item) if done else batch.narrow_first(item)))
-        counts.append(np.bincount(path[-1][1][1], minlength=n_items)[extensions])
-    return counts
+        yield np.bincount(path[-1][1][1], minlength=n_items)[extensions]
 
 
-def counter(vocabulary: pa.Array, wanted: list):
-    """The task of one pass: adds up its batches and sends (items, freq) once."""
-    wanted = sorted(wanted, key=lambda w: w[0])
+def task_totals(batches, vocabulary: pa.Array, wanted: list):
+    """(baskets of the task, their counts for each prefix)."""
+    n, totals = 0, [np.zeros(len(extensions), dtype=np.int64) for _, extensions in wanted]
+    for n_rows, rows, ids in groups_of_batches(batches, vocabulary):
+        n += n_rows
+        for total, part in zip(totals, partial_counts(n_rows, rows, ids, len(vocabulary), wanted)):
+            total += part
+    return n, totals
+
+
+def counter(vocabulary: pa.Array, wanted: list, ratio: tuple[int, int] | None = None):
+    """The task of one pass: sends (slot, freq) once, with slots numbered through ``wanted``.
+
+    With a ``ratio`` only slots that meet it among the task's own baskets are sent.
+    """
+    def run(batches):
+        n, totals = task_totals(batches, vocabulary, wanted)
+        counts = np.concatenate(totals)
+        least = 1 if ratio is None else max(1, -(-ratio[0] * n // ratio[1]))
+        slots = np.flatnonzero(counts >= least)
+        for at in range(0, len(slots), 100_000):
+            part = slots[at:at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], ["slot", "freq"])
+
+    return run
+
+
+def decoder(vocabulary: pa.Array, wanted: list):
+    """Turns (slot, freq) rows back into (items, freq)."""
+    starts = np.cumsum([0] + [len(extensions) for _, extensions in wanted])
 
     def run(batches):
-        totals = [np.zeros(len(extensions), dtype=np.int64) for _, extensions in wanted]
         for batch in batches:
-            for total, part in zip(totals, partial_counts(batch.column(0), vocabulary, wanted)):
-                total += part
-        found = (
-            (prefix + (int(extensions[k]),), int(total[k]))
-            for (prefix, extensions), total in zip(wanted, totals)
-            for k in np.flatnonzero(total)
-        )
-        while part := list(islice(found, 10_000)):
-            yield itemset_batch([items for items, _ in part], [c for _, c in part], vocabulary)
+            itemsets = []
+            for slot in batch.column(0).to_numpy():
+                p = int(np.searchsorted(starts, slot, side="right")) - 1
+                prefix, extensions = wanted[p]
+                itemsets.append(prefix + (int(extensions[slot - starts[p]]),))
+            yield itemset_batch(itemsets, batch.column(1), vocabulary)
 
     return run
 
 
-def itemset_batch(itemsets: list, freqs: list, vocabulary: pa.Array) -> pa.RecordBatch:
+def itemset_batch(itemsets: list, freqs, vocabulary: pa.Array) -> pa.RecordBatch:
     """Itemsets of item numbers, with counts, as a batch of (items, freq)."""
     offsets = pa.array(np.cumsum([0] + [len(s) for s in itemsets]), pa.int32())
     flat = pa.array([item for s in itemsets for item in s], pa.int64())
     items = pa.ListArray.from_arrays(offsets, vocabulary.take(flat))
-    return pa.RecordBatch.from_arrays([items, pa.array(freqs, pa.int64())], ["items", "freq"])
+    return pa.RecordBatch.from_arrays([items, pa.array(freqs).cast(pa.int64())], ["items", "freq"])
 
 
 # ---- on the driver ------------------------------------------------------------------------
 
 ITEMSET_COUNTS = "items array<string>, freq long"
+SLOT_COUNTS = "slot long, freq long"
+
 
+def _one_pass(
+    baskets: DataFrame, names: list[str], wanted: list, least: int = 1,
+    ratio: tuple[int, int] | None = None,
+) -> DataFrame:
+    """(items, freq) of the wanted itemsets in at least ``least`` baskets.
 
-def _sum_counts(baskets: DataFrame, vocabulary: pa.Array, wanted: list) -> DataFrame:
+    Slots travel as numbers; only those kept are spelled out. With a ``ratio`` the counts are those
+    of single tasks and only tell which itemsets are worth counting.
+    """
+    vocabulary = pa.array(names, pa.string())
+    wanted = sorted(wanted, key=lambda w: w[0])
     return (
-        baskets.select("items").mapInArrow(counter(vocabulary, wanted), ITEMSET_COUNTS)
-        .groupBy("items").agg(F.sum("freq").alias("freq"))
+        baskets.select("items").mapInArrow(counter(vocabulary, wanted, ratio), SLOT_COUNTS)
+        .groupBy("slot").agg(F.sum("freq").alias("freq")).filter(F.col("freq") >= least)
+        .mapInArrow(decoder(vocabulary, wanted), ITEMSET_COUNTS)
     )
 
 
-def count_pairs(baskets: DataFrame, frequent: list[str], slots: int = SLOTS_PER_PASS):
-    """Counts of all pairs of the given sorted items, one DataFrame per pass.
+def locally_frequent_pairs(
+    baskets: DataFrame, frequent: list[str], ratio: tuple[int, int], slots: int = SLOTS_PER_PASS
+):
+    """Pairs of the given sorted items that meet the ratio in some task, one DataFrame per pass.
 
     The pairs are ranges of item numbers and are never listed. ``frequent`` has at most
     (mean basket size) / (min support) entries however many baskets there are.
     """
-    vocabulary = pa.array(frequent, pa.string())
     n = len(frequent)
     wanted, used = [], 0
     for first in range(n - 1):
         if wanted and used + n - first - 1 > slots:
-            yield _sum_counts(baskets, vocabulary, wanted)
+            yield _one_pass(baskets, frequent, wanted, ratio=ratio).select("items")
             wanted, used = [], 0
         wanted.append(((first,), np.arange(first + 1, n)))
         used += n - first - 1
     if wanted:
-        yield _sum_counts(baskets, vocabulary, wanted)
+        yield _one_pass(baskets, frequent, wanted, ratio=ratio).select("items")
 
 
-def count_prefixed(baskets: DataFrame, prefixes: DataFrame, slots: int = SLOTS_PER_PASS):
+def count_prefixed(
+    baskets: DataFrame, prefixes: DataFrame, least: int = 1, slots: int = SLOTS_PER_PASS
+):
     """Counts of the itemsets ``prefix + one of extensions``, one DataFrame per pass.
 
     ``prefixes`` has sorted ``prefix`` and ``extensions`` arrays, every extension after the prefix.
@@ -153,7 +208,7 @@ def count_prefixed(baskets: DataFrame, prefixes: DataFrame, slots: int = SLOTS_P
             for r in rows
         ]
         if wanted:
-            yield _sum_counts(baskets, pa.array(names, pa.string()), wanted)
+            yield _one_pass(baskets, names, wanted, least)
 
 
 def by_prefix(itemsets: DataFrame) -> DataFrame:
@@ -166,10 +221,12 @@ def by_prefix(itemsets: DataFrame) -> DataFrame:
     )
 
 
-def count_itemsets(baskets: DataFrame, itemsets: DataFrame, slots: int = SLOTS_PER_PASS) -> DataFrame:
-    """(items, freq) for the given sorted itemsets; those in no basket are absent."""
+def count_itemsets(
+    baskets: DataFrame, itemsets: DataFrame, least: int = 1, slots: int = SLOTS_PER_PASS
+) -> DataFrame:
+    """(items, freq) for those of the given sorted itemsets in at least ``least`` baskets."""
     counted = None
-    for part in count_prefixed(baskets, by_prefix(itemsets), slots):
+    for part in count_prefixed(baskets, by_prefix(itemsets), least, slots):
         counted = part if counted is None else counted.unionByName(part)
     if counted is None:
         return baskets.sparkSession.createDataFrame([], ITEMSET_COUNTS)

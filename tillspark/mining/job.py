@@ -11,7 +11,7 @@ from tillspark.mining.apriori import apriori_itemsets
 from tillspark.mining.fpgrowth import fpgrowth_itemsets
 from tillspark.mining.rules import association_rules
 from tillspark.mining.son import son_itemsets
-from tillspark.mining.threshold import min_count
+from tillspark.mining.threshold import min_count, support_ratio
 from tillspark.runtime import drop_materialized, materialize, materialize_counted
 from tillspark.schemas import ITEMSET, RULE, MiningSettings
 
@@ -52,7 +52,7 @@ def mine(baskets: DataFrame, settings: MiningSettings | None = None, **changes)
         if settings.algorithm == "fpgrowth":
             found = fpgrowth_itemsets(items, least, n)
         elif settings.algorithm == "apriori":
-            found = apriori_itemsets(items, least)
+            found = apriori_itemsets(items, least, support_ratio(settings.min_support))
         else:
             found = son_itemsets(items, settings.min_support, least, n)
         itemsets = materialize(

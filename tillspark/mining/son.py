@@ -10,11 +10,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tillspark.mining.apriori import frequent_items
 from tillspark.mining.counting import (
-    SLOTS_PER_PASS, Batch, count_itemsets, flatten, itemset_batch, narrow,
+    SLOTS_PER_PASS, Batch, count_itemsets, flatten, itemset_batch, join_parts, narrow,
 )
 from tillspark.mining.threshold import support_ratio
 from tillspark.runtime import materialize
@@ -41,12 +40,6 @@ def chunks(batches, vocabulary: pa.Array, size: int):
         yield join_parts((ready or []) + open_parts)
 
 
-def join_parts(parts: list):
-    shifts = np.cumsum([0] + [n for n, _, _ in parts])
-    rows = np.concatenate([r + s for (_, r, _), s in zip(parts, shifts)])
-    return int(shifts[-1]), rows, np.concatenate([i for _, _, i in parts])
-
-
 def local_itemsets(n_rows: int, rows: np.ndarray, ids: np.ndarray, n_items: int, least: int):
     """Itemsets in at least ``least`` baskets of one chunk, grown item by item."""
     batch = Batch(n_rows, rows, ids, n_items)
@@ -110,4 +103,4 @@ def son_itemsets(
 ) -> DataFrame:
     """(items, freq) of all itemsets in at least ``least`` of the ``n`` baskets."""
     found = materialize(son_candidates(baskets, min_support, least, n))
-    return count_itemsets(baskets, found, slots).filter(F.col("freq") >= least)
+    return count_itemsets(baskets, found, least, slots)

@@ -108,14 +108,17 @@ def _top_up(inside: DataFrame, targets: DataFrame, products: DataFrame, n: int)
     """
     names = with_rank(products.select(F.col("name").alias("product")), "product", "at")
     size = names.agg(F.count("*")).scalar()
-    used = inside.unionByName(targets.select("cart_id", "product"))
+    full = targets.filter(F.col("rank") == n).select("cart_id")
+    used = salted_join(
+        inside.unionByName(targets.select("cart_id", "product")), full, ["cart_id"], ["product"], "left_anti"
+    )
+    has = targets.groupBy("cart_id").agg(F.count("*").alias("has"))
     short = (
         salted_join(used, names, ["product"], ["cart_id"], "left")
         .groupBy("cart_id")
         .agg(F.count("*").alias("u"), F.array_compact(F.collect_list("at")).alias("taken"))
-        .join(targets.groupBy("cart_id").agg(F.count("*").alias("has")), "cart_id", "left")
+        .join(has, "cart_id", "left")
         .withColumn("has", F.coalesce("has", F.lit(0)))
-        .filter(F.col("has") < n)
         .withColumn("last", F.least(F.col("u") + n, size))
         .filter("last >= 1")
     )
