@@ -42,6 +42,12 @@ def test_a_hot_invoice_is_deduplicated_before_it_is_gathered(spark):
     assert {r["InvoiceNo"]: len(r["items"]) for r in B.baskets(df).collect()} == {"hot": 40, "cold": 2}
 
 
+def test_rare_items_leave_and_frequent_ones_come_first(spark):
+    df = lines(spark, [("1", "a"), ("1", "b"), ("2", "b"), ("2", "c"), ("3", "b"), (None, "a"), (None, "b"), (None, "b")])
+    got = {r[0]: r[1] for r in B.frequent_transactions(df, 2).collect()}
+    assert got == {"1": ["b", "a"], "2": ["b"], None: ["b", "a"]}
+
+
 def test_membership_filters(spark):
     df = spark.createDataFrame([("1", ["jam", "jam jar"]), ("2", ["jam jar", "tea"])], BASKET)
     assert [r[0] for r in B.containing(df, "jam").collect()] == ["1"]

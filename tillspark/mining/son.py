@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tillspark.mining.apriori import frequent_items
 from tillspark.mining.counting import (
@@ -81,14 +82,17 @@ def chunk_size(min_support: float) -> int:
 def son_candidates(baskets: DataFrame, min_support: float, least: int, n: int) -> DataFrame:
     """Distinct itemsets frequent in at least one chunk.
 
-    Partitions with too few baskets for a chunk are merged into evenly sized ones first.
+    When a partition has too few baskets for a chunk, all are dealt out evenly first.
     """
     names = sorted(r[0] for r in frequent_items(baskets, least).select("item").collect())
     size = chunk_size(min_support)
-    parts = max(1, n // size)
     spread = baskets.select("items")
-    if parts < spread.rdd.getNumPartitions():
-        spread = spread.repartition(parts)
+    fewest, parts = (
+        spread.groupBy(F.spark_partition_id()).agg(F.count("*").alias("k"))
+        .agg(F.min("k"), F.count("*")).first()
+    )
+    if fewest < size and parts > 1:
+        spread = spread.repartition(max(1, min(parts, n // size)))
     return (
         spread.mapInArrow(
             phase_one(pa.array(names, pa.string()), support_ratio(min_support), size),

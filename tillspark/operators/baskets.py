@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillspark.functions.text import non_blank, strip
+from tillspark.runtime import salted_join
 
 
 def basket_items(lines: DataFrame, trim: bool = True, fold_case: bool = False) -> DataFrame:
@@ -33,6 +34,27 @@ def baskets(
     return at_least(gathered, min_items) if min_items > 1 else gathered
 
 
+def frequent_transactions(lines: DataFrame, min_count: int, min_items: int = 2) -> DataFrame:
+    """Mining baskets without the items on fewer than ``min_count`` of them, most frequent item first.
+
+    Rare items are dropped from the (invoice, item) rows, before baskets are gathered.
+    """
+    pairs = basket_items(lines)
+    sizes = pairs.groupBy("InvoiceNo").agg(F.count("*").alias("k"))
+    small = sizes.filter(F.col("k") < min_items).select("InvoiceNo")
+    # The pairs are distinct, so a busy invoice brings no more rows here than there are items.
+    kept = pairs.join(
+        small, pairs["InvoiceNo"].eqNullSafe(small["InvoiceNo"]), "left_anti"
+    )
+    counts = kept.groupBy("item").agg(F.count("*").alias("freq")).filter(F.col("freq") >= min_count)
+    return (
+        salted_join(kept, counts, ["item"], ["InvoiceNo"])
+        .groupBy("InvoiceNo")
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("freq")).alias("f"), "item"))).alias("rows"))
+        .select("InvoiceNo", F.col("rows.item").alias("items"))
+    )
+
+
 def at_least(basket_df: DataFrame, min_items: int) -> DataFrame:
     return basket_df.filter(F.size("items") >= min_items)
 
@@ -104,7 +126,6 @@ def with_item_frequencies(lines: DataFrame) -> DataFrame:
     counts and grouped once.
     """
     from tillspark.operators.profile import item_frequency
-    from tillspark.runtime import salted_join
 
     pairs = basket_items(lines, trim=False)
     freqs = item_frequency(lines).select(F.col("Description").alias("item"), "transaction_count")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillspark.runtime import salted_join
+from tillspark.runtime import heavy_keys, materialize, salted_join
 
 
 def priced_carts(carts: DataFrame, products: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def order_headers(
 def order_lines(carts: DataFrame, products: DataFrame, headers: DataFrame) -> DataFrame:
     """Lines of those orders with the price at purchase."""
     orders = headers.select("cart_id", "order_number")
-    return salted_join(priced_carts(carts, products), orders, ["cart_id"], ["product"]).select(
+    return priced_carts(carts, products).join(orders, "cart_id").select(
         "order_number", "product", F.col("qty").alias("quantity"), "price"
     )
 
@@ -64,7 +64,7 @@ def order_lines(carts: DataFrame, products: DataFrame, headers: DataFrame) -> Da
 def order_details(headers: DataFrame, lines: DataFrame) -> DataFrame:
     """Order lines with their order."""
     keep = headers.select("order_number", "customer_name", "status", "total_amount")
-    return salted_join(lines, keep, ["order_number"], ["product"])
+    return lines.join(keep, "order_number")
 
 
 def fold_cart_events(events: DataFrame) -> DataFrame:
@@ -72,25 +72,32 @@ def fold_cart_events(events: DataFrame) -> DataFrame:
 
     Setting or removing a product that is not in the cart does nothing. Per cart and product only
     three events matter: the last deletion, the first add after it, and the last set after that; the
-    quantity is that set's value plus the adds after it. Each is one aggregate with partial sums,
-    looked up by a salted join, so the events of a busy cart are never sorted in one task.
+    quantity is that set's value plus the adds after it. Each is one aggregate with partial sums and
+    a lookup in which the busiest keys are salted, so no key's events are ever sorted in one task.
     """
     keys = ["cart_id", "product"]
     deletes = (F.col("action") == "remove") | ((F.col("action") == "set") & (F.col("qty") <= 0))
     is_add = F.col("action") == "add"
     is_set = (F.col("action") == "set") & (F.col("qty") > 0)
 
-    cut = events.groupBy(*keys).agg(F.max(F.when(deletes, F.col("seq"))).alias("cut"))
-    live = salted_join(events, cut, keys, ["seq"]).filter(
+    cut = materialize(events.groupBy(*keys).agg(
+        F.max(F.when(deletes, F.col("seq"))).alias("cut"), F.count("*").alias("k")
+    ))
+    heavy = heavy_keys(cut, keys, "k")
+
+    def look_up(rows: DataFrame, per_key: DataFrame) -> DataFrame:
+        return salted_join(rows, per_key, keys, ["seq"], heavy=heavy)
+
+    live = look_up(events, cut.drop("k")).filter(
         F.col("cut").isNull() | (F.col("seq") > F.col("cut"))
     ).drop("cut")
     start = live.groupBy(*keys).agg(F.min(F.when(is_add, F.col("seq"))).alias("start"))
-    live = salted_join(live, start.filter("start IS NOT NULL"), keys, ["seq"]).filter("seq >= start")
+    live = look_up(live, start.filter("start IS NOT NULL")).filter("seq >= start")
     last_set = live.groupBy(*keys).agg(
         F.max(F.when(is_set, F.struct("seq", "qty"))).alias("s")
     ).select(*keys, F.col("s.seq").alias("set_seq"), F.coalesce("s.qty", F.lit(0)).alias("base"))
     return (
-        salted_join(live, last_set, keys, ["seq"])
+        look_up(live, last_set)
         .groupBy(*keys)
         .agg(
             (F.max("base") + F.count_if(

@@ -109,9 +109,7 @@ def _top_up(inside: DataFrame, targets: DataFrame, products: DataFrame, n: int)
     names = with_rank(products.select(F.col("name").alias("product")), "product", "at")
     size = names.agg(F.count("*")).scalar()
     full = targets.filter(F.col("rank") == n).select("cart_id")
-    used = salted_join(
-        inside.unionByName(targets.select("cart_id", "product")), full, ["cart_id"], ["product"], "left_anti"
-    )
+    used = inside.unionByName(targets.select("cart_id", "product")).join(full, "cart_id", "left_anti")
     has = targets.groupBy("cart_id").agg(F.count("*").alias("has"))
     short = (
         salted_join(used, names, ["product"], ["cart_id"], "left")

@@ -55,9 +55,18 @@ def drop_materialized(df: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def heavy_keys(counts: DataFrame, keys: list[str], count: str, share: int = 1000) -> DataFrame:
+    """Keys with more than one in ``share`` of all rows, so fewer than ``share`` of them.
+
+    ``counts`` has one row per key with its number of rows.
+    """
+    total = counts.agg(F.sum(count)).scalar()
+    return materialize(counts.filter(F.col(count) * share > total).select(*keys))
+
+
 def salted_join(
     big: DataFrame, small: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner",
-    salts: int = SALTS,
+    salts: int = SALTS, heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Join where one key may hold a large share of ``big``.
 
@@ -65,9 +74,19 @@ def salted_join(
     ``small`` (unique or nearly unique per key) is repeated once per place. Needed where the
     keys are also the next grouping, because adaptive skew splitting then stays off to avoid
     a second shuffle. NULL keys do not match, as in any equi-join.
+
+    Without ``heavy`` all keys are salted, which suits a ``small`` far smaller than ``big``, such as
+    a catalog. With ``heavy``, a list from ``heavy_keys``, only those keys are.
     """
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    place = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    places = F.sequence(F.lit(0), F.lit(salts - 1))
+    if heavy is not None:
+        flags = F.broadcast(heavy.select(*keys, F.lit(True).alias("_heavy")))
+        big, small = big.join(flags, keys, "left"), small.join(flags, keys, "left")
+        place = F.when(F.col("_heavy"), place).otherwise(0)
+        places = F.when(F.col("_heavy"), places).otherwise(F.array(F.lit(0)))
+    salted = big.withColumn("_salt", place).drop("_heavy")
+    spread = small.withColumn("_salt", F.explode(places)).drop("_heavy")
     return salted.join(spread, keys + ["_salt"], how).drop("_salt")
 
 

@@ -180,6 +180,14 @@ def _(spark, d):
     )
 
 
+@query("frequent_transactions", f"""{S.basket_ctes('p_brand')},
+counts AS (SELECT item, count(*) AS freq FROM (SELECT unnest(items) AS item FROM baskets) GROUP BY 1 HAVING count(*) >= 1400)
+SELECT InvoiceNo, string_agg(item, ', ' ORDER BY freq DESC, item) AS Items
+FROM (SELECT InvoiceNo, unnest(items) AS item FROM baskets) JOIN counts USING (item) GROUP BY InvoiceNo""")
+def _(spark, d):
+    return B.as_text(B.frequent_transactions(cleaned(spark, d, "p_brand"), 1400))
+
+
 @query("check_baskets", f"""{S.basket_ctes(ITEM)}
 SELECT 'basket_distinct_items' AS check_name, count(*) AS total,
   count(*) FILTER (len(items) <> len(list_distinct(items))) AS violations FROM baskets
@@ -347,14 +355,15 @@ def _(spark, d):
     return found.select("name", short_description(F.col("description")).alias("card"), "price")
 
 
-@query("price_list", f"""{_PRODUCTS}, listed AS (SELECT p_name AS name, max(p_retailprice) AS list_price FROM part GROUP BY 1)
-SELECT name, coalesce(avg_price, list_price) AS price FROM listed
-  LEFT JOIN (SELECT Description, CAST(sum(UnitPrice) AS DOUBLE) / count(*) AS avg_price FROM cleaned
-    WHERE UnitPrice > 0 AND StockCode LIKE '%1' GROUP BY 1) ON name = Description""")
+@query("price_list", f"""{_CATALOG}, listed AS (SELECT name, max(p_retailprice) AS list_price FROM
+  (SELECT p_name AS name, p_retailprice FROM part UNION ALL SELECT p_brand, p_retailprice FROM part) GROUP BY 1)
+SELECT name, coalesce(avg_price, list_price) AS price FROM listed LEFT JOIN catalog ON name = description""")
 def _(spark, d):
-    """List prices, replaced by the mean price over some stock codes where there is one."""
-    listed = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(
-        F.max("p_retailprice").alias("price")
+    """List prices of names and brands; sales give mean prices for the names only."""
+    part = table(spark, d, "part")
+    listed = (
+        part.select(F.col("p_name").alias("name"), "p_retailprice")
+        .unionByName(part.select(F.col("p_brand").alias("name"), "p_retailprice"))
+        .groupBy("name").agg(F.max("p_retailprice").alias("price"))
     )
-    seen = cleaned(spark, d, "p_name").filter(F.col("StockCode").endswith("1"))
-    return C.price_list(listed, C.average_prices(seen))
+    return C.price_list(listed, C.average_prices(cleaned(spark, d, "p_name")))
