@@ -78,6 +78,16 @@ def test_counters_on_an_empty_table(spark):
     assert P.average_basket_size(lines(spark, DOC).limit(0)).first()[0] == 0.0
 
 
+def test_transaction_stats_count_null_and_blank_as_sql_does(spark):
+    df = lines(spark, DOC + [("9", None)])
+    row = P.transaction_stats(df, df).first().asDict()
+    assert row == {"raw_row_count": 11, "cleaned_row_count": 11, "transaction_count": 5,
+                   "unique_products": 9, "avg_basket_size": 1.8}
+    assert P.average_basket_size(df).first()[0] == 1.8 and tuple(P.distinct_counts(df).first()) == (5, 9)
+    empty = P.transaction_stats(df, df.limit(0)).first()
+    assert (empty["cleaned_row_count"], empty["unique_products"], empty["avg_basket_size"]) == (0, 0, 0.0)
+
+
 def test_checksum_ignores_order_but_not_content(spark):
     a = P.basket_checksum(lines(spark, [("1", "x"), ("1", "y")])).first()
     b = P.basket_checksum(lines(spark, [("1", "y"), ("1", "x")])).first()

@@ -7,7 +7,7 @@ from tillspark import MiningSettings, mine
 from tillspark.mining.apriori import apriori_itemsets
 from tillspark.mining.counting import count_itemsets
 from tillspark.mining.job import prepared
-from tillspark.mining.rules import association_rules
+from tillspark.mining.rules import _splits, association_rules
 from tillspark.mining.son import son_itemsets
 from tillspark.mining.threshold import min_count
 from tillspark.schemas import BASKET
@@ -118,6 +118,13 @@ def test_single_consequents_and_lift_filter(spark):
     assert lifted == {k: v for k, v in every.items() if v[2] >= 1.0}
 
 
+def test_a_long_itemset_is_split_every_way(spark):
+    items = [f"i{k:02d}" for k in range(14)]
+    splits = _splits(spark.createDataFrame([(items, 5)], "items array<string>, freq long"), None)
+    whole = splits.selectExpr("sort_array(concat(antecedents, consequents)) AS items")
+    assert splits.distinct().count() == 2 ** 14 - 2 and whole.distinct().count() == 1
+
+
 def test_counting_given_itemsets(spark):
     baskets = [["a", "b", "c"], ["b", "c"], ["c"]]
     df = prepared(frame(spark, baskets))

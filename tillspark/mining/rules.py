@@ -16,8 +16,13 @@ def _splits(itemsets: DataFrame, max_consequent: int | None) -> DataFrame:
             F.filter("items", lambda x: x != F.col("one")).alias("antecedents"),
             F.array("one").alias("consequents"), "freq",
         )
-    masks = sets.withColumn(
-        "mask", F.expr("explode(sequence(1L, shiftleft(1L, size(items)) - 2))")
+    # One bit per item. Long itemsets list the masks in two steps, so no row holds all of them.
+    masks = (
+        sets.withColumn("low", F.least(F.size("items"), F.lit(12)))
+        .withColumn("high_part", F.expr("explode(sequence(0L, shiftleft(1L, size(items) - low) - 1))"))
+        .withColumn("low_part", F.expr("explode(sequence(0L, shiftleft(1L, low) - 1))"))
+        .withColumn("mask", F.expr("shiftleft(high_part, low) + low_part"))
+        .filter(F.expr("mask BETWEEN 1 AND shiftleft(1L, size(items)) - 2"))
     )
     if max_consequent is not None:
         masks = masks.filter(F.size("items") - F.bit_count("mask") <= max_consequent)

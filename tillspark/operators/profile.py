@@ -21,7 +21,8 @@ def distinct_counts(lines: DataFrame) -> DataFrame:
     )
 
 
-def _average_size(lines: DataFrame) -> DataFrame:
+def average_basket_size(lines: DataFrame) -> DataFrame:
+    """Mean number of distinct descriptions per invoice, to 2 places, 0 when there are none."""
     sizes = (
         lines.filter(F.col("Description").isNotNull()).groupBy("InvoiceNo")
         .agg(F.count_distinct("Description").alias("k"))
@@ -29,40 +30,39 @@ def _average_size(lines: DataFrame) -> DataFrame:
     return sizes.agg(F.coalesce(F.round(F.avg("k"), 2), F.lit(0.0)).alias("avg_basket_size"))
 
 
-def average_basket_size(lines: DataFrame) -> DataFrame:
-    """Mean number of distinct descriptions per invoice, to 2 places, 0 when there are none."""
-    return _average_size(lines)
-
-
 def transaction_stats(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """Row counts before and after cleaning, invoices, products and mean basket size."""
-    distinct = distinct_counts(cleaned)
-    return distinct.select(
-        row_count(raw).scalar().alias("raw_row_count"),
-        row_count(cleaned).scalar().alias("cleaned_row_count"),
-        "transaction_count",
-        "unique_products",
-        _average_size(cleaned).scalar().alias("avg_basket_size"),
+    """Row counts before and after cleaning, invoices, products and mean basket size.
+
+    The cleaned lines are scanned and shuffled once, as counts per (invoice, description); everything
+    but the raw count follows from those.
+    """
+    pairs = cleaned.groupBy("InvoiceNo", "Description").agg(F.count("*").alias("k"))
+    invoices = pairs.groupBy("InvoiceNo").agg(
+        F.sum("k").alias("rows"), F.count("Description").alias("items")
+    )
+    # The sum is kept so that both groupings start from the same shuffle.
+    products = pairs.groupBy("Description").agg(F.sum("k").alias("rows")).filter("rows > 0").agg(F.count("Description"))
+    size = F.round(F.avg(F.when(F.col("items") > 0, F.col("items"))), 2)
+    return invoices.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("cleaned_row_count"),
+        F.count("InvoiceNo").alias("transaction_count"),
+        F.coalesce(size, F.lit(0.0)).alias("avg_basket_size"),
+    ).select(
+        row_count(raw).scalar().alias("raw_row_count"), "cleaned_row_count", "transaction_count",
+        products.scalar().alias("unique_products"), "avg_basket_size",
     )
 
 
 def load_report(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
     """The same counts as (metric, value) rows."""
-    return (
-        distinct_counts(cleaned)
-        .select(
-            row_count(raw).scalar().alias("raw"), row_count(cleaned).scalar().alias("cleaned"),
-            "transaction_count", "unique_products",
-        )
-        .select(
-            F.stack(
-                F.lit(4),
-                F.lit("raw_rows"), F.col("raw"),
-                F.lit("cleaned_rows"), F.col("cleaned"),
-                F.lit("unique_transactions"), F.col("transaction_count"),
-                F.lit("unique_products"), F.col("unique_products"),
-            ).alias("metric", "value")
-        )
+    return transaction_stats(raw, cleaned).select(
+        F.stack(
+            F.lit(4),
+            F.lit("raw_rows"), F.col("raw_row_count"),
+            F.lit("cleaned_rows"), F.col("cleaned_row_count"),
+            F.lit("unique_transactions"), F.col("transaction_count"),
+            F.lit("unique_products"), F.col("unique_products"),
+        ).alias("metric", "value")
     )
 
 
