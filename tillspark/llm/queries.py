@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillspark.llm import chat
+from tillspark.llm import chat, packing, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+TOKEN_LIMIT = 512
+
 #: What both turns of conversation -7 say; fixed by the contract.
 PROBE = r"\### Assistant: </turn> ok"
 
@@ -59,3 +63,17 @@ def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it is over the limit."""
+    counts = token_counts.count_tokens(table(spark, folder, "documents"), BYTE_BPE)
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query("op6_packing")
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    pieces = packing.pack(table(spark, folder, "documents"), BYTE_BPE)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
