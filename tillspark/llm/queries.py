@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillspark.llm import chat, packing, token_counts
+from tillspark.llm import bpe, chat, language, near_dups, packing, token_counts, topk, toxicity, vector_dups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +34,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 TOKEN_LIMIT = 512
+MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 #: What both turns of conversation -7 say; fixed by the contract.
 PROBE = r"\### Assistant: </turn> ok"
@@ -77,3 +80,63 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
     pieces = packing.pack(table(spark, folder, "documents"), BYTE_BPE)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query("op4_byte_bpe")
+def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded again: digests of the ids and of the bytes."""
+    @F.arrow_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
+    def digests(tokens: pa.Array) -> pa.Array:
+        known, rows = bpe.bpe(MULTI_BPE), []
+        for ids in tokens.field("ids"):
+            ids = ids.values.to_numpy(zero_copy_only=False)
+            rows.append({"n_tokens": len(ids), "ids_sha256": hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(),
+                         "decoded_sha256": hashlib.sha256(known.decode(ids.tolist())).hexdigest()})
+        return pa.array(rows, pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
+
+    encoded = bpe.encode(table(spark, folder, "documents"), MULTI_BPE)
+    return encoded.select("doc_id", digests("tokens").alias("d")).select("doc_id", "d.*")
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from two thirds of them."""
+    docs = table(spark, folder, "documents")
+    learned_from = docs.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    model = language.learn(learned_from)
+    found = language.identify(docs, model)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected severity of every document, learned from the labelled ones."""
+    docs = table(spark, folder, "documents")
+    model = toxicity.learn(toxicity.severity_grades(docs, table(spark, folder, "labels")))
+    return toxicity.score(docs, model)
+
+
+@query("op2_vector_near_dups")
+def op2_vector_near_dups(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of cosine 0.9 or more between all embeddings, and their components."""
+    return vector_dups.near_duplicate_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op9_near_dups")
+def op9_near_dups(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose bags of five-word shingles overlap by 0.8 or more."""
+    return near_dups.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op10_top_k", """
+WITH raw AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v::DOUBLE))) = 0),
+whole AS (SELECT vec_id, list_transform(embedding, lambda v: floor(256 * v::DOUBLE)) AS x FROM raw),
+scored AS (SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.x, d.x)::BIGINT AS score
+    FROM whole q JOIN whole d ON d.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER best)::INTEGER AS rank, vec_id, score FROM scored
+WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY rank <= 5""")
+def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best other embeddings of every fiftieth, by whole-number inner product."""
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
