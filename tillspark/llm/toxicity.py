@@ -32,8 +32,8 @@ LEAST_DOCS, LEAST_Z = 3, 4.0
 #: Lengths of word beginnings, which catch inflected and compounded forms.
 BEGINNINGS = (4, 5, 6)
 RIDGE, STEPS = 2e-4, 400
-#: Rows whose probability of any grade above 0 reaches this are called toxic.
-THRESHOLD = 0.5
+#: A row is called toxic if its probability of a grade above 0 reaches a threshold, fitted between these.
+THRESHOLDS = (0.05, 0.5)
 PARTIAL = 200_000
 #: Features by which toxic texts are told more and less severe.
 TELLING = 128
@@ -76,6 +76,7 @@ class SeverityModel:
     index: dict[str, int]
     weights: np.ndarray
     cuts: np.ndarray
+    threshold: float = THRESHOLDS[1]
     most: int = 300_000
     seen: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
@@ -134,6 +135,17 @@ def fit_cumulative_link(
     return x[:features], np.cumsum(np.concatenate((x[features:features + 1], np.exp(x[features + 1:]))))
 
 
+def fit_threshold(p: np.ndarray, high: np.ndarray) -> float:
+    """The threshold with the fewest errors; of a gap without rows its middle, in log odds."""
+    order = np.argsort(p, kind="stable")
+    odds = np.log(np.clip(p[order], 1e-9, 1 - 1e-9) / (1 - np.clip(p[order], 1e-9, 1 - 1e-9)))
+    # Errors if all rows from place i on are called high: missed ones before it, clean ones from it.
+    errors = np.append(0, np.cumsum(high[order])) + np.append(np.cumsum(~high[order][::-1])[::-1], 0)
+    best = int(np.argmin(errors[1:-1])) + 1 if len(p) > 1 else 0
+    middle = (odds[best - 1] + odds[best]) / 2 if best else 0.0
+    return float(np.clip(_sigmoid(np.array(middle)), *THRESHOLDS))
+
+
 def learn(labelled: DataFrame, doc: str = "doc_id", text: str = "text", grade: str = "grade") -> SeverityModel:
     """Fit to rows with a whole-number ``grade`` from 0 up; rows whose grade or text is NULL are left out.
 
@@ -172,9 +184,11 @@ def learn(labelled: DataFrame, doc: str = "doc_id", text: str = "text", grade: s
     grades = held["grade"].to_numpy()
     lists = held["places"].combine_chunks()
     per_row = np.diff(lists.offsets.to_numpy()) if len(held) else np.zeros(0, int)
-    model.weights, model.cuts = fit_cumulative_link(
-        np.repeat(np.arange(len(grades)), per_row), lists.flatten().to_numpy().astype(np.int64),
-        held["values"].combine_chunks().flatten().to_numpy(), grades.astype(np.int64), len(chosen), size.top)
+    row, place = np.repeat(np.arange(len(grades)), per_row), lists.flatten().to_numpy().astype(np.int64)
+    value = held["values"].combine_chunks().flatten().to_numpy()
+    model.weights, model.cuts = fit_cumulative_link(row, place, value, grades.astype(np.int64), len(chosen), size.top)
+    scores = np.bincount(row, model.weights[place] * value, len(grades))
+    model.threshold = fit_threshold(_sigmoid(scores - model.cuts[0]), grades > 0)
     return model
 
 
@@ -205,7 +219,7 @@ def severity_grades(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return graded.select("doc_id", "text", F.when(F.col("toxic") <= 0, 0).when(F.col("hits") <= middle, 1).otherwise(2).alias("grade"))
 
 
-def scorer(spark, model: SeverityModel, threshold: float = THRESHOLD):
+def scorer(spark, model: SeverityModel):
     """A column function: text to (severity, grade, p_toxic, toxic)."""
     sent = spark.sparkContext.broadcast(model)
 
@@ -215,7 +229,7 @@ def scorer(spark, model: SeverityModel, threshold: float = THRESHOLD):
         first = above[:, 0] if len(texts) else np.zeros(0)
         return pa.StructArray.from_arrays(
             [pa.array(above.sum(axis=1)), pa.array((above >= 0.5).sum(axis=1).astype(np.int32)), pa.array(first),
-             pa.array(first >= threshold)], names=["severity", "grade", "p_toxic", "toxic"])
+             pa.array(first >= sent.value.threshold)], names=["severity", "grade", "p_toxic", "toxic"])
 
     return score
 
