@@ -184,10 +184,11 @@ def _links(pairs: DataFrame, signed: DataFrame, texts: DataFrame, similarity: fl
     """The pairs (a, b) that are similar: first by sizes and signatures, then by the texts themselves."""
     equal_share, text_overlap = F.arrow_udf(_equal_share, "double"), F.arrow_udf(_text_overlap, "double")
     side = lambda t, c: t.select(*(F.col(x).alias(f"{c}_{x}" if x != "id" else c) for x in t.columns))
-    near = pairs.join(side(signed, "a"), "a").join(side(signed, "b"), "b")
+    # The same joins at every size: what is joined grows with the documents.
+    near = pairs.join(side(signed, "a").hint("merge"), "a").join(side(signed, "b").hint("merge"), "b")
     near = near.filter(F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size"))
     near = near.filter(equal_share("a_slots", "b_slots") >= LEAST_EQUAL).select("a", "b")
-    read = near.join(side(texts, "a"), "a").join(side(texts, "b"), "b")
+    read = near.join(side(texts, "a").hint("merge"), "a").join(side(texts, "b").hint("merge"), "b")
     return read.filter(text_overlap("a_text", "b_text") >= similarity).select("a", "b").distinct()
 
 
@@ -210,7 +211,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
     shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialize(members.join(shared.select("band", "key"), ["band", "key"]).distinct())
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = materialize(rows.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").filter(F.col("text").isNotNull()))
+    texts = materialize(rows.join(wanted.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").filter(F.col("text").isNotNull()))
     slim = nodes.select("id", "size", "slots")
     found, groups, stale = None, None, []
     for turn in range(LEADER_ROUNDS + 1):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillspark.llm import bpe, chat, language, near_dups, packing, token_counts, topk, toxicity, vector_dups
+from tillspark.llm import bpe, chat, language, near_dups, packing, repeats, token_counts, topk, toxicity, vector_dups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -112,8 +112,7 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Expected severity of every document, learned from the labelled ones."""
     docs = table(spark, folder, "documents")
-    model = toxicity.learn(toxicity.severity_grades(docs, table(spark, folder, "labels")))
-    return toxicity.score(docs, model)
+    return toxicity.score(docs, toxicity.learn_severity(docs, table(spark, folder, "labels")))
 
 
 @query("op2_vector_near_dups")
@@ -140,3 +139,13 @@ QUALIFY rank <= 5""")
 def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
     """The five best other embeddings of every fiftieth, by whole-number inner product."""
     return topk.top_k(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op7_repeats")
+def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the bytes that lie in repeated strings of 400 bytes."""
+    cut = repeats.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return cut.select(
+        "doc_id", size.alias("n_bytes"), (size - F.octet_length("cut.kept")).alias("n_removed"),
+        F.size("cut.spans").cast("long").alias("n_spans"), F.sha2("cut.kept", 256).alias("kept_sha256"))
