@@ -81,33 +81,57 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequent(counts: DataFrame, keys: list[str], most: int) -> list:
-    """The most frequent items with their counts per language; ties by the item."""
+    """The most frequent items with their counts per language, at most ``most``.
+
+    Totals are put into steps of a sixteenth of a doubling; whole steps are taken from the top while they fit, so only
+    what is taken travels to the driver.
+    """
     items = counts.groupBy(*keys).agg(
         F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    return items.filter(F.col("total") >= LEAST_COUNT).orderBy(F.desc("total"), *keys).limit(most).collect()
+    items = materialize(items.filter(F.col("total") >= LEAST_COUNT).withColumn("step", F.floor(16 * F.log2("total"))))
+    taken, least = 0, None
+    for step, n in sorted(((r.step, r["count"]) for r in items.groupBy("step").count().collect()), reverse=True):
+        taken += n
+        if taken > most:
+            break
+        least = step
+    found = [] if least is None else items.filter(F.col("step") >= least).select(*keys, "by").collect()
+    drop_materialized(items)
+    return found
 
 
 @dataclass
 class LanguageModel:
+    """Rows of ``logs`` belong to ``words`` and ``grams``; columns to ``languages``."""
+
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-    most: int = 300_000
+    words: dict[str, int]
+    grams: dict[str, int]
+    logs: np.ndarray
+    most: int = 400_000
     seen: dict[str, int] = field(default_factory=dict, repr=False)
     scores: np.ndarray | None = field(default=None, repr=False)
 
-    def word_scores(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        framed, found = f" {word} ", []
-        for i in range(len(framed)):
-            for n in range(min(LONGEST_GRAM, len(framed) - i), 0, -1):
-                gram = self.grams.get(framed[i:i + n])
-                if gram is not None:
-                    found.append(gram)
-                    break
-        return np.mean(found, axis=0) if found else np.zeros(len(self.languages))
+    def backed_off(self, words: list[str]) -> np.ndarray:
+        """For each word the mean over its positions of the longest known n-gram there; zeros where none is known."""
+        grams, places, sizes = self.grams, [], []
+        for word in words:
+            framed, before = f" {word} ", len(places)
+            size = len(framed)
+            for i in range(size):
+                for end in range(min(i + LONGEST_GRAM, size), i, -1):
+                    place = grams.get(framed[i:end])
+                    if place is not None:
+                        places.append(place)
+                        break
+            sizes.append(len(places) - before)
+        out = np.zeros((len(words), len(self.languages)))
+        sizes = np.array(sizes)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            starts = np.cumsum(np.append(0, sizes[some][:-1]))
+            out[some] = np.add.reduceat(self.logs[places], starts, axis=0) / sizes[some][:, None]
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its share of the likelihood; ties go to the first name."""
@@ -115,14 +139,15 @@ class LanguageModel:
         if not self.languages or not any(c.isalpha() for w in words for c in w):
             return UNDETERMINED, 0.0
         if self.scores is None or len(self.seen) > self.most:
-            self.seen, self.scores = {}, np.zeros((1024, len(self.languages)))
-        for w in set(words):
-            if w not in self.seen:
-                if len(self.seen) == len(self.scores):
-                    self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
-                self.scores[len(self.seen)] = self.word_scores(w)
-                self.seen[w] = len(self.seen)
-        total = self.scores[np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))].sum(axis=0)
+            self.seen, self.scores = dict(self.words), self.logs[:len(self.words)]
+        new = [w for w in dict.fromkeys(words) if w not in self.seen]
+        if new:
+            first = len(self.seen)
+            if first + len(new) > len(self.scores):
+                self.scores = np.concatenate((self.scores, np.zeros((first + len(new), len(self.languages)))))
+            self.scores[first:first + len(new)] = self.backed_off(new)
+            self.seen.update(zip(new, range(first, first + len(new))))
+        total = self.scores[list(map(self.seen.__getitem__, words))].sum(axis=0)
         best = int(np.argmax(total))
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -153,9 +178,12 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", words: in
         return np.array([np.log((by.get(x, 0) + SMOOTHING) / (n + SMOOTHING * kinds))
                          for x in languages for n, kinds in (size_of(x),)])
 
+    rows = [logs(r["by"], sizes.__getitem__) for r in known]
+    rows += [logs(r["by"], lambda x, k=r["size"]: gram_sizes.get((x, k), (1, 1))) for r in frequent]
+    n = len(known)
     return LanguageModel(
-        languages, {r["item"]: logs(r["by"], sizes.__getitem__) for r in known},
-        {r["item"]: logs(r["by"], lambda x, k=r["size"]: gram_sizes.get((x, k), (1, 1))) for r in frequent})
+        languages, {r["item"]: i for i, r in enumerate(known)}, {r["item"]: n + i for i, r in enumerate(frequent)},
+        np.array(rows).reshape(-1, len(languages)))
 
 
 def predictor(spark, model: LanguageModel):
