@@ -57,7 +57,7 @@ def test_csv_edges(spark, tmp_path):
         "4,plain,A,x,abc,4,5\n"
         "5,,A,x,0.00004,4,5\n".encode()
     )
-    rows = {r["InvoiceNo"]: r for r in read_csv(spark, str(path)).collect()}
+    rows = {r["InvoiceNo"]: r for r in read_csv(spark, str(path), multi_line=True).collect()}
     assert rows["1"]["Description"] == 'say "hi", friend' and rows["1"]["StockCode"] == "007"
     assert rows["1"]["UnitPrice"] == Decimal("2.5000") and rows["1"]["Country"] is None
     assert rows["2"]["Description"] == "two\nlines" and rows["2"]["UnitPrice"] == Decimal("1000")

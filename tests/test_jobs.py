@@ -14,7 +14,7 @@ from tillspark.plans.mining_run import run_mining
 from tillspark.sinks import exports as X
 from tillspark.sinks import tables as T
 from tillspark.sources.order_tables import retail_lines
-from tillspark.streaming.live_carts import suggest_live
+from tillspark.streaming.live_carts import latest_suggestions, suggest_live
 
 
 @pytest.fixture(scope="module")
@@ -96,8 +96,23 @@ def test_live_suggestions_equal_a_batch(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
         suggest_live(stream, recs, log, out, str(tmp_path / "cp"), cart_buckets=4).awaitTermination()
-    got = spark.read.parquet(out)
-    last = got.groupBy("cart_id").agg(F.max("batch").alias("batch"))
-    latest = {(r["cart_id"], r["product"], r["score"]) for r in got.join(last, ["cart_id", "batch"]).collect()}
+    latest = {(r["cart_id"], r["product"], r["score"]) for r in latest_suggestions(spark.read.parquet(out)).collect()}
     want = cross_sell(fold_cart_events(spark.createDataFrame(events, schema)), recs)
     assert latest == {(r["cart_id"], r["product"], r["score"]) for r in want.collect()}
+
+
+def test_live_carts_forget_an_emptied_cart_and_keep_little(spark, tmp_path):
+    schema = "cart_id string, seq long, action string, product string, qty int"
+    recs = spark.createDataFrame([("a", "c", 0.5, 0.1, 2.0, "rule")],
+                                 "product string, rec_product string, confidence double, support double, lift double, source string")
+    src, state, out = (str(tmp_path / x) for x in ("src", "state", "out"))
+    reads = []
+    for k, action in enumerate(["add", "remove", "add", "add", "remove"]):
+        spark.createDataFrame([("1", 10 * k, action, "a", 0)], schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        suggest_live(stream, recs, state, out, str(tmp_path / "cp"), cart_buckets=1).awaitTermination()
+        held = [r["product"] for r in latest_suggestions(spark.read.parquet(out)).collect()]
+        assert held == (["c"] if action == "add" else [])
+        reads.append(len(list((tmp_path / "state").glob("bucket=*/batch=*"))))
+    # Two states of a bucket are kept, however many batches there were.
+    assert max(reads) <= 2

@@ -5,10 +5,10 @@ import pytest
 
 from tillspark import MiningSettings, mine
 from tillspark.mining.apriori import apriori_itemsets
-from tillspark.mining.counting import count_itemsets
+from tillspark.mining.counting import PAIR_SLOTS_PER_PASS, count_itemsets, locally_frequent_pairs
 from tillspark.mining.job import prepared
 from tillspark.mining.rules import _splits, association_rules
-from tillspark.mining.son import son_itemsets
+from tillspark.mining.son import son_candidates, son_itemsets
 from tillspark.mining.threshold import min_count
 from tillspark.schemas import BASKET
 
@@ -136,3 +136,31 @@ def test_settings_are_checked():
     for bad in ({"min_support": 0}, {"min_support": 1.5}, {"min_confidence": -1}, {"algorithm": "x"}, {"max_consequent": 0}):
         with pytest.raises(ValueError):
             MiningSettings(**bad)
+
+
+def test_splits_with_a_limit_are_built_directly(spark):
+    items = [f"i{k:02d}" for k in range(20)]
+    sets = spark.createDataFrame([(items, 3)], "items array<string>, freq long")
+    splits = _splits(sets, 2)
+    rows = splits.collect()
+    assert len(rows) == 20 + 190
+    assert all(sorted(r["antecedents"] + r["consequents"]) == items and 1 <= len(r["consequents"]) <= 2 for r in rows)
+
+
+def test_pairs_of_5000_items_take_few_passes(spark):
+    baskets = spark.createDataFrame([(["a"],)], "items array<string>")
+    names = [f"i{k:04d}" for k in range(5000)]
+    assert sum(1 for _ in locally_frequent_pairs(baskets, names, (1, 100), PAIR_SLOTS_PER_PASS)) <= 3
+
+
+def test_son_leaves_a_short_partition_to_the_second_phase(spark):
+    rng = random.Random(5)
+    rows = [(sorted(rng.sample("abcdefghij", rng.randint(2, 5))),) for _ in range(4000)]
+    many = spark.createDataFrame(rows, "items array<string>").repartition(2)
+    short = spark.createDataFrame([(list("abcdefghijklmnopqrst"),)], "items array<string>").coalesce(1)
+    baskets = many.unionByName(short)
+    n, least = 4001, 120
+    candidates = son_candidates(baskets, 0.03, least, n)
+    found = son_itemsets(baskets, 0.03, least, n).count()
+    # One basket of 20 items alone would make a million candidates.
+    assert found <= candidates.count() <= 1.5 * found

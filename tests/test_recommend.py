@@ -4,6 +4,8 @@ from collections import defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tillspark import MiningSettings, mine
 from tillspark.operators import commerce as M
 from tillspark.operators import recommend as R
@@ -138,7 +140,7 @@ def test_carts_and_orders(spark):
     heads = M.order_headers(carts, products, people)
     row = heads.collect()
     assert [(r["customer_name"], r["total_amount"], r["status"]) for r in row] == [("Ann", 3.0, "completed")]
-    assert row[0]["order_number"].startswith("ORD-") and len(row[0]["order_number"]) == 12
+    assert row[0]["order_number"].startswith("ORD-") and len(row[0]["order_number"]) == 36
     assert [(r["product"], r["quantity"], r["price"]) for r in M.order_lines(carts, products, heads).collect()] == [("a", 2, 1.5)]
 
 
@@ -192,3 +194,17 @@ def test_evidence(spark, pantry):
     pairs = spark.createDataFrame([("pasta", "sauce"), ("jam", "pasta"), ("bread", "milk")], "product string, rec_product string")
     got = {(r[0], r[1]): r[2] for r in Q.recommendation_evidence(pairs, found.rules, found.itemsets).collect()}
     assert got == {("pasta", "sauce"): "rule", ("jam", "pasta"): "NONE", ("bread", "milk"): "itemset"}
+
+
+def test_orders_with_alike_numbers_stay_apart(spark, monkeypatch):
+    """Lines join their order by cart, whatever the number shown."""
+    monkeypatch.setattr(M, "order_number", lambda cart_id: F.lit("ORD-1"))
+    carts = spark.createDataFrame([("1", "a", 2), ("2", "a", 1), ("2", "b", 3)], "cart_id string, product string, qty int")
+    products = spark.createDataFrame([("a", 1.5), ("b", 2.0)], "name string, price double")
+    customers = spark.createDataFrame([("1", "x", "x@example.org", None), ("2", "y", "y@example.org", None)],
+                                      "cart_id string, customer_name string, customer_email string, created_at timestamp")
+    heads = M.order_headers(carts, products, customers)
+    lines = M.order_lines(carts, products, heads)
+    details = M.order_details(heads, lines).collect()
+    assert lines.count() == len(details) == 3
+    assert sorted((r["cart_id"], r["customer_name"], r["product"]) for r in details) == [("1", "x", "a"), ("2", "y", "a"), ("2", "y", "b")]

@@ -7,9 +7,9 @@ job, so executors need no copy of this package.
 from pyspark import cloudpickle
 
 from tillspark.mining import counting, son
-from tillspark.mining.job import Mined, mine
+from tillspark.mining.job import Mined, mine, mine_all
 
 for _module in (counting, son):
     cloudpickle.register_pickle_by_value(_module)
 
-__all__ = ["Mined", "mine"]
+__all__ = ["Mined", "mine", "mine_all"]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillspark.mining.counting import (
-    SLOTS_PER_PASS, by_prefix, count_prefixed, locally_frequent_pairs,
+    PAIR_SLOTS_PER_PASS, SLOTS_PER_PASS, by_prefix, count_prefixed, locally_frequent_pairs,
 )
 from tillspark.operators.profile import item_counts
 from tillspark.runtime import materialize, materialize_counted
@@ -49,7 +49,8 @@ def _stored(parts: Iterator[DataFrame]) -> DataFrame | None:
 
 
 def apriori_itemsets(
-    baskets: DataFrame, least: int, ratio: tuple[int, int], slots: int = SLOTS_PER_PASS
+    baskets: DataFrame, least: int, ratio: tuple[int, int], slots: int = SLOTS_PER_PASS,
+    pair_slots: int = PAIR_SLOTS_PER_PASS,
 ) -> DataFrame:
     """(items, freq) of all itemsets in at least ``least`` baskets, ``ratio`` of all."""
     singles = materialize(
@@ -57,7 +58,7 @@ def apriori_itemsets(
     )
     names = sorted(r[0][0] for r in singles.select("items").collect())
     levels = [singles]
-    wanted = _stored(locally_frequent_pairs(baskets, names, ratio, slots))
+    wanted = _stored(locally_frequent_pairs(baskets, names, ratio, pair_slots))
     wanted = None if wanted is None else by_prefix(wanted)
     while wanted is not None:
         level = _stored(count_prefixed(baskets, wanted, least, slots))

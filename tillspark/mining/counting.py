@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 # Counters a task keeps in one pass (8 bytes each). More itemsets mean more passes.
 SLOTS_PER_PASS = 2_000_000
+# The same for ranges of pairs, which are never listed: 4 bytes each, so 5,000 frequent items take two passes.
+PAIR_SLOTS_PER_PASS = 8_000_000
 
 
 # ---- inside tasks -------------------------------------------------------------------------
@@ -94,11 +96,11 @@ def partial_counts(n_rows: int, rows: np.ndarray, ids: np.ndarray, n_items: int,
 
 def task_totals(batches, vocabulary: pa.Array, wanted: list):
     """(baskets of the task, their counts for each prefix)."""
-    n, totals = 0, [np.zeros(len(extensions), dtype=np.int64) for _, extensions in wanted]
+    n, totals = 0, [np.zeros(len(extensions), dtype=np.int32) for _, extensions in wanted]
     for n_rows, rows, ids in groups_of_batches(batches, vocabulary):
         n += n_rows
         for total, part in zip(totals, partial_counts(n_rows, rows, ids, len(vocabulary), wanted)):
-            total += part
+            np.add(total, part, out=total, casting="unsafe")
     return n, totals
 
 
@@ -114,7 +116,7 @@ def counter(vocabulary: pa.Array, wanted: list, ratio: tuple[int, int] | None =
         slots = np.flatnonzero(counts >= least)
         for at in range(0, len(slots), 100_000):
             part = slots[at:at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], ["slot", "freq"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part].astype(np.int64))], ["slot", "freq"])
 
     return run
 

@@ -41,25 +41,30 @@ def mine(baskets: DataFrame, settings: MiningSettings | None = None, **changes)
     at its end; the itemsets found stay there. The driver sees only counts and the lists of
     itemsets that one counting pass looks for.
     """
-    settings = settings or MiningSettings(**changes)
+    return mine_all(baskets, [settings or MiningSettings(**changes)])[0]
+
+
+def mine_all(baskets: DataFrame, runs: list[MiningSettings]) -> list[Mined]:
+    """Several runs over one stored copy of the baskets."""
     items, n = materialize_counted(prepared(baskets))
     try:
-        least = min_count(settings.min_support, n)
-        spark = baskets.sparkSession
-        if n == 0:
-            return Mined(spark.createDataFrame([], ITEMSET), spark.createDataFrame([], RULE),
-                         0, least, settings)
-        if settings.algorithm == "fpgrowth":
-            found = fpgrowth_itemsets(items, least, n)
-        elif settings.algorithm == "apriori":
-            found = apriori_itemsets(items, least, support_ratio(settings.min_support))
-        else:
-            found = son_itemsets(items, settings.min_support, least, n)
-        itemsets = materialize(
-            found.select("items", "freq", (F.col("freq") / F.lit(n)).alias("support"))
-        )
+        return [_mine_stored(items, n, settings) for settings in runs]
     finally:
         drop_materialized(items)
+
+
+def _mine_stored(items: DataFrame, n: int, settings: MiningSettings) -> Mined:
+    least = min_count(settings.min_support, n)
+    spark = items.sparkSession
+    if n == 0:
+        return Mined(spark.createDataFrame([], ITEMSET), spark.createDataFrame([], RULE), 0, least, settings)
+    if settings.algorithm == "fpgrowth":
+        found = fpgrowth_itemsets(items, least, n)
+    elif settings.algorithm == "apriori":
+        found = apriori_itemsets(items, least, support_ratio(settings.min_support))
+    else:
+        found = son_itemsets(items, settings.min_support, least, n)
+    itemsets = materialize(found.select("items", "freq", (F.col("freq") / F.lit(n)).alias("support")))
     rules = association_rules(
         itemsets, n, settings.min_confidence, settings.max_consequent, settings.min_lift
     )

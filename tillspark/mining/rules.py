@@ -16,6 +16,19 @@ def _splits(itemsets: DataFrame, max_consequent: int | None) -> DataFrame:
             F.filter("items", lambda x: x != F.col("one")).alias("antecedents"),
             F.array("one").alias("consequents"), "freq",
         )
+    if max_consequent is not None:
+        # Consequents of 1 to max_consequent items, each grown from a shorter one by later items.
+        places = F.sequence(F.lit(0), F.size("items") - 1)
+        level = F.transform(places, lambda i: F.array(i))
+        levels = [level]
+        for _ in range(max_consequent - 1):
+            level = F.flatten(F.transform(level, lambda c: F.transform(
+                F.filter(places, lambda j: j > F.element_at(c, -1)), lambda j: F.concat(c, F.array(j)))))
+            levels.append(level)
+        chosen = F.filter(F.concat(*levels), lambda c: F.size(c) < F.size("items"))
+        return sets.select("items", "freq", F.explode(chosen).alias("chosen")).select(
+            F.filter("items", lambda x, i: ~F.array_contains("chosen", i)).alias("antecedents"),
+            F.transform("chosen", lambda i: F.get("items", i)).alias("consequents"), "freq")
     # One bit per item. Long itemsets list the masks in two steps, so no row holds all of them.
     masks = (
         sets.withColumn("low", F.least(F.size("items"), F.lit(12)))
@@ -24,8 +37,6 @@ def _splits(itemsets: DataFrame, max_consequent: int | None) -> DataFrame:
         .withColumn("mask", F.expr("shiftleft(high_part, low) + low_part"))
         .filter(F.expr("mask BETWEEN 1 AND shiftleft(1L, size(items)) - 2"))
     )
-    if max_consequent is not None:
-        masks = masks.filter(F.size("items") - F.bit_count("mask") <= max_consequent)
     return masks.select(
         F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1) = 1)").alias("antecedents"),
         F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1) = 0)").alias("consequents"),

@@ -22,21 +22,31 @@ from tillspark.runtime import materialize
 # Least local count aimed at. A chunk so small that one basket meets the ratio would call every
 # subset of each of its baskets frequent.
 LOCAL_COUNT = 20
+# Items a chunk is filled with, about 16 bytes each: as many as a worker's memory takes, because the larger the
+# chunks, the fewer itemsets are frequent in one by chance.
+CHUNK_ITEMS = 4_000_000
+# Baskets in partitions too small for a chunk are left to the second phase while they are at most this share of the
+# least count; the ratio of the chunks is lowered to make up for them.
+SKIPPED_SHARE = 0.1
 
 
 # ---- inside tasks -------------------------------------------------------------------------
 
-def chunks(batches, vocabulary: pa.Array, size: int):
-    """Batches joined into chunks of at least ``size`` baskets; a short rest joins the chunk before."""
-    ready, open_parts, open_rows = None, [], 0
+def chunks(batches, vocabulary: pa.Array, size: int, entries: int = CHUNK_ITEMS):
+    """Batches joined into chunks of at least ``size`` baskets and about ``entries`` items; a short rest joins the last."""
+    ready, open_parts, open_rows, held = None, [], 0, 0
     for batch in batches:
         part = flatten(batch.column(0), vocabulary)
         open_parts.append(part)
         open_rows += part[0]
-        if open_rows >= size:
+        held += len(part[1])
+        if open_rows >= size and held >= entries:
             if ready:
                 yield join_parts(ready)
-            ready, open_parts, open_rows = open_parts, [], 0
+            ready, open_parts, open_rows, held = open_parts, [], 0, 0
+    if ready and open_rows >= size:
+        yield join_parts(ready)
+        ready = None
     if ready or open_parts:
         yield join_parts((ready or []) + open_parts)
 
@@ -54,11 +64,13 @@ def local_itemsets(n_rows: int, rows: np.ndarray, ids: np.ndarray, n_items: int,
                 open_sets.append((prefix + (item,), *later))
 
 
-def phase_one(vocabulary: pa.Array, ratio: tuple[int, int], size: int):
+def phase_one(vocabulary: pa.Array, ratio: tuple[int, int], size: int, skip_short: bool = False):
     num, den = ratio
 
     def run(batches):
         for n_rows, rows, ids in chunks(batches, vocabulary, size):
+            if skip_short and n_rows < size:
+                continue
             least = max(1, -(-num * n_rows // den))
             found = []
             for itemset in local_itemsets(n_rows, rows, ids, len(vocabulary), least):
@@ -82,20 +94,25 @@ def chunk_size(min_support: float) -> int:
 def son_candidates(baskets: DataFrame, min_support: float, least: int, n: int) -> DataFrame:
     """Distinct itemsets frequent in at least one chunk.
 
-    When a partition has too few baskets for a chunk, all are dealt out evenly first.
+    Partitions too small for a chunk are left out while they hold few baskets: an itemset in ``least`` baskets is in
+    at least ``least`` less their number elsewhere, and the chunks look for that share. Where they hold more,
+    all baskets are dealt out evenly first.
     """
     names = sorted(r[0] for r in frequent_items(baskets, least).select("item").collect())
     size = chunk_size(min_support)
     spread = baskets.select("items")
-    fewest, parts = (
+    short, parts = (
         spread.groupBy(F.spark_partition_id()).agg(F.count("*").alias("k"))
-        .agg(F.min("k"), F.count("*")).first()
+        .agg(F.coalesce(F.sum(F.when(F.col("k") < size, F.col("k"))), F.lit(0)), F.count("*")).first()
     )
-    if fewest < size and parts > 1:
+    ratio, skip = support_ratio(min_support), 0 < short <= SKIPPED_SHARE * least and short < n
+    if skip:
+        ratio = (least - short, n - short)
+    elif short and parts > 1:
         spread = spread.repartition(max(1, min(parts, n // size)))
     return (
         spread.mapInArrow(
-            phase_one(pa.array(names, pa.string()), support_ratio(min_support), size),
+            phase_one(pa.array(names, pa.string()), ratio, size, skip),
             "items array<string>, freq long",
         )
         .select("items").distinct()

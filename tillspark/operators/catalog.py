@@ -16,11 +16,8 @@ def _mean_price() -> Column:
 
 
 def average_prices(lines: DataFrame) -> DataFrame:
-    """Mean of the positive prices of each description."""
-    return (
-        positive_price(lines).filter(non_blank(F.col("Description")))
-        .groupBy("Description").agg(_mean_price().alias("avg_price"))
-    )
+    """Mean of the positive prices of each description, blank and missing ones included."""
+    return positive_price(lines).groupBy("Description").agg(_mean_price().alias("avg_price"))
 
 
 def price_of(lines: DataFrame, name: str) -> DataFrame:

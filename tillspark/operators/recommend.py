@@ -38,11 +38,11 @@ def rule_recommendations(rules: DataFrame) -> DataFrame:
     )
 
 
-def itemset_recommendations(itemsets: DataFrame, complete: bool = True) -> DataFrame:
+def itemset_recommendations(itemsets: DataFrame, complete: bool = False) -> DataFrame:
     """Items of one itemset recommend each other with the greatest support they share.
 
-    In a complete list, as the miners give it, that is the support of the two-item set itself. For
-    lists that may lack subsets of their itemsets use ``complete=False``.
+    In a complete list, as the miners give it, that is the support of the two-item set itself;
+    ``complete=True`` then reads no others. Lists that lack subsets of their itemsets need the default.
     """
     sets = itemsets.filter(F.size("items") == 2 if complete else F.size("items") >= 2)
     both = (
@@ -57,7 +57,7 @@ def itemset_recommendations(itemsets: DataFrame, complete: bool = True) -> DataF
 
 
 def all_recommendations(
-    itemsets: DataFrame, rules: DataFrame, dedupe: bool = True, complete: bool = True
+    itemsets: DataFrame, rules: DataFrame, dedupe: bool = True, complete: bool = False
 ) -> DataFrame:
     """Recommendations of rules, then of itemsets for pairs without a rule.
 
@@ -113,8 +113,8 @@ def rules_for_product(rules: DataFrame, product: str, n: int = 5) -> DataFrame:
     return rules.filter(either).orderBy(*rule_order()).limit(n)
 
 
-def rules_with_text(rules: DataFrame, text: str, limit: int | None = 200) -> DataFrame:
-    """Rules with the text in their antecedents or consequents, best first, as many as shown."""
+def rules_with_text(rules: DataFrame, text: str, limit: int | None = None) -> DataFrame:
+    """Rules with the text in their antecedents or consequents; with a ``limit`` the best of them."""
     found = rules.filter(
         holds_text(F.col("antecedents"), text) | holds_text(F.col("consequents"), text)
     )
@@ -122,9 +122,9 @@ def rules_with_text(rules: DataFrame, text: str, limit: int | None = 200) -> Dat
 
 
 def itemsets_with_text(
-    itemsets: DataFrame, text: str = "", min_items: int = 2, limit: int | None = 300
+    itemsets: DataFrame, text: str = "", min_items: int = 2, limit: int | None = None
 ) -> DataFrame:
-    """Itemsets of some size with the text in their items, most frequent first, as many as shown."""
+    """Itemsets of some size with the text in their items; with a ``limit`` the most frequent of them."""
     found = itemsets.filter((F.size("items") >= min_items) & holds_text(F.col("items"), text))
     return found if limit is None else found.orderBy(F.desc("support"), "items").limit(limit)
 

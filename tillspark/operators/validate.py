@@ -23,8 +23,8 @@ def _result(df: DataFrame, check: str, violation) -> DataFrame:
 
 def recount(baskets: DataFrame, itemsets: DataFrame) -> DataFrame:
     """(items, counted) for each given itemset, 0 for those in no basket."""
-    wanted = itemsets.select(F.sort_array("items").alias("items")).distinct()
-    counted = count_itemsets(prepared(baskets), wanted)
+    wanted = materialize(itemsets.select(F.sort_array("items").alias("items")).distinct())
+    counted = count_itemsets(materialize(prepared(baskets)), wanted)
     return wanted.join(counted, "items", "left").select(
         "items", F.coalesce("freq", F.lit(0)).alias("counted")
     )
@@ -41,7 +41,7 @@ def check_itemsets(baskets: DataFrame, itemsets: DataFrame, n: int) -> DataFrame
 
 def check_rules(baskets: DataFrame, rules: DataFrame, n: int) -> DataFrame:
     """Support, confidence and lift of every rule from fresh counts of its three itemsets."""
-    rules = rules.select(
+    rules = materialize(rules).select(
         F.sort_array("antecedents").alias("a"), F.sort_array("consequents").alias("c"),
         F.sort_array(F.array_union("antecedents", "consequents")).alias("ac"),
         "support", "confidence", "lift",
@@ -136,16 +136,18 @@ def check_agreement(left: DataFrame, right: DataFrame) -> DataFrame:
 def recommendation_evidence(stored: DataFrame, rules: DataFrame, itemsets: DataFrame) -> DataFrame:
     """For each recommendation what backs it: a rule, else an itemset, else NONE.
 
-    A rule or itemset backs a pair when it holds both products.
+    A rule or itemset backs a pair when it holds both products. Its items are paired up inside its own row, each
+    distinct set once, so a popular product is never a key by itself.
     """
     pairs = stored.select("product", "rec_product").distinct()
     sets = rules.select(
-        F.array_union("antecedents", "consequents").alias("items"), F.lit(2).alias("strength")
-    ).unionByName(itemsets.select("items", F.lit(1).alias("strength")))
-    # Itemsets are narrowed to the products asked about before their items are paired up.
-    holders = sets.select("items", "strength", F.explode("items").alias("product")).join(
-        pairs, "product"
-    ).filter(F.array_contains("items", F.col("rec_product")))
+        F.sort_array(F.array_union("antecedents", "consequents")).alias("items"), F.lit(2).alias("strength")
+    ).unionByName(itemsets.select(F.sort_array("items").alias("items"), F.lit(1).alias("strength")))
+    once = sets.groupBy("items").agg(F.max("strength").alias("strength"))
+    holders = (
+        once.select("items", "strength", F.explode("items").alias("product"))
+        .select("strength", "product", F.explode("items").alias("rec_product"))
+    )
     found = holders.groupBy("product", "rec_product").agg(F.max("strength").alias("strength"))
     backed = F.when(F.col("strength") == 2, "rule").when(F.col("strength") == 1, "itemset").otherwise("NONE")
     return pairs.join(found, ["product", "rec_product"], "left").select(

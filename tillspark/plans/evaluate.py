@@ -13,8 +13,8 @@ def split_baskets(baskets: DataFrame, test_share: float = 0.2, seed: int = 7) ->
 
     Baskets without an invoice number are for training.
     """
-    digest = F.substring(F.md5(F.concat("InvoiceNo", F.lit(f"/{seed}"))), 1, 4)
-    is_test = F.coalesce(digest < f"{int(test_share * 0x10000):04x}", F.lit(False))
+    digest = F.conv(F.substring(F.md5(F.concat("InvoiceNo", F.lit(f"/{seed}"))), 1, 8), 16, 10).cast("long")
+    is_test = F.coalesce(digest < int(test_share * 2**32), F.lit(False))
     return baskets.filter(~is_test), baskets.filter(is_test)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -13,15 +12,15 @@ SALTS = 16
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make one up only in local mode."""
+    """Use the shared folder the cluster names; only in local mode, one under the warehouse folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="tillspark-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     sc.setCheckpointDir(folder)
 
 
@@ -44,13 +43,19 @@ def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """The same, with the number of rows as seen by the write."""
     folder, seen = scratch_folder(df.sparkSession), Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder), seen.get["rows"]
+    stored = df.sparkSession.read.schema(df.schema).parquet(folder)
+    stored._scratch_folder = folder
+    return stored, seen.get["rows"]
 
 
 def drop_materialized(df: DataFrame) -> None:
-    """Delete the files of a materialized table that nothing reads any more."""
+    """Delete the files of a materialized table that nothing reads any more.
+
+    ``df`` is what ``materialize`` returned, or read from it.
+    """
     sc = df.sparkSession.sparkContext
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    kept = getattr(df, "_scratch_folder", None)
+    for folder in [kept] if kept else {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = sc._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -26,14 +26,17 @@ def replace_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ())
     return seen.get["rows"]
 
 
-def replace_lines_by_month(lines: DataFrame, path: str, pattern: str = "M/d/yyyy H:mm") -> int:
+def replace_lines_by_month(lines: DataFrame, path: str, pattern: str = "M/d/yyyy H:mm", files: int = 16) -> int:
     """Lines stored by invoice month, so that date-bound reads skip the other months.
 
-    Dates that do not follow the pattern go to the NULL month. Each month is spread over the
-    tasks that hold it; a month is never sent to one task.
+    Dates that do not follow the pattern go to the NULL month. Rows are dealt out by month and a salt
+    before the write, so a month has ``files`` files at most whatever the number of tasks, and no month is in
+    one task.
     """
     month = F.date_format(F.try_to_timestamp("InvoiceDate", F.lit(pattern)), "yyyy-MM")
-    return replace_table(lines.withColumn("invoice_month", month), path, ("invoice_month",))
+    dated = lines.withColumn("invoice_month", month)
+    salt = F.pmod(F.xxhash64(*lines.columns), F.lit(files))
+    return replace_table(dated.repartition("invoice_month", salt), path, ("invoice_month",))
 
 
 def save_run(
@@ -64,8 +67,8 @@ def load_run(spark: SparkSession, folder: str, run_id: str) -> tuple[DataFrame,
     return parts[0], parts[1].drop("algorithm", "run_id"), parts[2].drop("algorithm", "run_id")
 
 
-def recent_runs(runs: DataFrame, n: int | None = 10) -> DataFrame:
-    """Latest runs first, with the columns of the run list."""
+def recent_runs(runs: DataFrame, n: int | None = None) -> DataFrame:
+    """Latest runs first, with the columns of the run list; all, or the first ``n``."""
     listed = runs.select(
         F.col("run_id").alias("id"), "algorithm",
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"), "created_by",

@@ -10,14 +10,13 @@ from tillspark.schemas import RETAIL_COLUMNS
 
 
 def read_csv(
-    spark: SparkSession, path: str | list[str], multi_line: bool = True, sep: str = ",",
+    spark: SparkSession, path: str | list[str], multi_line: bool = False, sep: str = ",",
     null_tokens: tuple[str, ...] = ("",),
 ) -> DataFrame:
     """Retail lines from CSV files with a header.
 
-    Every column is read as text, so no digits are lost to type guessing. ``multi_line`` lets
-    quoted values hold line breaks, at the price of one task per file; switch it off for a few
-    very large files without such breaks and Spark splits them.
+    Every column is read as text, so no digits are lost to type guessing. Files are split over
+    tasks. ``multi_line`` lets quoted values hold line breaks, at the price of one task per file.
     """
     raw = spark.read.csv(
         path, sep=sep, header=True, inferSchema=False, multiLine=multi_line, quote='"', escape='"',

@@ -1,46 +1,98 @@
 """Suggestions for carts as their events arrive.
 
-The event log is folded again for the carts a micro-batch touches, so a suggestion always reflects
-the whole cart; recommendations are a static table.
+The carts themselves are the state: a table of (cart, product, quantity) in buckets of carts. A micro-batch reads
+the buckets its carts fall in, folds its events into them and writes these buckets anew, so what it reads
+depends on the carts there are, not on the events so far. Recommendations are a static table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.streaming import StreamingQuery
 
 from tillspark.operators.commerce import fold_cart_events
 from tillspark.operators.recommend import cross_sell
 
+STATE = "cart_id string, product string, qty long"
+
+
+def _versions(spark: SparkSession, state_path: str, bucket: int) -> dict[int, object]:
+    """The stored versions of one bucket by batch."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{state_path}/bucket={bucket}")
+    files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return {}
+    return {int(s.getPath().getName().split("=")[1]): s.getPath() for s in files.listStatus(path) if "=" in s.getPath().getName()}
+
+
+def fold_into(state: DataFrame, events: DataFrame) -> DataFrame:
+    """Carts after ``events``, whose edits come after those already in ``state``.
+
+    A stored quantity is replayed as an add and a set before all events.
+    """
+    first = events.groupBy("cart_id").agg(F.min("seq").alias("first"))
+    steps = F.explode(F.array(
+        F.struct(F.lit("add").alias("action"), F.lit(2).alias("back")), F.struct(F.lit("set").alias("action"), F.lit(1).alias("back"))))
+    replayed = state.join(first, "cart_id").withColumn("step", steps).select(
+        "cart_id", (F.col("first") - F.col("step.back")).alias("seq"), "step.action", "product", "qty")
+    now = events.select("cart_id", "seq", "action", "product", F.col("qty").cast("long").alias("qty"))
+    untouched = state.join(first, "cart_id", "left_anti")
+    folded = fold_cart_events(replayed.unionByName(now)).select("cart_id", "product", F.col("qty").cast("long").alias("qty"))
+    return untouched.unionByName(folded)
+
 
 def suggest_live(
-    events: DataFrame, recs: DataFrame, log_path: str, out_path: str, checkpoint: str, n: int = 5,
+    events: DataFrame, recs: DataFrame, state_path: str, out_path: str, checkpoint: str, n: int = 5,
     cart_buckets: int = 256, trigger: dict | None = None,
 ) -> StreamingQuery:
     """Start a query that keeps ``out_path`` (batch, cart_id, product, score, rank) up to date.
 
-    Events are appended to ``log_path`` by batch and cart bucket; a batch reads only the buckets its
-    carts fall in. A batch that is run again overwrites what it wrote before.
+    Each cart a batch touches gets rows of that batch; one without suggestions gets a row with a NULL product, so
+    that earlier ones no longer hold. ``latest_suggestions`` reads what holds. A batch that is run again reads the
+    state before it and overwrites what it wrote; the two last states of a bucket are kept. Events of a
+    cart must arrive in the order of their batches.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        bucket = F.pmod(F.xxhash64("cart_id"), F.lit(cart_buckets)).cast("int")
         spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64("cart_id"), F.lit(cart_buckets)).cast("int")
+        # At most ``cart_buckets`` numbers.
+        touched = sorted(r[0] for r in batch.select(bucket).distinct().collect())
+        stored = {b: _versions(spark, state_path, b) for b in touched}
+        before = [str(v[max(k for k in v if k < batch_id)]) for v in stored.values() if any(k < batch_id for k in v)]
+        empty = spark.createDataFrame([], STATE)
+        state = spark.read.schema(STATE).parquet(*before) if before else empty
         (
-            batch.withColumn("bucket", bucket).withColumn("batch", F.lit(batch_id))
+            fold_into(state, batch).withColumn("bucket", bucket).withColumn("batch", F.lit(batch_id))
+            .repartition("bucket")
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket", "batch").parquet(log_path)
-        )
-        log = spark.read.parquet(log_path)
-        touched = log.filter(F.col("batch") == batch_id).select("cart_id", "bucket").distinct()
-        known = (
-            log.filter(F.col("batch") <= batch_id).join(touched, ["cart_id", "bucket"], "left_semi")
+            .partitionBy("bucket", "batch").parquet(state_path)
         )
+        # A bucket that has become empty has no files of this batch: mark it, so that its older state is not read again.
+        now = {b: _versions(spark, state_path, b) for b in touched}
+        for b in (b for b in touched if batch_id not in now[b]):
+            empty.write.mode("overwrite").parquet(f"{state_path}/bucket={b}/batch={batch_id}")
+        carts = spark.read.schema(STATE).parquet(*(f"{state_path}/bucket={b}/batch={batch_id}" for b in touched)) if touched else empty
+        changed = batch.select("cart_id").distinct()
+        found = cross_sell(carts.join(changed, "cart_id", "left_semi"), recs, n)
         (
-            cross_sell(fold_cart_events(known), recs, n).withColumn("batch", F.lit(batch_id))
+            changed.join(found, "cart_id", "left").withColumn("batch", F.lit(batch_id))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch").parquet(out_path)
         )
+        files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for versions in stored.values():
+            for k in sorted(k for k in versions if k < batch_id)[:-1]:
+                files.delete(versions[k], True)
 
     writer = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def latest_suggestions(suggestions: DataFrame) -> DataFrame:
+    """The suggestions that hold: those of each cart's last batch, without the rows that only say there are none."""
+    last = W.partitionBy("cart_id").orderBy(F.desc("batch"))
+    held = suggestions.withColumn("_age", F.rank().over(last)).filter("_age = 1 AND product IS NOT NULL")
+    return held.drop("_age")

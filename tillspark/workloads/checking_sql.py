@@ -50,7 +50,7 @@ ALL_BASKETS = """all_baskets AS (SELECT InvoiceNo, list(item ORDER BY item) AS i
   GROUP BY InvoiceNo)"""
 BASKETS = "baskets AS (SELECT * FROM all_baskets WHERE len(items) >= 2)"
 PRICES = """prices AS (SELECT Description, CAST(sum(UnitPrice) AS DOUBLE) / count(*) AS avg_price
-  FROM cleaned WHERE UnitPrice > 0 AND trim(Description) <> '' GROUP BY Description)"""
+  FROM cleaned WHERE UnitPrice > 0 GROUP BY Description)"""
 CATALOG = """catalog AS (SELECT Description AS description, min(StockCode) AS stock_code,
   CAST(sum(UnitPrice) AS DOUBLE) / count(*) AS avg_price FROM cleaned
   WHERE UnitPrice > 0 AND trim(Description) <> '' GROUP BY Description)"""

@@ -25,10 +25,10 @@ customers AS (SELECT CAST(o_orderkey AS VARCHAR) AS cart_id,
   CASE WHEN o_custkey % 20 = 0 THEN NULL ELSE c_name END AS customer_name,
   lower(c_name) || '@example.org' AS customer_email
   FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O'),
-headers AS (SELECT cart_id, 'ORD-' || upper(substr(sha256(cart_id), 1, 8)) AS order_number,
+headers AS (SELECT cart_id, 'ORD-' || upper(md5(cart_id)) AS order_number,
   customer_name, customer_email, round(cart_total, 2) AS total_amount, 'completed' AS status
   FROM totals JOIN customers USING (cart_id) WHERE customer_name IS NOT NULL),
-order_lines AS (SELECT order_number, product, qty AS quantity, price FROM priced JOIN headers USING (cart_id))"""
+order_lines AS (SELECT cart_id, order_number, product, qty AS quantity, price FROM priced JOIN headers USING (cart_id))"""
 
 
 def shop(spark, sf_dir):
@@ -71,8 +71,8 @@ def _(spark, d):
     return M.order_lines(open_carts(spark, d, ITEM), products, headers(spark, d, products))
 
 
-@query("order_details", f"""{CART_SQL} SELECT order_number, product, quantity, price, customer_name, status, total_amount
-  FROM order_lines JOIN headers USING (order_number)""")
+@query("order_details", f"""{CART_SQL} SELECT cart_id, order_number, product, quantity, price, customer_name, status, total_amount
+  FROM order_lines JOIN (SELECT cart_id, customer_name, status, total_amount FROM headers) USING (cart_id)""")
 def _(spark, d):
     """Orders written, read back and put together."""
     products, folder = shop(spark, d), scratch_folder(spark)

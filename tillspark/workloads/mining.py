@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillspark.functions.metrics import confidence_band, lift_band, percent, round_metrics
-from tillspark.mining import mine
+from tillspark.mining import mine, mine_all
 from tillspark.mining.rules import itemsets_of_size, top_itemsets, top_rules, with_min_lift
 from tillspark.operators import catalog as C
 from tillspark.operators import recommend as R
@@ -96,9 +96,18 @@ def _(spark, d):
     return shown_rules(mined(spark, d, confidence=0.05, max_consequent=2).rules)
 
 
-@query("rules_min_lift", f"{rule_sql()} {SHOW_RULES} FROM rules WHERE lift >= 1")
+# Low enough for itemsets of four items, so that the limit leaves rules out.
+DEEP = ("p_type", 0.02, 0.01)
+
+
+@query("rules_up_to_two_of_four", f"{rule_sql(DEEP)} {SHOW_RULES} FROM rules WHERE len(consequents) <= 2")
+def _(spark, d):
+    return shown_rules(mined(spark, d, DEEP, max_consequent=2).rules)
+
+
+@query("rules_min_lift", f"{rule_sql(WIDE)} {SHOW_RULES} FROM rules WHERE lift >= 1")
 def _(spark, d):
-    return shown_rules(with_min_lift(mined(spark, d).rules, 1.0))
+    return shown_rules(with_min_lift(mined(spark, d, WIDE).rules, 1.0))
 
 
 @query("top_rules", f"{rule_sql(WIDE)} {SHOW_RULES} FROM rules ORDER BY {S.RULE_BEST} LIMIT 10")
@@ -117,16 +126,14 @@ def _(spark, d):
 
 
 @query("itemsets_with_text", f"""{itemset_sql()} {SHOW_SETS} FROM itemsets
-  WHERE len(items) >= 2 AND contains(lower(array_to_string(items, ' ')), 'small')
-  ORDER BY support DESC, itemsets.items LIMIT 300""")
+  WHERE len(items) >= 2 AND contains(lower(array_to_string(items, ' ')), 'small')""")
 def _(spark, d):
     return shown_itemsets(R.itemsets_with_text(mined(spark, d).itemsets, "small"))
 
 
 @query("rules_with_text", f"""{rule_sql()} {SHOW_RULES} FROM rules
   WHERE contains(lower(array_to_string(rules.antecedents, ' ')), 'small')
-  OR contains(lower(array_to_string(rules.consequents, ' ')), 'small')
-  ORDER BY rules.lift DESC, rules.confidence DESC, rules.support DESC, rules.antecedents, rules.consequents LIMIT 200""")
+  OR contains(lower(array_to_string(rules.consequents, ' ')), 'small')""")
 def _(spark, d):
     return shown_rules(R.rules_with_text(mined(spark, d).rules, "SMALL"))
 
@@ -252,10 +259,10 @@ stored AS ({S.stored('recs', 'fpgrowth')} UNION ALL {S.stored('recs2', 'apriori'
 def catalog_and_stored(spark, sf_dir):
     lines = materialize(cleaned(spark, sf_dir, WIDE[0]).select("InvoiceNo", "StockCode", "Description", "UnitPrice"))
     catalog = materialize(C.product_catalog(lines, digits=None))
-    carts = materialize(baskets(lines))
+    runs = [MiningSettings(WIDE[1], WIDE[2], "fpgrowth"), MiningSettings(WIDE[1], APRIORI_CONFIDENCE, "apriori")]
     stored = None
-    for algorithm, confidence in (("fpgrowth", WIDE[2]), ("apriori", APRIORI_CONFIDENCE)):
-        found = mine(carts, MiningSettings(WIDE[1], confidence, algorithm))
+    for found in mine_all(baskets(lines), runs):
+        algorithm = found.settings.algorithm
         part = V.stored_recommendations(
             R.all_recommendations(found.itemsets, found.rules), catalog, algorithm
         )
@@ -357,33 +364,46 @@ def _(spark, d):
 
 # ---- checks -------------------------------------------------------------------------------
 
-def _no_violations(check: str, source: str) -> str:
-    return f"SELECT '{check}' AS check_name, count(*) AS total, CAST(0 AS BIGINT) AS violations FROM {source}"
+# Every seventh count is spoiled before the check, and the SQL counts those.
+SPOILED = "freq % 7 = 0"
+
+
+def spoiled(df, **columns):
+    """``df`` with the columns moved by so much in every seventh row, told by its count."""
+    return df.withColumns({c: F.when(F.expr(SPOILED), F.col(c) + by).otherwise(F.col(c)) for c, by in columns.items()})
+
+
+def _violations(check: str, source: str) -> str:
+    return f"SELECT '{check}' AS check_name, count(*) AS total, count(*) FILTER ({SPOILED}) AS violations FROM {source}"
 
 
-@query("validate_itemsets", f"{itemset_sql()} {_no_violations('itemset_recount', 'itemsets')}")
+@query("validate_itemsets", f"{itemset_sql()} {_violations('itemset_recount', 'itemsets')}")
 def _(spark, d):
     carts = materialize(mining_baskets(spark, d, LARGE[0]))
     found = mine(carts, MiningSettings(*LARGE[1:]))
-    return Q.check_itemsets(carts, found.itemsets, found.n_baskets)
+    return Q.check_itemsets(carts, spoiled(found.itemsets, freq=1), found.n_baskets)
 
 
-@query("validate_rules", f"{rule_sql(WIDE)} {_no_violations('rule_recompute', 'rules')}")
+@query("validate_rules", f"{rule_sql(WIDE)} {_violations('rule_recompute', 'rules')}")
 def _(spark, d):
     carts = materialize(mining_baskets(spark, d, WIDE[0]))
     found = mine(carts, MiningSettings(*WIDE[1:]))
-    return Q.check_rules(carts, found.rules, found.n_baskets)
+    return Q.check_rules(carts, spoiled(found.rules, lift=1), found.n_baskets)
 
 
-@query("threshold_violations", f"""{rule_sql()} {_no_violations('rule_min_support', 'rules')}
-UNION ALL {_no_violations('rule_min_confidence', 'rules')}""")
+@query("threshold_violations", f"""{rule_sql()} {_violations('rule_min_support', 'rules')}
+UNION ALL {_violations('rule_min_confidence', 'rules')}""")
 def _(spark, d):
-    return Q.check_thresholds(mined(spark, d).rules, LARGE[1], LARGE[2])
+    return Q.check_thresholds(spoiled(mined(spark, d).rules, support=-1, confidence=-1), LARGE[1], LARGE[2])
 
 
-@query("unique_itemsets", f"{itemset_sql()} {_no_violations('itemset_unique', 'itemsets')}")
+@query("unique_itemsets", f"""{itemset_sql()} SELECT 'itemset_unique' AS check_name,
+  count(*) + count(*) FILTER ({SPOILED}) AS total, count(*) FILTER ({SPOILED}) AS violations FROM itemsets""")
 def _(spark, d):
-    return Q.check_unique(mined(spark, d, algorithm="son").itemsets)
+    """Some itemsets are listed again, their items in another order."""
+    found = mined(spark, d, algorithm="son").itemsets
+    again = found.filter(SPOILED).withColumn("items", F.reverse("items"))
+    return Q.check_unique(found.unionByName(again))
 
 
 @query("positive_rule_share", f"""{rule_sql(WIDE)} SELECT count(*) AS rules, count(*) FILTER (lift > 1) AS positive,
@@ -410,9 +430,9 @@ def _(spark, d):
     )
 
 
-@query("rule_agreement", f"{rule_sql()} {_no_violations('rule_agreement', 'rules')}")
+@query("rule_agreement", f"{rule_sql()} {_violations('rule_agreement', 'rules')}")
 def _(spark, d):
-    return Q.check_agreement(mined(spark, d).rules, mined(spark, d, algorithm="apriori").rules)
+    return Q.check_agreement(mined(spark, d).rules, spoiled(mined(spark, d, algorithm="apriori").rules, lift=1))
 
 
 @query("recs_backed", f"""{STORED_SQL} SELECT DISTINCT product, rec_product,
@@ -424,15 +444,18 @@ def _(spark, d):
     return Q.recommendation_evidence(catalog_and_stored(spark, d)[1], found.rules, found.itemsets)
 
 
-@query("recs_backed_check", f"{STORED_SQL} SELECT 'recommendation_backed' AS check_name, count(*) AS total, CAST(0 AS BIGINT) AS violations FROM (SELECT DISTINCT product, rec_product FROM stored)")
+@query("recs_backed_check", f"{STORED_SQL} SELECT 'recommendation_backed' AS check_name, 2 * count(*) AS total, count(*) AS violations FROM (SELECT DISTINCT product, rec_product FROM stored)")
 def _(spark, d):
+    """Each recommendation is checked besides one of a product that there is not."""
     found = mined(spark, d, WIDE)
-    return Q.check_recommendations(catalog_and_stored(spark, d)[1], found.rules, found.itemsets)
+    stored = catalog_and_stored(spark, d)[1].select("product", "rec_product")
+    none = stored.withColumn("rec_product", F.concat(F.lit("no "), "rec_product"))
+    return Q.check_recommendations(stored.unionByName(none), found.rules, found.itemsets)
 
 
 # ---- held-out evaluation ------------------------------------------------------------------
 
-_TEST = f"substr(md5(InvoiceNo || '/7'), 1, 4) < '{int(0.2 * 0x10000):04x}'"
+_TEST = f"CAST('0x' || substr(md5(InvoiceNo || '/7'), 1, 8) AS BIGINT) < {int(0.2 * 2**32)}"
 
 
 @query("hold_out_hit_rate", f"""{S.basket_ctes('p_brand')},

@@ -167,9 +167,9 @@ def _(spark, d):
     return B.as_text(B.baskets(cleaned(spark, d), min_items=1, fold_case=True))
 
 
-@query("first_transactions", f"{S.basket_ctes(ITEM)} SELECT InvoiceNo, array_to_string(items, ', ') AS Items FROM baskets ORDER BY InvoiceNo LIMIT 2000")
+@query("first_transactions", f"{S.basket_ctes(ITEM)} SELECT InvoiceNo, array_to_string(items, ', ') AS Items FROM baskets")
 def _(spark, d):
-    return B.as_text(P.first_baskets(mining_baskets(spark, d), 2000))
+    return B.as_text(P.first_baskets(mining_baskets(spark, d), None))
 
 
 @query("sample_baskets", f"""{S.basket_ctes(ITEM)} SELECT InvoiceNo, array_to_string(items, ', ') AS Items,
@@ -301,7 +301,9 @@ def _(spark, d):
     return P.size_distribution(cleaned(spark, d)).orderBy("ItemCount")
 
 
-@query("basket_checksum")
+@query("basket_checksum", f"""{S.cleaned(ITEM)} SELECT InvoiceNo, count(*) AS ItemCount,
+  sum(CAST('0x' || substr(md5(Description), 1, 15) AS BIGINT))::DECIMAL(38, 0) AS DescriptionChecksum
+  FROM cleaned WHERE Description IS NOT NULL AND trim(Description) <> '' GROUP BY 1""")
 def _(spark, d):
     return P.basket_checksum(cleaned(spark, d))
 
@@ -322,6 +324,14 @@ def _(spark, d):
     return C.product_catalog(cleaned(spark, d, "p_name"), digits=None).orderBy("description")
 
 
+@query("catalog_to_two_places", f"""{_CATALOG} SELECT description, stock_code,
+  CAST(round(CAST(sum_price AS DECIMAL(38, 10)) / n, 2) AS DOUBLE) AS avg_price FROM (SELECT Description AS description,
+  min(StockCode) AS stock_code, sum(UnitPrice) AS sum_price, count(*) AS n FROM cleaned
+  WHERE UnitPrice > 0 AND trim(Description) <> '' GROUP BY 1)""")
+def _(spark, d):
+    return C.product_catalog(cleaned(spark, d, "p_name"))
+
+
 @query("average_prices", f"{S.cleaned('p_name')}, {S.PRICES} SELECT * FROM prices")
 def _(spark, d):
     return C.average_prices(cleaned(spark, d, "p_name"))
