@@ -2,12 +2,12 @@
 
     P(grade > k) = sigmoid(w . x - cut_k),   cut_0 < cut_1 < ...
 
-One weight per feature is shared by all thresholds; only the cuts differ. ``x`` is sparse: log(1 + count) of the words
-and word beginnings the model uses. Expected severity is the sum of the P(grade > k).
+One weight per feature is shared by all thresholds; only the cuts differ. ``x`` is sparse: log(1 + count) of the short
+words and word beginnings the model uses. Expected severity is the sum of the P(grade > k).
 
-The features are chosen from document counts over all labelled rows, made with partial counts inside the tasks.
-The weights are fitted on at most ``FIT_ROWS`` labelled rows, chosen by a hash of id and text; this bound, and at most
-``FEATURES`` words, bound what reaches the driver. Scoring covers every row.
+The model is fitted on at most ``FIT_ROWS`` labelled rows, chosen by a hash; with at most ``FEATURES`` features this bounds
+what is broadcast and what reaches the driver. Document counts of features are made with partial counts inside the
+tasks. Scoring covers every row.
 """
 
 from __future__ import annotations
@@ -26,15 +26,15 @@ from pyspark.sql import functions as F
 from tillspark.llm.shared import bound_batches
 from tillspark.runtime import drop_materialized, materialize
 
-FEATURES, FIT_ROWS = 2048, 16_000
+FEATURES, FIT_ROWS = 2048, 30_000
 #: A feature is used if it stands in so many documents and its share of toxic ones is so many deviations off.
 LEAST_DOCS, LEAST_Z = 3, 4.0
-#: Lengths of word beginnings, which catch inflected and compounded forms.
+#: Lengths of word beginnings, which catch inflected and compounded forms; words up to the last are features themselves.
 BEGINNINGS = (4, 5, 6)
 RIDGE, STEPS = 2e-4, 400
 #: A row is called toxic if its probability of a grade above 0 reaches a threshold, fitted between these.
 THRESHOLDS = (0.05, 0.5)
-PARTIAL = 200_000
+PARTIAL = 400_000
 #: Features by which toxic texts are told more and less severe.
 TELLING = 128
 
@@ -45,12 +45,26 @@ def _words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _features_of(word: str) -> list[str]:
-    return [word, *(f"^{word[:n]}" for n in BEGINNINGS if len(word) >= n)]
+def _features_of(word: str) -> tuple[str, ...]:
+    starts = tuple(word[:n] for n in BEGINNINGS if len(word) >= n)
+    return (*starts, f"{word}$") if len(word) <= BEGINNINGS[-1] else starts
+
+
+class _ByWord(dict):
+    """A function of words that keeps what it gave, up to a bound."""
+
+    def __init__(self, function, most: int = 300_000):
+        self.function, self.most = function, most
+
+    def __missing__(self, word: str):
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = out = self.function(word)
+        return out
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    every, high = Counter(), Counter()
+    every, high, features = Counter(), Counter(), _ByWord(_features_of)
 
     def out() -> pa.RecordBatch:
         names = list(every)
@@ -62,32 +76,34 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
     for batch in batches:
         for text, grade in zip(batch.column(0), batch.column(1)):
-            words = {f for w in set(_words(text.as_py())) for f in _features_of(w)}
-            every.update(words)
+            found = set(chain.from_iterable(map(features.__getitem__, set(_words(text.as_py())))))
+            every.update(found)
             if grade.as_py() > 0:
-                high.update(words)
+                high.update(found)
             if len(every) > PARTIAL:
                 yield out()
     yield out()
 
 
+def document_counts(labelled: DataFrame, text: str = "text", grade: str = "grade") -> DataFrame:
+    """(word, n, high): of each feature its documents, and those with a grade above 0; a stored table."""
+    rows = labelled.select(F.col(text).alias("text"), F.col(grade).cast("int").alias("grade")).filter(F.col("text").isNotNull() & (F.col("grade") >= 0))
+    return materialize(rows.mapInArrow(_document_counts, "word string, n long, high long")
+                       .groupBy("word").agg(F.sum("n").alias("n"), F.sum("high").alias("high")))
+
+
 @dataclass
 class SeverityModel:
     index: dict[str, int]
     weights: np.ndarray
     cuts: np.ndarray
     threshold: float = THRESHOLDS[1]
-    most: int = 300_000
-    seen: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
+    seen: _ByWord | None = field(default=None, repr=False)
 
     def features(self, text: str | None) -> tuple[list[int], np.ndarray]:
-        words = _words(text)
-        if len(self.seen) > self.most:
-            self.seen = {}
-        for w in words:
-            if w not in self.seen:
-                self.seen[w] = tuple(self.index[f] for f in _features_of(w) if f in self.index)
-        counts = Counter(chain.from_iterable(map(self.seen.__getitem__, words)))
+        if self.seen is None:
+            self.seen = _ByWord(lambda w: tuple(self.index[f] for f in _features_of(w) if f in self.index))
+        counts = Counter(chain.from_iterable(map(self.seen.__getitem__, _words(text))))
         places = sorted(counts)
         return places, np.log1p([counts[i] for i in places])
 
@@ -146,10 +162,20 @@ def fit_threshold(p: np.ndarray, high: np.ndarray) -> float:
     return float(np.clip(_sigmoid(np.array(middle)), *THRESHOLDS))
 
 
-def learn(labelled: DataFrame, doc: str = "doc_id", text: str = "text", grade: str = "grade") -> SeverityModel:
+def _chosen(n: int, *columns: str):
+    """A condition that holds for at most FIT_ROWS of ``n`` rows, by a hash; a little under, whatever the hash deals."""
+    steps = 1 << 20
+    kept = steps if n <= FIT_ROWS else int(steps * 0.95 * FIT_ROWS / n)
+    return F.pmod(F.xxhash64(*columns), F.lit(steps)) < kept
+
+
+def learn(
+    labelled: DataFrame, doc: str = "doc_id", text: str = "text", grade: str = "grade", counts: DataFrame | None = None,
+) -> SeverityModel:
     """Fit to rows with a whole-number ``grade`` from 0 up; rows whose grade or text is NULL are left out.
 
-    With no rows, or with one grade only, the model gives every row severity 0.
+    ``counts`` is what ``document_counts`` gives for these rows, if it is there already. With no rows, or with one
+    grade only, the model gives every row severity 0.
     """
     spark = labelled.sparkSession
     bound_batches(spark)
@@ -159,13 +185,11 @@ def learn(labelled: DataFrame, doc: str = "doc_id", text: str = "text", grade: s
                     F.coalesce(F.max("grade"), F.lit(0)).alias("top")).first()
     if size.high in (0, size.n):
         return SeverityModel({}, np.zeros(0), np.full(max(size.top, 1), 500.0))
-    counts = materialize(rows.select("text", "grade").mapInArrow(_document_counts, "word string, n long, high long")
-                         .groupBy("word").agg(F.sum("n").alias("n"), F.sum("high").alias("high")))
+    counts = counts if counts is not None else document_counts(rows)
     share = size.high / size.n
     z = (F.col("high") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
     chosen = [r.word for r in counts.filter(F.col("n") >= LEAST_DOCS).withColumn("z", z)
               .filter(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "word").limit(FEATURES).collect()]
-    drop_materialized(counts)
     model = SeverityModel({w: i for i, w in enumerate(chosen)}, np.zeros(len(chosen)), np.zeros(size.top))
     sent = spark.sparkContext.broadcast(model)
 
@@ -176,10 +200,7 @@ def learn(labelled: DataFrame, doc: str = "doc_id", text: str = "text", grade: s
             [pa.array([p for p, _ in found], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in found], pa.list_(pa.float64()))],
             names=["places", "values"])
 
-    # A little under the bound, so that it holds whatever the hash deals.
-    bits = 1 << 20
-    kept = bits if size.n <= FIT_ROWS else int(bits * 0.95 * FIT_ROWS / size.n)
-    sample = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(bits)) < kept)
+    sample = rows.filter(_chosen(size.n, "id", "text"))
     held = sample.select("grade", features("text").alias("x")).select("grade", "x.*").toArrow()
     grades = held["grade"].to_numpy()
     lists = held["places"].combine_chunks()
@@ -192,31 +213,36 @@ def learn(labelled: DataFrame, doc: str = "doc_id", text: str = "text", grade: s
     return model
 
 
-def severity_grades(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, grade) of the labelled documents: 0 clean, 1 toxic, 2 toxic and strongly so.
+def learn_severity(docs: DataFrame, labels: DataFrame) -> SeverityModel:
+    """A model from labels (doc_id, toxic) that tell toxic from clean only.
 
-    The labels tell toxic from clean only. The second step of severity is read from the texts: toxic documents
-    with more than the median number of telling words, those whose documents are toxic nine times in ten. Rows without text or label are left out; a document labelled twice counts twice.
+    Grades: 0 clean, 1 toxic, 2 toxic and strongly so. The second step is read from the texts: toxic documents
+    with more than the median number of telling words, those whose documents are toxic nine times in ten. Rows
+    without text or label are left out; labels that repeat count once. At most FIT_ROWS labels are used: they are
+    broadcast to the documents, so no text is shuffled, and the texts found are stored until the model is there.
     """
-    rows = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id")
-    rows = rows.filter(F.col("text").isNotNull() & F.col("toxic").isNotNull())
-    base = rows.agg(F.avg((F.col("toxic") > 0).cast("double")).alias("share")).first().share
-    if not base:
-        return rows.select("doc_id", "text", F.lit(0).alias("grade"))
     bound_batches(docs.sparkSession)
-    counts = rows.select("text", "toxic").mapInArrow(_document_counts, "word string, n long, high long")
-    counts = counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("high").alias("high"))
-    z = (F.col("high") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
+    toxic = labels.filter(F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("grade")).distinct()
+    used = toxic.filter(_chosen(toxic.count(), "doc_id", "grade"))
+    rows = materialize(docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(used), "doc_id"))
+    counts = document_counts(rows)
+    base = rows.agg(F.avg("grade").alias("share")).first().share
+    z = (F.col("high") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base)) if base else F.lit(0.0)
     often = counts.filter((F.col("n") >= LEAST_DOCS) & (F.col("high") > 0.9 * F.col("n")))
     telling = {r.word for r in often.orderBy(F.desc(z), "word").limit(TELLING).collect()}
 
     @F.arrow_udf("long")
     def hits(texts: pa.Array) -> pa.Array:
-        return pa.array([sum(any(f in telling for f in _features_of(w)) for w in _words(t.as_py())) for t in texts], pa.int64())
-
-    graded = materialize(rows.withColumn("hits", hits("text")))
-    middle = graded.filter("toxic > 0").agg(F.percentile_approx("hits", 0.5).alias("m")).first().m
-    return graded.select("doc_id", "text", F.when(F.col("toxic") <= 0, 0).when(F.col("hits") <= middle, 1).otherwise(2).alias("grade"))
+        tells = _ByWord(lambda w: any(f in telling for f in _features_of(w)))
+        return pa.array([sum(map(tells.__getitem__, _words(t.as_py()))) for t in texts], pa.int64())
+
+    found = rows.filter("grade > 0").select("doc_id", "text", hits("text").alias("hits"))
+    middle = found.agg(F.percentile_approx("hits", 0.5).alias("m")).first().m
+    high = found.select("doc_id", "text", F.when(F.col("hits") <= F.lit(middle), 1).otherwise(2).alias("grade"))
+    model = learn(rows.filter("grade = 0").unionByName(high), counts=counts)
+    for done in (rows, counts):
+        drop_materialized(done)
+    return model
 
 
 def scorer(spark, model: SeverityModel):
