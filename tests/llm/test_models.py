@@ -87,6 +87,7 @@ def test_toxicity_without_a_second_grade(spark, docs_of):
 def test_toxicity_query_on_labelled_documents(spark, sf):
     from tillspark.llm.queries import QUERIES
 
+    sf = sf.replace("sf0.001", "sf0.01")  # the smallest tables have a handful of toxic rows
     found = QUERIES["op1_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("toxic", "said"), "doc_id")
     clean = found.filter("said = 0").agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     caught = found.filter("said = 1").agg(F.avg(F.col("toxic").cast("double"))).first()[0]

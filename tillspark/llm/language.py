@@ -183,7 +183,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", words: in
     n = len(known)
     return LanguageModel(
         languages, {r["item"]: i for i, r in enumerate(known)}, {r["item"]: n + i for i, r in enumerate(frequent)},
-        np.array(rows).reshape(-1, len(languages)))
+        np.array(rows).reshape(len(rows), len(languages)))
 
 
 def predictor(spark, model: LanguageModel):

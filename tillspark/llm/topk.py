@@ -26,7 +26,8 @@ from tillspark.runtime import drop_materialized, materialize
 SCALE = 256
 #: The most pivots of the cells; and about the most vectors of a data or query block.
 PIVOTS, BLOCK, QUERY_BLOCK = 1024, 4096, 512
-LEAF = 48
+#: Rows of a leaf of the data's tree, and of the queries', where small groups make the bounds tight.
+LEAF, QUERY_LEAF = 48, 8
 
 
 class CoverTree:
@@ -92,7 +93,7 @@ class Search:
     """Best lists of the queries of one block, against data blocks one after another."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, known: list[int | None], k: int):
-        self.k, self.tree = k, CoverTree(x)
+        self.k, self.tree = k, CoverTree(x, QUERY_LEAF)
         self.ids = ids[self.tree.rows]
         # A score that k others are already known to reach; what is below it cannot be in the answer.
         self.worst = np.array([-np.inf if known[i] is None else known[i] for i in self.tree.rows])

@@ -157,8 +157,10 @@ def fit_threshold(p: np.ndarray, high: np.ndarray) -> float:
     odds = np.log(np.clip(p[order], 1e-9, 1 - 1e-9) / (1 - np.clip(p[order], 1e-9, 1 - 1e-9)))
     # Errors if all rows from place i on are called high: missed ones before it, clean ones from it.
     errors = np.append(0, np.cumsum(high[order])) + np.append(np.cumsum(~high[order][::-1])[::-1], 0)
-    best = int(np.argmin(errors[1:-1])) + 1 if len(p) > 1 else 0
-    middle = (odds[best - 1] + odds[best]) / 2 if best else 0.0
+    # Only between different odds, or above all.
+    places = np.append(np.flatnonzero(np.diff(odds) > 1e-9) + 1, len(p))
+    best = int(places[np.argmin(errors[places])])
+    middle = (odds[best - 1] + odds[best]) / 2 if best < len(p) else np.inf
     return float(np.clip(_sigmoid(np.array(middle)), *THRESHOLDS))
 
 
