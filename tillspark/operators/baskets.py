@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillspark.functions.text import non_blank, strip
-from tillspark.runtime import salted_join
+from tillspark.runtime import materialize, salted_join
 
 
 def basket_items(lines: DataFrame, trim: bool = True, fold_case: bool = False) -> DataFrame:
@@ -37,18 +37,13 @@ def baskets(
 def frequent_transactions(lines: DataFrame, min_count: int, min_items: int = 2) -> DataFrame:
     """Mining baskets without the items on fewer than ``min_count`` of them, most frequent item first.
 
-    Rare items are dropped from the (invoice, item) rows, before baskets are gathered.
+    The baskets are built and stored once; counting and filtering read that table, not the lines.
     """
-    pairs = basket_items(lines)
-    sizes = pairs.groupBy("InvoiceNo").agg(F.count("*").alias("k"))
-    small = sizes.filter(F.col("k") < min_items).select("InvoiceNo")
-    # The pairs are distinct, so a busy invoice brings no more rows here than there are items.
-    kept = pairs.join(
-        small, pairs["InvoiceNo"].eqNullSafe(small["InvoiceNo"]), "left_anti"
-    )
-    counts = kept.groupBy("item").agg(F.count("*").alias("freq")).filter(F.col("freq") >= min_count)
+    stored = materialize(baskets(lines, min_items))
+    pairs = stored.select("InvoiceNo", F.explode("items").alias("item"))
+    counts = pairs.groupBy("item").agg(F.count("*").alias("freq")).filter(F.col("freq") >= min_count)
     return (
-        salted_join(kept, counts, ["item"], ["InvoiceNo"])
+        salted_join(pairs, counts, ["item"], ["InvoiceNo"])
         .groupBy("InvoiceNo")
         .agg(F.sort_array(F.collect_list(F.struct((-F.col("freq")).alias("f"), "item"))).alias("rows"))
         .select("InvoiceNo", F.col("rows.item").alias("items"))
@@ -122,13 +117,11 @@ def with_size_stats(basket_df: DataFrame) -> DataFrame:
 def with_item_frequencies(lines: DataFrame) -> DataFrame:
     """Baskets with, for each item in order, the number of invoices it is on.
 
-    Items and frequencies meet before the baskets are gathered: the pairs are joined to the item
-    counts and grouped once.
+    Items and frequencies meet before the baskets are gathered: the distinct pairs are stored once,
+    counted per item, joined to the counts and grouped.
     """
-    from tillspark.operators.profile import item_frequency
-
-    pairs = basket_items(lines, trim=False)
-    freqs = item_frequency(lines).select(F.col("Description").alias("item"), "transaction_count")
+    pairs = materialize(basket_items(lines, trim=False))
+    freqs = pairs.groupBy("item").agg(F.count("InvoiceNo").alias("transaction_count"))
     return (
         salted_join(pairs, freqs, ["item"], ["InvoiceNo"])
         .groupBy("InvoiceNo")
