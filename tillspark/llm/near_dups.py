@@ -14,7 +14,7 @@ per document is one step per shingle and a few hundred points, whatever the numb
 Candidates share all rows of a band. Every candidate is compared by texts, exactly, before it counts. A bucket of many
 documents is not expanded into pairs: all members are compared with one leader; what is linked needs no more
 comparison, since only the groups matter; the others are compared with further leaders, and at last every pair that
-is still in different groups is compared. A link with similarity 0.8 is missed by all bands with probability 3e-6.
+is still in different groups is compared. A link with similarity 0.8 is missed by all bands with probability 7e-5.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillspark.llm.shared import bound_batches, components
+from tillspark.llm.shared import bound_batches, components, held
 from tillspark.runtime import drop_materialized, materialize
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
-#: Share of equal slots below which a pair is not read: five deviations under the expected 0.8.
+#: Share of equal slots below which a pair is not read: six deviations under the expected 0.8.
 LEAST_EQUAL = 0.58
-#: Rounds with a leader before all remaining pairs are compared, unless few remain earlier.
-LEADER_ROUNDS = 6
+#: Rounds with a leader before all remaining pairs are compared; one does if then so few pairs remain for each place in a bucket.
+LEADER_ROUNDS, PAIRS_PER_PLACE = 6, 20
 
 _WORD = re.compile(r"\w+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -57,9 +56,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
-@lru_cache(maxsize=300_000)
-def _word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word)
+class _WordHashes(dict):
+    """64-bit hashes of words, kept up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word)
+        return out
 
 
 def words_of(text: str | None) -> list[str]:
@@ -68,7 +72,8 @@ def words_of(text: str | None) -> list[str]:
 
 def shingles(words: list[str]) -> np.ndarray:
     """Hashes of all runs of five words; a shorter text is one run."""
-    h = np.fromiter(map(_word_hash, words), np.uint64, len(words))
+    known = held("word hashes", _WordHashes)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     if len(h) < WORDS:
         return _mix(np.cumsum(_mix(h) * _ODD + np.uint64(len(h)))[-1:])
     out = np.zeros(len(h) - WORDS + 1, dtype=np.uint64)
@@ -92,7 +97,7 @@ def signatures(bags: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     low, width = 0, 1
     live = np.arange(len(element))
     while len(live):
-        keys.append(_mix(element[live] + np.uint64(low + 1) * _ODD))
+        keys.append(_mix(element[live] + np.uint64((low + 1) * int(_ODD) % 2**64)))
         docs.append(owner[live])
         weights.append(weight[live])
         lows.append(np.full(len(live), low))
@@ -225,13 +230,16 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
         left = sums.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
         if not left.rows:
             break
-        last = left.pairs <= 4 * left.rows or turn == LEADER_ROUNDS
+        last = turn == LEADER_ROUNDS or turn > 0 and left.pairs <= PAIRS_PER_PLACE * left.rows
         if last:
             one = open_rows.select("band", "key", F.col("id").alias("a"), F.col("group").alias("ga"))
             pairs = one.join(open_rows.select("band", "key", F.col("id").alias("b"), F.col("group").alias("gb")), ["band", "key"])
             pairs = pairs.filter("ga < gb")
         else:
-            leaders = open_rows.groupBy("band", "key").agg(F.min_by(F.struct("id", "group"), F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("l"))
+            # First one leader for all buckets of a crowd, which suits copies of one text; then one of each bucket's own, so
+            # that a document meets many, and a loose crowd grows together.
+            draw = F.xxhash64("id") if turn == 0 else F.xxhash64("id", "band", "key", F.lit(turn))
+            leaders = open_rows.groupBy("band", "key").agg(F.min_by(F.struct("id", "group"), F.struct(draw, "id")).alias("l"))
             pairs = open_rows.join(leaders, ["band", "key"]).filter(F.col("group") != F.col("l.group"))
             pairs = pairs.select(F.col("id").alias("a"), F.col("l.id").alias("b"))
         new = materialize(_links(pairs.select("a", "b").distinct(), slim, texts, similarity))
