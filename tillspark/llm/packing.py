@@ -2,8 +2,8 @@
 
 Each task packs the documents of its input partition in their order, in blocks of about ``BLOCK`` tokens, so
 nothing is shuffled. Within a block the places where a sequence may end are the ends of documents, the ends
-of sentences (for a penalty), and, for a larger one, the place exactly one window after such a place,
-where a window is full. The cheapest chain of windows is found with
+of sentences (for a penalty), and, where none of these lies within a window of the last, full windows (for a larger
+one). The cheapest chain of windows is found with
 
     cost(j) = min over i of cost(i) + padding(j - i) + penalty(j) + opening cost
 
@@ -39,14 +39,10 @@ SCHEMA = (
 
 def places(doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int) -> tuple[list[int], list[int]]:
     """All places where a sequence may end, from 0 on, and their penalties. No two are over ``window`` apart."""
-    total = int(doc_ends[-1])
     base = np.unique(np.concatenate(([0], doc_ends, sentence_ends)))
     gaps = np.diff(base)
-    extra = [base + window]
-    for i in np.flatnonzero(gaps > window):
-        extra.append(np.arange(base[i] + window, base[i + 1], window))
-    hard = np.setdiff1d(np.concatenate(extra), base)
-    every = np.concatenate((base, hard[hard < total]))
+    long = np.flatnonzero(gaps > window)
+    every = np.concatenate((base, *(np.arange(base[i] + window, base[i + 1], window) for i in long)))
     penalty = np.full(len(every), INSIDE)
     penalty[:len(base)] = AT_SENTENCE
     penalty[:len(base)][np.isin(base, doc_ends)] = 0
@@ -56,8 +52,15 @@ def places(doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int) -> tupl
 
 def best_cuts(at: list[int], penalty: list[int], window: int) -> list[int]:
     """Where the windows of the cheapest chain end."""
-    powers = [1 << k for k in range(window.bit_length()) if LEAST_POWER <= 1 << k <= window]
-    index = {p: i for i, p in enumerate(at)}
+    places_at = np.asarray(at)
+    exact: dict[int, list[int]] = {}
+    for k in range(window.bit_length()):
+        if LEAST_POWER <= 1 << k <= window:
+            back = places_at - (1 << k)
+            i = np.searchsorted(places_at, back)
+            j = np.flatnonzero((back >= 0) & (places_at[i] == back))
+            for a, b in zip(j.tolist(), i[j].tolist()):
+                exact.setdefault(a, []).append(b)
     cost, before, keyed, queue = [0], [0], [0], deque([0])
     for j in range(1, len(at)):
         p = at[j]
@@ -65,15 +68,16 @@ def best_cuts(at: list[int], penalty: list[int], window: int) -> list[int]:
             queue.popleft()
         i = queue[0]
         best = keyed[i] + window - p
-        for s in powers:
-            t = index.get(p - s)
-            if t is not None and cost[t] < best:
-                best, i = cost[t], t
+        if j in exact:
+            for t in exact[j]:
+                if cost[t] < best:
+                    best, i = cost[t], t
         best += penalty[j] + OPENING
         cost.append(best)
         before.append(i)
-        keyed.append(best + p)
-        while queue and keyed[queue[-1]] >= best + p:
+        best += p
+        keyed.append(best)
+        while queue and keyed[queue[-1]] >= best:
             queue.pop()
         queue.append(j)
     cuts, j = [], len(at) - 1

@@ -5,16 +5,21 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 
+from tillspark.llm.shared import held
+
 # Python's \s without the four separators that the tokenizers' own white space leaves out.
 WS, NOT_WS = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
-#: White space and what follows up to the next white space.
+#: White space and what follows up to the next white space. Byte-level pre-tokens always break between such pieces: no
+#: alternative of the pattern runs on from other text into white space, and none that ends there looks ahead.
 PIECE = re.compile(rf"{WS}*{NOT_WS}+|{WS}+")
-#: Ends where white space follows other text. Byte-level pre-tokens always break there: no alternative of
-#: the pattern runs from other text into white space, and none that ends in other text looks ahead.
+#: After letters they start a pre-token of their own, as letters are never taken up by what follows them.
+PUNCTUATION = ".,;:!?"
+#: Where cutting before a space would part a run of white space.
+SPACED = re.compile(rf"{WS} ")
+#: Ends where white space follows other text; pre-tokens always break there, too.
 STABLE = re.compile(rf"{NOT_WS}(?={WS})")
 
 
@@ -31,43 +36,98 @@ def stable_slices(text: str, size: int) -> Iterator[str]:
 
 
 class PieceEncoder:
-    """ids(text) equals the library's ids without added special tokens. At most ``most`` short pieces are kept."""
+    """ids(text) equals the library's ids without added special tokens.
+
+    Texts are cut before single spaces, and each distinct word is encoded once. Words seen twice are kept (``most``
+    of them), words seen once for a while (``fresh`` of them); longer ones than ``longest`` never.
+    """
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 48, slice_chars: int = 1 << 18):
+    def __init__(self, path: str, most: int = 450_000, fresh: int = 300_000, longest: int = 48, slice_chars: int = 1 << 18):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.most, self.longest, self.slice_chars = most, longest, slice_chars
-        self.known: dict[str, bytes] = {}
+        self.most, self.fresh, self.longest, self.slice_chars = most, fresh, longest, slice_chars
+        # By word, without the space before it.
+        self.words: dict[str, bytes] = {}
+        self.new_words: dict[str, bytes] = {}
+        # A byte-level token has one character per byte; an added token stands for itself.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token)
+        self.marks = dict(zip(PUNCTUATION, self._encode(list(PUNCTUATION))))
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Words after a space, as one text; the ids are dealt out by their bytes."""
+        text = " " + " ".join(words)
+        ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        sizes = list(map(len, words)) if text.isascii() else [len(w.encode()) for w in words]
+        ends, wanted = np.cumsum(self.lengths[ids]), np.cumsum(sizes) + np.arange(1, len(words) + 1)
+        cuts = np.searchsorted(ends, wanted)
+        if cuts[-1] >= len(ends) or (ends[cuts] != wanted).any():
+            return self._encode([" " + w for w in words])
+        raw, cuts = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _new(self, missing: list[str]) -> dict[str, bytes]:
+        """The ids of words that are not kept."""
+        out, once, kept = {}, self.new_words, self.words
+        again, whole, ends_open = {}, [], []
+        for w in missing:
+            ids = once.pop(w, None)
+            if ids is not None:
+                again[w] = ids
+                continue
+            mark = self.marks.get(w[-1:])
+            if mark is not None and w[:-1].isalpha():
+                ids = kept.get(w[:-1]) or once.get(w[:-1])
+                if ids is not None:
+                    out[w] = ids + mark
+                    continue
+            (ends_open if not w or w[-1].isspace() else whole).append(w)
+        if whole:
+            out.update(zip(whole, self._encode_words(whole)))
+        if ends_open:
+            out.update(zip(ends_open, self._encode([" " + w for w in ends_open])))
+        if len(kept) > self.most:
+            self.words = kept = {}
+        if len(once) > self.fresh:
+            self.new_words = once = {}
+        kept.update(again)
+        once.update((w, ids) for w, ids in out.items() if len(w) < self.longest)
+        out.update(again)
+        return out
+
     def packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         out = []
         for part in stable_slices(text, self.slice_chars):
-            pieces = PIECE.findall(part)
-            if len(self.known) > self.most:
-                self.known = {}
-            new = [p for p in set(pieces) if p not in self.known]
-            if new:
-                self.known.update(zip(new, self._encode(new)))
-            out.append(b"".join(map(self.known.__getitem__, pieces)))
-            for p in new:
-                if len(p) > self.longest:
-                    del self.known[p]
+            if SPACED.search(part):
+                out += self._encode(PIECE.findall(part))
+                continue
+            head, *words = part.split(" ")
+            if head:
+                out += self._encode([head])
+            found = list(map(self.words.get, words))
+            if None in found:
+                places = [i for i, f in enumerate(found) if f is None]
+                new = self._new(list(dict.fromkeys([words[i] for i in places])))
+                for i in places:
+                    found[i] = new[words[i]]
+            out += found
         return b"".join(out)
 
     def count(self, text: str) -> int:
         return len(self.packed(text)) // 4
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
-    """One per Python worker and file."""
-    return PieceEncoder(path)
+    """One per Python worker."""
+    return held(("words", path), lambda: PieceEncoder(path))
