@@ -13,10 +13,11 @@ def test_language_words_then_grams(spark, docs_of):
     rows += [(i, "das haus und der garten mit anderen dingen", "de") for i in range(5, 10)]
     model = language.learn(labelled(spark, [*rows, (11, None, "fr"), (12, "und", None)]))
     assert model.languages == ["de", "en"]
-    assert model.predict("THE House")[0] == "en" and model.predict("der garten")[0] == "de"
+    predict = language.Predictor(model).predict
+    assert predict("THE House")[0] == "en" and predict("der garten")[0] == "de"
     # Words never seen, by their n-grams.
-    assert "gardening" not in model.words and model.predict("gardening otherthing")[0] == "en"
-    assert model.predict("anderungen haustand")[0] == "de"
+    assert "gardening" not in model.words and predict("gardening otherthing")[0] == "en"
+    assert predict("anderungen haustand")[0] == "de"
     docs = docs_of([(1, None), (2, ""), (3, "123 !? _ ²"), (4, "the garden"), (4, "the garden"), (None, "der garten"), (5, "the " * 50_000), (6, "qqq zzz")])
     got = sorted((str(r.doc_id), r.lang_pred, r.score) for r in language.identify(docs, model).collect())
     assert [g[:2] for g in got] == [("1", "und"), ("2", "und"), ("3", "und"), ("4", "en"), ("4", "en"), ("5", "en"), ("6", "de"), ("None", "de")]

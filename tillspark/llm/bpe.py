@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillspark.llm.shared import bound_batches
+from tillspark.llm.shared import bound_batches, held
 
 # Code points with the White_Space property.
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -260,10 +260,9 @@ def _byte_offsets(points: np.ndarray, starts: np.ndarray) -> list[int]:
     return [*(ends[starts] - width[starts]).tolist(), int(ends[-1])]
 
 
-@lru_cache(maxsize=2)
 def bpe(path: str) -> Bpe:
-    """One per Python worker and file."""
-    return Bpe(path)
+    """One per Python worker."""
+    return held(("bpe", path), lambda: Bpe(path))
 
 
 TOKENS = "struct<ids:array<int>,offsets:array<int>>"

@@ -10,6 +10,7 @@ positions the longest n-gram of the model is taken, and their log frequencies ar
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillspark.llm.shared import bound_batches
+from tillspark.llm.shared import bound_batches, held
 from tillspark.runtime import drop_materialized, materialize
 
 WORDS, GRAMS, LONGEST_GRAM = 60_000, 60_000, 5
@@ -108,9 +109,6 @@ class LanguageModel:
     words: dict[str, int]
     grams: dict[str, int]
     logs: np.ndarray
-    most: int = 400_000
-    seen: dict[str, int] = field(default_factory=dict, repr=False)
-    scores: np.ndarray | None = field(default=None, repr=False)
 
     def backed_off(self, words: list[str]) -> np.ndarray:
         """For each word the mean over its positions of the longest known n-gram there; zeros where none is known."""
@@ -133,23 +131,34 @@ class LanguageModel:
             out[some] = np.add.reduceat(self.logs[places], starts, axis=0) / sizes[some][:, None]
         return out
 
+
+@dataclass
+class Predictor:
+    """A model with the scores of words seen, up to a bound."""
+
+    model: LanguageModel
+    most: int = 300_000
+    seen: dict[str, int] = field(default_factory=dict, repr=False)
+    scores: np.ndarray | None = field(default=None, repr=False)
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its share of the likelihood; ties go to the first name."""
         words = words_of(text)
-        if not self.languages or not any(c.isalpha() for w in words for c in w):
+        model = self.model
+        if not model.languages or not any(c.isalpha() for w in words for c in w):
             return UNDETERMINED, 0.0
         if self.scores is None or len(self.seen) > self.most:
-            self.seen, self.scores = dict(self.words), self.logs[:len(self.words)]
+            self.seen, self.scores = dict(model.words), model.logs[:len(model.words)]
         new = [w for w in dict.fromkeys(words) if w not in self.seen]
         if new:
             first = len(self.seen)
             if first + len(new) > len(self.scores):
-                self.scores = np.concatenate((self.scores, np.zeros((first + len(new), len(self.languages)))))
-            self.scores[first:first + len(new)] = self.backed_off(new)
+                self.scores = np.concatenate((self.scores, np.zeros((first + len(new), len(model.languages)))))
+            self.scores[first:first + len(new)] = model.backed_off(new)
             self.seen.update(zip(new, range(first, first + len(new))))
         total = self.scores[list(map(self.seen.__getitem__, words))].sum(axis=0)
         best = int(np.argmax(total))
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
+        return model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", words: int = WORDS, grams: int = GRAMS) -> LanguageModel:
@@ -188,11 +197,12 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", words: in
 
 def predictor(spark, model: LanguageModel):
     """A column function: text to (lang_pred, score)."""
-    sent = spark.sparkContext.broadcast(model)
+    sent, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def predict(texts: pa.Array) -> pa.Array:
-        found = [sent.value.predict(t.as_py()) for t in texts]
+        known = held(("language", name), lambda: Predictor(sent.value))
+        found = [known.predict(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays(
             [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
             names=["lang_pred", "score"])

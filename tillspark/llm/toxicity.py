@@ -13,6 +13,7 @@ tasks. Scoring covers every row.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillspark.llm.shared import bound_batches
+from tillspark.llm.shared import bound_batches, held
 from tillspark.runtime import drop_materialized, materialize
 
 FEATURES, FIT_ROWS = 2048, 30_000
@@ -98,12 +99,13 @@ class SeverityModel:
     weights: np.ndarray
     cuts: np.ndarray
     threshold: float = THRESHOLDS[1]
-    seen: _ByWord | None = field(default=None, repr=False)
+    #: Tells models apart in workers that live on.
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def features(self, text: str | None) -> tuple[list[int], np.ndarray]:
-        if self.seen is None:
-            self.seen = _ByWord(lambda w: tuple(self.index[f] for f in _features_of(w) if f in self.index))
-        counts = Counter(chain.from_iterable(map(self.seen.__getitem__, _words(text))))
+        index = self.index
+        places_of = held(("severity", self.name), lambda: _ByWord(lambda w: tuple(index[f] for f in _features_of(w) if f in index)))
+        counts = Counter(chain.from_iterable(map(places_of.__getitem__, _words(text))))
         places = sorted(counts)
         return places, np.log1p([counts[i] for i in places])
 
