@@ -26,7 +26,7 @@ def library():
 
 
 @pytest.fixture(scope="module")
-def reference():
+def library_ids():
     with open(RANKS, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -50,13 +50,13 @@ def test_counts_of_nothing(docs_of):
     assert token_counts.count_tokens(docs_of([]), JSON).count() == 0
 
 
-def test_bpe_is_the_library(reference):
+def test_bpe_is_the_library(library_ids):
     known = bpe.Bpe(RANKS)
     texts = [*odd_texts(4000), "a" * 700, "ab" * 500 + " x", "  ", "\n\n a", "'s't're", ""]
     for one in (known, bpe.Bpe(RANKS, window=7, most=50)):
         for text, raw in zip(texts, one.encode_all(texts)):
             ids = np.frombuffer(raw, "<u4").tolist()
-            assert ids == reference(text), repr(text)
+            assert ids == library_ids(text), repr(text)
             assert one.decode(ids) == text.encode()
 
 
@@ -71,13 +71,13 @@ def test_scan_composes_like_one_state_after_another():
     assert reach[bpe._scan(as_function[kinds], product), bpe.FRESH].tolist() == want
 
 
-def test_encode_rows(docs_of, reference):
+def test_encode_rows(docs_of, library_ids):
     rows = [(1, "It's  a\ntest 123 é"), (1, "It's  a\ntest 123 é"), (None, "x"), (2, None), (3, ""), (4, "long 'word " * 40_000)]
     got = bpe.encode(docs_of(rows), RANKS).collect()
     assert len(got) == len(rows)
     for r in got:
         text = dict(rows)[r.doc_id] or ""
-        assert r.tokens.ids == reference(text)
+        assert r.tokens.ids == library_ids(text)
         pieces = [bpe.bpe(RANKS).tokens[i] for i in r.tokens.ids]
         assert r.tokens.offsets == np.cumsum([0, *map(len, pieces)])[:-1].tolist()
     assert bpe.encode(docs_of([]), RANKS).count() == 0
