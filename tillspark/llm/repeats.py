@@ -35,7 +35,7 @@ CORE = LENGTH - REACH
 #: Distinct zones of a core up to which they are compared in one task, and zones compared at once.
 HOT, AT_ONCE = 4096, 6000
 #: Bytes parsed at once; a longer text is parsed in slices.
-SLICE = 1 << 23
+SLICE = 1 << 20
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _PLACE = np.uint64(28)
@@ -231,9 +231,9 @@ def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
     drop_materialized(parsed)
     found = F.min(F.struct(*text, "x", "lo", "hi"))
     zones = materialize(shared.groupBy(*zone).agg(F.count(F.lit(1)).alias("n"), found.alias("at")))
-    whole = shared.join(zones.filter("n > 1").select(*zone), zone).select(*text, F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("stop"))
+    whole = shared.join(zones.filter("n > 1").select(*zone).hint("merge"), zone).select(*text, F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("stop"))
     mixed = zones.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("n") == 1).alias("singles")).filter("k > 1 and singles > 0")
-    edge = zones.join(mixed.select("core", "k"), "core").select(
+    edge = zones.join(mixed.select("core", "k").hint("merge"), "core").select(
         "at.*", F.struct("core", "at.x", "at.lo", "at.hi", (F.col("n") == 1).alias("single"), (F.col("k") > hot).alias("hot")).alias("z"))
     asked = edge.groupBy(*text).agg(F.collect_list("z").alias("zones"))
     once = rows.groupBy(*text).agg(F.first("raw").alias("raw")).join(asked.hint("merge"), text)
@@ -245,7 +245,7 @@ def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
         strings = materialize(pick(True).mapInArrow(_take, _TAKEN).mapInArrow(
             _each_string, "t1 long, t2 long, start long, single boolean, h1 long, h2 long"))
         again = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-        parts.append(strings.filter("single").join(again, ["h1", "h2"]).select(*text, "start", (F.col("start") + LENGTH).alias("stop")))
+        parts.append(strings.filter("single").join(again.hint("merge"), ["h1", "h2"]).select(*text, "start", (F.col("start") + LENGTH).alias("stop")))
     spans = parts[0]
     for p in parts[1:]:
         spans = spans.unionByName(p)
