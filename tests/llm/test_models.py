@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tillspark.llm import language, toxicity
+from tillspark.llm import language, shared, toxicity
 
 
 def labelled(spark, rows):
@@ -78,6 +78,28 @@ def test_toxicity_finds_labelled_kinds(spark, docs_of, prose):
     assert toxicity.score(docs_of([]), model).count() == 0
 
 
+def test_toxicity_counts_cover_all_labels(spark, docs_of, prose, monkeypatch):
+    docs = docs_of([(i, prose(30, i) + (" you nasty fool" * (1 + i % 3) if i % 5 == 0 else "")) for i in range(300)])
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 400)], "doc_id long, toxic int").repartition(3)
+    whole = toxicity.learn_severity(docs, labels)
+    counted, fitted, count, fit = [], [], toxicity.document_counts, toxicity.fit_cumulative_link
+    monkeypatch.setattr(toxicity, "document_counts", lambda rows, *a: counted.append(rows.count()) or count(rows, *a))
+    monkeypatch.setattr(toxicity, "fit_cumulative_link", lambda r, p, v, grades, *a: fitted.append(len(grades)) or fit(r, p, v, grades, *a))
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 60)
+    model = toxicity.learn_severity(docs, labels)
+    # The sample bounds the fit only: the same features and as many grades as with all rows.
+    assert counted == [300] and 0 < fitted[0] <= 80
+    assert model.index == whole.index and len(model.cuts) == len(whole.cuts) == 2
+
+
+def test_bitmap_has_every_key(spark):
+    keys = spark.range(5000).filter("id % 5 = 0")
+    bits = shared.bitmap(keys, 1000, F.xxhash64("id"))
+    rows = spark.range(5000).select("id", F.xxhash64("id").alias("h")).toPandas()
+    found = shared.has_bit(bits, rows.h.to_numpy())
+    assert found[rows.id % 5 == 0].all() and found.mean() < 0.35
+
+
 def test_toxicity_without_a_second_grade(spark, docs_of):
     for marks in ([], [(1, 0)], [(1, 1)]):
         labels = spark.createDataFrame(marks, "doc_id long, toxic int")

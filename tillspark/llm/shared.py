@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Hashable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillspark.runtime import drop_materialized, materialize
@@ -45,6 +46,32 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+#: A bitmap has sixteen places per key, between these.
+LEAST_PLACES, MOST_PLACES = 1 << 15, 1 << 26
+
+
+def bitmap(keys: DataFrame, n: int, number: Column) -> np.ndarray:
+    """Bits of the ``number`` (a whole number, such as a hash) of each of the ``n`` keys, modulo the size of the bitmap.
+
+    The size has a bound, so it can be broadcast. What has no bit is no key; what has one may be none, and more so in a
+    full bitmap: it only saves work ahead of a join.
+    """
+    places = min(max(LEAST_PLACES, 1 << (16 * n).bit_length()), MOST_PLACES)
+    # Buckets of 2^15 places; Spark counts the places from 1.
+    place = F.pmod(number, F.lit(places)) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros((places >> 15, 1 << 12), np.uint8)
+    for r in rows:
+        out[r.bucket - 1] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def has_bit(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Whether the bitmap has a bit for each of ``numbers``."""
+    places = np.mod(numbers, 8 * len(bits))
+    return (bits[places >> 3] >> (places & 7)) & 1 > 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over ``edges`` (a, b), for every id in an edge.
 

@@ -5,9 +5,9 @@
 One weight per feature is shared by all thresholds; only the cuts differ. ``x`` is sparse: log(1 + count) of the short
 words and word beginnings the model uses. Expected severity is the sum of the P(grade > k).
 
-The model is fitted on at most ``FIT_ROWS`` labelled rows, chosen by a hash; with at most ``FEATURES`` features this bounds
-what is broadcast and what reaches the driver. Document counts of features are made with partial counts inside the
-tasks. Scoring covers every row.
+The features are chosen from document counts over all labelled rows, made with partial counts inside the tasks. Only the
+weights, cuts and threshold are fitted on a sample, at most ``FIT_ROWS`` labelled rows chosen by a hash; with at most
+``FEATURES`` features this bounds what is broadcast and what reaches the driver. Scoring covers every row.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillspark.llm.shared import bound_batches, held
-from tillspark.runtime import drop_materialized, materialize
+from tillspark.llm.shared import bitmap, bound_batches, has_bit, held
+from tillspark.runtime import drop_materialized, materialize, materialize_counted
 
 FEATURES, FIT_ROWS = 2048, 30_000
 #: A feature is used if it stands in so many documents and its share of toxic ones is so many deviations off.
@@ -217,18 +217,32 @@ def learn(
     return model
 
 
+def _perhaps_among(ids: DataFrame, n: int):
+    """A column function of the hash of a doc_id: true for those of ``ids``, and for few others."""
+    sent = ids.sparkSession.sparkContext.broadcast(bitmap(ids, n, F.xxhash64("doc_id")))
+
+    @F.arrow_udf("boolean")
+    def perhaps(hashes: pa.Array) -> pa.Array:
+        return pa.array(has_bit(sent.value, hashes.to_numpy(zero_copy_only=False)))
+
+    return perhaps
+
+
 def learn_severity(docs: DataFrame, labels: DataFrame) -> SeverityModel:
     """A model from labels (doc_id, toxic) that tell toxic from clean only.
 
     Grades: 0 clean, 1 toxic, 2 toxic and strongly so. The second step is read from the texts: toxic documents
     with more than the median number of telling words, those whose documents are toxic nine times in ten. Rows
-    without text or label are left out; labels that repeat count once. At most FIT_ROWS labels are used: they are
-    broadcast to the documents, so no text is shuffled, and the texts found are stored until the model is there.
+    without text or label are left out; labels that repeat count once. Counts, shares and the median cover all labelled
+    documents. Their texts, and few others, are shuffled once to their labels and stored until the model is there.
     """
     bound_batches(docs.sparkSession)
-    toxic = labels.filter(F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("grade")).distinct()
-    used = toxic.filter(_chosen(toxic.count(), "doc_id", "grade"))
-    rows = materialize(docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(used), "doc_id"))
+    toxic, n = materialize_counted(
+        labels.filter(F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("grade")).distinct())
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    if docs.schema["doc_id"].dataType == labels.schema["doc_id"].dataType:  # or else equal ids may have other hashes
+        texts = texts.filter(_perhaps_among(toxic, n)(F.xxhash64("doc_id")))
+    rows = materialize(texts.join(toxic.hint("merge"), "doc_id"))
     counts = document_counts(rows)
     base = rows.agg(F.avg("grade").alias("share")).first().share
     z = (F.col("high") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base)) if base else F.lit(0.0)
@@ -244,7 +258,7 @@ def learn_severity(docs: DataFrame, labels: DataFrame) -> SeverityModel:
     middle = found.agg(F.percentile_approx("hits", 0.5).alias("m")).first().m
     high = found.select("doc_id", "text", F.when(F.col("hits") <= F.lit(middle), 1).otherwise(2).alias("grade"))
     model = learn(rows.filter("grade = 0").unionByName(high), counts=counts)
-    for done in (rows, counts):
+    for done in (toxic, rows, counts):
         drop_materialized(done)
     return model
 
