@@ -7,6 +7,8 @@ as empty, and no rows give no rows.
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from tillspark.runtime import drop_materialized, materialize
 
 #: A document whose likeliest language has less than this share of the likelihood is rejected.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Passages of over fifty words are removed where they repeat.
+PASSAGE_WORDS = 51
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -61,13 +65,13 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) ->
     return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
-def drop_repeated_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """All documents, without the bytes that lie in strings of 400 bytes that occur elsewhere, too.
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, folder: str, words: int | None = None) -> DataFrame:
+    """All documents, without their passages of ``words`` words that occur elsewhere, too; by default, strings of 400 bytes.
 
     Characters that lose some of their bytes go as a whole. NULL texts stay NULL; n_chars, where there is one, follows the text.
     """
     cut = spare(docs, "cut")
-    left = repeats.remove_repeats(docs)
+    left = repeats.remove_repeats(docs, words=words)
     text = F.when(F.col("text").isNotNull(), F.col(cut)["kept_text"])
     columns = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return left.withColumns(columns).select(*docs.columns)
@@ -82,7 +86,7 @@ STAGES = [
     ("language_id", keep_known_language),
     ("toxicity", drop_toxic),
     ("near_duplicates", keep_one_of_each_group),
-    ("repeated_passages", drop_repeated_passages),
+    ("repeated_passages", partial(drop_repeated_passages, words=PASSAGE_WORDS)),
     ("packing", pack_sequences),
 ]
 

@@ -47,6 +47,19 @@ def test_repeats_stage(spark, docs_of, prose):
         assert (got[doc].text, got[doc].n_chars) == (want, None if want is None else len(want))
 
 
+def test_passage_stage_goes_by_words(spark, docs_of, prose):
+    short = prose(56, 3, alphabet="aeinst")
+    long, few, ends = " ".join(f"{w}é" for w in prose(51, 4).split()), prose(50, 5), [prose(70, s) for s in range(10, 18)]
+    assert len(short.encode()) < 400 and len(short.split()) == 56
+    rows = [(1, f"{ends[0]} {short} {ends[1]}"), (2, f"{ends[2]}\n\"{short}\"\n{ends[3]}"), (3, f"{ends[4]} {long}"), (4, f"{long} {ends[5]}"),
+            (5, f"{ends[6]} {few} x"), (6, f"y {few} {ends[7]}"), (7, short), (8, None), (9, "")]
+    docs = table(docs_of, rows)
+    got = {r.doc_id: r for r in dict(corpus_pipeline.STAGES)["repeated_passages"](spark, docs, "").collect()}
+    want = {1: f"{ends[0]} {ends[1]}", 2: f"{ends[2]}\n{ends[3]}", 3: f"{ends[4]} ", 4: ends[5], 5: rows[4][1], 6: rows[5][1], 7: "", 8: None, 9: ""}
+    assert {d: r.text for d, r in got.items()} == want
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got.values())
+
+
 def test_stages_one_after_another(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     at = docs

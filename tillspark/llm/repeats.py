@@ -1,7 +1,7 @@
 """Removal of repeated byte strings by prefix-free parsing of the corpus.
 
 A byte is removed if it lies in a string of ``LENGTH`` bytes that starts anywhere else, too. Texts are parsed at triggers: a
-position triggers if its rolling hash of ``GRAM`` bytes is the least of the first ``REACH`` positions of some string of
+position triggers if its rolling hash of ``GRAM`` bytes is the least of the first ``reach_of`` positions of some string of
 ``LENGTH`` bytes. So each such string has one trigger, at the same place wherever the string occurs, and lies in
 the end of the phrase before the trigger and in what follows the trigger. The strings of one trigger are one zone.
 
@@ -15,12 +15,18 @@ the end of the phrase before the trigger and in what follows the trigger. The st
 
 A core with more than ``HOT`` distinct zones is not gathered: its strings are counted by hash, with partial counts. Hashes
 that decide alone have 128 bits. Everything is judged on the input; all counts run over the whole corpus.
+
+The length is ``LENGTH`` unless another is given. Passages of so many words are found in the same way: each word stands as
+the eight bytes of its hash, so a passage of n words is a string of 8 n bytes. A string that starts inside of a word adds
+no whole word, and so removes none, that its neighbours do not.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +36,37 @@ from pyspark.sql import functions as F
 from tillspark.llm.shared import bound_batches
 from tillspark.runtime import drop_materialized, materialize
 
-LENGTH, GRAM, REACH = 400, 16, 256
-CORE = LENGTH - REACH
+LENGTH, GRAM = 400, 16
 #: Distinct zones of a core up to which they are compared in one task, and zones compared at once.
 HOT, AT_ONCE = 4096, 6000
 #: Bytes parsed at once; a longer text is parsed in slices.
 SLICE = 1 << 20
 
+#: Words are what white space parts; of their edges, other signs than letters and digits do not count.
+_WORD = re.compile(r"\S+")
+_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+WORD_BYTES = 8
+
+
+def reach_of(length: int) -> int:
+    """Positions of a string among which its trigger is looked for; what follows the last one is the core."""
+    return length * 16 // 25
+
+
+@lru_cache(300_000)
+def _word_hash(word: str) -> bytes:
+    return hashlib.blake2b((_EDGES.sub("", word) or word).encode(), digest_size=WORD_BYTES).digest()
+
+
+def words_as_bytes(raw: bytes) -> bytes:
+    """The hashes of the words of a text, WORD_BYTES each."""
+    return b"".join(map(_word_hash, _WORD.findall(raw.decode())))
+
+
+def plain_bytes(raw: bytes) -> bytes:
+    return raw
+
+
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _PLACE = np.uint64(28)
 
@@ -73,19 +103,20 @@ def triggers(data: bytes, bounds: np.ndarray, length: int = LENGTH) -> tuple[np.
     none = (np.zeros(0, np.int64),) * 4
     if len(data) < length:
         return none
+    reach = reach_of(length)
     eights = _eights(data)
     h = _mix(eights[:len(data) - GRAM + 1] * _A + eights[8:len(data) - GRAM + 9] * _C)
     # The place in the low bits: of equal hashes the leftmost is least.
     key = (h >> _PLACE << _PLACE) | np.arange(len(h), dtype=np.uint64)
-    # Least key of each run of REACH + 1 places, from block-wise prefix and suffix minima.
-    width = REACH + 1
+    # Least key of each run of reach + 1 places, from block-wise prefix and suffix minima.
+    width = reach + 1
     blocks = np.append(key, np.full(-len(key) % width, ~np.uint64(0))).reshape(-1, width)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     starts = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(bounds, bounds[1:]) if b - a >= length] or [none[0]])
     if not len(starts):
         return none
-    least = np.minimum(behind[starts], ahead[starts + REACH])
+    least = np.minimum(behind[starts], ahead[starts + reach])
     trigger = (least & ((np.uint64(1) << _PLACE) - np.uint64(1))).astype(np.int64)
     cut = np.flatnonzero(np.append(True, (trigger[1:] != trigger[:-1]) | (starts[1:] != starts[:-1] + 1)))
     first, last = starts[cut], starts[np.append(cut[1:], len(starts)) - 1]
@@ -95,15 +126,15 @@ def triggers(data: bytes, bounds: np.ndarray, length: int = LENGTH) -> tuple[np.
 _ZONE = "t1 long, t2 long, x long, lo long, hi long, core long, f1 long, f2 long"
 
 
-def _slices(ids: list[tuple], texts: list[bytes]) -> Iterator[tuple[list[tuple], bytes, np.ndarray]]:
-    """Groups of texts of about SLICE bytes; a longer text in slices that overlap by LENGTH - 1. ids get their offset."""
+def _slices(ids: list[tuple], texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[list[tuple], bytes, np.ndarray]]:
+    """Groups of texts of about SLICE bytes; a longer text in slices that overlap by ``length`` - 1. ids get their offset."""
     held, parts, size = [], [], 0
     for key, text in zip(ids, texts):
         if len(text) > SLICE:
-            for at in range(0, len(text) - LENGTH + 1, SLICE):
-                part = text[at:at + SLICE + LENGTH - 1]
+            for at in range(0, len(text) - length + 1, SLICE):
+                part = text[at:at + SLICE + length - 1]
                 yield [(*key, at)], part, np.array([0, len(part)])
-        elif len(text) >= LENGTH:
+        elif len(text) >= length:
             held.append((*key, 0))
             parts.append(text)
             size += len(text)
@@ -114,17 +145,17 @@ def _slices(ids: list[tuple], texts: list[bytes]) -> Iterator[tuple[list[tuple],
         yield held, b"".join(parts), np.cumsum([0, *map(len, parts)])
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch], length: int, code: Callable[[bytes], bytes]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        for keys, data, bounds in _slices(ids, batch.column(2).to_pylist()):
-            text, x, lo, hi = triggers(data, bounds)
+        for keys, data, bounds in _slices(ids, list(map(code, batch.column(2).to_pylist())), length):
+            text, x, lo, hi = triggers(data, bounds, length)
             if not len(x):
                 continue
             eights = _eights(data)
             shape = ((x - lo) << 16) | (x - hi)
-            whole = hi - lo + LENGTH
-            core = _hash(eights, x, np.full(len(x), CORE), 1)
+            whole = hi - lo + length
+            core = _hash(eights, x, np.full(len(x), length - reach_of(length)), 1)
             full = [_mix(_hash(eights, lo, whole, seed) ^ _mix(shape.astype(np.uint64) * _A)) for seed in (2, 3)]
             shift = np.array([k[2] for k in keys]) - bounds[:-1]
             columns = [np.array([k[0] for k in keys])[text], np.array([k[1] for k in keys])[text], *((p + shift[text]) for p in (x, lo, hi)),
@@ -135,12 +166,14 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _TAKEN = "core long, t1 long, t2 long, x long, lo long, hi long, single boolean, bytes binary"
 
 
-def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _take(batches: Iterator[pa.RecordBatch], length: int, code: Callable[[bytes], bytes]) -> Iterator[pa.RecordBatch]:
     """The bytes of the zones asked for."""
     for batch in batches:
         rows = []
         for t1, t2, text, zones in zip(*(c.to_pylist() for c in batch.columns)):
-            rows += [(z["core"], t1, t2, z["x"], z["lo"], z["hi"], z["single"], text[z["lo"]:z["hi"] + LENGTH]) for z in zones]
+            if zones:
+                text = code(text)
+            rows += [(z["core"], t1, t2, z["x"], z["lo"], z["hi"], z["single"], text[z["lo"]:z["hi"] + length]) for z in zones]
         kinds = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
                                          names=["core", "t1", "t2", "x", "lo", "hi", "single", "bytes"])
@@ -190,12 +223,12 @@ def repeated_strings(zones: list[tuple], length: int = LENGTH) -> list[tuple[int
     return list(zip(zone.tolist(), ts[begin].tolist(), ts[end - 1].tolist()))
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Zones come sorted by core; whole cores are compared, several at once."""
     def spans(rows: list[tuple]) -> pa.RecordBatch:
-        found = repeated_strings([(r[0], r[7], r[3] - r[5], r[3] - r[4]) for r in rows]) if rows else []
-        # The strings of t from a to b start at x - t, so they cover x - b to x - a + LENGTH.
-        out = [(rows[z][1], rows[z][2], rows[z][3] - b, rows[z][3] - a + LENGTH) for z, a, b in found if rows[z][6]]
+        found = repeated_strings([(r[0], r[7], r[3] - r[5], r[3] - r[4]) for r in rows], length) if rows else []
+        # The strings of t from a to b start at x - t, so they cover x - b to x - a + length.
+        out = [(rows[z][1], rows[z][2], rows[z][3] - b, rows[z][3] - a + length) for z, a, b in found if rows[z][6]]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["t1", "t2", "start", "stop"])
 
     held: list[tuple] = []
@@ -208,44 +241,45 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield spans(held)
 
 
-def _each_string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _each_string(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for core, t1, t2, x, lo, hi, single, data in zip(*(c.to_pylist() for c in batch.columns)):
             n = hi - lo + 1
-            names = [hashlib.blake2b(data[i:i + LENGTH], digest_size=16).digest() for i in range(n)]
+            names = [hashlib.blake2b(data[i:i + length], digest_size=16).digest() for i in range(n)]
             pair = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, t1)), pa.array(np.full(n, t2)), pa.array(np.arange(lo, hi + 1)), pa.array([single] * n),
                  pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], names=["t1", "t2", "start", "single", "h1", "h2"])
 
 
-def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
+def repeated_spans(rows: DataFrame, hot: int = HOT, length: int = LENGTH, code: Callable[[bytes], bytes] = plain_bytes) -> DataFrame:
     """(t1, t2, spans): per text, named by two hashes, the sorted runs (start, stop) of bytes to remove; texts without any are left out.
 
-    ``rows`` has t1, t2 and raw, the bytes.
+    ``rows`` has t1, t2 and raw, the bytes; ``code`` makes of them the bytes that are compared, in which the spans are given.
     """
-    parsed = materialize(rows.mapInArrow(_parse, _ZONE))
+    take = partial(_take, length=length, code=code)
+    parsed = materialize(rows.mapInArrow(partial(_parse, length=length, code=code), _ZONE))
     zone, text = ["core", "f1", "f2"], ["t1", "t2"]
     twice = parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
     shared = materialize(parsed.join(twice.hint("merge"), "core"))
     drop_materialized(parsed)
     found = F.min(F.struct(*text, "x", "lo", "hi"))
     zones = materialize(shared.groupBy(*zone).agg(F.count(F.lit(1)).alias("n"), found.alias("at")))
-    whole = shared.join(zones.filter("n > 1").select(*zone).hint("merge"), zone).select(*text, F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("stop"))
+    whole = shared.join(zones.filter("n > 1").select(*zone).hint("merge"), zone).select(*text, F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
     mixed = zones.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("n") == 1).alias("singles")).filter("k > 1 and singles > 0")
     edge = zones.join(mixed.select("core", "k").hint("merge"), "core").select(
         "at.*", F.struct("core", "at.x", "at.lo", "at.hi", (F.col("n") == 1).alias("single"), (F.col("k") > hot).alias("hot")).alias("z"))
     asked = edge.groupBy(*text).agg(F.collect_list("z").alias("zones"))
     once = rows.groupBy(*text).agg(F.first("raw").alias("raw")).join(asked.hint("merge"), text)
     pick = lambda flag: once.select(*text, "raw", F.filter("zones", lambda z: z["hot"] if flag else ~z["hot"]).alias("zones"))
-    edges = pick(False).mapInArrow(_take, _TAKEN).repartition("core").sortWithinPartitions("core").mapInArrow(
-        _compare, "t1 long, t2 long, start long, stop long")
+    edges = pick(False).mapInArrow(take, _TAKEN).repartition("core").sortWithinPartitions("core").mapInArrow(
+        partial(_compare, length=length), "t1 long, t2 long, start long, stop long")
     parts = [whole.distinct(), edges]
     if not mixed.filter(F.col("k") > hot).isEmpty():
-        strings = materialize(pick(True).mapInArrow(_take, _TAKEN).mapInArrow(
-            _each_string, "t1 long, t2 long, start long, single boolean, h1 long, h2 long"))
+        strings = materialize(pick(True).mapInArrow(take, _TAKEN).mapInArrow(
+            partial(_each_string, length=length), "t1 long, t2 long, start long, single boolean, h1 long, h2 long"))
         again = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-        parts.append(strings.filter("single").join(again.hint("merge"), ["h1", "h2"]).select(*text, "start", (F.col("start") + LENGTH).alias("stop")))
+        parts.append(strings.filter("single").join(again.hint("merge"), ["h1", "h2"]).select(*text, "start", (F.col("start") + length).alias("stop")))
     spans = parts[0]
     for p in parts[1:]:
         spans = spans.unionByName(p)
@@ -255,14 +289,23 @@ def repeated_spans(rows: DataFrame, hot: int = HOT) -> DataFrame:
     return out
 
 
+def _places_of_words(raw: bytes, spans: list[dict]) -> list[dict]:
+    """From spans of words_as_bytes to the bytes of the text: whole words and the white space after them."""
+    text = raw.decode()
+    starts = [m.start() for m in _WORD.finditer(text)]
+    words = [(-(-s["start"] // WORD_BYTES), s["stop"] // WORD_BYTES) for s in spans]
+    sizes = np.append(0, np.cumsum([len(c.encode()) for c in text]))
+    return [{"start": int(sizes[starts[a]]), "stop": int(sizes[starts[b]]) if b < len(starts) else len(raw)} for a, b in words if a < b]
+
+
 _CUT = "struct<kept:binary,kept_text:string,spans:array<struct<start:long,stop:long>>>"
 
 
-def _cut(raw: pa.Array, spans: pa.Array) -> pa.Array:
+def _cut(raw: pa.Array, spans: pa.Array, places: Callable | None = None) -> pa.Array:
     rows = []
     for text, found in zip(raw.to_pylist(), spans.to_pylist()):
         merged: list[list[int]] = []
-        for s in found or []:
+        for s in places(text, found) if found and places else found or []:
             if merged and s["start"] <= merged[-1][1]:
                 merged[-1][1] = max(merged[-1][1], s["stop"])
             else:
@@ -275,12 +318,15 @@ def _cut(raw: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.array(rows, pa.struct([("kept", pa.binary()), ("kept_text", pa.string()), ("spans", pa.list_(span))]))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", hot: int = HOT, length: int = LENGTH, words: int | None = None) -> DataFrame:
     """``docs`` with a column ``cut``: ``kept``, the remaining bytes, ``kept_text``, their whole characters,
     and ``spans``, the maximal removed runs.
 
-    NULL texts are empty; texts shorter than LENGTH bytes stay whole. Matches never run from one text into another. Repeated
-    rows are texts of their own, so of equal texts of LENGTH bytes or more nothing stays. All columns of ``docs`` are
+    Removed are strings of ``length`` bytes (at least 32) that occur elsewhere, too; with ``words`` (at least 4) instead
+    passages of so many words, whatever white space is between them, and then the white space after them goes, too.
+
+    NULL texts are empty; texts shorter than that stay whole. Matches never run from one text into another. Repeated
+    rows are texts of their own, so of equal texts that are long enough nothing stays. All columns of ``docs`` are
     returned as they are; ``cut`` takes another name if there is one already, as ``shared.spare`` gives it. No rows in,
     no rows out.
     """
@@ -291,7 +337,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataF
     full = F.coalesce(F.col(text), F.lit(""))
     named = docs.withColumns({t1: F.xxhash64(full), t2: F.xxhash64(F.lit(1), full)})
     plain = docs.select(F.xxhash64(full).alias("t1"), F.xxhash64(F.lit(1), full).alias("t2"), F.encode(full, "UTF-8").alias("raw"))
-    spans = repeated_spans(plain.filter(F.octet_length("raw") >= LENGTH), hot).select(
+    if words:
+        # n words have n bytes and n - 1 between them at least.
+        least, spans = 2 * words - 1, partial(repeated_spans, length=words * WORD_BYTES, code=words_as_bytes)
+    else:
+        least, spans = length, partial(repeated_spans, length=length)
+    spans = spans(plain.filter(F.octet_length("raw") >= least), hot).select(
         F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("spans").alias(raw))
-    cutter = F.arrow_udf(_cut, _CUT)
+    cutter = F.arrow_udf((lambda raw, spans: _cut(raw, spans, _places_of_words)) if words else (lambda raw, spans: _cut(raw, spans)), _CUT)
     return named.join(spans.hint("merge"), [t1, t2], "left").withColumn(cut, cutter(F.encode(full, "UTF-8"), F.col(raw))).drop(t1, t2, raw)
