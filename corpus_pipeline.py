@@ -36,6 +36,14 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, folder: str) -> Da
     found = spare(docs, "found")
     if not model.languages:
         return docs.filter(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    if model.rest is not None:
+        # The language depends on the text alone, so the texts rejected are told by their hashes.
+        names = [spare(docs, f"text_{i}") for i in (1, 2)]
+        hashes = dict(zip(names, (F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))))
+        told = language.identify(docs.select(F.struct(*(h.alias(n) for n, h in hashes.items())).alias("doc_id"), "text"), model)
+        fine = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+        rejected = materialize(told.filter(~fine).select("doc_id.*").distinct())
+        return docs.withColumns(hashes).join(rejected, names, "left_anti").select(*docs.columns)
     told = docs.withColumn(found, language.predictor(spark, model)(F.col("text")))
     fine = (F.col(found)["lang_pred"] != language.UNDETERMINED) & (F.col(found)["score"] >= LEAST_LANGUAGE_SCORE)
     return told.filter(fine).drop(found)

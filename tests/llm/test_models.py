@@ -25,6 +25,29 @@ def test_language_words_then_grams(spark, docs_of):
     assert language.identify(docs_of([]), model).count() == 0
 
 
+def test_language_words_beyond_the_bound_count_exactly(spark, sf, monkeypatch):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole, tight = language.learn(docs), language.learn(docs, words=400)
+    assert whole.rest is None and len(tight.words) <= 400 < len(whole.words) == len(tight.words) + tight.rest.count()
+    texts = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, None), (-1, "12"), (-1, "")], "doc_id long, text string"))
+    want, got = (sorted((str(r.doc_id), r.lang_pred, r.score) for r in language.identify(texts, m).collect()) for m in (whole, tight))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-9)
+    kept = sorted(r.doc_id for r in corpus_pipeline.keep_known_language(spark, docs, sf).collect())
+    monkeypatch.setattr(language, "learn", lambda _: tight)
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_known_language(spark, docs, sf).collect()) == kept
+
+
+def test_language_bound_is_shared_out(spark):
+    rows = [(i, " ".join(f"the{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(500)), "en") for i in range(40)]
+    rows += [(i, " ".join(f"zu{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(100)), "de") for i in range(40, 44)]
+    model = language.learn(labelled(spark, rows), words=200, grams=300)
+    assert sum(w.startswith("zu") for w in model.words) >= 60 and sum(w.startswith("the") for w in model.words) >= 50
+    assert sum("zu" in g for g in model.grams) >= 10 and len(model.grams) <= 300
+    assert language.quotas({"a": 10, "b": 900, "c": 900}, 300) == {"a": 10, "b": 145, "c": 145}
+
+
 def test_nothing_to_learn_from(spark, docs_of):
     model = language.learn(labelled(spark, [(1, "a b", None)]))
     assert [tuple(r) for r in language.identify(docs_of([(1, "a b")]), model).collect()] == [(1, "und", 0.0)]

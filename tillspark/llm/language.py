@@ -1,16 +1,19 @@
 """Language identification: known words first, shorter and shorter character n-grams for the rest.
 
 Learning counts every word of every labelled text per language, with partial counts inside the tasks, and, from the
-distinct words, their character n-grams. The model keeps the most frequent words and n-grams, at most ``WORDS``
-and ``GRAMS`` of them, and their smoothed log frequencies per language, so its size has a bound; it is all
-that is broadcast. A word of the model scores by its log frequencies. Any other word backs off: at each of its
-positions the longest n-gram of the model is taken, and their log frequencies are averaged.
+distinct words, their character n-grams. A known word scores by its smoothed log frequencies per language. Any other word
+backs off: at each of its positions the longest n-gram of the model is taken, and their log frequencies are averaged.
+
+Broadcast are at most about ``WORDS`` words and ``GRAMS`` n-grams, shared out: each language has a share of its own, of n-grams
+for each size, for its most frequent ones. All other known words stay in a stored table, and what they add is joined to the
+documents that have them; so every known word counts as such, at any size. The n-grams are what is broadcast.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillspark.llm.shared import bound_batches, held
-from tillspark.runtime import drop_materialized, materialize
+from tillspark.llm.shared import bitmap, bound_batches, has_bit, held
+from tillspark.runtime import drop_materialized, materialize, materialize_counted
 
 WORDS, GRAMS, LONGEST_GRAM = 60_000, 60_000, 5
 #: Words seen less often than this are left to their n-grams.
@@ -81,34 +84,76 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _frequent(counts: DataFrame, keys: list[str], most: int) -> list:
-    """The most frequent items with their counts per language, at most ``most``.
+def _items(counts: DataFrame) -> tuple[DataFrame, int]:
+    """(size, item, by), stored: items seen often enough with their counts per language, and how many there are."""
+    items = counts.groupBy("size", "item").agg(
+        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    return materialize_counted(items.filter(F.col("total") >= LEAST_COUNT).drop("total"))
+
+
+def quotas(kinds: dict[str, int], most: int) -> dict[str, int]:
+    """What each group may keep of its items, ``most`` together: equal shares; what small groups leave goes to the others."""
+    out = {}
+    for i, (key, n) in enumerate(sorted(kinds.items(), key=lambda x: (x[1], x[0]))):
+        out[key] = min(n, most // (len(kinds) - i))
+        most -= out[key]
+    return out
+
+
+def _step(n: Column) -> Column:
+    """Counts, from 32 on in steps of a sixteenth of a doubling."""
+    return F.when(n < 32, n).otherwise(F.floor(16 * F.log2(n)) - 48).cast("int")
+
+
+def _frequent(items: DataFrame, n: int, most: int) -> Column:
+    """A condition for the most frequent items of each language and size, about ``most`` or less of the ``n``.
 
-    Totals are put into steps of a sixteenth of a doubling; whole steps are taken from the top while they fit, so only
-    what is taken travels to the driver.
+    Of the step that does not fit, those are taken that a hash of their name puts first; the driver sees counts of steps.
     """
-    items = counts.groupBy(*keys).agg(
-        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    items = materialize(items.filter(F.col("total") >= LEAST_COUNT).withColumn("step", F.floor(16 * F.log2("total"))))
-    taken, least = 0, None
-    for step, n in sorted(((r.step, r["count"]) for r in items.groupBy("step").count().collect()), reverse=True):
-        taken += n
-        if taken > most:
-            break
-        least = step
-    found = [] if least is None else items.filter(F.col("step") >= least).select(*keys, "by").collect()
-    drop_materialized(items)
-    return found
+    if n <= most:
+        return F.lit(True)
+    group = lambda lang: F.concat_ws("/", F.col("size").cast("string"), lang)
+    steps: dict[str, dict[int, int]] = {}
+    for r in items.select("size", F.explode("by").alias("lang", "n")).groupBy(
+            group(F.col("lang")).alias("group"), _step(F.col("n")).alias("step")).count().collect():
+        steps.setdefault(r.group, {})[r.step] = r["count"]
+    bounds, draws = [], 1 << 20
+    for key, left in quotas({g: sum(c.values()) for g, c in steps.items()}, most).items():
+        least, share = 0, draws
+        for least in sorted(steps[key], reverse=True):
+            here = steps[key][least]
+            if here > left:
+                # A little under, whatever the hash deals.
+                share = int(draws * max(left - 4 * left**0.5, 0) / here)
+                break
+            left -= here
+        bounds += [F.lit(key), F.struct(F.lit(least).alias("step"), F.lit(share).alias("share"))]
+    bound, draw = F.create_map(*bounds), F.pmod(F.xxhash64("item"), F.lit(draws))
+
+    def taken(entry: Column) -> Column:
+        at, step = bound[group(entry["key"])], _step(entry["value"])
+        return (step > at["step"]) | ((step == at["step"]) & (draw < at["share"]))
+
+    return F.exists(F.map_entries("by"), taken)
 
 
 @dataclass
 class LanguageModel:
-    """Rows of ``logs`` belong to ``words`` and ``grams``; columns to ``languages``."""
+    """Rows of ``logs`` belong to ``words`` and ``grams``; columns to ``languages``.
+
+    ``rest`` has the known words that are not among ``words``, with what they add to their score as unknown words
+    (item, more); None if there are none. ``bits`` is a bitmap of their names.
+    """
 
     languages: list[str]
     words: dict[str, int]
     grams: dict[str, int]
     logs: np.ndarray
+    rest: DataFrame | None = None
+    bits: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rest": None}
 
     def backed_off(self, words: list[str]) -> np.ndarray:
         """For each word the mean over its positions of the longest known n-gram there; zeros where none is known."""
@@ -140,14 +185,26 @@ class Predictor:
     most: int = 300_000
     seen: dict[str, int] = field(default_factory=dict, repr=False)
     scores: np.ndarray | None = field(default=None, repr=False)
+    open: set[str] = field(default_factory=set, repr=False)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its share of the likelihood; ties go to the first name."""
+        """The language and its share of the likelihood; ties go to the first name. ``rest`` is not asked."""
+        return self.best(self.total(text)[0])
+
+    def best(self, total: np.ndarray | None) -> tuple[str, float]:
+        if total is None:
+            return UNDETERMINED, 0.0
+        best = int(np.argmax(total))
+        return self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
+
+    def total(self, text: str | None) -> tuple[np.ndarray | None, dict[str, int]]:
+        """The sum of the scores of the words, None without letters; and how often those occur that may be in ``rest``."""
         words = words_of(text)
         model = self.model
         if not model.languages or not any(c.isalpha() for w in words for c in w):
-            return UNDETERMINED, 0.0
+            return None, {}
         if self.scores is None or len(self.seen) > self.most:
+            self.open.clear()
             self.seen, self.scores = dict(model.words), model.logs[:len(model.words)]
         new = [w for w in dict.fromkeys(words) if w not in self.seen]
         if new:
@@ -156,9 +213,11 @@ class Predictor:
                 self.scores = np.concatenate((self.scores, np.zeros((first + len(new), len(model.languages)))))
             self.scores[first:first + len(new)] = model.backed_off(new)
             self.seen.update(zip(new, range(first, first + len(new))))
+            if model.bits is not None:
+                there = has_bit(model.bits, np.array([zlib.crc32(w.encode()) for w in new]))
+                self.open.update(w for w, x in zip(new, there) if x)
         total = self.scores[list(map(self.seen.__getitem__, words))].sum(axis=0)
-        best = int(np.argmax(total))
-        return model.languages[best], float(1 / np.exp(total - total[best]).sum())
+        return total, Counter(filter(self.open.__contains__, words)) if self.open else {}
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", words: int = WORDS, grams: int = GRAMS) -> LanguageModel:
@@ -173,15 +232,16 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", words: in
     sizes = {r.lang: (r.n, r.kinds) for r in counts.groupBy("lang").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()}
     languages = sorted(sizes)
-    known = _frequent(counts, ["item"], words)
+    items, n_words = _items(counts.withColumn("size", F.lit(0)))
+    wanted = _frequent(items, n_words, words)
+    known = items.filter(wanted).select("item", "by").collect()
     parts = materialize(
         counts.select("lang", "item").mapInArrow(_count_grams, "lang string, size int, item string, n long")
         .groupBy("lang", "size", "item").agg(F.sum("n").alias("n")))
     gram_sizes = {(r.lang, r.size): (r.n, r.kinds) for r in parts.groupBy("lang", "size").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()}
-    frequent = _frequent(parts, ["size", "item"], grams)
-    for done in (counts, parts):
-        drop_materialized(done)
+    grown, n_grams = _items(parts)
+    frequent = grown.filter(_frequent(grown, n_grams, grams)).select("size", "item", "by").collect()
 
     def logs(by: dict, size_of) -> np.ndarray:
         return np.array([np.log((by.get(x, 0) + SMOOTHING) / (n + SMOOTHING * kinds))
@@ -190,13 +250,28 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", words: in
     rows = [logs(r["by"], sizes.__getitem__) for r in known]
     rows += [logs(r["by"], lambda x, k=r["size"]: gram_sizes.get((x, k), (1, 1))) for r in frequent]
     n = len(known)
-    return LanguageModel(
+    model = LanguageModel(
         languages, {r["item"]: i for i, r in enumerate(known)}, {r["item"]: n + i for i, r in enumerate(frequent)},
         np.array(rows).reshape(len(rows), len(languages)))
+    if n < n_words:
+        sent = labelled.sparkSession.sparkContext.broadcast(model)
+
+        def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                names = batch.column(0).to_pylist()
+                found = np.array([logs(dict(by), sizes.__getitem__) for by in batch.column(1).to_pylist()]).reshape(len(names), -1)
+                added = found - sent.value.backed_off(names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(added.tolist(), pa.list_(pa.float64()))], names=["item", "more"])
+
+        rest, left = materialize_counted(items.filter(~wanted).select("item", "by").mapInArrow(more, "item string, more array<double>"))
+        model.rest, model.bits = rest, bitmap(rest, left, F.crc32("item"))
+    for done in (counts, parts, items, grown):
+        drop_materialized(done)
+    return model
 
 
 def predictor(spark, model: LanguageModel):
-    """A column function: text to (lang_pred, score)."""
+    """A column function: text to (lang_pred, score), for a model without ``rest``."""
     sent, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
@@ -215,6 +290,38 @@ def held_out(doc: Column) -> Column:
     return F.coalesce(F.crc32(doc.cast("string")) % 3 == 1, F.lit(False))
 
 
+def _identify_with_rest(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """Sums by what is broadcast are stored per row, with the words that may be in ``rest``; those are joined to it."""
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    some = pa.list_(pa.struct([("item", pa.string()), ("n", pa.int64())]))
+
+    @F.arrow_udf("struct<total:array<double>,others:array<struct<item:string,n:long>>>")
+    def sums(texts: pa.Array) -> pa.Array:
+        known = held(("language", name), lambda: Predictor(sent.value))
+        found = [known.total(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays(
+            [pa.array([None if t is None else t.tolist() for t, _ in found], pa.list_(pa.float64())),
+             pa.array([[{"item": w, "n": n} for w, n in o.items()] for _, o in found], some)], names=["total", "others"])
+
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def best(totals: pa.Array, added: pa.Array) -> pa.Array:
+        known, found = Predictor(sent.value), []
+        for total, words in zip(totals.to_pylist(), added.to_pylist()):
+            for w in words or []:
+                total = [t + w["n"] * m for t, m in zip(total, w["more"])]
+            found.append(known.best(None if total is None else np.array(total)))
+        return pa.StructArray.from_arrays(
+            [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
+            names=["lang_pred", "score"])
+
+    summed = materialize(docs.select("doc_id", sums("text").alias("s")).select("doc_id", "s.*", F.monotonically_increasing_id().alias("row")))
+    asked = summed.select("row", F.explode("others").alias("o")).select("row", "o.*")
+    # In the order of the words, so that sums do not depend on the dealing.
+    added = asked.join(model.rest, "item").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("item", "n", "more"))).alias("added"))
+    found = summed.select("doc_id", "total", "row").join(added, "row", "left").select("doc_id", best("total", "added").alias("found"))
+    return found.select("doc_id", "found.*")
+
+
 def identify(docs: DataFrame, model: LanguageModel, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) per row of ``docs``, from the text alone.
 
@@ -222,5 +329,7 @@ def identify(docs: DataFrame, model: LanguageModel, doc: str = "doc_id", text: s
     ignored. No rows in, no rows out.
     """
     bound_batches(docs.sparkSession)
+    if model.rest is not None:
+        return _identify_with_rest(docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), model)
     found = predictor(docs.sparkSession, model)(F.col(text))
     return docs.select(F.col(doc).alias("doc_id"), found.alias("found")).select("doc_id", "found.*")
