@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by prefix-free parsing of the corpus.
+"""Removal of repeated byte strings, found by the triggers of prefix-free parsing and by counting.
 
 A byte is removed if it lies in a string of ``LENGTH`` bytes that starts anywhere else, too. Texts are parsed at triggers: a
 position triggers if its rolling hash of ``GRAM`` bytes is the least of the first ``reach_of`` positions of some string of
@@ -7,10 +7,10 @@ the end of the phrase before the trigger and in what follows the trigger. The st
 
 1. Parse: one row per trigger, about one per hundred bytes, with a hash of the bytes right of it that all of its strings
    share (the core) and one of the whole zone.
-2. Dictionary: rows whose core is unique are dropped. Zones that occur twice are repeated as a whole. What is left are
+2. Dictionary: rows whose core is unique are dropped. Zones that occur twice, by their hashes, are repeated as a whole. What is left are
    the distinct zones of cores with several zones, at the edges of repeats; only their bytes are gathered, by core.
-3. Corpus order: within a core, the phrase ends are sorted from the trigger backwards and what follows is sorted forwards,
-   each with its array of common prefix lengths (the suffix array and LCP array of dictionary and parse). A string of
+3. Edges: within a core, the phrase ends are sorted from the trigger backwards and what follows is sorted forwards,
+   each with its array of common prefix lengths. No suffix array of dictionary or parse is built. A string of
    t bytes before the trigger is repeated if another zone has the same class in both orders, at depths t and LENGTH - t.
 
 A core with more than ``HOT`` distinct zones is not gathered: its strings are counted by hash, with partial counts. Hashes
