@@ -115,6 +115,15 @@ def test_toxicity_counts_cover_all_labels(spark, docs_of, prose, monkeypatch):
     assert model.index == whole.index and len(model.cuts) == len(whole.cuts) == 2
 
 
+def test_toxicity_tells_long_words_with_one_beginning(spark, docs_of, prose):
+    rows = [(i, prose(30, i) + (" achkeiter" if i % 5 == 0 else " achkeiten")) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.learn_severity(docs_of(rows), labels)
+    assert {"achkeiter$", "achkeiten$"} <= set(model.index) and not {"achk", "achkei"} & set(model.index)
+    said = [model.above(prose(30, 900 + i) + f" {w}")[0] >= model.threshold for i in range(5) for w in ("achkeiter", "achkeiten")]
+    assert said == [True, False] * 5
+
+
 def test_bitmap_has_every_key(spark):
     keys = spark.range(5000).filter("id % 5 = 0")
     bits = shared.bitmap(keys, 1000, F.xxhash64("id"))

@@ -2,8 +2,8 @@
 
     P(grade > k) = sigmoid(w . x - cut_k),   cut_0 < cut_1 < ...
 
-One weight per feature is shared by all thresholds; only the cuts differ. ``x`` is sparse: log(1 + count) of the short
-words and word beginnings the model uses. Expected severity is the sum of the P(grade > k).
+One weight per feature is shared by all thresholds; only the cuts differ. ``x`` is sparse: log(1 + count) of the words
+and word beginnings the model uses. Expected severity is the sum of the P(grade > k).
 
 The features are chosen from document counts over all labelled rows, made with partial counts inside the tasks. Only the
 weights, cuts and threshold are fitted on a sample, at most ``FIT_ROWS`` labelled rows chosen by a hash; with at most
@@ -30,7 +30,7 @@ from tillspark.runtime import drop_materialized, materialize, materialize_counte
 FEATURES, FIT_ROWS = 2048, 30_000
 #: A feature is used if it stands in so many documents and its share of toxic ones is so many deviations off.
 LEAST_DOCS, LEAST_Z = 3, 4.0
-#: Lengths of word beginnings, which catch inflected and compounded forms; words up to the last are features themselves.
+#: Lengths of word beginnings, which catch inflected and compounded forms; whole words are features besides.
 BEGINNINGS = (4, 5, 6)
 RIDGE, STEPS = 2e-4, 400
 #: A row is called toxic if its probability of a grade above 0 reaches a threshold, fitted between these.
@@ -48,7 +48,7 @@ def _words(text: str | None) -> list[str]:
 
 def _features_of(word: str) -> tuple[str, ...]:
     starts = tuple(word[:n] for n in BEGINNINGS if len(word) >= n)
-    return (*starts, f"{word}$") if len(word) <= BEGINNINGS[-1] else starts
+    return (*starts, f"{word}$")
 
 
 class _ByWord(dict):
