@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Places of a salted key where all keys are salted, and the least number of places elsewhere.
 SALTS = 16
 
 
@@ -24,10 +28,54 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+class Scratch:
+    """The tables that one job stores. They go when it ends, also by an error; ``keep`` stores a result beyond that."""
+
+    def __init__(self, spark: SparkSession, outer: Scratch | None):
+        self.spark, self.outer, self.folders = spark, outer, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, computed and stored for whoever called the job: a job around it, or the caller."""
+        token = _OPEN.set(self.outer)
+        try:
+            return materialize(df)
+        finally:
+            _OPEN.reset(token)
+
+    def clear(self) -> None:
+        for folder in self.folders:
+            _delete(self.spark, folder)
+        self.folders.clear()
+
+
+_OPEN: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Owns all tables materialized inside; what leaves has to be kept or read by then."""
+    own = Scratch(spark, _OPEN.get())
+    token = _OPEN.set(own)
+    try:
+        yield own
+    finally:
+        _OPEN.reset(token)
+        own.clear()
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder name under the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+    folder = f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+    if (own := _OPEN.get()) is not None:
+        own.folders.append(folder)
+    return folder
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -53,11 +101,9 @@ def drop_materialized(df: DataFrame) -> None:
 
     ``df`` is what ``materialize`` returned, or read from it.
     """
-    sc = df.sparkSession.sparkContext
     kept = getattr(df, "_scratch_folder", None)
     for folder in [kept] if kept else {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
 
 
 def heavy_keys(counts: DataFrame, keys: list[str], count: str, share: int = 1000) -> DataFrame:
@@ -71,7 +117,7 @@ def heavy_keys(counts: DataFrame, keys: list[str], count: str, share: int = 1000
 
 def salted_join(
     big: DataFrame, small: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner",
-    salts: int = SALTS, heavy: DataFrame | None = None,
+    salts: int | None = None, heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Join where one key may hold a large share of ``big``.
 
@@ -81,8 +127,10 @@ def salted_join(
     a second shuffle. NULL keys do not match, as in any equi-join.
 
     Without ``heavy`` all keys are salted, which suits a ``small`` far smaller than ``big``, such as
-    a catalog. With ``heavy``, a list from ``heavy_keys``, only those keys are.
+    a catalog. With ``heavy``, a list from ``heavy_keys``, only those keys are, over as many places as a shuffle has.
     """
+    if salts is None:
+        salts = SALTS if heavy is None else max(SALTS, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     place = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     places = F.sequence(F.lit(0), F.lit(salts - 1))
     if heavy is not None:
