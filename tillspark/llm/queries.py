@@ -10,7 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillspark.llm import bpe, chat, language, near_dups, packing, repeats, token_counts, topk, toxicity, vector_dups
+from tillspark.llm import (
+    bpe, chat, language, merkle, near_dups, packing, repeats, runs, token_counts, topk, toxicity, url_filter, vector_dups,
+)
+from tillspark.runtime import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -149,3 +152,127 @@ def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select(
         "doc_id", size.alias("n_bytes"), (size - F.octet_length("cut.kept")).alias("n_removed"),
         F.size("cut.spans").cast("long").alias("n_spans"), F.sha2("cut.kept", 256).alias("kept_sha256"))
+
+
+def _repeating(docs: DataFrame) -> DataFrame:
+    """One document in ten goes on with a stretch of its words over and over, as the contract of op11 says."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    chosen = docs.filter(h % 10 == 0).select("doc_id", words.alias("w"), F.floor(h / 10).alias("g")).withColumn("n", F.size("w"))
+    chosen = chosen.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    chosen = chosen.withColumn("p", F.expr("CAST(1 + (n - a) DIV (3 + g % 8) AS INT)"))
+    again = F.expr("array_join(transform(w, (x, i) -> IF(i < a, x, w[a + (i - a) % p])), ' ')")
+    rest = docs.filter((h % 10 != 0) | F.col("doc_id").isNull()).select("doc_id", "text")
+    return rest.unionByName(chosen.select("doc_id", again.alias("text")))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The runs of words in every document, and the documents without their repeats."""
+    found = runs.periodic_runs(_repeating(table(spark, folder, "documents").select("doc_id", "text"))).select("doc_id", "found.*")
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-best["s"]).alias("start"), best["length"].alias("length"), (-best["p"]).alias("period"),
+        F.floor(1000 * best["length"] / -best["p"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+#: The rules of op12; fixed by the contract.
+RULES = [url_filter.Rule(*r) for r in (
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"))]
+
+_REST = "CASE WHEN strpos({u}, '://') > 0 THEN substr({u}, strpos({u}, '://') + 3) ELSE '' END"
+_HOST = "translate(regexp_extract(" + _REST + f", '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}')"
+_PATH = "regexp_extract(" + _REST + ", '^[^/?#]*([^?#]*)', 1)"
+_KEY = ("CASE WHEN strpos({u}, '://') > 0 THEN regexp_replace(" + _HOST + ", ':(80|443)$', '') || regexp_replace(" + _PATH + ", '/+$', '') || "
+        "coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(" + _REST + r", '^[^?#]*\?([^#]*)', 1), '&'), "
+        "lambda p: p <> '' AND NOT regexp_matches(p, '" + url_filter.TRACKING + "')), '&'), ''), '') END")
+
+
+@query("op12_url_filter", rf"""
+WITH RECURSIVE parts AS (SELECT page_id, url, html, coalesce({_HOST.format(u="url")}, '') AS host, coalesce({_PATH.format(u="url")}, '') AS path,
+    {_KEY.format(u="url")} AS key FROM pages),
+rules(verdict, host, path) AS (VALUES {", ".join(str(tuple(r)) for r in RULES)}),
+found AS (SELECT p.*, r.host || r.path AS rule, r.verdict FROM parts p LEFT JOIN LATERAL (
+    SELECT * FROM rules r WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+    ORDER BY length(r.host || r.path) DESC LIMIT 1) r ON true),
+tags AS (SELECT key, url, path, unnest(regexp_extract_all(html, '{url_filter.TAGS}', 1)) AS tag FROM found WHERE key IS NOT NULL),
+named AS (SELECT *, replace(CASE WHEN regexp_matches(tag, '{url_filter.CANONICAL.replace("'", "''")}') THEN regexp_extract(tag, '{url_filter.HREF.replace("'", "''")}', 1)
+    WHEN regexp_matches(tag, '{url_filter.REFRESH.replace("'", "''")}') THEN regexp_extract(tag, '{url_filter.TARGET.replace("'", "''")}', 1) ELSE '' END, '&amp;', '&') AS link,
+    regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS site FROM tags),
+links AS (SELECT key, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+    WHEN starts_with(link, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || link WHEN starts_with(link, '/') THEN site || link
+    WHEN starts_with(link, '#') OR regexp_matches(link, '{url_filter.SCHEME}') THEN NULL WHEN starts_with(link, '?') THEN site || path || link
+    ELSE site || coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || link END AS target FROM named WHERE link <> ''),
+edges AS (SELECT key AS a, {_KEY.format(u="target")} AS b FROM links WHERE target IS NOT NULL),
+both_ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
+reached(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reached r JOIN both_ways w ON w.a = r.b),
+aliases AS (SELECT a, b FROM reached UNION SELECT key, key FROM found WHERE key IS NOT NULL),
+told AS (SELECT a AS key, bool_or(f.verdict = 'block') AND NOT coalesce(bool_or(f.verdict = 'allow'), false) AS bad
+    FROM aliases JOIN found f ON f.key = b GROUP BY a)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict FROM found LEFT JOIN told USING (key)""")
+def op12_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict on every page by rules, and by the aliases that redirects and canonical links make."""
+    return url_filter.judge(table(spark, folder, "pages"), RULES)
+
+
+def _sql_field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _sql_leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_sql_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+
+@query("op13_merkle_manifest", rf"""
+WITH RECURSIVE leaves AS (SELECT doc_id, lang, {_sql_leaf("n_chars")} AS leaf,
+    CASE WHEN {_CRC} % 7 = 0 THEN {_sql_leaf("n_chars::HUGEINT + 1")} ELSE {_sql_leaf("n_chars")} END AS changed FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+low(lang, lvl, pos, h, n) AS (SELECT lang, 0, pos, leaf, n FROM placed
+    UNION ALL SELECT lang, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2) FROM low WHERE n > 1 GROUP BY lang, lvl, pos // 2),
+subs AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS m FROM low WHERE n = 1),
+high(lvl, pos, h, n) AS (SELECT 0, place, subroot, m FROM subs
+    UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2) FROM high WHERE n > 1 GROUP BY lvl, pos // 2),
+heights AS (SELECT lang, max(lvl) AS height FROM low GROUP BY lang),
+steps AS (
+    SELECT p.doc_id, p.leaf, p.lang, p.pos, l.lvl, (p.pos >> l.lvl) & 1 AS side, s.h FROM placed p
+    JOIN (SELECT DISTINCT lang, lvl FROM low WHERE n > 1) l ON l.lang IS NOT DISTINCT FROM p.lang
+    LEFT JOIN low s ON s.lang IS NOT DISTINCT FROM p.lang AND s.lvl = l.lvl AND s.pos = xor(p.pos >> l.lvl, 1)
+    UNION ALL
+    SELECT p.doc_id, p.leaf, p.lang, p.pos, g.height + l.lvl, (b.place >> l.lvl) & 1, s.h FROM placed p
+    JOIN heights g ON g.lang IS NOT DISTINCT FROM p.lang JOIN subs b ON b.lang IS NOT DISTINCT FROM p.lang
+    CROSS JOIN (SELECT DISTINCT lvl FROM high WHERE n > 1) l LEFT JOIN high s ON s.lvl = l.lvl AND s.pos = xor(b.place >> l.lvl, 1)),
+proofs AS (SELECT lang, pos, sha256(coalesce(string_agg(h, '' ORDER BY lvl), '')) AS proof_sha256, list(struct_pack(side := side, h := h) ORDER BY lvl) AS way
+    FROM steps GROUP BY lang, pos),
+fold(lang, pos, lvl, h) AS (SELECT lang, pos, 0, changed FROM placed
+    UNION ALL SELECT f.lang, f.pos, f.lvl + 1, sha256(CASE WHEN way[f.lvl + 1].side = 1 THEN coalesce(way[f.lvl + 1].h, '') || f.h
+        ELSE f.h || coalesce(way[f.lvl + 1].h, '') END)
+    FROM fold f JOIN proofs p ON p.lang IS NOT DISTINCT FROM f.lang AND p.pos = f.pos WHERE f.lvl < len(way)),
+ends AS (SELECT lang, pos, arg_max(h, lvl) AS folded_root FROM fold GROUP BY lang, pos),
+root AS (SELECT h AS root FROM high WHERE n = 1)
+SELECT p.doc_id, p.leaf, b.subroot, root.root, coalesce(q.proof_sha256, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = root.root AS verified
+FROM placed p JOIN subs b ON b.lang IS NOT DISTINCT FROM p.lang CROSS JOIN root
+LEFT JOIN proofs q ON q.lang IS NOT DISTINCT FROM p.lang AND q.pos = p.pos
+JOIN ends e ON e.lang IS NOT DISTINCT FROM p.lang AND e.pos = p.pos""")
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf, its proof, and whether what it may have become still folds to the root."""
+    docs = table(spark, folder, "documents")
+
+    def leaf(n_chars):
+        return merkle.leaf(*map(F.col, ("doc_id", "source", "lang")), n_chars, F.col("text"))
+
+    touched = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    changed = F.when(touched, leaf(F.col("n_chars").cast("decimal(38,0)") + 1)).otherwise(F.col("leaf"))
+    leaves = docs.withColumn("leaf", leaf(F.col("n_chars"))).select("doc_id", F.col("lang").alias("part"), "leaf", changed.alias("changed"))
+    with scratch(spark) as job:
+        kept = merkle.manifest(leaves, ["doc_id"])
+        digests = F.sha2(F.array_join(F.transform("proof", lambda s: F.substring(s, 2, 64)), ""), 256)
+        return job.keep(kept.select("doc_id", "leaf", "subroot", "root", digests.alias("proof_sha256"), F.col("version_root").alias("folded_root"),
+                                    (F.col("version_root") == F.col("root")).alias("verified")))
