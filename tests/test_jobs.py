@@ -14,7 +14,7 @@ from tillspark.plans.mining_run import run_mining
 from tillspark.sinks import exports as X
 from tillspark.sinks import tables as T
 from tillspark.sources.order_tables import retail_lines
-from tillspark.streaming.live_carts import latest_suggestions, suggest_live
+from tillspark.streaming.live_carts import latest, latest_suggestions, store_live_carts, suggest_live
 
 
 @pytest.fixture(scope="module")
@@ -91,28 +91,64 @@ def test_live_suggestions_equal_a_batch(spark, tmp_path):
     recs = spark.createDataFrame(
         [("a", "c", 0.5, 0.1, 2.0, "rule"), ("b", "d", 0.5, 0.1, 1.5, "rule"), ("a", "b", 0.5, 0.1, 1.2, "rule")],
         "product string, rec_product string, confidence double, support double, lift double, source string")
-    src, log, out = (str(tmp_path / x) for x in ("src", "log", "out"))
+    src, out = (str(tmp_path / x) for x in ("src", "out"))
     for part in (events[:3], events[3:]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
-        suggest_live(stream, recs, log, out, str(tmp_path / "cp"), cart_buckets=4).awaitTermination()
+        suggest_live(stream, recs, out, str(tmp_path / "cp")).awaitTermination()
     latest = {(r["cart_id"], r["product"], r["score"]) for r in latest_suggestions(spark.read.parquet(out)).collect()}
     want = cross_sell(fold_cart_events(spark.createDataFrame(events, schema)), recs)
     assert latest == {(r["cart_id"], r["product"], r["score"]) for r in want.collect()}
 
 
-def test_live_carts_forget_an_emptied_cart_and_keep_little(spark, tmp_path):
+def test_live_carts_forget_an_emptied_cart(spark, tmp_path):
     schema = "cart_id string, seq long, action string, product string, qty int"
     recs = spark.createDataFrame([("a", "c", 0.5, 0.1, 2.0, "rule")],
                                  "product string, rec_product string, confidence double, support double, lift double, source string")
-    src, state, out = (str(tmp_path / x) for x in ("src", "state", "out"))
-    reads = []
+    src, out = (str(tmp_path / x) for x in ("src", "out"))
     for k, action in enumerate(["add", "remove", "add", "add", "remove"]):
         spark.createDataFrame([("1", 10 * k, action, "a", 0)], schema).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
-        suggest_live(stream, recs, state, out, str(tmp_path / "cp"), cart_buckets=1).awaitTermination()
+        suggest_live(stream, recs, out, str(tmp_path / "cp")).awaitTermination()
         held = [r["product"] for r in latest_suggestions(spark.read.parquet(out)).collect()]
         assert held == (["c"] if action == "add" else [])
-        reads.append(len(list((tmp_path / "state").glob("bucket=*/batch=*"))))
-    # Two states of a bucket are kept, however many batches there were.
-    assert max(reads) <= 2
+
+
+def test_a_batch_writes_as_much_whatever_is_stored(spark, tmp_path):
+    """Bytes of state written by a batch of ten carts, with few and with many carts stored before it."""
+    schema = "cart_id string, seq long, action string, product string, qty int"
+    written = []
+    for k, stored in enumerate((100, 20_000)):
+        src, out, cp = (str(tmp_path / f"{x}{k}") for x in ("src", "out", "cp"))
+        rows = spark.range(stored).selectExpr("CAST(id AS STRING) cart_id", "id seq", "'add' action", "'a' product", "0 qty")
+        rows.coalesce(1).write.mode("append").parquet(src)
+        store_live_carts(spark.readStream.schema(schema).parquet(src), out, cp).awaitTermination()
+        ten = spark.createDataFrame([(str(i), stored + i, "set", "a", 7) for i in range(10)], schema)
+        ten.coalesce(1).write.mode("append").parquet(src)
+        store_live_carts(spark.readStream.schema(schema).parquet(src), out, cp).awaitTermination()
+        # Version 2 of each partition of the state.
+        written.append(sum(f.stat().st_size for f in (tmp_path / f"cp{k}" / "state").rglob("2.delta")))
+        held = {r.cart_id: r.qty for r in latest(spark.read.parquet(out)).collect()}
+        assert len(held) == stored and sorted(held.values())[-11:] == [1] + [7] * 10
+    assert 0 < written[1] < 1.5 * written[0]
+
+
+def test_a_scratch_scope_keeps_results_only(spark):
+    from tillspark.runtime import materialize, scratch
+
+    def there(df):
+        return all(spark.sparkContext._jvm.java.io.File(f.removeprefix("file:")).exists() for f in df.inputFiles())
+
+    with scratch(spark) as outer:
+        with scratch(spark) as inner:
+            first = materialize(spark.range(5))
+            kept = inner.keep(first.selectExpr("id + 1 AS id"))
+        assert not there(first) and there(kept) and kept.count() == 5
+        result = outer.keep(kept)
+    assert not there(kept) and result.count() == 5
+    try:
+        with scratch(spark):
+            lost = materialize(spark.range(3))
+            raise ValueError
+    except ValueError:
+        assert not there(lost)

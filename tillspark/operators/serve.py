@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tillspark.operators.recommend import join_outside_cart, rank_within, ranked
 from tillspark.runtime import materialize, salted_join, with_rank
@@ -103,31 +104,24 @@ def cart_suggestions(
 def _top_up(inside: DataFrame, targets: DataFrame, products: DataFrame, n: int) -> DataFrame:
     """For carts short of ``n`` suggestions, the first catalog products not yet in use.
 
-    A cart using u products finds its free ones among the first u + n of the catalog, so it compares
-    position numbers with its own products and never meets the whole catalog.
+    Only position numbers of a cart's own products are looked at, in their order; it never meets the whole catalog, and no
+    row holds a cart.
     """
     names = with_rank(products.select(F.col("name").alias("product")), "product", "at")
     size = names.agg(F.count("*")).scalar()
     full = targets.filter(F.col("rank") == n).select("cart_id")
     used = inside.unionByName(targets.select("cart_id", "product")).join(full, "cart_id", "left_anti")
     has = targets.groupBy("cart_id").agg(F.count("*").alias("has"))
-    short = (
-        salted_join(used, names, ["product"], ["cart_id"], "left")
-        .groupBy("cart_id")
-        .agg(F.count("*").alias("u"), F.array_compact(F.collect_list("at")).alias("taken"))
-        .join(has, "cart_id", "left")
-        .withColumn("has", F.coalesce("has", F.lit(0)))
-        .withColumn("last", F.least(F.col("u") + n, size))
-        .filter("last >= 1")
-    )
-    free = short.select(
-        "cart_id", "has",
-        F.posexplode(
-            F.slice(
-                F.array_except(F.sequence(F.lit(1).cast("long"), F.col("last")), F.col("taken")),
-                F.lit(1), (F.lit(n) - F.col("has")).cast("int"),
-            )
-        ).alias("pos", "at"),
+    # A used position less its rank among them is the number of free positions before it, so the k-th free position is
+    # k and the number of used ones with fewer than k free before them. What leaves the window are n counts.
+    order = W.partitionBy("cart_id").orderBy(F.col("at").asc_nulls_last())
+    free_before = salted_join(used, names, ["product"], ["cart_id"], "left").select(
+        "cart_id", (F.col("at") - F.row_number().over(order)).alias("free_before"))
+    places = [F.struct(F.lit(k - 1).alias("pos"), (k + F.count_if(F.col("free_before") < k)).alias("at")) for k in range(1, n + 1)]
+    short = free_before.groupBy("cart_id").agg(F.array(*places).alias("places")).join(has, "cart_id", "left")
+    free = (
+        short.select("cart_id", F.coalesce("has", F.lit(0)).alias("has"), F.explode("places").alias("place"))
+        .select("cart_id", "has", "place.*").filter((F.col("pos") < n - F.col("has")) & (F.col("at") <= size))
     )
     return salted_join(free, names, ["at"], ["cart_id"]).select(
         "cart_id", "product", (F.col("has") + F.col("pos") + 1).cast("int").alias("rank"),

@@ -91,9 +91,13 @@ def cart_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cart_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks as cart edits: purchase adds, click sets a quantity, error removes."""
-    return table(spark, sf_dir, "events").filter(
+def cart_events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    """Clicks as cart edits: purchase adds, click sets a quantity, error removes. With ``stream``, of the files as they come."""
+    events = table(spark, sf_dir, "events")
+    if stream:
+        # One path pattern for a table that is a file and for one that is a folder of files.
+        events = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+    return events.filter(
         F.col("event_type").isin("purchase", "click", "error")
     ).select(
         F.col("user_id").cast("string").alias("cart_id"),

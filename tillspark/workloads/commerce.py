@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tillspark.operators import commerce as M
 from tillspark.operators.catalog import product_catalog
-from tillspark.runtime import materialize, scratch_folder
+from tillspark.runtime import materialize, scratch, scratch_folder
 from tillspark.sinks.tables import append_orders, dashboard
 from tillspark.sources.order_tables import cart_customers, cart_events, open_carts
+from tillspark.streaming.live_carts import latest, store_live_carts
 from tillspark.workloads import checking_sql as S
 from tillspark.workloads.mining import STORED_SQL, as_products, catalog_and_stored
 from tillspark.workloads.preparation import cleaned
@@ -81,7 +82,7 @@ def _(spark, d):
     return M.order_details(spark.read.parquet(f"{folder}/orders"), spark.read.parquet(f"{folder}/order_lines"))
 
 
-@query("cart_fold", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS cart_id, event_id AS seq,
+FOLD_SQL = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS cart_id, event_id AS seq,
   'product ' || CAST(event_id % 7 AS VARCHAR) AS product, CAST(floor(value / 10) AS INT) AS qty,
   CASE event_type WHEN 'purchase' THEN 'add' WHEN 'click' THEN 'set' ELSE 'remove' END AS action
   FROM events WHERE event_type IN ('purchase', 'click', 'error')),
@@ -93,11 +94,24 @@ based AS (SELECT *, max(CASE WHEN action = 'set' THEN seq END) OVER (PARTITION B
   FROM started WHERE seq >= start)
 SELECT cart_id, product, CAST(coalesce(max(CASE WHEN seq = set_seq THEN qty END), 0)
   + count(*) FILTER (action = 'add' AND (set_seq IS NULL OR seq > set_seq)) AS BIGINT) AS qty
-FROM based GROUP BY 1, 2""")
+FROM based GROUP BY 1, 2"""
+
+
+@query("cart_fold", FOLD_SQL)
 def _(spark, d):
     return M.fold_cart_events(cart_events(spark, d))
 
 
+@query("live_carts", FOLD_SQL)
+def _(spark, d):
+    """The same carts from a stream: what each holds after the last batch that touched it."""
+    with scratch(spark) as job:
+        folder = scratch_folder(spark)
+        stream = cart_events(spark, d, stream=True)
+        store_live_carts(stream, f"{folder}/carts", f"{folder}/checkpoint").awaitTermination()
+        return job.keep(latest(spark.read.parquet(f"{folder}/carts")).select("cart_id", "product", "qty"))
+
+
 @query("dashboard", f"""{STORED_SQL} SELECT (SELECT count(*) FROM catalog) AS products,
   (SELECT count(*) FROM stored) AS recommendations""")
 def _(spark, d):
