@@ -1,17 +1,20 @@
 import random
+from itertools import combinations
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 from tillspark import MiningSettings, mine
 from tillspark.mining.apriori import apriori_itemsets
-from tillspark.mining.counting import PAIR_SLOTS_PER_PASS, count_itemsets, locally_frequent_pairs
+from tillspark.mining.counting import Block, count_itemsets, frequent_pairs, partial_counts
 from tillspark.mining.job import prepared
 from tillspark.mining.rules import _splits, association_rules
 from tillspark.mining.son import son_candidates, son_itemsets
 from tillspark.mining.threshold import min_count
 from tillspark.schemas import BASKET
 
+SET = "items array<string>, freq long"
 ALGORITHMS = ("fpgrowth", "apriori", "son")
 
 
@@ -84,7 +87,8 @@ def test_few_counters_per_pass_change_nothing(spark):
     baskets = random_baskets(3)
     df = prepared(frame(spark, baskets)).cache()
     want = brute.itemsets(baskets, "0.2")
-    assert as_dict(apriori_itemsets(df, 16, (1, 5), slots=3)) == want
+    assert as_dict(apriori_itemsets(df, 16, slots=3)) == want
+    assert as_dict(apriori_itemsets(df, 16, counters=16)) == want
     assert as_dict(son_itemsets(df, 0.2, 16, len(baskets), slots=3)) == want
 
 
@@ -118,11 +122,37 @@ def test_single_consequents_and_lift_filter(spark):
     assert lifted == {k: v for k, v in every.items() if v[2] >= 1.0}
 
 
+def every_subset(items, freq):
+    """Itemsets of equal freq: every split is a rule of confidence 1."""
+    return [(sorted(c), freq) for k in range(1, len(items) + 1) for c in combinations(items, k)]
+
+
 def test_a_long_itemset_is_split_every_way(spark):
-    items = [f"i{k:02d}" for k in range(14)]
-    splits = _splits(spark.createDataFrame([(items, 5)], "items array<string>, freq long"), None)
-    whole = splits.selectExpr("sort_array(concat(antecedents, consequents)) AS items")
-    assert splits.distinct().count() == 2 ** 14 - 2 and whole.distinct().count() == 1
+    items = [f"i{k:02d}" for k in range(9)]
+    rules = association_rules(spark.createDataFrame(every_subset(items, 5), SET), 10, 0.9)
+    rows = as_rules(rules.filter(F.size("antecedents") + F.size("consequents") == 9))
+    assert len(rows) == 2 ** 9 - 2 and all(sorted(a + c) == items for a, c in rows)
+
+
+def test_consequents_stop_growing_below_the_confidence(spark):
+    """25 items, of which any one follows from the others, but no two do: a level of 300 is tried, not 2^25 splits."""
+    items = [f"i{k:02d}" for k in range(25)]
+    sets = [(items, 90)] + [([x for x in items if x != out], 95) for out in items]
+    sets += [([x for x in items if x not in out], 1000) for out in combinations(items, 2)]
+    rows = as_rules(association_rules(spark.createDataFrame(sets + [([x], 2000) for x in items], SET), 5000, 0.9))
+    whole = {k: v for k, v in rows.items() if len(k[0]) + len(k[1]) == 25}
+    assert len(whole) == 25 and all(len(c) == 1 for _, c in whole)
+
+
+@pytest.mark.parametrize("limit", [None, 1, 3])
+def test_long_itemsets_have_the_rules_of_brute_force(spark, limit):
+    rng = random.Random(9)
+    baskets = [[x for x in "abcdefghi" if rng.random() < (0.95 if k % 2 else 0.4)] or ["a"] for k in range(60)]
+    found = mine(frame(spark, baskets), MiningSettings(0.2, 0.85, max_consequent=limit))
+    want = brute.itemsets(baskets, "0.2")
+    assert max(map(len, want)) > 7
+    rules = brute.rules(want, len(baskets), 0.85)
+    assert as_rules(found.rules) == {k: v for k, v in rules.items() if limit is None or len(k[1]) <= limit}
 
 
 def test_counting_given_itemsets(spark):
@@ -147,10 +177,54 @@ def test_splits_with_a_limit_are_built_directly(spark):
     assert all(sorted(r["antecedents"] + r["consequents"]) == items and 1 <= len(r["consequents"]) <= 2 for r in rows)
 
 
-def test_pairs_of_5000_items_take_few_passes(spark):
-    baskets = spark.createDataFrame([(["a"],)], "items array<string>")
-    names = [f"i{k:04d}" for k in range(5000)]
-    assert sum(1 for _ in locally_frequent_pairs(baskets, names, (1, 100), PAIR_SLOTS_PER_PASS)) <= 3
+@pytest.mark.parametrize("counters", [8, 64, 1 << 22])
+def test_frequent_pairs_whatever_the_counters(spark, counters):
+    baskets = random_baskets(6, n=200, items=12)
+    df = prepared(frame(spark, baskets, 5))
+    names = sorted({x for b in baskets for x in b})
+    want = {s: n for s, n in brute.itemsets(baskets, "0.2", 2).items() if len(s) == 2}
+    assert as_dict(frequent_pairs(df, names, 40, counters)) == want
+
+
+def test_pairs_of_20000_items_take_two_scans(spark):
+    scans = spark.sparkContext.accumulator(0)
+    rng = random.Random(7)
+    names = [f"i{k:05d}" for k in range(20_000)]
+    rows = [(sorted(rng.sample(names, 8) + ["i00001x", "i00002x"]),) for _ in range(3000)]
+
+    def counted(batches):
+        scans.add(1)
+        yield from batches
+
+    df = spark.createDataFrame(rows, "items array<string>").coalesce(1).mapInArrow(counted, "items array<string>")
+    found = as_dict(frequent_pairs(df, sorted(names + ["i00001x", "i00002x"]), 30))
+    assert found == {("i00001x", "i00002x"): 3000} and scans.value <= 3
+
+
+def test_a_short_task_sends_no_more_counters_than_a_long_one():
+    import numpy as np
+    import pyarrow as pa
+    from tillspark.mining.counting import pair_counters
+
+    names = pa.array([f"i{k:04d}" for k in range(3000)])
+    sent = []
+    for n in (1, 400):
+        baskets = pa.RecordBatch.from_arrays([pa.array([names.to_pylist()[k::n][:200] for k in range(n)])], ["items"])
+        sent.append(sum(len(x.as_py()) for b in pair_counters(names, 1 << 16)([baskets]) for x in b.column("counts")))
+    assert sent[0] <= sent[1] <= 4 * (1 << 16)
+    assert np.all(np.array(sent) > 0)
+
+
+def test_bitmaps_count_as_histograms_do():
+    import numpy as np
+
+    rng = random.Random(8)
+    baskets = [sorted(rng.sample(range(20), rng.randint(0, 19))) for _ in range(150)]
+    rows = np.repeat(np.arange(150), [len(b) for b in baskets])
+    block = Block(150, rows, np.array([i for b in baskets for i in b]), 20)
+    wanted = [(p, np.array([e for e in range(20) if not p or e > p[-1]])) for p in [(), (0,), (0, 3), (0, 3, 4), (1, 2), (5,), (5, 9, 11, 17)]]
+    for (prefix, extensions), counts in zip(wanted, partial_counts(block, wanted)):
+        assert counts.tolist() == [sum(set(prefix) | {e} <= set(b) for b in baskets) for e in extensions]
 
 
 def test_son_leaves_a_short_partition_to_the_second_phase(spark):

@@ -1,18 +1,20 @@
 """Counting itemsets against baskets without emitting item combinations.
 
-A pass over the baskets holds, in every task, one counter per itemset looked for. Each Arrow batch
-of baskets is turned into flat arrays of (basket row, item number); an itemset prefix narrows them
-to the rows holding it, and one histogram then counts all its extensions. A task sends one partial
-count per itemset, whatever the sizes of its baskets, and Spark adds them up. A basket with very
-many items therefore costs time in the histograms but no extra rows.
-
-Pairs have far more candidates than results, so they are narrowed first: a task reports the pairs
-that meet the support ratio among its own baskets (a pair frequent overall does so in at least one
-task), and only those are counted in all tasks.
+A pass over the baskets holds, in every task, one counter per itemset looked for. Baskets come in blocks, vertically: per item
+one bitmap of the block's baskets. The bitmap of a prefix is the AND of its items', kept while its extensions
+and longer prefixes are counted; an extension is one more AND and a bit count. Where a prefix stands in so few baskets that
+their items are fewer than the words of its extensions' bitmaps, one histogram over these baskets counts all of them
+instead. A task sends one partial count per itemset, whatever the sizes of its baskets, and Spark adds them up.
+
+Pairs are counted before there is a list of them. One scan adds up a table of counters, a pair's counter given by a hash of its
+two items; where the table has room for all pairs each has its own, and this is all. Otherwise counters below the threshold
+rule out all their pairs, and a second scan counts the others one by one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,8 +23,12 @@ from pyspark.sql import functions as F
 
 # Counters a task keeps in one pass (8 bytes each). More itemsets mean more passes.
 SLOTS_PER_PASS = 2_000_000
-# The same for ranges of pairs, which are never listed: 4 bytes each, so 5,000 frequent items take two passes.
-PAIR_SLOTS_PER_PASS = 8_000_000
+# Counters of pairs (4 bytes each), at most; so 2,048 frequent items are counted without collisions.
+PAIR_COUNTERS = 1 << 22
+# Counters that travel together, and pairs that a task lists at once or holds before it sends their counts.
+COUNTERS_PER_ROW, PAIRS_AT_ONCE, PAIRS_HELD = 1 << 15, 2_000_000, 4_000_000
+# Bytes of a block's bitmaps, and its baskets at most.
+BITMAP_BYTES, BLOCK_ROWS = 64 << 20, 1 << 16
 
 
 # ---- inside tasks -------------------------------------------------------------------------
@@ -68,52 +74,86 @@ def join_parts(parts: list):
     return int(shifts[-1]), rows, np.concatenate([i for _, _, i in parts])
 
 
-def groups_of_batches(batches, vocabulary: pa.Array, entries: int = 1_000_000):
-    """Batches joined until they hold about ``entries`` items, to spread the cost of each prefix."""
-    parts, held = [], 0
-    for batch in batches:
-        parts.append(flatten(batch.column(0), vocabulary))
-        held += len(parts[-1][1])
-        if held >= entries:
-            yield join_parts(parts)
-            parts, held = [], 0
-    if parts:
-        yield join_parts(parts)
+class Block:
+    """Baskets as bitmaps per item, and as flat arrays by basket."""
 
+    def __init__(self, n_rows: int, rows: np.ndarray, ids: np.ndarray, n_items: int):
+        self.words, self.rows, self.ids = -(-n_rows // 64), rows, ids
+        self.starts = np.searchsorted(rows, np.arange(n_rows + 1))
+        # Entries by item and basket: those of one byte are neighbours.
+        entries = np.sort(ids * (self.words * 64) + rows)
+        at = entries >> 3
+        heads = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
+        bits = np.zeros(n_items * self.words * 8, np.uint8)
+        if len(at):
+            bits[at[heads]] = np.bitwise_or.reduceat(np.left_shift(1, entries & 7).astype(np.uint8), heads)
+        self.bitmaps = bits.view(np.uint64).reshape(n_items, self.words)
+
+    def items_of(self, bitmap: np.ndarray) -> np.ndarray:
+        """The items of all baskets in the bitmap."""
+        hit = np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
+        sizes = self.starts[hit + 1] - self.starts[hit]
+        return self.ids[np.repeat(self.starts[hit] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
 
-def partial_counts(n_rows: int, rows: np.ndarray, ids: np.ndarray, n_items: int, wanted: list):
+
+def partial_counts(block: Block, wanted: list):
     """For each (prefix, extensions) in prefix order, the baskets holding prefix plus extension."""
-    batch = Batch(n_rows, rows, ids, n_items)
-    path: list[tuple[tuple, tuple]] = [((), (rows, ids))]
+    bitmaps = block.bitmaps
+    n_items, mean = len(bitmaps), len(block.ids) / max(len(block.starts) - 1, 1)
+    path: list[tuple[tuple, np.ndarray | None]] = [((), None)]
     for prefix, extensions in wanted:
         while path[-1][0] != prefix[:len(path[-1][0])]:
             path.pop()
         for item in prefix[len(path[-1][0]):]:
-            done, (r, i) = path[-1]
-            path.append((done + (item,), narrow(r, i, item) if done else batch.narrow_first(item)))
-        yield np.bincount(path[-1][1][1], minlength=n_items)[extensions]
+            done, bitmap = path[-1]
+            path.append((done + (item,), bitmaps[item] if bitmap is None else bitmap & bitmaps[item]))
+        bitmap = path[-1][1]
+        if bitmap is None:
+            yield np.bincount(block.ids, minlength=n_items)[extensions]
+            continue
+        baskets = int(np.bitwise_count(bitmap).sum())
+        if not baskets:
+            yield np.zeros(len(extensions), np.int64)
+        elif baskets * mean < len(extensions) * block.words:
+            yield np.bincount(block.items_of(bitmap), minlength=n_items)[extensions]
+        else:
+            yield np.bitwise_count(bitmaps[extensions] & bitmap).sum(axis=1, dtype=np.int64)
+
+
+def blocks(batches, vocabulary: pa.Array):
+    """Batches cut and joined into blocks of bounded size."""
+    n_items = max(len(vocabulary), 1)
+    most = int(min(BLOCK_ROWS, max(512, BITMAP_BYTES * 8 // n_items)))
+    parts, held = [], 0
+    for batch in batches:
+        column = batch.column(0)
+        at = 0
+        while at < len(column):
+            part = flatten(column.slice(at, most - held), vocabulary)
+            at, held = at + part[0], held + part[0]
+            parts.append(part)
+            if held == most:
+                yield join_parts(parts)
+                parts, held = [], 0
+    if parts:
+        yield join_parts(parts)
 
 
 def task_totals(batches, vocabulary: pa.Array, wanted: list):
     """(baskets of the task, their counts for each prefix)."""
     n, totals = 0, [np.zeros(len(extensions), dtype=np.int32) for _, extensions in wanted]
-    for n_rows, rows, ids in groups_of_batches(batches, vocabulary):
+    for n_rows, rows, ids in blocks(batches, vocabulary):
         n += n_rows
-        for total, part in zip(totals, partial_counts(n_rows, rows, ids, len(vocabulary), wanted)):
+        for total, part in zip(totals, partial_counts(Block(n_rows, rows, ids, len(vocabulary)), wanted)):
             np.add(total, part, out=total, casting="unsafe")
     return n, totals
 
 
-def counter(vocabulary: pa.Array, wanted: list, ratio: tuple[int, int] | None = None):
-    """The task of one pass: sends (slot, freq) once, with slots numbered through ``wanted``.
-
-    With a ``ratio`` only slots that meet it among the task's own baskets are sent.
-    """
+def counter(vocabulary: pa.Array, wanted: list):
+    """The task of one pass: sends (slot, freq) once, with slots numbered through ``wanted``."""
     def run(batches):
-        n, totals = task_totals(batches, vocabulary, wanted)
-        counts = np.concatenate(totals)
-        least = 1 if ratio is None else max(1, -(-ratio[0] * n // ratio[1]))
-        slots = np.flatnonzero(counts >= least)
+        counts = np.concatenate(task_totals(batches, vocabulary, wanted)[1])
+        slots = np.flatnonzero(counts)
         for at in range(0, len(slots), 100_000):
             part = slots[at:at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part].astype(np.int64))], ["slot", "freq"])
@@ -121,6 +161,103 @@ def counter(vocabulary: pa.Array, wanted: list, ratio: tuple[int, int] | None =
     return run
 
 
+def pairs_of(n_rows: int, rows: np.ndarray, ids: np.ndarray, n_items: int, at_once: int = PAIRS_AT_ONCE):
+    """All pairs of items of a basket as numbers ``low item * n_items + high item``, about ``at_once`` at a time."""
+    place = rows * n_items + ids
+    if (place[1:] < place[:-1]).any():
+        place.sort()
+        rows, ids = np.divmod(place, n_items)
+    later = np.searchsorted(rows, rows, "right") - np.arange(len(rows)) - 1
+    ends = np.cumsum(later)
+    first = 0
+    while first < len(rows):
+        last = max(int(np.searchsorted(ends, (ends[first - 1] if first else 0) + at_once, "right")), first + 1)
+        sizes = later[first:last]
+        low = np.repeat(np.arange(first, last), sizes)
+        high = low + 1 + np.arange(len(low)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        yield ids[low] * n_items + ids[high]
+        first = last
+
+
+def places_of(pairs: np.ndarray, n_items: int, counters: int) -> np.ndarray:
+    """The counter of each pair: its own while there is one for each, one by a hash otherwise."""
+    if n_items * n_items <= counters:
+        return pairs
+    mixed = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - counters.bit_length() + 1)).astype(np.int64)
+
+
+def pair_counters(vocabulary: pa.Array, counters: int):
+    """The task of the first scan: sends its counters in rows of COUNTERS_PER_ROW; no more of them for a short task than for a long one."""
+    def run(batches):
+        n_items, totals = len(vocabulary), np.zeros(counters, np.int64)
+        for n_rows, rows, ids in blocks(batches, vocabulary):
+            for pairs in pairs_of(n_rows, rows, ids, n_items):
+                totals += np.bincount(places_of(pairs, n_items, counters), minlength=counters)
+        width = min(COUNTERS_PER_ROW, counters)
+        parts = totals.reshape(-1, width)
+        used = np.flatnonzero(parts.any(axis=1))
+        # Numbers that fit are sent in half the bytes.
+        for at in used.tolist():
+            small = parts[at].max() < 1 << 32
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([small]), pa.array([parts[at].astype("<u4" if small else "<u8").tobytes()], pa.binary())],
+                                             ["part", "small", "counts"])
+
+    return run
+
+
+def add_counters(least: int):
+    """Sums of the counters of one part: (counter, freq) of those of at least ``least``. Rows are added as they come."""
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for small, raw in zip(batch.column("small").to_pylist(), batch.column("counts").to_pylist()):
+                counts = np.frombuffer(raw, "<u4" if small else "<u8").astype(np.int64)
+                total = counts if total is None else total + counts
+        kept = np.flatnonzero(total >= least)
+        yield pa.RecordBatch.from_arrays([pa.array(kept + key[0].as_py() * len(total)), pa.array(total[kept])], ["counter", "freq"])
+
+    return run
+
+
+def pair_totals(vocabulary: pa.Array, counters: int, possible: np.ndarray):
+    """The task of the second scan: (pair, freq) of the pairs whose counter is in the bitmap."""
+    def run(batches):
+        n_items, held, n = len(vocabulary), [], 0
+
+        def out():
+            pairs = np.concatenate([p for p, _ in held])
+            every, back = np.unique(pairs, return_inverse=True)
+            return every, np.bincount(back, weights=np.concatenate([f for _, f in held])).astype(np.int64)
+
+        for n_rows, rows, ids in blocks(batches, vocabulary):
+            for pairs in pairs_of(n_rows, rows, ids, n_items):
+                place = places_of(pairs, n_items, counters)
+                held.append(np.unique(pairs[possible[place >> 3] >> (place & 7) & 1 > 0], return_counts=True))
+                n += len(held[-1][0])
+                if n > PAIRS_HELD:
+                    held = [out()]
+                    n = len(held[0][0])
+                    if n > PAIRS_HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["pair", "freq"])
+                        held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out()], ["pair", "freq"])
+
+    return run
+
+
+def name_pairs(vocabulary: pa.Array):
+    """Turns (pair, freq) rows into (items, freq)."""
+    def run(batches):
+        for batch in batches:
+            pairs = batch.column(0).to_numpy()
+            both = np.stack([pairs // len(vocabulary), pairs % len(vocabulary)], axis=1)
+            yield itemset_batch(both.tolist(), batch.column(1), vocabulary)
+
+    return run
+
+
 def decoder(vocabulary: pa.Array, wanted: list):
     """Turns (slot, freq) rows back into (items, freq)."""
     starts = np.cumsum([0] + [len(extensions) for _, extensions in wanted])
@@ -151,42 +288,49 @@ ITEMSET_COUNTS = "items array<string>, freq long"
 SLOT_COUNTS = "slot long, freq long"
 
 
-def _one_pass(
-    baskets: DataFrame, names: list[str], wanted: list, least: int = 1,
-    ratio: tuple[int, int] | None = None,
-) -> DataFrame:
+def _one_pass(baskets: DataFrame, names: list[str], wanted: list, least: int = 1) -> DataFrame:
     """(items, freq) of the wanted itemsets in at least ``least`` baskets.
 
-    Slots travel as numbers; only those kept are spelled out. With a ``ratio`` the counts are those
-    of single tasks and only tell which itemsets are worth counting.
+    Slots travel as numbers; only those kept are spelled out.
     """
     vocabulary = pa.array(names, pa.string())
     wanted = sorted(wanted, key=lambda w: w[0])
     return (
-        baskets.select("items").mapInArrow(counter(vocabulary, wanted, ratio), SLOT_COUNTS)
+        baskets.select("items").mapInArrow(counter(vocabulary, wanted), SLOT_COUNTS)
         .groupBy("slot").agg(F.sum("freq").alias("freq")).filter(F.col("freq") >= least)
         .mapInArrow(decoder(vocabulary, wanted), ITEMSET_COUNTS)
     )
 
 
-def locally_frequent_pairs(
-    baskets: DataFrame, frequent: list[str], ratio: tuple[int, int], slots: int = SLOTS_PER_PASS
-):
-    """Pairs of the given sorted items that meet the ratio in some task, one DataFrame per pass.
+def frequent_pairs(baskets: DataFrame, frequent: list[str], least: int, counters: int = PAIR_COUNTERS) -> DataFrame:
+    """(items, freq) of the pairs of the given sorted items in at least ``least`` baskets, in one or two scans.
 
-    The pairs are ranges of item numbers and are never listed. ``frequent`` has at most
-    (mean basket size) / (min support) entries however many baskets there are.
+    ``frequent`` has at most (mean basket size) / (min support) entries however many baskets there are; the driver sees a
+    bitmap of ``counters`` bits (a power of two) at most.
     """
     n = len(frequent)
-    wanted, used = [], 0
-    for first in range(n - 1):
-        if wanted and used + n - first - 1 > slots:
-            yield _one_pass(baskets, frequent, wanted, ratio=ratio).select("items")
-            wanted, used = [], 0
-        wanted.append(((first,), np.arange(first + 1, n)))
-        used += n - first - 1
-    if wanted:
-        yield _one_pass(baskets, frequent, wanted, ratio=ratio).select("items")
+    # Room for all pairs where that is not more.
+    counters = min(counters, 1 << max((n * n - 1).bit_length(), 3))
+    vocabulary, items = pa.array(frequent, pa.string()), baskets.select("items")
+    summed = (
+        items.mapInArrow(pair_counters(vocabulary, counters), "part long, small boolean, counts binary")
+        .groupBy("part").applyInArrow(add_counters(least), "counter long, freq long")
+    )
+    if n * n <= counters:
+        found = summed.select(F.col("counter").alias("pair"), "freq")
+    else:
+        place = F.col("counter") + 1
+        rows = summed.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+        possible = np.zeros((max(counters >> 15, 1), 1 << 12), np.uint8)
+        for r in rows:
+            possible[r.bucket - 1] = np.frombuffer(r.bits, np.uint8)
+        possible = baskets.sparkSession.sparkContext.broadcast(possible.ravel())
+        found = (
+            items.mapInArrow(lambda batches: pair_totals(vocabulary, counters, possible.value)(batches), "pair long, freq long")
+            .groupBy("pair").agg(F.sum("freq").alias("freq")).filter(F.col("freq") >= least)
+        )
+    return found.mapInArrow(name_pairs(vocabulary), ITEMSET_COUNTS)
 
 
 def count_prefixed(

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tillspark.mining.apriori import apriori_itemsets
 from tillspark.mining.fpgrowth import fpgrowth_itemsets
 from tillspark.mining.rules import association_rules
 from tillspark.mining.son import son_itemsets
-from tillspark.mining.threshold import min_count, support_ratio
+from tillspark.mining.threshold import min_count
 from tillspark.runtime import drop_materialized, materialize, materialize_counted
 from tillspark.schemas import ITEMSET, RULE, MiningSettings
 
@@ -61,11 +61,13 @@ def _mine_stored(items: DataFrame, n: int, settings: MiningSettings) -> Mined:
     if settings.algorithm == "fpgrowth":
         found = fpgrowth_itemsets(items, least, n)
     elif settings.algorithm == "apriori":
-        found = apriori_itemsets(items, least, support_ratio(settings.min_support))
+        found = apriori_itemsets(items, least)
     else:
         found = son_itemsets(items, settings.min_support, least, n)
-    itemsets = materialize(found.select("items", "freq", (F.col("freq") / F.lit(n)).alias("support")))
+    sizes = Observation()
+    found = found.select("items", "freq", (F.col("freq") / F.lit(n)).alias("support"))
+    itemsets = materialize(found.observe(sizes, F.max(F.size("items")).alias("longest")))
     rules = association_rules(
-        itemsets, n, settings.min_confidence, settings.max_consequent, settings.min_lift
+        itemsets, n, settings.min_confidence, settings.max_consequent, settings.min_lift, sizes.get["longest"] or 0
     )
     return Mined(itemsets, rules, n, least, settings)
