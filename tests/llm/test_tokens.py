@@ -1,5 +1,6 @@
 import base64
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -158,3 +159,13 @@ def test_packing_query(spark, sf, library):
     for p in QUERIES["op6_packing"](spark, sf).collect():
         ids = (library(texts[p.doc_id]) + [1])[p.start:p.start + p.length]
         assert zlib.crc32(np.array(ids, "<u4").tobytes()) == p.ids_crc32
+
+
+def test_every_code_point_is_encoded_as_by_the_library(library_ids):
+    """Each between two letters: letters join them, numbers and others part them."""
+    points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    known = bpe.Bpe(RANKS)
+    for first in range(0, len(points), 50_000):
+        texts = [f"a{chr(c)}a" for c in points[first:first + 50_000]]
+        for text, raw in zip(texts, known.encode_all(texts)):
+            assert np.frombuffer(raw, "<u4").tolist() == library_ids(text), hex(ord(text[1]))

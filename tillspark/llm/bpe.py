@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import base64
 import sys
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,10 +64,11 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     The functions are numbered so that the first are those of the classes themselves.
     """
     classes = np.full(sys.maxunicode + 1, OTHER, dtype=np.uint8)
-    for point in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(point))[0]
-        if kind in "LN":
-            classes[point] = LETTER if kind == "L" else NUMBER
+    # Letters and numbers are what the library takes for such: it gives ids to the bytes of these characters only.
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))))
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
+        single = tiktoken.Encoding(pattern, pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        classes[list(map(ord, bytes(single.encode_ordinary(every)).decode()))] = kind
     classes[WHITE_SPACE] = RUN
     classes[ord("'")] = APOSTROPHE
     classes[[ord(c) for c in "stmd"]] = ONE

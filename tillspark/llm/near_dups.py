@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillspark.llm.shared import bound_batches, components, held
+from tillspark.llm.shared import ByWord, bound_batches, components, held
 from tillspark.runtime import drop_materialized, materialize
 
 WORDS, SIMILARITY = 5, 0.8
@@ -56,23 +56,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words, kept up to a bound."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word)
-        return out
-
-
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
 def shingles(words: list[str]) -> np.ndarray:
     """Hashes of all runs of five words; a shorter text is one run."""
-    known = held("word hashes", _WordHashes)
+    known = held("word hashes", lambda: ByWord(xxhash.xxh64_intdigest))
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     if len(h) < WORDS:
         return _mix(np.cumsum(_mix(h) * _ODD + np.uint64(len(h)))[-1:])

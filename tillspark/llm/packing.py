@@ -2,7 +2,7 @@
 
 Each task packs the documents of its input partition in their order, in blocks of about ``BLOCK`` tokens, so
 nothing is shuffled. Within a block the places where a sequence may end are the ends of documents, the ends
-of sentences (for a penalty), and, where none of these lies within a window of the last, full windows (for a larger
+of sentences (for a penalty; the last of some close together), and, where none of these lies within a window of the last, full windows (for a larger
 one). The cheapest chain of windows is found with
 
     cost(j) = min over i of cost(i) + padding(j - i) + penalty(j) + opening cost
@@ -14,7 +14,6 @@ not padded; those few places are looked up besides.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +30,8 @@ WINDOW, END_ID, BLOCK = 2048, 1, 1 << 19
 AT_SENTENCE, INSIDE, OPENING = 2, 24, 12
 #: The shortest power of two that is used as an unpadded length.
 LEAST_POWER = 16
+#: Of the sentence ends within so many tokens only the last is a place to end at.
+NEAR = 16
 
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -39,7 +40,9 @@ SCHEMA = (
 
 def places(doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int) -> tuple[list[int], list[int]]:
     """All places where a sequence may end, from 0 on, and their penalties. No two are over ``window`` apart."""
-    base = np.unique(np.concatenate(([0], doc_ends, sentence_ends)))
+    cells = sentence_ends // NEAR
+    last = np.flatnonzero(np.append(cells[1:] != cells[:-1], True)) if len(cells) else cells
+    base = np.unique(np.concatenate(([0], doc_ends, sentence_ends[last])))
     gaps = np.diff(base)
     long = np.flatnonzero(gaps > window)
     every = np.concatenate((base, *(np.arange(base[i] + window, base[i + 1], window) for i in long)))
@@ -61,13 +64,15 @@ def best_cuts(at: list[int], penalty: list[int], window: int) -> list[int]:
             j = np.flatnonzero((back >= 0) & (places_at[i] == back))
             for a, b in zip(j.tolist(), i[j].tolist()):
                 exact.setdefault(a, []).append(b)
-    cost, before, keyed, queue = [0], [0], [0], deque([0])
+    # Of the places that may still be best: where they are, their keys and their numbers, from ``head`` on.
+    cost, before = [0], [0]
+    queue_at, queue_key, queue_no, head = [0], [0], [0], 0
     for j in range(1, len(at)):
         p = at[j]
-        while at[queue[0]] < p - window:
-            queue.popleft()
-        i = queue[0]
-        best = keyed[i] + window - p
+        while queue_at[head] < p - window:
+            head += 1
+        i = queue_no[head]
+        best = queue_key[head] + window - p
         if j in exact:
             for t in exact[j]:
                 if cost[t] < best:
@@ -76,10 +81,11 @@ def best_cuts(at: list[int], penalty: list[int], window: int) -> list[int]:
         cost.append(best)
         before.append(i)
         best += p
-        keyed.append(best)
-        while queue and keyed[queue[-1]] >= best:
-            queue.pop()
-        queue.append(j)
+        while len(queue_key) > head and queue_key[-1] >= best:
+            del queue_key[-1], queue_at[-1], queue_no[-1]
+        queue_key.append(best)
+        queue_at.append(p)
+        queue_no.append(j)
     cuts, j = [], len(at) - 1
     while j:
         cuts.append(at[j])

@@ -151,7 +151,8 @@ def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     return cut.select(
         "doc_id", size.alias("n_bytes"), (size - F.octet_length("cut.kept")).alias("n_removed"),
-        F.size("cut.spans").cast("long").alias("n_spans"), F.sha2("cut.kept", 256).alias("kept_sha256"))
+        F.size("cut.spans").cast("long").alias("n_spans"), F.sha2("cut.kept", 256).alias("kept_sha256"),
+        (F.size("cut.spans") > 0).alias("has_repeats"))
 
 
 def _repeating(docs: DataFrame) -> DataFrame:

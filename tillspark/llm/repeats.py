@@ -26,15 +26,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillspark.llm.shared import bound_batches
-from tillspark.runtime import drop_materialized, materialize
+from tillspark.llm.shared import ByWord, bitmap, bound_batches, has_bit, held, spare
+from tillspark.runtime import drop_materialized, heavy_keys, materialize, materialize_counted, salted_join
 
 LENGTH, GRAM = 400, 16
 #: Distinct zones of a core up to which they are compared in one task, and zones compared at once.
@@ -53,14 +53,14 @@ def reach_of(length: int) -> int:
     return length * 16 // 25
 
 
-@lru_cache(300_000)
 def _word_hash(word: str) -> bytes:
     return hashlib.blake2b((_EDGES.sub("", word) or word).encode(), digest_size=WORD_BYTES).digest()
 
 
 def words_as_bytes(raw: bytes) -> bytes:
     """The hashes of the words of a text, WORD_BYTES each."""
-    return b"".join(map(_word_hash, _WORD.findall(raw.decode())))
+    known = held("passage words", lambda: ByWord(_word_hash))
+    return b"".join(map(known.__getitem__, _WORD.findall(raw.decode())))
 
 
 def plain_bytes(raw: bytes) -> bytes:
@@ -260,12 +260,18 @@ def repeated_spans(rows: DataFrame, hot: int = HOT, length: int = LENGTH, code:
     take = partial(_take, length=length, code=code)
     parsed = materialize(rows.mapInArrow(partial(_parse, length=length, code=code), _ZONE))
     zone, text = ["core", "f1", "f2"], ["t1", "t2"]
-    twice = parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
-    shared = materialize(parsed.join(twice.hint("merge"), "core"))
+    # Most cores stand once: a bitmap of the others keeps their zones out of the shuffle.
+    twice, n_twice = materialize_counted(parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap(twice, n_twice, F.col("core")))
+    maybe = F.arrow_udf(lambda cores: pa.array(has_bit(sent.value, cores.to_numpy())), "boolean")
+    heavy_cores = heavy_keys(twice, ["core"], "n")
+    shared = materialize(salted_join(parsed.filter(maybe("core")), twice.select("core"), ["core"], ["t1", "x"], "left_semi", heavy=heavy_cores))
     drop_materialized(parsed)
     found = F.min(F.struct(*text, "x", "lo", "hi"))
     zones = materialize(shared.groupBy(*zone).agg(F.count(F.lit(1)).alias("n"), found.alias("at")))
-    whole = shared.join(zones.filter("n > 1").select(*zone).hint("merge"), zone).select(*text, F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
+    again = zones.filter("n > 1")
+    whole = salted_join(shared, again.select(*zone), zone, ["t1", "x"], "left_semi", heavy=heavy_keys(again, zone, "n")).select(
+        *text, F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
     mixed = zones.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("n") == 1).alias("singles")).filter("k > 1 and singles > 0")
     edge = zones.join(mixed.select("core", "k").hint("merge"), "core").select(
         "at.*", F.struct("core", "at.x", "at.lo", "at.hi", (F.col("n") == 1).alias("single"), (F.col("k") > hot).alias("hot")).alias("z"))
@@ -284,8 +290,8 @@ def repeated_spans(rows: DataFrame, hot: int = HOT, length: int = LENGTH, code:
     for p in parts[1:]:
         spans = spans.unionByName(p)
     out = materialize(spans.groupBy(*text).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans")))
-    drop_materialized(shared)
-    drop_materialized(zones)
+    for done in (shared, zones, twice):
+        drop_materialized(done)
     return out
 
 
@@ -330,8 +336,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", hot: int = HOT, length:
     returned as they are; ``cut`` takes another name if there is one already, as ``shared.spare`` gives it. No rows in,
     no rows out.
     """
-    from tillspark.llm.shared import spare
-
     bound_batches(docs.sparkSession)
     t1, t2, raw, cut = (spare(docs, n) for n in ("t1", "t2", "raw", "cut"))
     full = F.coalesce(F.col(text), F.lit(""))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Hashable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillspark.runtime import drop_materialized, materialize
+from tillspark.runtime import drop_materialized, heavy_keys, materialize, salted_join
 
 #: An Arrow batch holds at most so many bytes and rows, so a Python worker's memory is bounded.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
@@ -30,14 +33,42 @@ _HELD: dict[Hashable, object] = {}
 def held(key: Hashable, make: Callable[[], object]):
     """What ``make`` gives, kept in this Python process until another key is asked for.
 
-    Workers live on from one operator to the next; so each holds the caches of one operator only.
+    Workers live on from one operator to the next; so each holds the caches of one operator only, and what the last one
+    held is given back to the system.
     """
     if key not in _HELD:
         _HELD.clear()
+        give_back()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the system, as far as its libraries can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than GNU's
+        pass
+
+
+class ByWord(dict):
+    """What a function gives for words; kept for words of up to ``longest`` characters, up to ``most`` of them."""
+
+    def __init__(self, function: Callable[[str], object], most: int = 200_000, longest: int = 64):
+        super().__init__()
+        self.function, self.most, self.longest = function, most, longest
+
+    def __missing__(self, word: str):
+        out = self.function(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = out
+        return out
+
+
 def spare(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}
@@ -82,17 +113,21 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     links = materialize(edges.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     while True:
+        # Minima are partial sums. They are stored, so that a hub, which has one, meets its many links spread over tasks.
         both = links.unionByName(links.select(b.alias("a"), a.alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").filter(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = salted_join(both, low.drop("n"), ["a"], ["b"], heavy=heavy_keys(low, ["a"], "n")).filter(b > a)
+        large = materialize(large.select(b.alias("a"), F.col("m").alias("b")).distinct())
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
         small = (
-            large.join(low, "a").filter(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
-            .unionByName(low.select("a", F.col("m").alias("b")))
+            salted_join(large, least.drop("n"), ["a"], ["b"], heavy=heavy_keys(least, ["a"], "n"))
+            .filter(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
+            .unionByName(least.select("a", F.col("m").alias("b")))
             .select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(a != b).distinct()
         )
         after = materialize(small)
-        drop_materialized(links)
+        for done in (links, low, large, least):
+            drop_materialized(done)
         links = after
         # An id as the start of a link counts 1, as its end 0: a star has 1 at its points only.
         starts = links.select(a.alias("id"), F.lit(1).alias("out")).unionByName(links.select(b.alias("id"), F.lit(0).alias("out")).distinct())

@@ -42,7 +42,7 @@ class PieceEncoder:
     of them), words seen once for a while (``fresh`` of them); longer ones than ``longest`` never.
     """
 
-    def __init__(self, path: str, most: int = 450_000, fresh: int = 300_000, longest: int = 48, slice_chars: int = 1 << 18):
+    def __init__(self, path: str, most: int = 300_000, fresh: int = 200_000, longest: int = 48, slice_chars: int = 1 << 18):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
