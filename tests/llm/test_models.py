@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -42,12 +44,75 @@ def test_language_words_beyond_the_bound_count_exactly(spark, sf, monkeypatch):
 def test_language_bound_is_shared_out(spark):
     rows = [(i, " ".join(f"the{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(500)), "en") for i in range(40)]
     rows += [(i, " ".join(f"zu{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(100)), "de") for i in range(40, 44)]
-    model = language.learn(labelled(spark, rows), words=200, grams=300)
+    model = language.learn(labelled(spark, rows), words=200)
     assert sum(w.startswith("zu") for w in model.words) >= 60 and sum(w.startswith("the") for w in model.words) >= 50
-    assert sum("zu" in g for g in model.grams) >= 10 and len(model.grams) <= 300
+    assert len(model.words) <= 200
     assert language.quotas({"a": 10, "b": 900, "c": 900}, 300) == {"a": 10, "b": 145, "c": 145}
 
 
+def plain_language(learned, texts):
+    """Language and score of each text, straight from the definition; ``learned`` are (text, language)."""
+    langs = sorted({x for _, x in learned})
+    words, grams = {}, {}
+    for text, lang in learned:
+        for w in language.words_of(text):
+            words.setdefault(w, Counter())[lang] += 1
+    for w, by in words.items():
+        for size, g in language.grams_of(w):
+            for lang in by:
+                grams.setdefault((size, g), Counter())[lang] += 1
+
+    def logs(by, whole):
+        return [round((np.log(by[x] + language.SMOOTHING) - np.log(whole[x][0] + language.SMOOTHING * whole[x][1])) / language.UNIT) for x in langs]
+
+    def whole(items):
+        return {x: (sum(by[x] for by in items), sum(by[x] > 0 for by in items)) for x in langs}
+
+    sizes = {n: whole([by for (k, _), by in grams.items() if k == n]) for n in range(1, language.LONGEST_GRAM + 1)}
+    for n, of in sizes.items():
+        sizes[n] = {x: v if v[1] else (1, 1) for x, v in of.items()}
+    word_sizes = whole(words.values())
+    known = {w: logs(by, word_sizes) for w, by in words.items() if by.total() >= language.LEAST_COUNT}
+    some = {key: logs(by, sizes[key[0]]) for key, by in grams.items() if by.total() >= language.LEAST_COUNT and any(
+        by[x] and by[x] >= -(-sizes[key[0]][x][0] // language.GRAM_SHARE) for x in langs)}
+
+    def score(word):
+        if word in known:
+            return known[word]
+        framed, found = f" {word} ", []
+        for i in range(len(framed)):
+            for n in range(language.LONGEST_GRAM, 0, -1):
+                if i + n <= len(framed) and (n, framed[i:i + n]) in some:
+                    found.append(some[n, framed[i:i + n]])
+                    break
+        return [int(np.rint(sum(f[k] for f in found) / len(found))) for k in range(len(langs))] if found else [0] * len(langs)
+
+    out = []
+    for text in texts:
+        found = language.words_of(text)
+        if not any(c.isalpha() for w in found for c in w):
+            out.append(("und", 0.0))
+            continue
+        sums = np.sum([score(w) for w in found], axis=0)
+        best = int(np.argmax(sums))
+        out.append((langs[best], 1 / np.exp((sums - sums[best]) * language.UNIT).sum()))
+    return out
+
+
+def test_language_equals_a_plain_scorer(spark, sf, monkeypatch):
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    texts = [t[:600] for _, t, _ in docs] + ["zzz qqq", "é", "a", "1 2", "", "the " * 9, "unknownwordofsomelength und ähnliches 漢字"]
+    for share in (language.GRAM_SHARE, 300):
+        monkeypatch.setattr(language, "GRAM_SHARE", share)
+        model = language.learn(labelled(spark, docs))
+        got = language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+        got = [(r.lang_pred, r.score) for r in sorted(got, key=lambda r: r.doc_id)]
+        want = plain_language([(t, x) for _, t, x in docs], texts)
+        assert [g[0] for g in got] == [w[0] for w in want]
+        # Units are rounded in two logarithms of a word.
+        assert np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-3)
+
+
 def test_nothing_to_learn_from(spark, docs_of):
     model = language.learn(labelled(spark, [(1, "a b", None)]))
     assert [tuple(r) for r in language.identify(docs_of([(1, "a b")]), model).collect()] == [(1, "und", 0.0)]
