@@ -30,11 +30,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillspark.llm.shared import ByWord, bitmap, bound_batches, has_bit, held, spare
-from tillspark.runtime import drop_materialized, heavy_keys, materialize, materialize_counted, salted_join
+from tillspark.runtime import heavy_keys, materialize, materialize_counted, salted_join, scratch
 
 LENGTH, GRAM = 400, 16
 #: Distinct zones of a core up to which they are compared in one task, and zones compared at once.
@@ -123,7 +123,8 @@ def triggers(data: bytes, bounds: np.ndarray, length: int = LENGTH) -> tuple[np.
     return np.searchsorted(bounds, first, "right") - 1, trigger[cut], first, last
 
 
-_ZONE = "t1 long, t2 long, x long, lo long, hi long, core long, f1 long, f2 long"
+#: ``span`` is how far before and after the trigger x the first and last string of the zone start, in its high and low half.
+_ZONE = "t1 long, t2 long, x long, span long, core long, whole long"
 
 
 def _slices(ids: list[tuple], texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[list[tuple], bytes, np.ndarray]]:
@@ -154,13 +155,25 @@ def _parse(batches: Iterator[pa.RecordBatch], length: int, code: Callable[[bytes
                 continue
             eights = _eights(data)
             shape = ((x - lo) << 16) | (x - hi)
-            whole = hi - lo + length
             core = _hash(eights, x, np.full(len(x), length - reach_of(length)), 1)
-            full = [_mix(_hash(eights, lo, whole, seed) ^ _mix(shape.astype(np.uint64) * _A)) for seed in (2, 3)]
+            whole = _mix(_hash(eights, lo, hi - lo + length, 2) ^ _mix(shape.astype(np.uint64) * _A))
             shift = np.array([k[2] for k in keys]) - bounds[:-1]
-            columns = [np.array([k[0] for k in keys])[text], np.array([k[1] for k in keys])[text], *((p + shift[text]) for p in (x, lo, hi)),
-                       *(c.astype(np.int64) for c in (core, *full))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["t1", "t2", "x", "lo", "hi", "core", "f1", "f2"])
+            columns = [np.array([k[0] for k in keys])[text], np.array([k[1] for k in keys])[text], x + shift[text], _span(x, lo, hi),
+                       *(c.astype(np.int64) for c in (core, whole))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["t1", "t2", "x", "span", "core", "whole"])
+
+
+def _span(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    # The trigger may lie on either side of the starts.
+    return ((x - lo) << 32) | ((hi - x) & 0xFFFFFFFF)
+
+
+def _first_start(x: Column, span: Column) -> Column:
+    return x - F.shiftright(span, 32)
+
+
+def _last_start(x: Column, span: Column) -> Column:
+    return x + F.shiftright(F.shiftleft(span, 32), 32)
 
 
 _TAKEN = "core long, t1 long, t2 long, x long, lo long, hi long, single boolean, bytes binary"
@@ -258,41 +271,42 @@ def repeated_spans(rows: DataFrame, hot: int = HOT, length: int = LENGTH, code:
     ``rows`` has t1, t2 and raw, the bytes; ``code`` makes of them the bytes that are compared, in which the spans are given.
     """
     take = partial(_take, length=length, code=code)
-    parsed = materialize(rows.mapInArrow(partial(_parse, length=length, code=code), _ZONE))
-    zone, text = ["core", "f1", "f2"], ["t1", "t2"]
-    # Most cores stand once: a bitmap of the others keeps their zones out of the shuffle.
-    twice, n_twice = materialize_counted(parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    sent = rows.sparkSession.sparkContext.broadcast(bitmap(twice, n_twice, F.col("core")))
-    maybe = F.arrow_udf(lambda cores: pa.array(has_bit(sent.value, cores.to_numpy())), "boolean")
-    heavy_cores = heavy_keys(twice, ["core"], "n")
-    shared = materialize(salted_join(parsed.filter(maybe("core")), twice.select("core"), ["core"], ["t1", "x"], "left_semi", heavy=heavy_cores))
-    drop_materialized(parsed)
-    found = F.min(F.struct(*text, "x", "lo", "hi"))
-    zones = materialize(shared.groupBy(*zone).agg(F.count(F.lit(1)).alias("n"), found.alias("at")))
-    again = zones.filter("n > 1")
-    whole = salted_join(shared, again.select(*zone), zone, ["t1", "x"], "left_semi", heavy=heavy_keys(again, zone, "n")).select(
-        *text, F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
-    mixed = zones.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("n") == 1).alias("singles")).filter("k > 1 and singles > 0")
-    edge = zones.join(mixed.select("core", "k").hint("merge"), "core").select(
-        "at.*", F.struct("core", "at.x", "at.lo", "at.hi", (F.col("n") == 1).alias("single"), (F.col("k") > hot).alias("hot")).alias("z"))
-    asked = edge.groupBy(*text).agg(F.collect_list("z").alias("zones"))
-    once = rows.groupBy(*text).agg(F.first("raw").alias("raw")).join(asked.hint("merge"), text)
-    pick = lambda flag: once.select(*text, "raw", F.filter("zones", lambda z: z["hot"] if flag else ~z["hot"]).alias("zones"))
-    edges = pick(False).mapInArrow(take, _TAKEN).repartition("core").sortWithinPartitions("core").mapInArrow(
-        partial(_compare, length=length), "t1 long, t2 long, start long, stop long")
-    parts = [whole.distinct(), edges]
-    if not mixed.filter(F.col("k") > hot).isEmpty():
-        strings = materialize(pick(True).mapInArrow(take, _TAKEN).mapInArrow(
-            partial(_each_string, length=length), "t1 long, t2 long, start long, single boolean, h1 long, h2 long"))
-        again = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-        parts.append(strings.filter("single").join(again.hint("merge"), ["h1", "h2"]).select(*text, "start", (F.col("start") + length).alias("stop")))
-    spans = parts[0]
-    for p in parts[1:]:
-        spans = spans.unionByName(p)
-    out = materialize(spans.groupBy(*text).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans")))
-    for done in (shared, zones, twice):
-        drop_materialized(done)
-    return out
+    spark, zone, text = rows.sparkSession, ["core", "whole"], ["t1", "t2"]
+    with scratch(spark) as job:
+        parsed = materialize(rows.mapInArrow(partial(_parse, length=length, code=code), _ZONE))
+        # Most cores stand once: a bitmap of the others keeps their zones out of all shuffles. What it lets through by chance
+        # are zones of their own.
+        twice, n_twice = materialize_counted(parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"))
+        shared = parsed.filter(_may_be(twice, n_twice, "core"))
+        zones = materialize(shared.groupBy(*zone).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*text, "x", "span")).alias("at")))
+        again = zones.filter("n > 1")
+        whole = salted_join(shared, again.select(*zone), zone, ["t1", "x"], "left_semi", heavy=heavy_keys(again, zone, "n"))
+        x, span = F.col("x"), F.col("span")
+        whole = whole.select(*text, _first_start(x, span).alias("start"), (_last_start(x, span) + length).alias("stop"))
+        mixed = zones.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("n") == 1).alias("singles")).filter("k > 1 and singles > 0")
+        edge = salted_join(zones, mixed.select("core", "k"), ["core"], ["whole"], heavy=heavy_keys(mixed, ["core"], "k")).select(
+            "at.t1", "at.t2", F.struct("core", "at.x", _first_start(F.col("at.x"), F.col("at.span")).alias("lo"),
+                                       _last_start(F.col("at.x"), F.col("at.span")).alias("hi"), (F.col("n") == 1).alias("single"),
+                                       (F.col("k") > hot).alias("hot")).alias("z"))
+        asked, n_asked = materialize_counted(edge.groupBy(*text).agg(F.collect_list("z").alias("zones")))
+        once = rows.filter(_may_be(asked, n_asked, "t1")).groupBy(*text).agg(F.first("raw").alias("raw")).join(asked.hint("merge"), text)
+        pick = lambda flag: once.select(*text, "raw", F.filter("zones", lambda z: z["hot"] if flag else ~z["hot"]).alias("zones"))
+        edges = pick(False).mapInArrow(take, _TAKEN).repartition("core").sortWithinPartitions("core").mapInArrow(
+            partial(_compare, length=length), "t1 long, t2 long, start long, stop long")
+        spans = whole.unionByName(edges)
+        if not mixed.filter(F.col("k") > hot).isEmpty():
+            strings = materialize(pick(True).mapInArrow(take, _TAKEN).mapInArrow(
+                partial(_each_string, length=length), "t1 long, t2 long, start long, single boolean, h1 long, h2 long"))
+            seen = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+            found = salted_join(strings.filter("single"), seen.select("h1", "h2"), ["h1", "h2"], ["t1", "start"], "left_semi")
+            spans = spans.unionByName(found.select(*text, "start", (F.col("start") + length).alias("stop")))
+        return job.keep(spans.groupBy(*text).agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")))
+
+
+def _may_be(keys: DataFrame, n: int, column: str) -> Column:
+    """Whether the column is among ``keys``, a stored table of ``n`` rows, or seems so by a bitmap."""
+    sent = keys.sparkSession.sparkContext.broadcast(bitmap(keys, n, F.col(column)))
+    return F.arrow_udf(lambda found: pa.array(has_bit(sent.value, found.to_numpy())), "boolean")(column)
 
 
 def _places_of_words(raw: bytes, spans: list[dict]) -> list[dict]:
@@ -349,4 +363,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", hot: int = HOT, length:
     spans = spans(plain.filter(F.octet_length("raw") >= least), hot).select(
         F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("spans").alias(raw))
     cutter = F.arrow_udf((lambda raw, spans: _cut(raw, spans, _places_of_words)) if words else (lambda raw, spans: _cut(raw, spans)), _CUT)
-    return named.join(spans.hint("merge"), [t1, t2], "left").withColumn(cut, cutter(F.encode(full, "UTF-8"), F.col(raw))).drop(t1, t2, raw)
+    # Texts that lose nothing stay where they are.
+    touched = _may_be(spans.select(t1), spans.count(), t1)
+    joined = named.filter(touched).join(spans.hint("merge"), [t1, t2], "left").select(*named.columns, raw)
+    rest = named.filter(~touched).withColumn(raw, F.lit(None).cast(spans.schema[raw].dataType))
+    return joined.unionByName(rest).withColumn(cut, cutter(F.encode(full, "UTF-8"), F.col(raw))).drop(t1, t2, raw)
