@@ -90,9 +90,26 @@ def test_near_duplicate_chain_and_crowd(docs_of, prose):
     assert got == dict(zip((d for d, _ in rows), brute_groups(rows)))
 
 
+def test_a_loose_crowd_in_chunks(docs_of, prose, monkeypatch):
+    """Texts that differ from a common one in some places each, so that many pairs of a bucket are no links."""
+    rng = random.Random(12)
+    base = prose(150, 5).split()
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for k in rng.sample(range(150), rng.randint(0, 7)):
+            words[k] = f"w{rng.randint(0, 999)}"
+        rows.append((i, " ".join(words)))
+    want = brute_groups(rows)
+    for chunk in (near_dups.CHUNK, 3000):
+        monkeypatch.setattr(near_dups, "CHUNK", chunk)
+        got = {r.doc_id: r.class_id for r in near_dups.near_duplicates(docs_of(rows)).collect()}
+        assert got == dict(enumerate(want))
+
+
 def test_near_duplicates_of_nothing(docs_of):
     assert near_dups.near_duplicates(docs_of([])).count() == 0
-    assert [tuple(r) for r in near_dups.near_duplicates(docs_of([(1, None)])).collect()] == [(1, 1, True)]
+    assert [tuple(r)[:3] for r in near_dups.near_duplicates(docs_of([(1, None)])).collect()] == [(1, 1, True)]
 
 
 def test_e8_decoding_is_nearest():

@@ -3,7 +3,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from test_dups import brute_groups, brute_repeats
 
-from tillspark.llm import toxicity
+from tillspark.llm import near_dups, toxicity
 
 
 def table(docs_of, rows):
@@ -37,6 +37,16 @@ def test_near_duplicate_stage(spark, docs_of, prose):
     assert corpus_pipeline.keep_one_of_each_group(spark, docs.limit(0), "").count() == 0
 
 
+def test_near_duplicate_stage_keeps_each_text_of_a_repeated_id(spark, docs_of, prose):
+    one, other = prose(80, 1), prose(80, 2)
+    rows = [(3, one), (5, one), (5, other), (5, other), (6, other), (2, None), (2, "")]
+    kept = corpus_pipeline.keep_one_of_each_group(spark, table(docs_of, rows), "")
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(2, ""), (3, one), (5, other)]
+    found = near_dups.near_duplicates(docs_of(rows)).collect()
+    assert sorted((r.doc_id, r.class_id, r.kept) for r in found) == [
+        (2, 2, True), (2, 2, True), (3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (6, 5, False)]
+
+
 def test_repeats_stage(spark, docs_of, prose):
     shared = prose(100, 3)
     rows = [(1, "é" + shared + " one"), (2, "è" + shared + " two"), (3, None), (None, "short"), (4, shared[:399])]

@@ -11,10 +11,12 @@ documents with a probability that equals their weighted Jaccard similarity, with
 where all slots are likely filled, and further for the documents where they are not; the work
 per document is one step per shingle and a few hundred points, whatever the number of slots times shingles.
 
-Candidates share all rows of a band. Every candidate is compared by texts, exactly, before it counts. A bucket of many
-documents is not expanded into pairs: all members are compared with one leader; what is linked needs no more
-comparison, since only the groups matter; the others are compared with further leaders, and at last every pair that
-is still in different groups is compared. A link with similarity 0.8 is missed by all bands with probability 7e-5.
+Candidates share all rows of a band. Every candidate is compared by texts, exactly, before it counts; only the groups matter, so
+a bucket is never expanded into pairs. First all members of a bucket are compared with one leader. What is then still in
+different groups of a bucket is compared inside of tasks, cut into chunks of bounded size: signatures as matrices, then one text
+against all its candidates at once, leaving out what has been linked by then. A task sends links that connect its
+groups, never pairs. A pair is compared in the first band it shares. A link with similarity 0.8 is missed by all bands
+with probability 7e-5.
 """
 
 from __future__ import annotations
@@ -29,16 +31,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillspark.llm.shared import ByWord, bound_batches, components, held
-from tillspark.runtime import drop_materialized, materialize
+from tillspark.llm.shared import ByWord, bitmap, bound_batches, components, has_bit, held
+from tillspark.runtime import heavy_keys, materialize, materialize_counted, salted_join, scratch
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
 #: Share of equal slots below which a pair is not read: six deviations under the expected 0.8.
 LEAST_EQUAL = 0.58
-#: Rounds with a leader before all remaining pairs are compared; one does if then so few pairs remain for each place in a bucket.
-LEADER_ROUNDS, PAIRS_PER_PLACE = 6, 20
+#: Shingles of the texts of one chunk, about. A bucket of k chunks sends each row to k places.
+CHUNK = 500_000
+#: Rounds with a leader before the chunks are compared; one does if rows then go to so few places on average.
+LEADER_ROUNDS, PLACES = 4, 8
 
 _WORD = re.compile(r"\w+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -123,6 +127,19 @@ def signatures(bags: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
         todo = np.flatnonzero(open_docs[doc])
 
 
+def counted(bag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(bag, return_counts=True)
+
+
+def overlaps(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard similarities of a bag, as different shingles and their counts, and others; none is empty."""
+    flat, counts = np.concatenate([u for u, _ in others]), np.concatenate([n for _, n in others])
+    starts = np.cumsum([0] + [len(u) for u, _ in others[:-1]])
+    at = np.minimum(np.searchsorted(one[0], flat), len(one[0]) - 1)
+    both = np.add.reduceat(np.where(one[0][at] == flat, np.minimum(one[1][at], counts), 0), starts)
+    return both / (one[1].sum() + np.add.reduceat(counts, starts) - both)
+
+
 def overlap(one: np.ndarray, other: np.ndarray) -> float:
     """Weighted Jaccard similarity of two bags of shingles."""
     a, n = np.unique(one, return_counts=True)
@@ -132,16 +149,15 @@ def overlap(one: np.ndarray, other: np.ndarray) -> float:
     return float(shared / (len(one) + len(other) - shared)) if len(one) or len(other) else 0.0
 
 
-_SIGNED = "doc_id long, digest string, size long, bands array<long>, slots binary"
+_SIGNED = "doc_id long, t1 long, t2 long, digest binary, size long, bands array<long>, slots binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, digests, bags = [], [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        digests, bags = [], []
+        for text in batch.column("text"):
             words = words_of(text.as_py())
-            ids.append(key)
-            digests.append(hashlib.blake2b("\x1f".join(words).encode(), digest_size=16).hexdigest())
+            digests.append(hashlib.blake2b("\x1f".join(words).encode(), digest_size=16).digest())
             bags.append(shingles(words) if words else np.zeros(0, np.uint64))
         full = [i for i, b in enumerate(bags) if len(b)]
         names = signatures([bags[i] for i in full]) if full else np.zeros((0, SLOTS), np.uint32)
@@ -151,10 +167,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {i: k for k, i in enumerate(full)}
         short = names.astype(np.uint16)
         yield pa.RecordBatch.from_arrays([
-            pa.array(ids, pa.int64()), pa.array(digests), pa.array([len(b) for b in bags], pa.int64()),
+            *(batch.column(c) for c in ("doc_id", "t1", "t2")), pa.array(digests, pa.binary()), pa.array([len(b) for b in bags], pa.int64()),
             pa.array([keyed[at[i]].astype(np.int64).tolist() if i in at else [] for i in range(len(bags))], pa.list_(pa.int64())),
             pa.array([short[at[i]].tobytes() if i in at else b"" for i in range(len(bags))], pa.binary()),
-        ], names=["doc_id", "digest", "size", "bands", "slots"])
+        ], names=["doc_id", "t1", "t2", "digest", "size", "bands", "slots"])
 
 
 def _equal_share(one: pa.Array, other: pa.Array) -> pa.Array:
@@ -176,76 +192,152 @@ def _text_overlap(one: pa.Array, other: pa.Array) -> pa.Array:
 
 
 def _links(pairs: DataFrame, signed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are similar: first by sizes and signatures, then by the texts themselves."""
+    """The pairs (a, b) that are similar: first by sizes and signatures, then by the texts themselves. Few b may have most pairs."""
     equal_share, text_overlap = F.arrow_udf(_equal_share, "double"), F.arrow_udf(_text_overlap, "double")
     side = lambda t, c: t.select(*(F.col(x).alias(f"{c}_{x}" if x != "id" else c) for x in t.columns))
-    # The same joins at every size: what is joined grows with the documents.
-    near = pairs.join(side(signed, "a").hint("merge"), "a").join(side(signed, "b").hint("merge"), "b")
-    near = near.filter(F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size"))
-    near = near.filter(equal_share("a_slots", "b_slots") >= LEAST_EQUAL).select("a", "b")
-    read = near.join(side(texts, "a").hint("merge"), "a").join(side(texts, "b").hint("merge"), "b")
-    return read.filter(text_overlap("a_text", "b_text") >= similarity).select("a", "b").distinct()
+
+    def with_sides(rows: DataFrame, table: DataFrame) -> DataFrame:
+        # The same joins at every size: what is joined grows with the documents.
+        heavy = heavy_keys(rows.groupBy("b").agg(F.count(F.lit(1)).alias("n")), ["b"], "n")
+        return salted_join(rows.join(side(table, "a").hint("merge"), "a"), side(table, "b").hint("merge"), ["b"], ["a"], heavy=heavy)
+
+    near = with_sides(pairs, signed).filter(F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size"))
+    near = materialize(near.filter(equal_share("a_slots", "b_slots") >= LEAST_EQUAL).select("a", "b"))
+    return with_sides(near, texts).filter(text_overlap("a_text", "b_text") >= similarity).select("a", "b")
+
+
+def _linked(rows: list[tuple], similarity: float) -> Iterator[tuple[bytes, bytes]]:
+    """Links that connect the groups of one cell. ``rows`` are (band, chunk, id, group, size, bands, slots, text)."""
+    chunks = np.array([r[1] for r in rows])
+    sizes = np.array([r[4] for r in rows])
+    slots = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(len(rows), -1)
+    earlier = np.array([r[5] for r in rows], np.int64)[:, :rows[0][0]]
+    number = {g: i for i, g in enumerate(dict.fromkeys(r[3] for r in rows))}
+    group = np.array([number[r[3]] for r in rows])
+    across = chunks.min() != chunks.max()
+    bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def bag(i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i not in bags:
+            bags[i] = counted(shingles(words_of(rows[i][7])))
+        return bags[i]
+
+    for i in range(len(rows) - 1):
+        rest = np.arange(i + 1, len(rows))
+        small, large = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
+        rest = rest[(group[rest] != group[i]) & (small >= similarity * large) & ((chunks[rest] != chunks[i]) | (not across))]
+        if len(rest):
+            rest = rest[((slots[rest] == slots[i]).mean(axis=1) >= LEAST_EQUAL) & ~(earlier[rest] == earlier[i]).any(axis=1)]
+        for first in range(0, len(rest), 256):
+            some = rest[first:first + 256]
+            some = some[group[some] != group[i]]
+            if not len(some):
+                continue
+            found = overlaps(bag(i), [bag(int(j)) for j in some])
+            for j in some[found >= similarity]:
+                if group[j] != group[i]:
+                    group[group == group[j]] = group[i]
+                    yield rows[i][2], rows[int(j)][2]
+
+
+def _compare(similarity: float):
+    """Rows come sorted by cell; the links of each cell."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_rows: list[tuple] = []
+        cell = None
+
+        def links(rows: list[tuple]) -> pa.RecordBatch:
+            pairs = list(_linked(rows, similarity)) if len({r[3] for r in rows}) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] != cell:
+                    if held_rows:
+                        yield links(held_rows)
+                    held_rows, cell = [], row[0]
+                held_rows.append(row[1:])
+        if held_rows:
+            yield links(held_rows)
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, kept): one row per row of ``docs``; class_id is the smallest id of its group.
+    """(doc_id, class_id, kept, text_1, text_2): one row per row of ``docs``; class_id is the smallest id of its group.
 
     Words are runs of letters, digits and underscores, in lower case. Texts with the same words are one group, compared
     with others once. A text of fewer than five words is one shingle. NULL texts, and texts without words, link with
-    nothing. A row whose id is NULL links with nothing and is kept with a NULL class; rows that share an id share its
-    group. ``kept`` is doc_id = class_id. Other columns are ignored. No rows in, no rows out.
+    nothing. A row whose id is NULL links with nothing and is kept with a NULL class. A row is judged by its own text: rows that share
+    an id may be in different groups. ``kept`` tells the rows with the id and the text that represent their group: the smallest
+    id, and of the texts under it the one whose hashes, ``text_1`` and ``text_2``, are least. Other columns are ignored. No rows in,
+    no rows out.
     """
-    bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = materialize(rows.mapInArrow(_sign, _SIGNED))
-    some = signed.filter((F.col("size") > 0) & F.col("doc_id").isNotNull())
-    # Equal texts are one node, named by their smallest id.
-    nodes = materialize(some.groupBy("digest").agg(
-        F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("slots").alias("slots")))
-    members = nodes.select("id", F.posexplode("bands").alias("band", "key"))
-    shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = materialize(members.join(shared.select("band", "key"), ["band", "key"]).distinct())
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = materialize(rows.join(wanted.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").filter(F.col("text").isNotNull()))
-    slim = nodes.select("id", "size", "slots")
-    found, groups, stale = None, None, []
-    for turn in range(LEADER_ROUNDS + 1):
-        labelled = members.withColumn("group", F.col("id")) if groups is None else members.join(groups, "id", "left").select(
-            "band", "key", "id", F.coalesce("component", "id").alias("group"))
-        mixed = labelled.groupBy("band", "key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
-        open_rows = materialize(labelled.join(mixed.select("band", "key"), ["band", "key"]))
-        stale.append(open_rows)
-        in_group = open_rows.groupBy("band", "key", "group").agg(F.count(F.lit(1)).alias("n"))
-        sums = in_group.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        left = sums.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
-        if not left.rows:
-            break
-        last = turn == LEADER_ROUNDS or turn > 0 and left.pairs <= PAIRS_PER_PLACE * left.rows
-        if last:
-            one = open_rows.select("band", "key", F.col("id").alias("a"), F.col("group").alias("ga"))
-            pairs = one.join(open_rows.select("band", "key", F.col("id").alias("b"), F.col("group").alias("gb")), ["band", "key"])
-            pairs = pairs.filter("ga < gb")
-        else:
-            # First one leader for all buckets of a crowd, which suits copies of one text; then one of each bucket's own, so
-            # that a document meets many, and a loose crowd grows together.
-            draw = F.xxhash64("id") if turn == 0 else F.xxhash64("id", "band", "key", F.lit(turn))
-            leaders = open_rows.groupBy("band", "key").agg(F.min_by(F.struct("id", "group"), F.struct(draw, "id")).alias("l"))
-            pairs = open_rows.join(leaders, ["band", "key"]).filter(F.col("group") != F.col("l.group"))
-            pairs = pairs.select(F.col("id").alias("a"), F.col("l.id").alias("b"))
-        new = materialize(_links(pairs.select("a", "b").distinct(), slim, texts, similarity))
-        found = new if found is None else found.unionByName(new)
-        groups = materialize(components(found))
-        if last:
-            break
-    for done in (*stale, members, texts):
-        drop_materialized(done)
-    classes = nodes.select("digest", "id")
-    if groups is not None:
-        classes = classes.join(groups, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))
-    else:
-        classes = classes.select("digest", F.col("id").alias("class_id"))
-    named = some.select("doc_id", "digest").join(classes, "digest")
-    # An id that stands on several texts belongs to the least of their groups.
-    rest = signed.filter((F.col("size") == 0) | F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"))
-    return named.select("doc_id", "class_id").unionByName(rest).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    spark = docs.sparkSession
+    bound_batches(spark)
+    full = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(full).alias("t1"), F.xxhash64(F.lit(1), full).alias("t2"), F.col(text).alias("text"))
+    with scratch(spark) as job:
+        signed = materialize(rows.mapInArrow(_sign, _SIGNED))
+        some = signed.filter((F.col("size") > 0) & F.col("doc_id").isNotNull())
+        # Equal texts are one node, named by the hash of their words.
+        nodes = materialize(some.groupBy(F.col("digest").alias("id")).agg(
+            F.min(F.struct("doc_id", "t1", "t2")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"),
+            F.first("bands").alias("bands"), F.first("slots").alias("slots")))
+        members = nodes.select("id", F.posexplode("bands").alias("band", "key"))
+        bucket = ["band", "key"]
+        shared = materialize(members.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        members = materialize(salted_join(members, shared.select(*bucket).hint("merge"), bucket, ["id"], "left_semi", heavy=heavy_keys(shared, bucket, "n")))
+        wanted, n_wanted = materialize_counted(nodes.join(members.select("id").distinct().hint("merge"), "id", "left_semi").select("id", "first.t1", "first.t2"))
+        sent = spark.sparkContext.broadcast(bitmap(wanted, n_wanted, F.col("t1")))
+        read = F.arrow_udf(lambda t: pa.array(has_bit(sent.value, t.to_numpy())), "boolean")
+        found_texts = rows.filter(F.col("text").isNotNull()).filter(read("t1")).groupBy("t1", "t2").agg(F.first("text").alias("text"))
+        texts = materialize(wanted.join(found_texts.hint("merge"), ["t1", "t2"]).select("id", "text"))
+        slim = nodes.select("id", "size", "slots")
+        found, groups = None, None
+        for turn in range(LEADER_ROUNDS + 1):
+            labelled = members.withColumn("group", F.col("id")) if groups is None else members.join(groups, "id", "left").select(
+                *bucket, "id", F.coalesce("component", "id").alias("group"))
+            mixed = labelled.groupBy(*bucket).agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
+            mixed = materialize(mixed.select(*bucket, "n"))
+            open_rows = materialize(salted_join(labelled, mixed.select(*bucket).hint("merge"), bucket, ["id"], "left_semi", heavy=heavy_keys(mixed, bucket, "n"))
+                                    .join(nodes.select("id", "size").hint("merge"), "id"))
+            cells = materialize(open_rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("size") / CHUNK).cast("int").alias("k")))
+            left = cells.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("k")).alias("places")).first()
+            if not left.rows:
+                break
+            last = turn == LEADER_ROUNDS or turn > 0 and left.places <= PLACES * left.rows
+            heavy = heavy_keys(cells, bucket, "n")
+            if last:
+                chunk = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
+                cut = salted_join(open_rows, cells.select(*bucket, "k").hint("merge"), bucket, ["id"], heavy=heavy).withColumn("chunk", chunk)
+                cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+                cell = F.xxhash64(*bucket, F.least("chunk", "other"), F.greatest("chunk", "other"))
+                sides = nodes.select("id", "bands", "slots").join(texts, "id").hint("merge")
+                cut = cut.join(sides, "id").select(
+                    F.struct(cell.alias("cell"), *bucket, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")).alias("cell"),
+                    "band", "chunk", "id", "group", "size", "bands", "slots", "text")
+                new = cut.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_compare(similarity), "a binary, b binary")
+            else:
+                # First one leader for all buckets of a crowd, which suits copies of one text; then one of each bucket's own.
+                draw = F.xxhash64("id") if turn == 0 else F.xxhash64("id", *bucket, F.lit(turn))
+                leaders = open_rows.groupBy(*bucket).agg(F.min_by(F.struct("id", "group"), F.struct(draw, "id")).alias("l"))
+                pairs = salted_join(open_rows, leaders.hint("merge"), bucket, ["id"], heavy=heavy).filter(F.col("group") != F.col("l.group"))
+                new = _links(materialize(pairs.select(F.col("id").alias("a"), F.col("l.id").alias("b")).distinct()), slim, texts, similarity)
+            new, more = materialize_counted(new)
+            found = new if found is None else found.unionByName(new)
+            if more or groups is None:
+                groups = materialize(components(found))
+            if last:
+                break
+        named = nodes.select(F.col("id").alias("digest"), "first", "n", *(() if groups is not None else (F.col("id").alias("class"),)))
+        if groups is not None:
+            named = named.join(groups.withColumnRenamed("id", "digest"), "digest", "left").withColumn("class", F.coalesce("component", "digest")).drop("component")
+        named = materialize(named)
+        least = materialize(named.groupBy("class").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("nodes")))
+        named = salted_join(named, least.select("class", "least"), ["class"], ["digest"], heavy=heavy_keys(least, ["class"], "nodes")).select("digest", "least", "n")
+        named = materialize(named)
+        told = salted_join(some.select("doc_id", "t1", "t2", "digest"), named.select("digest", "least"), ["digest"], ["doc_id"], heavy=heavy_keys(named, ["digest"], "n"))
+        told = told.select("doc_id", F.col("least.doc_id").alias("class_id"), (F.struct("doc_id", "t1", "t2") == F.col("least")).alias("kept"), "t1", "t2")
+        rest = signed.filter((F.col("size") == 0) | F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"), "t1", "t2")
+        return job.keep(told.unionByName(rest).withColumnsRenamed({"t1": "text_1", "t2": "text_2"}))

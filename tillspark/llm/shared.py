@@ -4,21 +4,53 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import io
+import zipfile
 from collections.abc import Callable, Hashable
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillspark.runtime import drop_materialized, heavy_keys, materialize, salted_join
+from tillspark.runtime import drop_materialized, ensure_checkpoint_dir, heavy_keys, materialize, salted_join
 
 #: An Arrow batch holds at most so many bytes and rows, so a Python worker's memory is bounded.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, by a file in the shared folder.
+
+    Functions here keep caches in their modules, so they go by name, not by value.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package, packed = Path(__file__).parent.parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.writestr(str(Path(package.name) / file.relative_to(package)), file.read_bytes())
+    ensure_checkpoint_dir(spark)
+    path = f"{sc.getCheckpointDir()}/{package.name}-{sc.applicationId}.zip"
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+    stream.write(packed.getvalue())
+    stream.close()
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch limits to what the workers here are sized for."""
+    """Make the session ready for the workers here: they get this package, and Arrow batches of the size they are meant for.
+
+    The limits stay lowered in the session, as the functions run when its caller reads the results.
+    """
+    ship(spark)
     for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
         name = f"spark.sql.execution.arrow.{key}"
         now = spark.conf.get(name, None)
