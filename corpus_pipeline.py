@@ -59,17 +59,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of near duplicates the document with the smallest id; of rows that share this id the least one.
+    """Of each group of near duplicates the row with the smallest id, as ``near_duplicates`` names it by id and text; of
+    rows equal in both the least one.
 
     Rows with a NULL id are kept, as nothing can name them.
     """
+    full = F.coalesce("text", F.lit(""))
+    names = {spare(docs, "text_1"): F.xxhash64(full), spare(docs, "text_2"): F.xxhash64(F.lit(1), full)}
+    key = ["doc_id", *names]
     kept = near_dups.near_duplicates(docs).filter(F.col("kept") & F.col("doc_id").isNotNull())
-    named = docs.join(kept.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-    repeated = materialize(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    kept = materialize(kept.select("doc_id", *(F.col(c).alias(n) for c, n in zip(("text_1", "text_2"), names))).groupBy(*key).count())
+    named = docs.withColumns(names).join(kept.select(*key).hint("merge"), key, "left_semi")
+    repeated = kept.filter("count > 1").select(*key)
     if not repeated.isEmpty():
         row = F.struct(*(F.col(c) for c in docs.columns))
-        least = named.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row")).select("row.*")
-        named = named.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(least)
+        least = named.join(repeated, key, "left_semi").groupBy(*key).agg(F.min(row).alias("row")).select("row.*")
+        named = named.join(repeated, key, "left_anti").select(*docs.columns).unionByName(least)
     return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
