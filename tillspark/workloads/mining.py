@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from tillspark.functions.metrics import confidence_band, lift_band, percent, round_metrics
@@ -12,15 +14,18 @@ from tillspark.operators import recommend as R
 from tillspark.operators import serve as V
 from tillspark.operators import validate as Q
 from tillspark.operators.baskets import baskets
+from tillspark.operators.similarity import similar_pairs
 from tillspark.plans.evaluate import hit_rate, split_baskets
 from tillspark.plans.mining_run import run_mining
-from tillspark.runtime import materialize, scratch_folder
+from tillspark.runtime import materialize, scratch, scratch_folder
 from tillspark.schemas import MiningSettings
-from tillspark.sinks.exports import itemsets_csv
-from tillspark.sinks.tables import latest_runs, recent_runs, save_run
+from tillspark.sinks.exports import export_run_json, import_run_json, itemsets_csv, load_state, save_state
+from tillspark.sinks.tables import (
+    latest_runs, load_run, read_recommendations, recent_runs, replace_products, replace_recommendations, save_run,
+)
 from tillspark.sources.order_tables import open_carts
 from tillspark.workloads import checking_sql as S
-from tillspark.workloads.preparation import cleaned, mining_baskets
+from tillspark.workloads.preparation import NAME, cleaned, mining_baskets
 from tillspark.workloads.registry import query
 
 # Few items with large itemsets, and many items with small ones.
@@ -234,6 +239,29 @@ def _(spark, d):
     return R.similar_items(mined(spark, d, WIDE).itemsets)
 
 
+# Over a thousand items, most of them below any useful support.
+ALIKE_AT_LEAST = 0.02
+_CLASSES = f"""{S.basket_ctes(NAME)}, sets AS (SELECT item, list(InvoiceNo ORDER BY InvoiceNo) AS s FROM
+  (SELECT InvoiceNo, unnest(items) AS item FROM baskets) GROUP BY 1),
+classes AS (SELECT s, min(item) AS class FROM sets GROUP BY s),
+entries AS (SELECT class, len(s) AS n, unnest(s) AS basket FROM classes)"""
+
+
+@query("all_similar_items", f"""{_CLASSES} SELECT x.class AS product, y.class AS rec_product, count(*) AS together,
+  count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS jaccard, count(*) / sqrt(CAST(any_value(x.n) AS DOUBLE) * any_value(y.n)) AS cosine
+FROM entries x JOIN entries y USING (basket) WHERE x.class <> y.class GROUP BY 1, 2
+HAVING 100 * count(*) >= 2 * (any_value(x.n) + any_value(y.n) - count(*))""")
+def _(spark, d):
+    """All pairs of items that are similar, whatever their support."""
+    return similar_pairs(mining_baskets(spark, d, NAME), ALIKE_AT_LEAST)[0]
+
+
+@query("item_classes", f"{_CLASSES} SELECT item, class, CAST(len(s) AS BIGINT) AS n FROM sets JOIN classes USING (s)")
+def _(spark, d):
+    """Items with the very same baskets."""
+    return similar_pairs(mining_baskets(spark, d, NAME), ALIKE_AT_LEAST)[1]
+
+
 @query("hybrid_recommendations", f"""{SIMILAR_SQL}, {S.rules('0.1')}, {S.recommendations()},
 r AS (SELECT product, rec_product, confidence, lift, {RANKED} AS r FROM recs WHERE source = 'rule'),
 s AS (SELECT product, rec_product, row_number() OVER (PARTITION BY product ORDER BY jaccard DESC, rec_product) AS s FROM alike),
@@ -362,6 +390,98 @@ def _(spark, d):
     return kept.select("algorithm", "min_support", "min_confidence", "transaction_count", "created_by")
 
 
+@query("run_list", f"""{S.basket_ctes('p_type')} SELECT 'run-' || k AS id, algorithm, '2024-01-0' || (k + 1) || 'T12:00:00' AS created_at,
+  'system' AS created_by FROM (VALUES (0, 'fpgrowth'), (1, 'apriori'), (2, 'son')) t(k, algorithm) WHERE EXISTS (SELECT 1 FROM baskets)
+ORDER BY k DESC LIMIT 2""")
+def _(spark, d):
+    """The two latest of three runs, with the columns of the run list."""
+    with scratch(spark) as job:
+        folder = scratch_folder(spark)
+        runs = [MiningSettings(LARGE[1], LARGE[2], a) for a in ("fpgrowth", "apriori", "son")]
+        for k, found in enumerate(mine_all(mining_baskets(spark, d, LARGE[0]), runs)):
+            save_run(found, folder, f"run-{k}", created_at=datetime(2024, 1, k + 1, 12, tzinfo=timezone.utc))
+        return job.keep(recent_runs(spark.read.parquet(f"{folder}/runs"), 2))
+
+
+@query("run_exported", f"""{rule_sql()} SELECT 'itemset' AS kind, array_to_string(items, ' | ') AS left_items, '' AS right_items, freq,
+  support, CAST(0 AS DOUBLE) AS confidence FROM itemsets
+UNION ALL SELECT 'rule', array_to_string(antecedents, ' | '), array_to_string(consequents, ' | '), freq, support, confidence FROM rules""")
+def _(spark, d):
+    """A saved run exported as JSON and imported again."""
+    with scratch(spark) as job:
+        folder = scratch_folder(spark)
+        save_run(mined(spark, d), f"{folder}/runs", "run-0")
+        export_run_json(*load_run(spark, f"{folder}/runs", "run-0"), f"{folder}/json")
+        itemsets, rules = import_run_json(spark, f"{folder}/json")
+        text = lambda c: F.array_join(c, " | ")
+        return job.keep(itemsets.select(
+            F.lit("itemset").alias("kind"), text("items").alias("left_items"), F.lit("").alias("right_items"), "freq", "support",
+            F.lit(0.0).alias("confidence"),
+        ).unionByName(rules.select(
+            F.lit("rule").alias("kind"), text("antecedents").alias("left_items"), text("consequents").alias("right_items"), "freq",
+            "support", "confidence",
+        )))
+
+
+@query("state_restored", f"{REC_SQL} SELECT *, {RANKED} AS rank FROM recs")
+def _(spark, d):
+    """Recommendations from a state that was saved and restored."""
+    with scratch(spark) as job:
+        folder = scratch_folder(spark)
+        found = mined(spark, d, WIDE)
+        save_state(found.itemsets, found.rules, R.ranked(R.all_recommendations(found.itemsets, found.rules)), folder)
+        itemsets, rules, saved = load_state(spark, folder)
+        again = R.ranked(R.all_recommendations(itemsets, rules)).select("product", "rec_product")
+        return job.keep(saved.join(again, ["product", "rec_product"], "left_semi").withColumn("rank", F.col("rank").cast("long")))
+
+
+REPLACED_CONFIDENCE = 0.3
+
+
+@query("one_algorithm_replaced", f"""{rule_sql(WIDE)}, {S.rules(str(REPLACED_CONFIDENCE), name='rules3')},
+{S.rules(str(APRIORI_CONFIDENCE), name='rules2')}, {S.recommendations('rules2', name='recs2')},
+{S.recommendations('rules3', name='recs3')}, {S.CATALOG}
+{S.stored('recs2', 'apriori')} UNION ALL {S.stored('recs3', 'fpgrowth')}""")
+def _(spark, d):
+    """Recommendations of two algorithms stored, then those of one replaced by a run at another confidence."""
+    with scratch(spark) as job:
+        folder = scratch_folder(spark)
+        catalog, stored = catalog_and_stored(spark, d)
+        replace_recommendations(stored, folder)
+        found = mined(spark, d, WIDE, confidence=REPLACED_CONFIDENCE)
+        replace_recommendations(V.stored_recommendations(R.all_recommendations(found.itemsets, found.rules), catalog, "fpgrowth"), folder)
+        return job.keep(read_recommendations(spark, folder))
+
+
+@query("catalog_replaced", f"""{S.cleaned(WIDE[0])}, {S.CATALOG} SELECT row_number() OVER (ORDER BY description) AS id, description AS name,
+  'General' AS category, avg_price AS price, description, stock_code, CAST(0 AS BIGINT) AS recommendations FROM catalog""")
+def _(spark, d):
+    """The catalog stored anew, which empties the recommendations of the old one."""
+    with scratch(spark) as job:
+        folder = scratch_folder(spark)
+        catalog, stored = catalog_and_stored(spark, d)
+        replace_recommendations(stored, f"{folder}/recommendations")
+        replace_products(C.product_table(catalog), f"{folder}/products", f"{folder}/recommendations")
+        left = read_recommendations(spark, f"{folder}/recommendations").count()
+        products = spark.read.parquet(f"{folder}/products").drop("image_url")
+        return job.keep(products.withColumn("recommendations", F.lit(left).cast("long")))
+
+
+@query("mining_of_nothing", f"""{S.basket_ctes('p_type')}, nothing AS (SELECT * FROM baskets WHERE len(items) > 1000000)
+SELECT algorithm, (SELECT count(*) FROM nothing) AS itemsets, (SELECT count(*) FROM nothing) AS rules
+FROM (VALUES ('fpgrowth'), ('apriori'), ('son')) t(algorithm)""")
+def _(spark, d):
+    """All miners over baskets of which a filter leaves none."""
+    nothing = mining_baskets(spark, d, "p_type").filter(F.size("items") > 1_000_000)
+    counts = None
+    for found in mine_all(nothing, [MiningSettings(LARGE[1], LARGE[2], a) for a in ("fpgrowth", "apriori", "son")]):
+        for name, df in (("itemsets", found.itemsets), ("rules", found.rules)):
+            one = df.agg(F.count(F.lit(1)).alias("n")).withColumns({"algorithm": F.lit(found.settings.algorithm), "kind": F.lit(name)})
+            counts = one if counts is None else counts.unionByName(one)
+    held = lambda name: F.sum(F.when(F.col("kind") == name, F.col("n"))).alias(name)
+    return counts.groupBy("algorithm").agg(held("itemsets"), held("rules"))
+
+
 # ---- checks -------------------------------------------------------------------------------
 
 # Every seventh count is spoiled before the check, and the SQL counts those.

@@ -9,8 +9,10 @@ from tillspark.operators import baskets as B
 from tillspark.operators import catalog as C
 from tillspark.operators import clean as K
 from tillspark.operators import profile as P
+from tillspark.operators.text_index import baskets_by_search, search_all, store_index
 from tillspark.operators.validate import check_baskets
-from tillspark.runtime import scratch_folder
+from tillspark.runtime import materialize, scratch, scratch_folder
+from tillspark.sinks.exports import export_baskets_csv
 from tillspark.sinks.tables import replace_lines_by_month
 from tillspark.sources.order_tables import retail_lines, table
 from tillspark.sources.retail import read_csv
@@ -66,13 +68,25 @@ def _(spark, d):
 @query("csv_round_trip", f"WITH {S.lines(ITEM)} SELECT {_REPORT} FROM lines")
 def _(spark, d):
     """Lines written as CSV with a differently spelled header, read back and cleaned."""
+    return K.clean_report(read_csv(spark, _written_csv(spark, retail_lines(spark, d, ITEM))))
+
+
+def _written_csv(spark, lines):
     folder = scratch_folder(spark)
-    lines = retail_lines(spark, d, ITEM)
     lines.toDF(*[f" {c.upper()} " for c in lines.columns]).write.csv(
         folder, header=True, quoteAll=True, escape='"',
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
-    return K.clean_report(read_csv(spark, folder))
+    return folder
+
+
+@query("csv_rows", f"""{S.cleaned(ITEM)} SELECT InvoiceNo, StockCode, trim(Description) AS Description, Quantity, InvoiceDate,
+  CAST(UnitPrice AS VARCHAR) AS UnitPrice, CustomerID, Country FROM cleaned""")
+def _(spark, d):
+    """The rows themselves: written as CSV, headers aligned, values coerced, cleaned."""
+    with scratch(spark) as job:
+        folder = _written_csv(spark, retail_lines(spark, d, ITEM, country=True))
+        return job.keep(_as_text(K.clean(read_csv(spark, folder))))
 
 
 @query("lines_by_month", f"""{S.cleaned(ITEM)}
@@ -172,6 +186,21 @@ def _(spark, d):
     return B.as_text(P.first_baskets(mining_baskets(spark, d), None))
 
 
+@query("first_2000_baskets", f"""{S.basket_ctes(ITEM)} SELECT InvoiceNo, array_to_string(items, ', ') AS Items FROM baskets
+  ORDER BY InvoiceNo LIMIT 2000""")
+def _(spark, d):
+    return B.as_text(P.first_baskets(mining_baskets(spark, d), 2000))
+
+
+@query("baskets_csv", f"{S.basket_ctes(ITEM)} SELECT InvoiceNo, array_to_string(items, ', ') AS Items FROM baskets")
+def _(spark, d):
+    """Baskets exported as a delimited file and read back."""
+    with scratch(spark) as job:
+        folder = scratch_folder(spark)
+        export_baskets_csv(mining_baskets(spark, d), folder)
+        return job.keep(spark.read.csv(folder, header=True, schema="InvoiceNo string, Items string", escape='"'))
+
+
 @query("sample_baskets", f"""{S.basket_ctes(ITEM)} SELECT InvoiceNo, array_to_string(items, ', ') AS Items,
   len(items) AS NumberOfItems FROM all_baskets ORDER BY md5(InvoiceNo || '/11'), InvoiceNo LIMIT 10""")
 def _(spark, d):
@@ -377,3 +406,38 @@ def _(spark, d):
         .groupBy("name").agg(F.max("p_retailprice").alias("price"))
     )
     return C.price_list(listed, C.average_prices(cleaned(spark, d, "p_name")))
+
+
+# ---- many searches ------------------------------------------------------------------------
+
+# Over a thousand names, and texts of one character up to most of a name, with capitals and wildcards.
+NAME = "(p_name || ' ' || p_brand)"
+_TEXT = """CASE p_partkey % 6 WHEN 0 THEN substr(p_name, 3, 1 + p_partkey % 7) WHEN 1 THEN upper(substr(p_name, 2, 5))
+  WHEN 2 THEN substr(p_name, 1, 2) || '%' || p_brand WHEN 3 THEN replace(p_name, 'e', '_')
+  WHEN 4 THEN 'zz' || p_brand ELSE p_brand END"""
+_SEARCHES = f"""{S.basket_ctes(NAME)}, {S.CATALOG}, searches AS (SELECT DISTINCT {_TEXT} AS text FROM part),
+matches AS (SELECT text, description AS name FROM searches JOIN catalog ON description ILIKE '%' || text || '%')"""
+
+
+def _searched(spark, sf_dir):
+    """(text, name) by the stored index of the catalog's names."""
+    names = C.product_catalog(cleaned(spark, sf_dir, NAME)).select(F.col("description").alias("name"))
+    names, folder = materialize(names), scratch_folder(spark)
+    store_index(names, "name", ["name"], folder)
+    searches = table(spark, sf_dir, "part").select(F.expr(_TEXT).alias("text"))
+    return search_all(searches, names, spark.read.schema("piece string, name string").parquet(folder), "name", ["name"])
+
+
+@query("search_many", f"{_SEARCHES} SELECT text, name FROM matches")
+def _(spark, d):
+    with scratch(spark) as job:
+        return job.keep(_searched(spark, d))
+
+
+@query("baskets_by_search", f"""{_SEARCHES}, sold AS (SELECT InvoiceNo, unnest(items) AS name FROM baskets)
+SELECT text, count(DISTINCT InvoiceNo) AS basket_count FROM matches JOIN sold USING (name) GROUP BY text""")
+def _(spark, d):
+    """How many baskets hold an item with each text."""
+    with scratch(spark) as job:
+        found = baskets_by_search(_searched(spark, d), mining_baskets(spark, d, NAME), "name")
+        return job.keep(found.groupBy("text").agg(F.count(F.lit(1)).alias("basket_count")))
