@@ -82,3 +82,26 @@ def test_counts_come_from_the_write_and_months_are_partitions(spark, tmp_path):
     assert replace_lines_by_month(df, folder) == 3
     months = {r[0]: r[1] for r in spark.read.parquet(folder).groupBy("invoice_month").agg(F.count("*")).collect()}
     assert months == {"2010-12": 2, None: 1}
+
+
+def test_a_large_month_is_split_into_files_of_the_advisory_size(spark, tmp_path):
+    """A month with nine tenths of the rows gets many files, the small ones a file each, from many tasks."""
+    rows = spark.range(0, 200_000, 1, 40).select(
+        F.col("id").cast("string").alias("InvoiceNo"), F.sha2(F.col("id").cast("string"), 256).alias("Description"),
+        F.when(F.col("id") % 10 > 0, F.lit("12/1/2010 8:26")).otherwise(F.concat((F.col("id") % 9 + 1).cast("string"), F.lit("/1/2011 8:26"))).alias("InvoiceDate"),
+    )
+    names = ["spark.sql.adaptive.enabled", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions"]
+    folder = str(tmp_path / "m")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], "true")
+        spark.conf.set(names[1], "2m")
+        spark.conf.set(names[2], "64")  # so many places that the months of this test do not meet
+        assert replace_lines_by_month(rows, folder) == 200_000
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    sizes = {m.name: [f.stat().st_size for f in m.glob("*.parquet")] for m in (tmp_path / "m").glob("invoice_month=*")}
+    large = sizes.pop("invoice_month=2010-12")
+    assert len(large) >= 4 and max(large) <= 3 * sorted(large)[len(large) // 2] and all(len(s) <= 2 for s in sizes.values())
+    assert len(sizes) == 9

@@ -26,17 +26,17 @@ def replace_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ())
     return seen.get["rows"]
 
 
-def replace_lines_by_month(lines: DataFrame, path: str, pattern: str = "M/d/yyyy H:mm", files: int = 16) -> int:
+def replace_lines_by_month(lines: DataFrame, path: str, pattern: str = "M/d/yyyy H:mm") -> int:
     """Lines stored by invoice month, so that date-bound reads skip the other months.
 
-    Dates that do not follow the pattern go to the NULL month. Rows are dealt out by month and a salt
-    before the write, so a month has ``files`` files at most whatever the number of tasks, and no month is in
-    one task.
+    Dates that do not follow the pattern go to the NULL month. Adaptive execution rebalances the rows by month before
+    the write: a large month is split and small ones share a task, by ``spark.sql.adaptive.advisoryPartitionSizeInBytes``, so
+    the files have about one size whatever the number of tasks and the skew of months. Months that meet in one place of the
+    shuffle are split together: with few shuffle partitions a small month beside a large one has a few small files.
     """
     month = F.date_format(F.try_to_timestamp("InvoiceDate", F.lit(pattern)), "yyyy-MM")
     dated = lines.withColumn("invoice_month", month)
-    salt = F.pmod(F.xxhash64(*lines.columns), F.lit(files))
-    return replace_table(dated.repartition("invoice_month", salt), path, ("invoice_month",))
+    return replace_table(dated.hint("rebalance", F.col("invoice_month")), path, ("invoice_month",))
 
 
 def save_run(
