@@ -9,10 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tillspark.operators.clean import clean
-from tillspark.runtime import materialize, scratch, with_rank
+from tillspark.runtime import exists, materialize, scratch, with_rank
 
 _VALUES = "kind string, value string, number long"
 _BITS = "kind string, bucket long, bits binary, part string"
@@ -20,12 +19,7 @@ _ROWS = "raw_row_count long, cleaned_row_count long, part string"
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def _held(cleaned: DataFrame) -> DataFrame:
@@ -64,13 +58,13 @@ def load_part(lines: DataFrame, folder: str, part: str) -> None:
         rows = lines.agg(F.count(F.lit(1)).alias("raw_row_count"), F.lit(part).alias("part")).withColumn(
             "cleaned_row_count", cleaned.agg(F.count(F.lit(1))).scalar()
         )
-        _replace_part(bits.withColumn("part", F.lit(part)), f"{folder}/bits", part)
-        _replace_part(rows.select("raw_row_count", "cleaned_row_count", "part"), f"{folder}/rows", part)
+        _replace_part(bits.withColumn("part", F.lit(part)), f"{folder}/bits", part, _BITS)
+        _replace_part(rows.select("raw_row_count", "cleaned_row_count", "part"), f"{folder}/rows", part, _ROWS)
 
 
-def _replace_part(df: DataFrame, path: str, part: str) -> None:
+def _replace_part(df: DataFrame, path: str, part: str, schema: str) -> None:
     # A part without rows leaves no folder, so what an earlier load left goes through a row that says nothing.
-    empty = df.sparkSession.createDataFrame([(None,) * (len(df.columns) - 1) + (part,)], df.schema)
+    empty = df.sparkSession.createDataFrame([(None,) * (len(df.columns) - 1) + (part,)], schema)
     df.unionByName(empty).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 

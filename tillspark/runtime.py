@@ -72,10 +72,21 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def _path(spark: SparkSession, folder: str):
+    """A folder and the file system it is on."""
     sc = spark.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    return path, path.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path, system = _path(spark, folder)
+    system.delete(path, True)
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path, system = _path(spark, folder)
+    return system.exists(path)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from tillspark.operators import baskets as B
 from tillspark.operators import catalog as C
 from tillspark.operators import clean as K
 from tillspark.operators import profile as P
+from tillspark.operators.incremental import load_part, profile
 from tillspark.operators.text_index import baskets_by_search, search_all, store_index
 from tillspark.operators.validate import check_baskets
 from tillspark.runtime import materialize, scratch, scratch_folder
@@ -102,6 +103,18 @@ def _(spark, d):
     )
 
 
+@query("month_lines", f"""{S.cleaned(ITEM)} SELECT strftime(strptime(InvoiceDate, '%m/%d/%Y %H:%M'), '%Y-%m') AS invoice_month,
+  InvoiceNo, StockCode, Description, Quantity, CAST(UnitPrice AS VARCHAR) AS UnitPrice FROM cleaned""")
+def _(spark, d):
+    """The lines themselves, read back from the monthly table."""
+    with scratch(spark) as job:
+        folder = scratch_folder(spark)
+        replace_lines_by_month(cleaned(spark, d), folder)
+        stored = spark.read.option("basePath", folder).parquet(folder)
+        return job.keep(_as_text(stored).select(F.col("invoice_month").cast("string").alias("invoice_month"), "InvoiceNo", "StockCode",
+                                                "Description", "Quantity", "UnitPrice"))
+
+
 # ---- baskets ------------------------------------------------------------------------------
 
 @query("baskets_array", f"{S.basket_ctes(ITEM)} SELECT InvoiceNo, array_to_string(items, ' | ') AS items, len(items) AS item_count FROM baskets")
@@ -255,6 +268,33 @@ def _(spark, d):
     return P.transaction_stats(raw, K.clean(raw))
 
 
+def _loaded_by_years(spark, sf_dir, parts=None):
+    """The profile after three loads, each of lines of other years; the first is loaded twice."""
+    with scratch(spark) as job:
+        folder = scratch_folder(spark)
+        raw = retail_lines(spark, sf_dir, ITEM)
+        year = F.regexp_extract("InvoiceDate", r"/(\d{4}) ", 1).cast("int")
+        for k in (0, 1, 2, 0):
+            load_part(raw.filter(year % 3 == k), folder, f"part {k}")
+        return job.keep(profile(spark, folder, parts))
+
+
+_STATS = f"""SELECT (SELECT count(*) FROM lines) AS raw_row_count,
+  count(*) AS cleaned_row_count, count(DISTINCT InvoiceNo) AS transaction_count,
+  count(DISTINCT Description) AS unique_products, {_AVERAGE} AS avg_basket_size FROM cleaned"""
+
+
+@query("profile_by_loads", f"{S.cleaned(ITEM)} {_STATS}")
+def _(spark, d):
+    return _loaded_by_years(spark, d)
+
+
+@query("profile_of_two_loads", f"""WITH {S.lines(ITEM).replace("lines AS (", "every AS (", 1)},
+lines AS (SELECT * FROM every WHERE CAST(regexp_extract(InvoiceDate, '/(\\d{{4}}) ', 1) AS INT) % 3 < 2), {S.CLEANED} {_STATS}""")
+def _(spark, d):
+    return _loaded_by_years(spark, d, ["part 0", "part 1"])
+
+
 @query("load_report", f"""{S.cleaned(ITEM)}
 SELECT 'raw_rows' AS metric, count(*) AS value FROM lines
 UNION ALL SELECT 'cleaned_rows', count(*) FROM cleaned
