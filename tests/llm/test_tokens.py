@@ -39,6 +39,24 @@ def test_pieces_give_the_library_ids(library):
         assert np.frombuffer(known.packed(text), "<u4").tolist() == library(text), repr(text)
 
 
+def test_plain_words_merge_as_in_the_library(library):
+    rng = random.Random(5)
+    known = tokenizing.PieceEncoder(JSON)
+    letters = "etaoinshrdlucmETAIéüßñÿÀ"
+    words = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(6000)}
+    words |= {c * n for c in "aezé" for n in range(1, 31)}
+    words |= {t[1:] for t in known.tokenizer.get_vocab() if t[:1] == "Ġ" and t[1:].isascii() and t[1:].isalpha() and len(t) < 31}
+    words = sorted(words)
+    assert [np.frombuffer(b, "<u4").tolist() for b in known.merges.ids(words)] == [library(" " + w) for w in words]
+
+
+def test_texts_encoded_together(library):
+    texts = [*odd_texts(400, 7), *(" ".join(odd_texts(9, i)) for i in range(40)), "", "erste Wörter, zweite Wörter. erste", "Wörter erste"]
+    for sizes in ({}, {"group_chars": 50}, {"group_chars": 90, "slice_chars": 20, "most": 5, "fresh": 5}):
+        for text, raw in zip(texts, tokenizing.PieceEncoder(JSON, **sizes).packed_all(texts)):
+            assert np.frombuffer(raw, "<u4").tolist() == library(text), repr(text)
+
+
 @pytest.mark.parametrize("chunk,overlap", [(500, 20), (64, 8)])
 def test_counts_of_windows(docs_of, library, chunk, overlap):
     rows = [(1, "ab " * 900), (2, "x" * 3000), (3, None), (4, ""), (5, "<|endoftext|> hello  \n\n  world" * 100), (None, "é ü " * 700),

@@ -140,8 +140,8 @@ def pack(
         number = TaskContext.get().partitionId() << 40
         held, n = [], 0
         for batch in batches:
-            for key, value in zip(batch.column(0), batch.column(1)):
-                raw = known.packed(value.as_py() or "")
+            texts = (value.as_py() or "" for value in batch.column(1))
+            for key, raw in zip(batch.column(0), known.packed_all(texts)):
                 held.append((key.as_py(), np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))))
                 n += len(held[-1][1])
                 if n >= block:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from tillspark.llm.merging import PLAIN, LetterMerges
 from tillspark.llm.shared import held
 
 # Python's \s without the four separators that the tokenizers' own white space leaves out.
@@ -38,18 +39,21 @@ def stable_slices(text: str, size: int) -> Iterator[str]:
 class PieceEncoder:
     """ids(text) equals the library's ids without added special tokens.
 
-    Texts are cut before single spaces, and each distinct word is encoded once. Words seen twice are kept (``most``
+    Texts are cut before single spaces, and each distinct word is encoded once: words of plain letters by their merges, many at
+    a time, others by the library. Words seen twice are kept (``most``
     of them), words seen once for a while (``fresh`` of them); longer ones than ``longest`` never.
     """
 
-    def __init__(self, path: str, most: int = 450_000, fresh: int = 300_000, longest: int = 48, slice_chars: int = 1 << 18):
+    def __init__(self, path: str, most: int = 450_000, fresh: int = 300_000, longest: int = 48, slice_chars: int = 1 << 18,
+                 group_chars: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.most, self.fresh, self.longest, self.slice_chars = most, fresh, longest, slice_chars
+        self.most, self.fresh, self.longest, self.slice_chars, self.group_chars = most, fresh, longest, slice_chars, group_chars
+        self.merges = LetterMerges.of(self.tokenizer)
         # By word, without the space before it.
         self.words: dict[str, bytes] = {}
         self.new_words: dict[str, bytes] = {}
@@ -76,10 +80,10 @@ class PieceEncoder:
         raw, cuts = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _new(self, missing: list[str]) -> dict[str, bytes]:
+    def _new(self, missing: Iterable[str]) -> dict[str, bytes]:
         """The ids of words that are not kept."""
         out, once, kept = {}, self.new_words, self.words
-        again, whole, ends_open = {}, [], []
+        again, whole, ends_open, letters, marked = {}, [], [], {}, []
         for w in missing:
             ids = once.pop(w, None)
             if ids is not None:
@@ -87,11 +91,22 @@ class PieceEncoder:
                 continue
             mark = self.marks.get(w[-1:])
             if mark is not None and w[:-1].isalpha():
-                ids = kept.get(w[:-1]) or once.get(w[:-1])
+                stem = w[:-1]
+                ids = kept.get(stem) or once.get(stem) or again.get(stem)
                 if ids is not None:
                     out[w] = ids + mark
                     continue
+                if self.merges and PLAIN.fullmatch(stem):
+                    letters[stem] = None
+                    marked.append((w, stem, mark))
+                    continue
+            elif self.merges and PLAIN.fullmatch(w):
+                letters[w] = None
+                continue
             (ends_open if not w or w[-1].isspace() else whole).append(w)
+        if letters:
+            out.update(zip(letters, self.merges.ids(list(letters))))
+            out.update((w, out[stem] + mark) for w, stem, mark in marked)
         if whole:
             out.update(zip(whole, self._encode_words(whole)))
         if ends_open:
@@ -105,24 +120,45 @@ class PieceEncoder:
         out.update(again)
         return out
 
-    def packed(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        out = []
-        for part in stable_slices(text, self.slice_chars):
+    def packed_all(self, texts: Iterable[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; new words of several texts are encoded together."""
+        out: list[list[bytes]] = []
+        group, size = [], 0
+        for text in texts:
+            out.append([])
+            for part in stable_slices(text, self.slice_chars):
+                group.append((out[-1], part))
+                size += len(part)
+                if size >= self.group_chars:
+                    self._encode_group(group)
+                    group, size = [], 0
+        self._encode_group(group)
+        return [b"".join(x) for x in out]
+
+    def _encode_group(self, group: list[tuple[list[bytes], str]]) -> None:
+        """Slices of texts, whose ids go to the end of the list that each comes with."""
+        cut, missing, whole = [], {}, {}
+        for out, part in group:
             if SPACED.search(part):
-                out += self._encode(PIECE.findall(part))
+                cut.append((out, PIECE.findall(part), [], []))
+                whole.update(dict.fromkeys(cut[-1][1]))
                 continue
             head, *words = part.split(" ")
-            if head:
-                out += self._encode([head])
             found = list(map(self.words.get, words))
-            if None in found:
-                places = [i for i, f in enumerate(found) if f is None]
-                new = self._new(list(dict.fromkeys([words[i] for i in places])))
-                for i in places:
-                    found[i] = new[words[i]]
+            places = [i for i, f in enumerate(found) if f is None] if None in found else []
+            missing.update(dict.fromkeys([words[i] for i in places]))
+            cut.append((out, [head] if head else [], found, [(i, words[i]) for i in places]))
+            whole.update(dict.fromkeys(cut[-1][1]))
+        pieces = dict(zip(whole, self._encode(list(whole)))) if whole else {}
+        new = self._new(missing) if missing else {}
+        for out, before, found, places in cut:
+            for i, word in places:
+                found[i] = new[word]
+            out += map(pieces.__getitem__, before)
             out += found
-        return b"".join(out)
+
+    def packed(self, text: str) -> bytes:
+        return self.packed_all([text])[0]
 
     def count(self, text: str) -> int:
         return len(self.packed(text)) // 4
