@@ -65,6 +65,17 @@ def test_counts_of_windows(docs_of, library, chunk, overlap):
     assert sorted(map(str, got)) == sorted(f"Row(doc_id={a}, n_bytes={len((b or '').encode())}, n_tokens={len(library(b))})" for a, b in rows)
 
 
+def test_work_on_a_text_without_stable_places(docs_of, library, monkeypatch):
+    text, sizes = "ab,c" * 6000, []
+    spliced = token_counts._spliced
+    monkeypatch.setattr(token_counts, "_spliced", lambda left, path, chunk, overlap: sizes.append((chunk, overlap)) or spliced(left, path, chunk, overlap))
+    got = token_counts.count_tokens(docs_of([(1, text)]), JSON, chunk=500, overlap=20).first()
+    assert got.n_tokens == len(library(text))
+    assert sizes == [(500, 20), (5120, 1280), (327680, 81920)]
+    encoded = sum(sum(min(len(text), start + c + o) - start for start in range(0, len(text), c)) for c, o in sizes)
+    assert encoded < 5 * len(text)
+
+
 def test_counts_of_nothing(docs_of):
     assert token_counts.count_tokens(docs_of([]), JSON).count() == 0
 

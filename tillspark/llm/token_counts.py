@@ -4,8 +4,8 @@ A document over ``chunk`` characters becomes windows of ``chunk + overlap`` char
 window is encoded alone, with offsets. Two neighbours are spliced at the first place in their overlap that is
 a token boundary of both encodings and provably stable (white space after other text: the pre-token
 pattern breaks there whatever stands around it). Where an overlap holds no such place, the overlaps of that
-document are widened and it is encoded again, up to the end of the document if need be, so the
-counts are always those of the whole text.
+document are widened, its windows with them, and it is encoded again, up to the end of the document if need be, so the
+counts are always those of the whole text. Each round encodes a text at most one and a quarter times.
 """
 
 from __future__ import annotations
@@ -21,7 +21,11 @@ from tillspark.llm.shared import bound_batches
 from tillspark.llm.tokenizing import STABLE, encoder
 from tillspark.runtime import materialize
 
-CHUNK, OVERLAP, WIDEN = 32_768, 256, 16
+CHUNK, OVERLAP, WIDEN = 32_768, 256, 64
+#: A window is at least so many overlaps long, so no round encodes much more than the text.
+LEAST_OVERLAPS = 4
+#: Characters of windows that leave a task at once.
+BATCH_CHARS = 1 << 22
 #: Boundaries reported per overlap; the first common one is used, and widening follows if none is.
 MARKS = 64
 
@@ -52,6 +56,26 @@ def _marks(text: str, ends: np.ndarray, start: int, lo: int, hi: int) -> list[di
     return found
 
 
+def _cut_windows(chunk: int, overlap: int):
+    """Rows (key, text) as windows (key, k, size, text), each text gone through once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "k", "size", "text"]
+        for batch in batches:
+            rows, chars = [], 0
+            for key, text in zip(batch.column(0), batch.column(1)):
+                key, text = key.as_py(), text.as_py()
+                for k, start in enumerate(range(0, len(text), chunk)):
+                    rows.append((key, k, len(text), text[start:start + chunk + overlap]))
+                    chars += len(rows[-1][3])
+                    if chars >= BATCH_CHARS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+                        rows, chars = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+
+    return run
+
+
 def _encode_windows(path: str, chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path).tokenizer
@@ -78,11 +102,7 @@ def _encode_windows(path: str, chunk: int, overlap: int):
 
 def _spliced(huge: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
     """(key, size, n_tokens), n_tokens NULL where some neighbours share no boundary."""
-    size = F.length("text")
-    windows = huge.select("key", size.alias("size"), "text", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.floor((size - 1) / chunk).cast("long"))).alias("k"))
-    cut = windows.select("key", "k", F.col("size").cast("long"), F.substring(
-        F.col("text"), (F.col("k") * chunk + 1).cast("int"), F.lit(chunk + overlap)).alias("text"))
+    cut = huge.select("key", "text").mapInArrow(_cut_windows(chunk, overlap), "key string, k long, size long, text string")
     # Equal texts are encoded once; the shuffle also deals the windows of one document out.
     once = cut.groupBy("key", "k").agg(F.first("size").alias("size"), F.first("text").alias("text"))
     encoded = materialize(once.mapInArrow(_encode_windows(path, chunk, overlap), _WINDOW))
@@ -120,4 +140,5 @@ def count_tokens(
         if failed.isEmpty():
             break
         left, overlap = left.join(failed, "key", "left_semi"), overlap * WIDEN
+        chunk = max(chunk, LEAST_OVERLAPS * overlap)
     return short.unionByName(huge.select("doc_id", "n_bytes", "key").join(found, "key").select("doc_id", "n_bytes", "n_tokens"))
