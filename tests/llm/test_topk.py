@@ -35,6 +35,13 @@ def test_exact_with_odd_rows(spark):
     assert run(spark, rows, block=16, query_block=4) == want
 
 
+def test_repeated_rows(spark):
+    rows = [(5, [1.0, 0.0])] * 3 + [(5, [0.0, 1.0])] * 2 + [(6, [3.0, 1.0])] * 40 + [(7, [1.0, 2.0])] * 2 + [(8, [-1.0, -1.0]), (10, [2.0, 2.0])]
+    assert run(spark, rows) == brute(rows, 5, 3)
+    assert run(spark, rows, k=45) == brute(rows, 5, 45)
+    assert run(spark, rows, k=7, block=4, query_block=1) == brute(rows, 5, 7)
+
+
 def test_few_and_no_rows(spark):
     assert run(spark, []) == []
     assert run(spark, [(5, [1.0])]) == []

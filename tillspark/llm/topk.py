@@ -147,9 +147,8 @@ def _whole(vectors: DataFrame, vec: str, embedding: str, scale: int) -> DataFram
 
 
 def _pack(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    """One block as one row, with its centre and covering radius. Rows alike in id and vector count once."""
-    once = {(i, x.tobytes()): x for i, x in zip(group["id"].to_pylist(), group["x"].to_numpy())}
-    ids, x = np.array([i for i, _ in once], dtype="<i8"), np.stack(list(once.values()))
+    """One block as one row, with its centre and covering radius."""
+    ids, x = group["id"].to_numpy().astype("<i8"), np.stack(group["x"].to_numpy())
     centre = x.mean(axis=0)
     row = {"cell": key[1].as_py(), "block": key[2].as_py(), "side": key[0].as_py(), "n": len(ids), "centre": centre.tolist(),
            "radius": float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max()), "ids": ids.tobytes(), "vectors": x.astype("<f8").tobytes()}
@@ -175,22 +174,60 @@ def _cell(sent, most: int):
 
 def _blocks(x: DataFrame, is_query: Column, block: int, query_block: int) -> DataFrame:
     """All blocks, side 0 of data and side 1 of queries."""
+    x = materialize(x.distinct())
     size = x.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
     cells, query_cells = (min(PIVOTS, max(1, -(-n // b))) for n, b in ((size.n, block), (size.q, query_block)))
     pivots = [r.x for r in x.orderBy(F.xxhash64("id"), "id", "x").limit(cells).collect()]
     sent = x.sparkSession.sparkContext.broadcast(np.array([p for p in pivots if len(p) == len(pivots[0])]) if pivots else np.zeros((0, 0)))
-    sides = x.select("id", "x", _cell(sent, cells)("x").alias("cell"), F.lit(0).alias("side")).unionByName(
+    data = x.select("id", "x", _cell(sent, cells)("x").alias("cell"), F.lit(0).alias("side"))
+    sides = data.unionByName(
         x.filter(is_query).select("id", "x", _cell(sent, query_cells)("x").alias("cell"), F.lit(1).alias("side")))
     placed = materialize(sides)
-    # A crowded cell is cut by a hash of the id; there are at most as many counts as pivots and vector lengths.
+    # A crowded cell is cut by a hash of the rows; there are at most as many counts as pivots and vector lengths.
     most = F.when(F.col("side") == 0, block).otherwise(query_block)
     parts = placed.groupBy("side", "cell").agg(F.count(F.lit(1)).alias("n")).select("side", "cell", F.ceil(F.col("n") / most).alias("parts"))
-    dealt = placed.join(parts, ["side", "cell"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")))
+    dealt = placed.join(parts, ["side", "cell"]).withColumn("block", F.pmod(F.xxhash64("id", "x", F.lit(7)), F.col("parts")))
     blocks = materialize(dealt.groupBy("side", "cell", "block").applyInArrow(_pack, _BLOCK))
     drop_materialized(placed)
+    drop_materialized(x)
     return blocks
 
 
+def _dot(a: Column | str, b: Column | str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _may_reach(centre: str, radius: str) -> Column:
+    """Whether a ball may hold a vector as good as the floor of a ball of queries (qcentre, qradius, qfloor)."""
+    norm = lambda c: F.sqrt(_dot(c, c))
+    reach = (_dot("qcentre", centre) + F.col("qradius") * norm(centre)
+             + F.col(radius) * norm("qcentre") + F.col("qradius") * F.col(radius))
+    return F.col("qfloor").isNull() | (reach + F.abs(reach) * 1e-9 + 1e-6 >= F.col("qfloor"))
+
+
+def _pairs(queries: DataFrame, data: DataFrame) -> DataFrame:
+    """(qcell, qblock, dcell, dblock): pairs of blocks that can still matter, by centres and radii alone.
+
+    Blocks of queries meet the balls around whole cells first, which are no more than the pivots and vector lengths,
+    and then the blocks of the cells that are left.
+    """
+    balls = data.select(F.col("cell").alias("dcell"), F.col("block").alias("dblock"), F.col("centre").alias("dcentre"),
+                        F.col("radius").alias("dradius"))
+    middles = balls.groupBy("dcell").agg(F.min_by("dcentre", "dblock").alias("centre"), F.max("dblock").alias("last"))
+    gap = F.zip_with("centre", "dcentre", lambda a, b: a - b)
+    cells = balls.join(middles, "dcell").groupBy("dcell").agg(
+        F.first("centre").alias("centre"), F.first("last").alias("last"),
+        F.max((F.sqrt(_dot(gap, gap)) + F.col("dradius")) * (1 + 1e-9)).alias("radius"))
+    # All blocks of queries have the same key, the length of their vectors, so cells are repeated for each lane of them.
+    lanes = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = queries.select(*(F.col(c).alias(f"q{c}") for c in ("cell", "block", "centre", "radius", "floor"))).withColumns(
+        {"lane": F.pmod(F.hash("qcell", "qblock"), F.lit(lanes)), "dim": F.size("qcentre")})
+    around = cells.withColumns({"lane": F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))), "dim": F.size("centre")})
+    near = asked.join(around, ["dim", "lane"]).filter(_may_reach("centre", "radius"))
+    near = near.drop("centre", "radius").withColumn("dblock", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    return near.join(balls, ["dcell", "dblock"]).filter(_may_reach("dcentre", "dradius")).select("qcell", "qblock", "dcell", "dblock")
+
+
 def _search(k: int):
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -216,7 +253,8 @@ def top_k(
 
     ``is_query`` is a condition on a column ``id``, the row's id. Rows with a NULL id, vector or component, or a component
     that is not finite, take no part; a query of another length than a vector is not compared with it. Rows that
-    share an id are compared by others each for itself, and never with each other. Scores must fit a 64-bit integer. A
+    share an id are compared by others each for itself, and never with each other; as queries they have one answer, the best
+    scores of any of them. Rows alike in id and whole-number vector count once. Scores must fit a 64-bit integer. A
     query without other rows has no answer. Other columns are ignored. No rows in, no rows out.
     """
     bound_batches(vectors.sparkSession)
@@ -244,18 +282,7 @@ def top_k(
         F.when(F.count("floor") == F.count(F.lit(1)), F.min("floor")).alias("floor"))
     queries = materialize(queries.join(known, ["cell", "block"]))
 
-    # Pairs of blocks that can still matter, by centres and radii alone.
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    slim = lambda t, c: t.select(*(F.col(x).alias(c + x) for x in t.columns if x in ("cell", "block", "centre", "radius", "floor")))
-    spread = slim(queries, "q").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    lanes = slim(data, "d").withColumn("lane", F.pmod(F.hash("dcell", "dblock"), F.lit(16)))
-    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    reach = (dot(F.col("qcentre"), F.col("dcentre")) + F.col("qradius") * norm("dcentre")
-             + F.col("dradius") * norm("qcentre") + F.col("qradius") * F.col("dradius"))
-    same = F.size("qcentre") == F.size("dcentre")
-    pairs = spread.join(lanes, "lane").filter(same & (F.col("qfloor").isNull() | (reach + F.abs(reach) * 1e-9 + 1e-6 >= F.col("qfloor"))))
-    pairs = materialize(pairs.select("qcell", "qblock", "dcell", "dblock").withColumn(
-        "pair", F.concat_ws("/", "qcell", "qblock", "dcell", "dblock")))
+    pairs = materialize(_pairs(queries, data).withColumn("pair", F.concat_ws("/", "qcell", "qblock", "dcell", "dblock")))
     ends = lambda c: pairs.select(F.col(f"{c}cell").alias("cell"), F.col(f"{c}block").alias("block"), "pair")
     columns = [*data.columns, "pair"]
     work = queries.join(ends("q"), ["cell", "block"]).select(*columns).unionByName(data.join(ends("d"), ["cell", "block"]).select(*columns))
