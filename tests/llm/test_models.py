@@ -212,3 +212,14 @@ def test_toxicity_query_on_labelled_documents(spark, sf):
     clean = found.filter("said = 0").agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     caught = found.filter("said = 1").agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     assert clean < 0.01 and caught > 0.75
+
+
+def test_of_labels_that_differ_toxic_counts(spark, docs_of):
+    docs = docs_of([(i, f"some words and {'poison vile' if i < 30 else 'garden calm'} number{i % 7}") for i in range(90)])
+    once = [(i, int(i < 30)) for i in range(90)]
+    told = []
+    for marks in (once, once + [(i, 0) for i in range(30)] + [(i, None) for i in range(90)] + once[:5]):
+        labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+        found = toxicity.score(docs, toxicity.learn_severity(docs, labels)).collect()
+        told.append(sorted((r.doc_id, r.toxic, round(r.severity, 5)) for r in found))
+    assert told[0] == told[1] and {d for d, toxic, _ in told[0] if toxic} == set(range(30))

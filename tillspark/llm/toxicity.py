@@ -233,19 +233,19 @@ def learn_severity(docs: DataFrame, labels: DataFrame) -> SeverityModel:
 
     Grades: 0 clean, 1 toxic, 2 toxic and strongly so. The second step is read from the texts: toxic documents
     with more than the median number of telling words, those whose documents are toxic nine times in ten. Rows
-    without text or label are left out; labels that repeat count once. Counts, shares and the median cover all labelled
+    without text or label are left out; labels that repeat count once, and of labels of one id that differ, toxic counts. Counts, shares and the median cover all labelled
     documents. Their texts, and few others, are shuffled once to their labels and stored until the model is there.
     """
     bound_batches(docs.sparkSession)
     toxic, n = materialize_counted(
-        labels.filter(F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("grade")).distinct())
+        labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("grade")))
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
     if docs.schema["doc_id"].dataType == labels.schema["doc_id"].dataType:  # or else equal ids may have other hashes
         texts = texts.filter(_perhaps_among(toxic, n)(F.xxhash64("doc_id")))
     rows = materialize(texts.join(toxic.hint("merge"), "doc_id"))
     counts = document_counts(rows)
     base = rows.agg(F.avg("grade").alias("share")).first().share
-    z = (F.col("high") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base)) if base else F.lit(0.0)
+    z = (F.col("high") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base)) if base and base < 1 else F.lit(0.0)
     often = counts.filter((F.col("n") >= LEAST_DOCS) & (F.col("high") > 0.9 * F.col("n")))
     telling = {r.word for r in often.orderBy(F.desc(z), "word").limit(TELLING).collect()}
 
