@@ -50,3 +50,13 @@ def test_query_digests(spark, sf):
     got = {r.conv_id: r for r in QUERIES["op5_chat_format"](spark, sf).collect()}
     assert got[-7].turns_sha256 == hashlib.sha256(f"user\n{PROBE}\nassistant\n{PROBE}\n".encode()).hexdigest()
     assert got[-7].loss_sha256 == hashlib.sha256(PROBE.encode()).hexdigest() and got[-7].loss_chars == len(PROBE)
+
+
+def test_very_many_turns(spark):
+    n = 50_000
+    turns = spark.range(n, numPartitions=8).selectExpr(
+        "1L AS conv_id", "CAST(id AS int) AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('é', id, '<turn>') AS text")
+    got = chat.format_conversations(turns).first()
+    parts = got.formatted.split(chat.CLOSE)
+    assert len(parts) == n + 1 and parts[7] == "<turn>assistant\né7\\lturn>"
+    assert [got.formatted[s.start:s.start + s.length] for s in got.loss_spans] == [f"é{i}\\lturn>" for i in range(1, n, 2)]

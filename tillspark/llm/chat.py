@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 OPEN, CLOSE = "<turn>", "</turn>\n"
 #: Tokens that one unit of a part expands to: an image's tile, a second of audio, a document's page.
@@ -91,22 +92,21 @@ def format_conversations(
     are ignored. A conversation is one output row, so its size is bounded by what a row can hold.
     """
     content = F.coalesce(F.col(parts).cast(PARTS_TYPE), F.array().cast(PARTS_TYPE)) if parts else text_part(F.col(text))
-    grouped = turns.select(
-        F.col(conv).alias("conv_id"),
-        F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
-                 F.filter(content, lambda p: p.isNotNull()).alias("parts")).alias("row"),
-    ).groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("turns"))
-    rendered = grouped.select("conv_id", F.transform("turns", lambda t: F.struct(
-        t["role"].alias("role"),
-        F.concat(F.lit(OPEN), F.replace(escape(t["role"]), F.lit("\n"), F.lit("\\e")), F.lit("\n")).alias("head"),
-        _visit(t["parts"]).alias("flat"))).alias("turns"))
-    placed = rendered.withColumn("starts", _starts(F.transform(
-        "turns", lambda t: F.length(t["head"]) + F.length(t["flat"]["body"]) + len(CLOSE))))
-    body_at = lambda t, i: F.get(F.col("starts"), i) + F.length(t["head"])
-    spans = F.transform("turns", lambda t, i: F.struct(
-        t["role"].alias("role"), body_at(t, i).alias("start"), F.length(t["flat"]["body"]).alias("length")))
-    moved = F.flatten(F.transform("turns", lambda t, i: F.transform(t["flat"]["attachments"], lambda a: F.struct(
-        (a["position"] + body_at(t, i)).alias("position"), a["kind"].alias("kind"), a["ref"].alias("ref"),
+    rows = turns.select(
+        F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
+        F.filter(content, lambda p: p.isNotNull()).alias("parts"))
+    rendered = rows.withColumns({
+        "head": F.concat(F.lit(OPEN), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\e")), F.lit("\n")), "flat": _visit(F.col("parts"))})
+    # Where turns start is a running sum over the rows, which also puts them in order.
+    earlier = W.partitionBy("conv_id").orderBy("turn", "role", "parts").rowsBetween(W.unboundedPreceding, -1)
+    size = F.length("head") + F.length("flat.body") + len(CLOSE)
+    placed = rendered.withColumn("start", F.coalesce(F.sum(size).over(earlier), F.lit(0)).cast("int"))
+    placed = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("start", "role", "head", "flat"))).alias("turns"))
+    body_at = lambda t: t["start"] + F.length(t["head"])
+    spans = F.transform("turns", lambda t: F.struct(
+        t["role"].alias("role"), body_at(t).alias("start"), F.length(t["flat"]["body"]).alias("length")))
+    moved = F.flatten(F.transform("turns", lambda t: F.transform(t["flat"]["attachments"], lambda a: F.struct(
+        (a["position"] + body_at(t)).alias("position"), a["kind"].alias("kind"), a["ref"].alias("ref"),
         a["tokens"].alias("tokens")))))
     return placed.select(
         "conv_id",
