@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tillspark.operators.similarity import similar_pairs
+from tillspark.operators import similarity
+from tillspark.operators.similarity import item_classes, similar_pairs
 from tillspark.operators.text_index import baskets_by_search, search_all, store_index, text_index
 from tillspark.schemas import BASKET
 
@@ -51,6 +52,41 @@ def test_all_pairs_equal_a_brute_force(spark, limit):
     assert (("near", "near2") in want) == (limit <= 0.8) and (("far", "far2") in want) == (limit <= 0.5)
 
 
+@pytest.mark.parametrize("per_entry", [0, 1, 3])
+@pytest.mark.parametrize("limit", [0.1, 0.4])
+def test_large_baskets_are_counted_as_well_as_small_ones(spark, monkeypatch, limit, per_entry):
+    """With next to no basket counted whole, pairs are found by prefixes and counted by baskets, or pair by pair."""
+    monkeypatch.setattr(similarity, "PAIRS_PER_ENTRY", per_entry)
+    rng = random.Random(per_entry)
+    few = [(str(i), sorted({f"i{int(rng.random() ** 2 * 30)}" for _ in range(rng.randrange(1, 9))})) for i in range(150)]
+    check(spark, few, limit)
+    check(spark, few[:40] + [(f"all{k}", [f"i{j}" for j in range(40)]) for k in range(6)], limit)
+
+
+def written(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None).iterator()
+    total = 0
+    while stages.hasNext():
+        total += stages.next().shuffleWriteRecords()
+    return total
+
+
+def test_a_low_limit_does_not_bring_every_item_to_every_basket(spark):
+    """200 items that all meet now and then: their baskets were joined to all pairs before, here 800,000 rows."""
+    rng = random.Random(5)
+    baskets = [(str(i), rng.sample([f"i{k}" for k in range(200)], 3)) for i in range(2600)]
+    before = written(spark)
+    check(spark, baskets, 0.02)
+    assert written(spark) - before < 300_000
+
+
+def test_classes_alone_need_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "_prefixes", lambda *_: pytest.fail("pairs are looked for"))
+    found = item_classes(spark.createDataFrame([("1", ["a", "b", "c"]), ("2", ["c", None]), (None, ["a", "b"])], BASKET))
+    assert {tuple(r) for r in found.collect()} == {("a", "a", 2), ("b", "a", 2), ("c", "c", 2)}
+
+
 def test_items_below_any_support_are_found(spark):
     baskets = [(str(i), ["often"]) for i in range(200)] + [("a", ["rare", "rarer", "often"]), ("b", ["rare", "often"])]
     assert ("rare", "rarer") in check(spark, baskets, 0.5)

@@ -14,7 +14,7 @@ from tillspark.operators import recommend as R
 from tillspark.operators import serve as V
 from tillspark.operators import validate as Q
 from tillspark.operators.baskets import baskets
-from tillspark.operators.similarity import similar_pairs
+from tillspark.operators.similarity import item_classes, similar_pairs
 from tillspark.plans.evaluate import hit_rate, split_baskets
 from tillspark.plans.mining_run import run_mining
 from tillspark.runtime import materialize, scratch, scratch_folder
@@ -259,7 +259,7 @@ def _(spark, d):
 @query("item_classes", f"{_CLASSES} SELECT item, class, CAST(len(s) AS BIGINT) AS n FROM sets JOIN classes USING (s)")
 def _(spark, d):
     """Items with the very same baskets."""
-    return similar_pairs(mining_baskets(spark, d, NAME), ALIKE_AT_LEAST)[1]
+    return item_classes(mining_baskets(spark, d, NAME))
 
 
 @query("hybrid_recommendations", f"""{SIMILAR_SQL}, {S.rules('0.1')}, {S.recommendations()},
