@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillspark.operators import similarity
 from tillspark.operators.similarity import item_classes, similar_pairs
-from tillspark.operators.text_index import baskets_by_search, search_all, store_index, text_index
+from tillspark.operators.text_index import basket_counts_by_search, baskets_by_search, search_all, store_index, text_index
 from tillspark.schemas import BASKET
 
 
@@ -145,3 +145,22 @@ def test_baskets_of_searches(spark):
     found = search_all(searches, names, text_index(names, "name", ["name"]), "name", ["name"])
     got = {tuple(r) for r in baskets_by_search(found, baskets, "name").collect()}
     assert got == {("tea", "1"), ("tea", "3"), ("RED", "1"), ("i", "2")}
+
+
+@pytest.mark.parametrize("slots", [7, 2_000_000])
+def test_baskets_of_searches_are_counted_without_being_paired_with_texts(spark, slots):
+    rng = random.Random(3)
+    names = [f"n{k}" for k in range(40)]
+    held = [(str(i), rng.sample(names, rng.randrange(0, 6)) + ["other", None]) for i in range(700)] + [("null", None), (None, ["n0"])]
+    matches = [(f"t{t}", x) for t in range(12) for x in rng.sample(names, 1 + 3 * t)] + [("all", x) for x in names] + [("unsold", "n99")]
+    before = written(spark)
+    found = basket_counts_by_search(
+        spark.createDataFrame(matches, "text string, name string"), spark.createDataFrame(held, BASKET).repartition(3), "name", slots=slots)
+    got = {r["text"]: r["basket_count"] for r in found.collect()}
+    if slots > len(matches):
+        # The 700 baskets dealt out, what the texts match, and a count of each text from each task.
+        assert written(spark) - before < 1500
+    sets = {}
+    for t, x in matches:
+        sets.setdefault(t, set()).add(x)
+    assert got == {t: n for t, s in sets.items() if (n := sum(bool(s & set(items or [])) for _, items in held))}
