@@ -238,3 +238,45 @@ def test_son_leaves_a_short_partition_to_the_second_phase(spark):
     found = son_itemsets(baskets, 0.03, least, n).count()
     # One basket of 20 items alone would make a million candidates.
     assert found <= candidates.count() <= 1.5 * found
+
+
+def test_runs_alike_in_algorithm_and_support_are_mined_once(spark, monkeypatch):
+    from tillspark.mining import job
+
+    calls, real = [], job.fpgrowth_itemsets
+    monkeypatch.setattr(job, "fpgrowth_itemsets", lambda *a: calls.append(1) or real(*a))
+    carts = spark.createDataFrame([("1", ["a", "b"]), ("2", ["a", "b"]), ("3", ["a", "c"])], "InvoiceNo string, items array<string>")
+    runs = [job.MiningSettings(0.3, 0.1), job.MiningSettings(0.3, 0.9), job.MiningSettings(0.6, 0.1)]
+    first, second, third = job.mine_all(carts, runs)
+    assert len(calls) == 2
+    rules = lambda found: {(*r.antecedents, *r.consequents) for r in found.rules.collect()}
+    assert rules(first) == {("a", "b"), ("b", "a"), ("a", "c"), ("c", "a")} and rules(second) == {("b", "a"), ("c", "a")}
+    assert rules(third) == {("a", "b"), ("b", "a")} and third.itemsets.count() == 3
+
+
+def test_a_chunk_takes_half_the_memory_and_finds_the_same():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tillspark.mining import son
+
+    def batches():
+        rng = np.random.default_rng(1)
+        for _ in range(30):
+            ids = rng.permuted(np.tile(np.arange(25), (10_000, 1)), axis=1)[:, :4]
+            items = pa.DictionaryArray.from_arrays(pa.array(np.sort(ids, axis=1).ravel()), vocabulary).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, 40_001, 4, dtype=np.int32)), items)], ["items"])
+
+    vocabulary = pa.array([f"b{k:02}" for k in range(25)])
+    n, rows, ids = next(son.chunks(batches(), vocabulary, 1000))
+    assert n == 300_000 and len(rows) == 1_200_000 and rows[-1] == n - 1 and (np.diff(rows) >= 0).all()
+    tracemalloc.start()
+    found = set()
+    for n, rows, ids in son.chunks(batches(), vocabulary, 1000):
+        found |= set(son.local_itemsets(n, rows, ids, 25, 1500))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 25 + 300
+    assert peak < 60 * 1_200_000

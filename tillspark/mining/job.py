@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tillspark.mining.apriori import apriori_itemsets
@@ -45,19 +45,22 @@ def mine(baskets: DataFrame, settings: MiningSettings | None = None, **changes)
 
 
 def mine_all(baskets: DataFrame, runs: list[MiningSettings]) -> list[Mined]:
-    """Several runs over one stored copy of the baskets."""
+    """Several runs over one stored copy of the baskets. Runs alike in algorithm and support share their itemsets."""
     items, n = materialize_counted(prepared(baskets))
+    found: dict[tuple, tuple[DataFrame, int]] = {}
     try:
-        return [_mine_stored(items, n, settings) for settings in runs]
+        for settings in runs if n else []:
+            case = settings.algorithm, settings.min_support
+            if case not in found:
+                found[case] = _itemsets(items, n, settings)
+        return [_with_rules(*found.get((settings.algorithm, settings.min_support), (None, 0)), n, settings, items.sparkSession) for settings in runs]
     finally:
         drop_materialized(items)
 
 
-def _mine_stored(items: DataFrame, n: int, settings: MiningSettings) -> Mined:
+def _itemsets(items: DataFrame, n: int, settings: MiningSettings) -> tuple[DataFrame, int]:
+    """The stored itemsets, and the size of the longest."""
     least = min_count(settings.min_support, n)
-    spark = items.sparkSession
-    if n == 0:
-        return Mined(spark.createDataFrame([], ITEMSET), spark.createDataFrame([], RULE), 0, least, settings)
     if settings.algorithm == "fpgrowth":
         found = fpgrowth_itemsets(items, least, n)
     elif settings.algorithm == "apriori":
@@ -67,7 +70,14 @@ def _mine_stored(items: DataFrame, n: int, settings: MiningSettings) -> Mined:
     sizes = Observation()
     found = found.select("items", "freq", (F.col("freq") / F.lit(n)).alias("support"))
     itemsets = materialize(found.observe(sizes, F.max(F.size("items")).alias("longest")))
+    return itemsets, sizes.get["longest"] or 0
+
+
+def _with_rules(itemsets: DataFrame | None, longest: int, n: int, settings: MiningSettings, spark: SparkSession) -> Mined:
+    least = min_count(settings.min_support, n)
+    if itemsets is None:
+        return Mined(spark.createDataFrame([], ITEMSET), spark.createDataFrame([], RULE), 0, least, settings)
     rules = association_rules(
-        itemsets, n, settings.min_confidence, settings.max_consequent, settings.min_lift, sizes.get["longest"] or 0
+        itemsets, n, settings.min_confidence, settings.max_consequent, settings.min_lift, longest
     )
     return Mined(itemsets, rules, n, least, settings)

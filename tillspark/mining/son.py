@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tillspark.mining.apriori import frequent_items
 from tillspark.mining.counting import (
-    SLOTS_PER_PASS, Batch, count_itemsets, flatten, itemset_batch, join_parts, narrow,
+    SLOTS_PER_PASS, Batch, count_itemsets, flatten, itemset_batch, narrow,
 )
 from tillspark.mining.threshold import support_ratio
 from tillspark.runtime import materialize
@@ -22,7 +22,7 @@ from tillspark.runtime import materialize
 # Least local count aimed at. A chunk so small that one basket meets the ratio would call every
 # subset of each of its baskets frequent.
 LOCAL_COUNT = 20
-# Items a chunk is filled with, about 16 bytes each: as many as a worker's memory takes, because the larger the
+# Items a chunk is filled with, 8 bytes each: as many as a worker's memory takes, because the larger the
 # chunks, the fewer itemsets are frequent in one by chance.
 CHUNK_ITEMS = 4_000_000
 # Baskets in partitions too small for a chunk are left to the second phase while they are at most this share of the
@@ -32,36 +32,54 @@ SKIPPED_SHARE = 0.1
 
 # ---- inside tasks -------------------------------------------------------------------------
 
+def joined(parts: list):
+    """``join_parts`` in half the bytes, which a chunk's numbers fit in; each part goes as it is copied."""
+    total = sum(len(ids) for _, _, ids in parts)
+    rows, ids, n, at = np.empty(total, np.int32), np.empty(total, np.int32), 0, 0
+    parts.reverse()
+    while parts:
+        n_rows, r, i = parts.pop()
+        rows[at:at + len(r)] = r + np.int32(n)
+        ids[at:at + len(i)] = i
+        n, at = n + n_rows, at + len(r)
+    return n, rows, ids
+
+
 def chunks(batches, vocabulary: pa.Array, size: int, entries: int = CHUNK_ITEMS):
     """Batches joined into chunks of at least ``size`` baskets and about ``entries`` items; a short rest joins the last."""
     ready, open_parts, open_rows, held = None, [], 0, 0
     for batch in batches:
-        part = flatten(batch.column(0), vocabulary)
-        open_parts.append(part)
-        open_rows += part[0]
-        held += len(part[1])
+        n_rows, rows, ids = flatten(batch.column(0), vocabulary)
+        open_parts.append((n_rows, rows.astype(np.int32), ids.astype(np.int32)))
+        open_rows += n_rows
+        held += len(ids)
         if open_rows >= size and held >= entries:
             if ready:
-                yield join_parts(ready)
+                yield joined(ready)
             ready, open_parts, open_rows, held = open_parts, [], 0, 0
     if ready and open_rows >= size:
-        yield join_parts(ready)
+        yield joined(ready)
         ready = None
     if ready or open_parts:
-        yield join_parts((ready or []) + open_parts)
+        yield joined((ready or []) + open_parts)
 
 
 def local_itemsets(n_rows: int, rows: np.ndarray, ids: np.ndarray, n_items: int, least: int):
-    """Itemsets in at least ``least`` baskets of one chunk, grown item by item."""
+    """Itemsets in at least ``least`` baskets of one chunk, grown item by item.
+
+    What is open shares the arrays of what it grew from, and is narrowed when its turn comes; so there are as many
+    arrays at once as the longest itemset has items, not as many as there are itemsets open.
+    """
     batch = Batch(n_rows, rows, ids, n_items)
     open_sets = [((), rows, ids)]
     while open_sets:
         prefix, r, i = open_sets.pop()
-        for item in np.flatnonzero(np.bincount(i, minlength=n_items) >= least).tolist():
-            yield prefix + (item,)
-            later = narrow(r, i, item) if prefix else batch.narrow_first(item)
-            if len(later[0]):
-                open_sets.append((prefix + (item,), *later))
+        if prefix:
+            r, i = narrow(r, i, prefix[-1]) if len(prefix) > 1 else batch.narrow_first(prefix[0])
+        if len(r):
+            for item in np.flatnonzero(np.bincount(i, minlength=n_items) >= least).tolist():
+                yield prefix + (item,)
+                open_sets.append((prefix + (item,), r, i))
 
 
 def phase_one(vocabulary: pa.Array, ratio: tuple[int, int], size: int, skip_short: bool = False):

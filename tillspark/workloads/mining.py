@@ -41,6 +41,13 @@ def mined(spark, sf_dir, case=LARGE, algorithm="fpgrowth", confidence=None, **op
     )
 
 
+def mined_twice(spark, sf_dir, algorithm, confidence, case=LARGE):
+    """FP-Growth and another run over the same stored baskets."""
+    item, support, default = case
+    return mine_all(
+        mining_baskets(spark, sf_dir, item), [MiningSettings(support, default), MiningSettings(support, confidence, algorithm)])
+
+
 def _join(df, *names):
     return df.withColumns({c: F.array_join(c, " | ") for c in names})
 
@@ -285,17 +292,23 @@ stored AS ({S.stored('recs', 'fpgrowth')} UNION ALL {S.stored('recs2', 'apriori'
 
 
 def catalog_and_stored(spark, sf_dir):
+    return mined_catalog_and_stored(spark, sf_dir)[1:]
+
+
+def mined_catalog_and_stored(spark, sf_dir, *more):
+    """What was found by FP-Growth, by Apriori and by ``more`` runs, the catalog, and the recommendations of the first two."""
     lines = materialize(cleaned(spark, sf_dir, WIDE[0]).select("InvoiceNo", "StockCode", "Description", "UnitPrice"))
     catalog = materialize(C.product_catalog(lines, digits=None))
     runs = [MiningSettings(WIDE[1], WIDE[2], "fpgrowth"), MiningSettings(WIDE[1], APRIORI_CONFIDENCE, "apriori")]
     stored = None
-    for found in mine_all(baskets(lines), runs):
+    every = mine_all(baskets(lines), [*runs, *more])
+    for found in every[:2]:
         algorithm = found.settings.algorithm
         part = V.stored_recommendations(
             R.all_recommendations(found.itemsets, found.rules), catalog, algorithm
         )
         stored = part if stored is None else stored.unionByName(part)
-    return catalog, materialize(stored)
+    return every, catalog, materialize(stored)
 
 
 def as_products(catalog):
@@ -383,8 +396,9 @@ FROM (VALUES ('fpgrowth'), ('apriori')) t(algorithm)""")
 def _(spark, d):
     """Runs of two algorithms saved, then the latest of each read from the log."""
     folder = scratch_folder(spark)
-    for k, algorithm in enumerate(("fpgrowth", "apriori", "fpgrowth")):
-        save_run(mined(spark, d, LARGE, algorithm), folder, f"run-{k}")
+    runs = [MiningSettings(LARGE[1], LARGE[2], a) for a in ("fpgrowth", "apriori", "fpgrowth")]
+    for k, found in enumerate(mine_all(mining_baskets(spark, d, LARGE[0]), runs)):
+        save_run(found, folder, f"run-{k}")
     runs = spark.read.parquet(f"{folder}/runs")
     kept = latest_runs(runs).join(recent_runs(runs, None).select(F.col("id").alias("run_id")), "run_id", "left_semi")
     return kept.select("algorithm", "min_support", "min_confidence", "transaction_count", "created_by")
@@ -446,9 +460,8 @@ def _(spark, d):
     """Recommendations of two algorithms stored, then those of one replaced by a run at another confidence."""
     with scratch(spark) as job:
         folder = scratch_folder(spark)
-        catalog, stored = catalog_and_stored(spark, d)
+        (*_, found), catalog, stored = mined_catalog_and_stored(spark, d, MiningSettings(WIDE[1], REPLACED_CONFIDENCE, "fpgrowth"))
         replace_recommendations(stored, folder)
-        found = mined(spark, d, WIDE, confidence=REPLACED_CONFIDENCE)
         replace_recommendations(V.stored_recommendations(R.all_recommendations(found.itemsets, found.rules), catalog, "fpgrowth"), folder)
         return job.keep(read_recommendations(spark, folder))
 
@@ -538,21 +551,21 @@ SELECT (SELECT count(*) FROM rules) AS left_rules, count(*) AS right_rules, coun
   count(*) * 100.0::DOUBLE / (SELECT count(*) FROM rules) AS overlap_pct FROM fewer""")
 def _(spark, d):
     """FP-Growth rules against Apriori rules at a higher confidence."""
-    return Q.rule_overlap(mined(spark, d).rules, mined(spark, d, algorithm="apriori", confidence=0.2).rules)
+    left, right = mined_twice(spark, d, "apriori", 0.2)
+    return Q.rule_overlap(left.rules, right.rules)
 
 
 @query("rule_differences", f"""{rule_sql()} SELECT array_to_string(antecedents, ' | ') AS antecedents,
   array_to_string(consequents, ' | ') AS consequents, 'left' AS only_in FROM rules WHERE confidence < 0.2::DOUBLE""")
 def _(spark, d):
-    return _join(
-        Q.rule_differences(mined(spark, d).rules, mined(spark, d, algorithm="son", confidence=0.2).rules),
-        "antecedents", "consequents",
-    )
+    left, right = mined_twice(spark, d, "son", 0.2)
+    return _join(Q.rule_differences(left.rules, right.rules), "antecedents", "consequents")
 
 
 @query("rule_agreement", f"{rule_sql()} {_violations('rule_agreement', 'rules')}")
 def _(spark, d):
-    return Q.check_agreement(mined(spark, d).rules, spoiled(mined(spark, d, algorithm="apriori").rules, lift=1))
+    left, right = mined_twice(spark, d, "apriori", LARGE[2])
+    return Q.check_agreement(left.rules, spoiled(right.rules, lift=1))
 
 
 @query("recs_backed", f"""{STORED_SQL} SELECT DISTINCT product, rec_product,
@@ -560,15 +573,15 @@ def _(spark, d):
     AND list_contains(list_concat(r.antecedents, r.consequents), s.rec_product)) THEN 'rule' ELSE 'itemset' END AS backed_by
   FROM stored s""")
 def _(spark, d):
-    found = mined(spark, d, WIDE)
-    return Q.recommendation_evidence(catalog_and_stored(spark, d)[1], found.rules, found.itemsets)
+    (found, _), _, stored = mined_catalog_and_stored(spark, d)
+    return Q.recommendation_evidence(stored, found.rules, found.itemsets)
 
 
 @query("recs_backed_check", f"{STORED_SQL} SELECT 'recommendation_backed' AS check_name, 2 * count(*) AS total, count(*) AS violations FROM (SELECT DISTINCT product, rec_product FROM stored)")
 def _(spark, d):
     """Each recommendation is checked besides one of a product that there is not."""
-    found = mined(spark, d, WIDE)
-    stored = catalog_and_stored(spark, d)[1].select("product", "rec_product")
+    (found, _), _, stored = mined_catalog_and_stored(spark, d)
+    stored = stored.select("product", "rec_product")
     none = stored.withColumn("rec_product", F.concat(F.lit("no "), "rec_product"))
     return Q.check_recommendations(stored.unionByName(none), found.rules, found.itemsets)
 
