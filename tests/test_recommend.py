@@ -208,3 +208,15 @@ def test_orders_with_alike_numbers_stay_apart(spark, monkeypatch):
     details = M.order_details(heads, lines).collect()
     assert lines.count() == len(details) == 3
     assert sorted((r["cart_id"], r["customer_name"], r["product"]) for r in details) == [("1", "x", "a"), ("2", "y", "a"), ("2", "y", "b")]
+
+
+def test_carts_of_the_same_products_are_one_class(spark):
+    carts = spark.createDataFrame(
+        [("1", "a"), ("1", "b"), ("2", "b"), ("2", "a"), ("2", "a"), ("3", "a"), (None, "a"), (None, "b"), ("4", None)],
+        "cart_id string, product string")
+    members, kinds = R.cart_classes(carts)
+    assert members.count() == 5 and kinds.select("cart_id").distinct().count() == 3 and kinds.count() == 4
+    recs = spark.createDataFrame([("a", "b", 0.5, 0.1, 2.0), ("a", "c", 0.5, 0.1, 1.5), ("b", "c", 0.5, 0.1, 1.0)],
+                                 "product string, rec_product string, confidence double, support double, lift double")
+    got = {tuple(r) for r in R.cross_sell(carts, recs).collect()}
+    assert got == {("1", "c", 2.5, 1), ("2", "c", 2.5, 1), (None, "c", 2.5, 1), ("3", "b", 2.0, 1), ("3", "c", 1.5, 2)}

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from tillspark.functions.metrics import weight
 from tillspark.functions.text import holds_text
 from tillspark.mining.rules import rule_order
-from tillspark.runtime import salted_join
+from tillspark.runtime import materialize, salted_join, scratch
 
 METRICS = ["confidence", "support", "lift"]
 
@@ -141,6 +141,29 @@ def recommendations_with_text(stored: DataFrame, text: str) -> DataFrame:
 SCORE_UNITS = 1e9
 
 
+def cart_classes(carts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, kinds): carts of the very same products have one answer, worked out once for the class they are.
+
+    ``members``: (cart_id, n, h1, h2), where the last three name the class. ``kinds``: (cart_id, product) rows as of carts, with
+    a struct of the three as ``cart_id``. Both are stored. No row holds a cart, and a cart without an id is one, too.
+    """
+    inside = materialize(carts.select("cart_id", "product").distinct())
+    members = materialize(inside.groupBy("cart_id").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("product")).alias("h1"),
+        F.bit_xor(F.xxhash64(F.lit(1), "product")).alias("h2"),
+    ))
+    key = F.coalesce(F.concat(F.lit("="), F.col("cart_id").cast("string")), F.lit("-")).alias("key")
+    chosen = members.groupBy("n", "h1", "h2").agg(F.min(key).alias("key"))
+    kinds = inside.select(key, "product").join(chosen, "key")
+    return members, materialize(kinds.select(F.struct("n", "h1", "h2").alias("cart_id"), "product"))
+
+
+def of_members(members: DataFrame, answers: DataFrame) -> DataFrame:
+    """The answers of classes, with their ``cart_id`` as made by ``cart_classes``, as rows of the carts themselves."""
+    named = answers.select("cart_id.*", *(c for c in answers.columns if c != "cart_id"))
+    return members.join(named, ["n", "h1", "h2"]).drop("n", "h1", "h2")
+
+
 def join_outside_cart(carts: DataFrame, pairs: DataFrame, value: str, marker) -> DataFrame:
     """(cart_id, rec_product, value) for every pair whose product is in the cart, items in it marked.
 
@@ -174,12 +197,15 @@ def cart_scores(carts: DataFrame, recs: DataFrame) -> DataFrame:
 
 def cross_sell(carts: DataFrame, recs: DataFrame, n: int = 5) -> DataFrame:
     """The ``n`` best products to add to each cart."""
-    return (
-        cart_scores(carts, recs)
-        .withColumn("rank", rank_within(["cart_id"], [F.desc("units"), "product"]))
-        .filter(F.col("rank") <= n)
-        .select("cart_id", "product", F.round(F.col("units") / SCORE_UNITS, 4).alias("score"), "rank")
-    )
+    with scratch(carts.sparkSession) as job:
+        members, kinds = cart_classes(carts)
+        best = (
+            cart_scores(kinds, recs)
+            .withColumn("rank", rank_within(["cart_id"], [F.desc("units"), "product"]))
+            .filter(F.col("rank") <= n)
+        )
+        return job.keep(of_members(members, best).select(
+            "cart_id", "product", F.round(F.col("units") / SCORE_UNITS, 4).alias("score"), "rank"))
 
 
 # ---- similarity ---------------------------------------------------------------------------

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tillspark.operators.recommend import join_outside_cart, rank_within, ranked
-from tillspark.runtime import materialize, salted_join, with_rank
+from tillspark.operators.recommend import cart_classes, join_outside_cart, of_members, rank_within, ranked
+from tillspark.runtime import materialize, salted_join, scratch, with_rank
 
 
 def stored_recommendations(
@@ -80,9 +80,15 @@ def cart_suggestions(
 ) -> DataFrame:
     """``n`` suggestions per cart: best targets of its items by lift, then catalog products by name.
 
-    Suggestions are never in the cart and never repeat. ``source`` tells which step gave one.
+    Suggestions are never in the cart and never repeat. ``source`` tells which step gave one. They are found once for all
+    carts of the same products.
     """
-    inside = carts.select("cart_id", "product").distinct()
+    with scratch(carts.sparkSession) as job:
+        members, kinds = cart_classes(carts)
+        return job.keep(of_members(members, _suggestions(kinds, stored, products, per_item, n)))
+
+
+def _suggestions(inside: DataFrame, stored: DataFrame, products: DataFrame, per_item: int, n: int) -> DataFrame:
     # Per item the best rows over both algorithms.
     order = [F.desc("lift"), F.desc("confidence"), F.desc("support"), "rec_product", "algorithm"]
     best = (
@@ -90,7 +96,7 @@ def cart_suggestions(
         .groupBy("product", "rec_product").agg(F.max("lift").alias("lift"))
     )
     targets = (
-        join_outside_cart(carts, best, "lift", float("inf"))
+        join_outside_cart(inside, best, "lift", float("inf"))
         .groupBy(F.col("cart_id"), F.col("rec_product").alias("product")).agg(F.max("lift").alias("lift"))
         .filter(F.col("lift") < float("inf"))
         .withColumn("rank", rank_within(["cart_id"], [F.desc("lift"), "product"]))
