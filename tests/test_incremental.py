@@ -44,3 +44,24 @@ def test_a_load_reads_no_lines_of_other_parts(spark, tmp_path):
         f.unlink()
     load_part(lines(spark, [("2", "jam"), ("3", "tea")]), folder, "b")
     check(spark, folder, {"a": [("1", "tea"), ("2", "jam")], "b": [("2", "jam"), ("3", "tea")]})
+
+
+def test_a_load_shuffles_each_value_once_and_numbers_stay_unique(spark, tmp_path):
+    """Values were sorted by name and joined to all others again before, which sent each about three times."""
+    def sent():
+        sc = spark.sparkContext
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None).iterator()
+        total = 0
+        while stages.hasNext():
+            total += stages.next().shuffleWriteRecords()
+        return total
+
+    schema = "InvoiceNo string, StockCode string, Description string, Quantity string, UnitPrice decimal(28, 4), CustomerID string"
+    rows = spark.range(2000).selectExpr("concat('i', id)", "'s'", "concat('p', id % 50)", "'1'", "CAST(1 AS DECIMAL(28, 4))", "'c'").toDF(
+        *(c.split()[0] for c in schema.split(", ") if " " in c))
+    before = sent()
+    load_part(rows, str(tmp_path), "a")
+    assert sent() - before < 2 * (3 * 2000 + 50)
+    load_part(rows.limit(100), str(tmp_path), "b")
+    numbers = spark.read.parquet(f"{tmp_path}/values")
+    assert numbers.count() == numbers.select("number").distinct().count() == numbers.select("kind", "value").distinct().count() == 6050

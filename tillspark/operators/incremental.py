@@ -1,6 +1,6 @@
 """Profile of lines that arrive part by part (such as by month), without reading earlier lines again.
 
-Distinct values get numbers once, in a table that only grows. What a part holds is a set of bitmaps over these numbers, 4 KB
+Distinct values get numbers once, in a table that only grows; numbers may leave gaps, at most one for each known value of a part. What a part holds is a set of bitmaps over these numbers, 4 KB
 for 32,768 values, and two row counts. The profile of any parts is the union of their bitmaps, so distinct counts
 are exact though parts share invoices and products. Loading a part again replaces it.
 """
@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tillspark.operators.clean import clean
-from tillspark.runtime import exists, materialize, scratch, with_rank
+from tillspark.runtime import exists, materialize, scratch
 
 _VALUES = "kind string, value string, number long"
 _BITS = "kind string, bucket long, bits binary, part string"
@@ -45,13 +46,19 @@ def load_part(lines: DataFrame, folder: str, part: str) -> None:
     with scratch(spark):
         lines = materialize(lines.select("InvoiceNo", "StockCode", "Description", "Quantity", "UnitPrice", "CustomerID"))
         cleaned = clean(lines)
-        held = materialize(_held(cleaned))
         known = _stored(spark, f"{folder}/values", _VALUES)
-        last = known.agg(F.coalesce(F.max("number"), F.lit(0))).scalar()
-        new = materialize(held.join(known, ["kind", "value"], "left_anti").withColumn("name", F.concat_ws(":", "kind", "value")))
-        numbered = with_rank(new, "name", "number").select("kind", "value", (F.col("number") + F.lit(last)).alias("number"))
-        numbered.write.mode("append").parquet(f"{folder}/values")
-        numbers = held.join(_stored(spark, f"{folder}/values", _VALUES), ["kind", "value"]).select("kind", "number")
+        last = known.agg(F.coalesce(F.max("number"), F.lit(0))).first()[0]
+        # Places in the stored table: the part of it in the upper bits, the row there in the lower 33.
+        held = materialize(_held(cleaned).join(known, ["kind", "value"], "left").withColumn("place", F.monotonically_increasing_id()))
+        part_of = F.shiftright("place", 33)
+        new = held.filter("number IS NULL")
+        before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+        shifts = new.groupBy(part_of.alias("_part")).agg(F.min("place").alias("_first"), F.max("place").alias("_last")).select(
+            "_part", (F.lit(last) + 1 + F.coalesce(F.sum(F.col("_last") - F.col("_first") + 1).over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+        numbers = materialize(
+            held.withColumn("_part", part_of).join(F.broadcast(shifts), "_part", "left")
+            .select("kind", "value", F.coalesce("number", F.col("place") + F.col("_shift")).alias("number"), F.col("number").isNull().alias("new")))
+        numbers.filter("new").select("kind", "value", "number").write.mode("append").parquet(f"{folder}/values")
         bits = numbers.groupBy("kind", F.bitmap_bucket_number("number").alias("bucket")).agg(
             F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")
         )
