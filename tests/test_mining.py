@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillspark import MiningSettings, mine
 from tillspark.mining.apriori import apriori_itemsets
 from tillspark.mining.counting import Block, count_itemsets, frequent_pairs, partial_counts
+from tillspark.mining.fpgrowth import by_kinds, fpgrowth_itemsets
 from tillspark.mining.job import prepared
 from tillspark.mining.rules import _splits, association_rules
 from tillspark.mining.son import son_candidates, son_itemsets
@@ -280,3 +281,28 @@ def test_a_chunk_takes_half_the_memory_and_finds_the_same():
     tracemalloc.stop()
     assert len(found) == 25 + 300
     assert peak < 60 * 1_200_000
+
+
+@pytest.mark.parametrize("most_kinds", [0, 1 << 21])
+def test_fp_growth_of_kinds_and_of_baskets_agree(spark, most_kinds):
+    baskets = random_baskets(5, n=300)
+    df = prepared(frame(spark, baskets)).cache()
+    assert as_dict(fpgrowth_itemsets(df, 60, 300, most_kinds=most_kinds)) == brute.itemsets(baskets, "0.2")
+
+
+@pytest.mark.parametrize("groups", [1, 2, 64])
+def test_copies_of_a_basket_are_counted_not_walked(spark, groups):
+    kinds = spark.createDataFrame(
+        [(["a", "b"], 10**9), (["a", "b", "c"], 10**9), (["b", "c"], 5), (["a"], 3), (["rare"], 1)], "items array<string>, times long")
+    assert as_dict(by_kinds(kinds, 10**9, groups)) == {
+        ("a",): 2 * 10**9 + 3, ("b",): 2 * 10**9 + 5, ("c",): 10**9 + 5, ("a", "b"): 2 * 10**9,
+        ("a", "c"): 10**9, ("b", "c"): 10**9 + 5, ("a", "b", "c"): 10**9,
+    }
+    assert as_dict(by_kinds(kinds, 10**10, groups)) == {}
+
+
+@pytest.mark.parametrize("groups", [1, 3, 64])
+def test_kinds_in_groups_of_items_equal_brute_force(spark, groups):
+    baskets = random_baskets(6, n=200)
+    kinds = spark.createDataFrame([(sorted(b), 1) for b in baskets], "items array<string>, times long")
+    assert as_dict(by_kinds(kinds, 30, groups)) == brute.itemsets(baskets, "0.15")
