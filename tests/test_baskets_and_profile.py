@@ -9,6 +9,7 @@ from tillspark.operators import profile as P
 from tillspark.runtime import with_rank
 from tillspark.schemas import BASKET, RETAIL_LINE
 from tillspark.sinks import exports as X
+from tillspark.workloads.preparation import cleaned, mining_baskets
 
 DOC = [
     ("536365", "HEART"), ("536365", "LANTERN"), ("536365", "HANGER"), ("536365", "HEART"),
@@ -119,3 +120,26 @@ def test_text_exports_escape(spark, tmp_path):
     assert back["Items"] == 'say "hi", a, b'
     X.export_baskets_json(df, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).first()["Items"] == ['say "hi"', "a, b"]
+
+
+def test_baskets_by_a_key_of_the_invoice_are_the_same(spark):
+    pairs = [(str(i % 50), f" item {i % 7}") for i in range(400)] + [("hot", f"item {i % 40}") for i in range(3000)]
+    df = lines(spark, [*pairs, ("1", None), ("1", "  "), ("one", "single")]).withColumn("key", F.xxhash64("InvoiceNo") % 20)
+    for options in ({}, {"min_items": 1, "trim": False}, {"fold_case": True}):
+        want = {r["InvoiceNo"]: r["items"] for r in B.baskets(df, **options).collect()}
+        rows = B.baskets(df, key="key", **options).collect()
+        assert {r["InvoiceNo"]: r["items"] for r in rows} == want and len(rows) == len(want) and rows[0].asDict().keys() == {"InvoiceNo", "items"}
+
+
+def test_lines_joined_by_shuffles_become_baskets_where_they_are(spark, sf):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        carts = mining_baskets(spark, sf)
+        plan = carts._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(l_orderkey" in plan and "hashpartitioning(InvoiceNo" not in plan
+        assert "InvoiceNo" not in "".join(line for line in plan.splitlines() if "hashpartitioning" in line)
+        got = {r["InvoiceNo"]: r["items"] for r in carts.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {r["InvoiceNo"]: r["items"] for r in B.baskets(cleaned(spark, sf)).collect()}

@@ -15,6 +15,8 @@ from tillspark.sinks import exports as X
 from tillspark.sinks import tables as T
 from tillspark.sources.order_tables import retail_lines
 from tillspark.streaming.live_carts import latest, latest_suggestions, store_live_carts, suggest_live
+from tillspark.workloads import mining
+from tillspark.workloads.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -152,3 +154,10 @@ def test_a_scratch_scope_keeps_results_only(spark):
             raise ValueError
     except ValueError:
         assert not there(lost)
+
+
+def test_recommendations_by_text_need_no_prices(spark, sf, monkeypatch):
+    want = QUERIES["stored_recommendations"](spark, sf).filter("contains(lower(concat_ws(' ', product, rec_product, algorithm)), '#12 fp')")
+    want = sorted(map(tuple, want.collect()))
+    monkeypatch.setattr(mining.C, "product_catalog", lambda *a, **k: pytest.fail("prices are worked out"))
+    assert sorted(map(tuple, QUERIES["recommendations_with_text"](spark, sf).collect())) == want

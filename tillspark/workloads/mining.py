@@ -23,7 +23,7 @@ from tillspark.sinks.exports import export_run_json, import_run_json, itemsets_c
 from tillspark.sinks.tables import (
     latest_runs, load_run, read_recommendations, recent_runs, replace_products, replace_recommendations, save_run,
 )
-from tillspark.sources.order_tables import open_carts
+from tillspark.sources.order_tables import ORDER_KEY, open_carts
 from tillspark.workloads import checking_sql as S
 from tillspark.workloads.preparation import NAME, cleaned, mining_baskets
 from tillspark.workloads.registry import query
@@ -291,24 +291,29 @@ STORED_SQL = f"""{rule_sql(WIDE)}, {S.rules(str(APRIORI_CONFIDENCE), name='rules
 stored AS ({S.stored('recs', 'fpgrowth')} UNION ALL {S.stored('recs2', 'apriori')})"""
 
 
+def stored_lines(spark, sf_dir, *more):
+    """Cleaned lines, computed once, with what baskets and the names of the catalog need, and ``more`` columns."""
+    return materialize(cleaned(spark, sf_dir, WIDE[0], key=True).select(ORDER_KEY, "InvoiceNo", "Description", "UnitPrice", *more))
+
+
 def catalog_and_stored(spark, sf_dir):
-    return mined_catalog_and_stored(spark, sf_dir)[1:]
+    lines = stored_lines(spark, sf_dir, "StockCode")
+    return materialize(C.product_catalog(lines, digits=None)), mined_and_stored(lines)[2]
 
 
-def mined_catalog_and_stored(spark, sf_dir, *more):
-    """What was found by FP-Growth, by Apriori and by ``more`` runs, the catalog, and the recommendations of the first two."""
-    lines = materialize(cleaned(spark, sf_dir, WIDE[0]).select("InvoiceNo", "StockCode", "Description", "UnitPrice"))
-    catalog = materialize(C.product_catalog(lines, digits=None))
+def mined_and_stored(lines, *more):
+    """What was found by FP-Growth, by Apriori and by ``more`` runs, the names of the catalog, and the recommendations of the first two."""
+    names = materialize(C.catalog_names(lines))
     runs = [MiningSettings(WIDE[1], WIDE[2], "fpgrowth"), MiningSettings(WIDE[1], APRIORI_CONFIDENCE, "apriori")]
     stored = None
-    every = mine_all(baskets(lines), [*runs, *more])
+    every = mine_all(baskets(lines, key=ORDER_KEY), [*runs, *more])
     for found in every[:2]:
         algorithm = found.settings.algorithm
         part = V.stored_recommendations(
-            R.all_recommendations(found.itemsets, found.rules), catalog, algorithm
+            R.all_recommendations(found.itemsets, found.rules), names, algorithm
         )
         stored = part if stored is None else stored.unionByName(part)
-    return every, catalog, materialize(stored)
+    return every, names, materialize(stored)
 
 
 def as_products(catalog):
@@ -317,13 +322,13 @@ def as_products(catalog):
 
 @query("stored_recommendations", f"{STORED_SQL} SELECT * FROM stored")
 def _(spark, d):
-    return catalog_and_stored(spark, d)[1]
+    return mined_and_stored(stored_lines(spark, d))[2]
 
 
 @query("recommendations_with_text", f"""{STORED_SQL} SELECT * FROM stored
   WHERE contains(lower(product || ' ' || rec_product || ' ' || algorithm), '#12 fp')""")
 def _(spark, d):
-    return R.recommendations_with_text(catalog_and_stored(spark, d)[1], "#12 FP")
+    return R.recommendations_with_text(mined_and_stored(stored_lines(spark, d))[2], "#12 FP")
 
 
 @query("recommendation_api", f"""{STORED_SQL},
@@ -354,7 +359,7 @@ reached AS (SELECT f.product, f.algorithm, r.rec_product, max(r.support) AS supp
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product, algorithm
   ORDER BY support DESC, rec_product) AS rank FROM reached) WHERE rank <= 4""")
 def _(spark, d):
-    return V.also_like(catalog_and_stored(spark, d)[1]).withColumn("rank", F.col("rank").cast("long"))
+    return V.also_like(mined_and_stored(stored_lines(spark, d))[2]).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("cart_suggestions", f"""{STORED_SQL}, {S.carts('p_brand')},
@@ -460,9 +465,10 @@ def _(spark, d):
     """Recommendations of two algorithms stored, then those of one replaced by a run at another confidence."""
     with scratch(spark) as job:
         folder = scratch_folder(spark)
-        (*_, found), catalog, stored = mined_catalog_and_stored(spark, d, MiningSettings(WIDE[1], REPLACED_CONFIDENCE, "fpgrowth"))
+        again = MiningSettings(WIDE[1], REPLACED_CONFIDENCE, "fpgrowth")
+        (*_, found), names, stored = mined_and_stored(stored_lines(spark, d), again)
         replace_recommendations(stored, folder)
-        replace_recommendations(V.stored_recommendations(R.all_recommendations(found.itemsets, found.rules), catalog, "fpgrowth"), folder)
+        replace_recommendations(V.stored_recommendations(R.all_recommendations(found.itemsets, found.rules), names, "fpgrowth"), folder)
         return job.keep(read_recommendations(spark, folder))
 
 
@@ -573,14 +579,14 @@ def _(spark, d):
     AND list_contains(list_concat(r.antecedents, r.consequents), s.rec_product)) THEN 'rule' ELSE 'itemset' END AS backed_by
   FROM stored s""")
 def _(spark, d):
-    (found, _), _, stored = mined_catalog_and_stored(spark, d)
+    (found, _), _, stored = mined_and_stored(stored_lines(spark, d))
     return Q.recommendation_evidence(stored, found.rules, found.itemsets)
 
 
 @query("recs_backed_check", f"{STORED_SQL} SELECT 'recommendation_backed' AS check_name, 2 * count(*) AS total, count(*) AS violations FROM (SELECT DISTINCT product, rec_product FROM stored)")
 def _(spark, d):
     """Each recommendation is checked besides one of a product that there is not."""
-    (found, _), _, stored = mined_catalog_and_stored(spark, d)
+    (found, _), _, stored = mined_and_stored(stored_lines(spark, d))
     stored = stored.select("product", "rec_product")
     none = stored.withColumn("rec_product", F.concat(F.lit("no "), "rec_product"))
     return Q.check_recommendations(stored.unionByName(none), found.rules, found.itemsets)
