@@ -156,6 +156,13 @@ def test_a_scratch_scope_keeps_results_only(spark):
         assert not there(lost)
 
 
+def test_a_mining_run_reads_the_order_tables_once(spark, sf, monkeypatch):
+    seen, real = [], mining.run_mining
+    monkeypatch.setattr(mining, "run_mining", lambda spark, lines, products, *a, **k: seen.extend([lines, products]) or real(spark, lines, products, *a, **k))
+    assert QUERIES["mining_run_stored"](spark, sf).count() > 0
+    assert len(seen) == 2 and not any(t in f for df in seen for f in df.inputFiles() for t in ("lineitem", "orders", "part.parquet"))
+
+
 def test_recommendations_by_text_need_no_prices(spark, sf, monkeypatch):
     want = QUERIES["stored_recommendations"](spark, sf).filter("contains(lower(concat_ws(' ', product, rec_product, algorithm)), '#12 fp')")
     want = sorted(map(tuple, want.collect()))

@@ -26,14 +26,15 @@ class MiningRun:
 def run_mining(
     spark: SparkSession, lines: DataFrame, products: DataFrame, folder: str,
     settings: MiningSettings | None = None, created_by: str = "system", run_id: str | None = None,
+    key: str | None = None,
 ) -> MiningRun:
     """Mine cleaned ``lines`` and store the run and its recommendations under ``folder``.
 
-    ``products`` has the column name. Raises ValueError when there are no baskets.
+    ``products`` has the column name, ``key`` is as for ``baskets``. Raises ValueError when there are no baskets.
     """
     settings = settings or MiningSettings()
     run_id = run_id or uuid.uuid4().hex
-    mined = mine(baskets(lines), settings)
+    mined = mine(baskets(lines, key=key), settings)
     if mined.n_baskets == 0:
         raise ValueError("no transactions found; load retail lines first")
     save_run(mined, f"{folder}/mining", run_id, created_by)

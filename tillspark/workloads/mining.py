@@ -388,10 +388,10 @@ def _(spark, d):
 {S.stored('recs', 'fpgrowth')}""")
 def _(spark, d):
     """The whole mining run, read back from what it stored."""
-    lines = cleaned(spark, d, WIDE[0])
-    names = C.product_catalog(lines).select(F.col("description").alias("name"))
+    lines = stored_lines(spark, d)
+    names = materialize(C.catalog_names(lines)).select(F.col("description").alias("name"))
     return run_mining(
-        spark, lines, names, scratch_folder(spark), MiningSettings(WIDE[1], WIDE[2])
+        spark, lines, names, scratch_folder(spark), MiningSettings(WIDE[1], WIDE[2]), key=ORDER_KEY
     ).recommendations
 
 
