@@ -1,10 +1,13 @@
 import hashlib
 import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
+from tillspark import runtime
 from tillspark.llm import near_dups, repeats, vector_dups
 from tillspark.llm.shared import components
 
@@ -203,6 +206,55 @@ def test_repeats_are_those_of_brute_force(docs_of):
             assert ([tuple(s) for s in got[i].cut_.spans], bytes(got[i].cut_.kept)) == (spans, kept), i
 
 
+def python_functions_of_a_task(df):
+    """The most functions in Python, each with a worker of its own, that one task of the plan runs."""
+    def most(node, above):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return most(node.executedPlan(), above)
+        above = 0 if "Exchange" in name else above + bool(re.search("Python|Arrow|Pandas", name))
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        return max([above, *(most(c, above) for c in children)])
+
+    return most(df._jdf.queryExecution().executedPlan(), 0)
+
+
+def test_repeats_have_one_python_worker_a_task(docs_of, monkeypatch, prose):
+    stored, seen = runtime.materialize_counted, []
+
+    def watched(df):
+        seen.append(python_functions_of_a_task(df))
+        return stored(df)
+
+    monkeypatch.setattr(runtime, "materialize_counted", watched)
+    monkeypatch.setattr(repeats, "materialize_counted", watched)
+    base = prose(300, 7)
+    texts = [base, base[:900], base[100:1200] + "!", prose(200, 8), *(base[:500 + i] + prose(9, i) for i in range(9)), None]
+    out = repeats.remove_repeats(docs_of(enumerate(texts)), hot=3)
+    assert max(seen) == 1 and python_functions_of_a_task(out) == 1
+    got = {r.doc_id: r.cut_ for r in out.select("doc_id", "cut_").collect()}
+    for i, (spans, kept) in enumerate(brute_repeats(texts)):
+        assert ([tuple(s) for s in got[i].spans], bytes(got[i].kept), got[i].kept_text) == (spans, kept, kept.decode("utf-8", "ignore")), i
+
+
+def test_repeats_of_bytes_that_are_no_text(spark):
+    docs = spark.createDataFrame([(1, b"ab\xff\xfecd"), (2, "é".encode())], "doc_id long, b binary").selectExpr("doc_id", "CAST(b AS STRING) AS text")
+    got = {r.doc_id: r.cut for r in repeats.remove_repeats(docs).select("doc_id", "cut").collect()}
+    assert {k: (bytes(c.kept).decode("utf-8", "ignore"), c.spans) for k, c in got.items()} == {k: (c.kept_text, []) for k, c in got.items()}
+    assert got[2].kept_text == "é"
+
+
+def test_signatures_are_made_of_few_shingles_at_once(monkeypatch, prose):
+    bags = [near_dups.shingles(near_dups.words_of(prose(n, n))) for n in (3, 700, 40, 900, 5, 2500, 300, 300)]
+    whole, sizes, sign = near_dups.signatures(bags), [], near_dups.signatures
+    monkeypatch.setattr(near_dups, "SIGNED_AT_ONCE", 1000)
+    monkeypatch.setattr(near_dups, "signatures", lambda some: sizes.append([len(b) for b in some]) or sign(some))
+    texts = pa.RecordBatch.from_pydict({"doc_id": list(range(8)), "t1": [0] * 8, "t2": [0] * 8, "text": [prose(n, n) for n in (3, 700, 40, 900, 5, 2500, 300, 300)]})
+    (signed,) = near_dups._sign([texts])
+    assert signed.column("slots").to_pylist() == [x.astype(np.uint16).tobytes() for x in whole]
+    assert sum(map(len, sizes)) == 8 and all(sum(s) <= 1000 or len(s) == 1 for s in sizes)
+
+
 def test_repeats_of_long_texts_in_slices(docs_of, monkeypatch, prose):
     monkeypatch.setattr(repeats, "SLICE", 1000)
     data = (prose(2000, 1) + prose(300, 2) + prose(2000, 3) + prose(300, 2)).encode()

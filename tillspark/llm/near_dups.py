@@ -43,6 +43,8 @@ LEAST_EQUAL = 0.58
 CHUNK = 500_000
 #: Rounds with a leader before the chunks are compared; one does if rows then go to so few places on average.
 LEADER_ROUNDS, PLACES = 4, 8
+#: Shingles whose signatures are made at once, about; a longer text is signed alone.
+SIGNED_AT_ONCE = 1 << 17
 
 _WORD = re.compile(r"\w+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -127,6 +129,20 @@ def signatures(bags: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
         todo = np.flatnonzero(open_docs[doc])
 
 
+def _signatures_of_all(bags: list[np.ndarray]) -> np.ndarray:
+    """The same for any number of bags, a bounded number of shingles at once."""
+    out, group, size = [np.zeros((0, SLOTS), np.uint32)], [], 0
+    for bag in bags:
+        if group and size + len(bag) > SIGNED_AT_ONCE:
+            out.append(signatures(group))
+            group, size = [], 0
+        group.append(bag)
+        size += len(bag)
+    if group:
+        out.append(signatures(group))
+    return np.concatenate(out)
+
+
 def counted(bag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(bag, return_counts=True)
 
@@ -160,7 +176,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(hashlib.blake2b("\x1f".join(words).encode(), digest_size=16).digest())
             bags.append(shingles(words) if words else np.zeros(0, np.uint64))
         full = [i for i, b in enumerate(bags) if len(b)]
-        names = signatures([bags[i] for i in full]) if full else np.zeros((0, SLOTS), np.uint32)
+        names = _signatures_of_all([bags[i] for i in full])
         keyed = np.zeros((len(full), BANDS), dtype=np.uint64)
         for r in range(ROWS):
             keyed = _mix(keyed * _ODD + names[:, r::ROWS].astype(np.uint64))

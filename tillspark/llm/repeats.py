@@ -295,8 +295,9 @@ def repeated_spans(rows: DataFrame, hot: int = HOT, length: int = LENGTH, code:
             partial(_compare, length=length), "t1 long, t2 long, start long, stop long")
         spans = whole.unionByName(edges)
         if not mixed.filter(F.col("k") > hot).isEmpty():
-            strings = materialize(pick(True).mapInArrow(take, _TAKEN).mapInArrow(
-                partial(_each_string, length=length), "t1 long, t2 long, start long, single boolean, h1 long, h2 long"))
+            # One function, as each would have a Python worker of its own.
+            strings = materialize(pick(True).mapInArrow(
+                lambda batches: _each_string(take(batches), length), "t1 long, t2 long, start long, single boolean, h1 long, h2 long"))
             seen = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
             found = salted_join(strings.filter("single"), seen.select("h1", "h2"), ["h1", "h2"], ["t1", "start"], "left_semi")
             spans = spans.unionByName(found.select(*text, "start", (F.col("start") + length).alias("stop")))
@@ -363,8 +364,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", hot: int = HOT, length:
     spans = spans(plain.filter(F.octet_length("raw") >= least), hot).select(
         F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("spans").alias(raw))
     cutter = F.arrow_udf((lambda raw, spans: _cut(raw, spans, _places_of_words)) if words else (lambda raw, spans: _cut(raw, spans)), _CUT)
-    # Texts that lose nothing stay where they are.
-    touched = _may_be(spans.select(t1), spans.count(), t1)
+    # Texts that lose nothing stay where they are, and need no Python but the filter's: a task with two Python functions has two
+    # workers, which live on and fill the caches of whatever comes next. Only Python drops the bytes that are no characters.
+    touched = _may_be(spans.select(t1), spans.count(), t1) | ~F.is_valid_utf8(full)
     joined = named.filter(touched).join(spans.hint("merge"), [t1, t2], "left").select(*named.columns, raw)
-    rest = named.filter(~touched).withColumn(raw, F.lit(None).cast(spans.schema[raw].dataType))
-    return joined.unionByName(rest).withColumn(cut, cutter(F.encode(full, "UTF-8"), F.col(raw))).drop(t1, t2, raw)
+    joined = joined.withColumn(cut, cutter(F.encode(full, "UTF-8"), F.col(raw))).drop(raw)
+    whole = F.struct(F.encode(full, "UTF-8").alias("kept"), full.alias("kept_text"), F.array().cast(spans.schema[raw].dataType).alias("spans"))
+    rest = named.filter(~touched).withColumn(cut, whole.cast(_CUT))
+    return joined.unionByName(rest).drop(t1, t2)
